@@ -28,7 +28,9 @@ from skarn.llm.common import materialise, pick
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct white-space-separated strings a worker remembers, and documents it holds at once.
-REMEMBERED, TEXTS_AT_ONCE = 500_000, 400
+REMEMBERED, TEXTS_AT_ONCE = 1_000_000, 400
+#: Marks that stand behind words; a run of them is a pre-token of its own.
+MARKS = ".,;:!?#*$%&"
 #: Pieces that one task ranks, about.
 RANKED_TOGETHER = 1_000_000
 
@@ -36,12 +38,27 @@ RANKED_TOGETHER = 1_000_000
 # --- tokens ---------------------------------------------------------------------------------------------------------
 
 
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _letters(word: str) -> bool:
+    """Letters only, in lower case too: some letters become a letter and a mark."""
+    return word.isalpha() and word.lower().isalpha()
+
+
 class WordTokenizer:
     """The tokenizers library behind a memory of strings between blanks.
 
     Only for definitions whose pre-tokenizer drops white space, as then text may be cut at any blank or line end. Where
-    all characters are below U+0250 and no special token can occur, lower case is taken first, so that more strings meet;
-    the library would do it anyway.
+    all characters are Latin-1 and no special token can occur, lower case is taken first, so that more strings meet; the
+    library would do it anyway.
     """
 
     def __init__(self, definition: str) -> None:
@@ -68,22 +85,24 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Letters with a stop or comma after them are two pre-tokens: only the letters are new."""
-        stems = {c: c[:-1] if c[-1] in ".," else c for c in new if c}
-        plain = [s for s in {*stems.values()} if s.isalpha() and s not in self.known]
+        """Letters with marks after them are two pre-tokens, letters and marks; only the letters are likely new."""
+        stems = {c: c.rstrip(MARKS) for c in new}
+        plain = [s for s in {*stems.values()} if _letters(s) and s not in self.known]
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             self.known.update(zip(part, self._ids(part), strict=True))
-        rest = [c for c in new if c not in self.known and not (c and stems[c] in self.known and stems[c].isalpha())]
+        left = [c for c in new if c not in self.known]
+        both = {c: (s, c[len(s) :]) for c in left if _letters(s := stems[c])}
+        rest = [c for c in left if c not in both]
+        rest += {m for _, m in both.values()}.difference(self.known, rest)
         self.known.update(zip(rest, self._one_by_one(rest), strict=True))
-        marks = {m: self._one_by_one([m])[0] for m in ".,"}
-        self.known.update((c, self.known[stems[c]] + marks[c[-1]]) for c in new if c not in self.known)
+        self.known.update((c, self.known[s] + self.known[m]) for c, (s, m) in both.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = []
         for t in texts:
             t = t or ""
-            if self.lowers and "<|" not in t and (t.isascii() or max(t) < "ɐ") and "İ" not in t:
+            if self.lowers and "<|" not in t and _latin(t):
                 t = t.lower()
             cut.append(t.replace("\n", " ").split(" "))
         new = {c for x in cut for c in set(x).difference(self.known)}
