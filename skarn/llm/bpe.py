@@ -28,7 +28,7 @@ from skarn.llm.common import pick
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space besides the blank and the line feed.
 RARE_SPACE = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-REMEMBERED, TEXTS_AT_ONCE = 300_000, 400
+REMEMBERED, TEXTS_AT_ONCE = 700_000, 400
 NEVER = np.int64(1) << 40
 
 
