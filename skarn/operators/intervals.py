@@ -24,7 +24,7 @@ def best_overlap(a: DataFrame, b: DataFrame, keys: list[str], a_id: list[str], b
     """Each row of a with the row of b of greatest positive overlap, the earliest ``b_pos`` of equals; null if none."""
     pairs = overlap_join(a, b, keys, "left")
     overlap = F.least("t1", "b_t1") - F.greatest("t0", "b_t0")
-    scored = pairs.withColumn("overlap", F.when(overlap > 0, overlap))
+    scored = pairs.withColumn("overlap", F.when(F.col("b_t0").isNotNull() & (overlap > 0), overlap))
     w = Window.partitionBy(*keys, *a_id).orderBy(F.col("overlap").desc_nulls_last(), f"b_{b_pos}")
     best = scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     gone = [F.when(F.col("overlap").isNotNull(), F.col(c)).alias(c) for c in best.columns if c.startswith("b_")]

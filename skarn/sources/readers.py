@@ -7,9 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def id_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +133,6 @@ def kitti_labels(lines: DataFrame, image: str = "image", line: str = "value", po
         d(14).alias("rotation_y"),
         F.coalesce(d(15), F.lit(0.0)).alias("score"),
     )
-    from pyspark.sql import Window
-
     cared = F.sum(F.when(F.col("name") != "DontCare", 1).otherwise(0)).over(Window.partitionBy(image).orderBy(pos))
     return out.withColumn("index", F.when(F.col("name") == "DontCare", -1).otherwise(cared - 1).cast("int"))
 
@@ -147,7 +144,7 @@ def kitti_calibration(lines: DataFrame, image: str = "image", line: str = "value
     return lines.where(F.col(line).contains(":")).select(image, F.trim(kv[0]).alias("name"), values.alias("values"))
 
 
-POSE = T.StructType.fromDDL(
+POSE = (
     "frame_idx int, timestamp double, ego_velocity struct<linear:array<double>,angular:array<double>>, "
     "cameras map<string, struct<img_path:string,width:int,height:int,intrinsics:array<double>,pose:array<double>,"
     "rolling_shutter:struct<duration:double,trigger_time:double>>>"
