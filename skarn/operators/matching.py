@@ -32,6 +32,11 @@ def _iou(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
     return inter / (boxes[:, 2:].prod(axis=1) + box[2:].prod() - inter + 1e-8)
 
 
+def _apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Columns under names of their own: two sides of one lineage must not share attributes in a cogroup."""
+    return df.select(*(F.col(c).alias(f"t_{c}") for c in df.columns)), [f"t_{k}" for k in keys]
+
+
 def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(keys, pred_id, truth_id, iou, tp): predictions by score take the best truth left; below the threshold none is taken.
 
@@ -39,7 +44,9 @@ def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], threshold:
     """
 
     def run(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows, t = [], t.sort_values("id")
+        if p.empty:
+            return pd.DataFrame(columns=[*keys, "pred_id", "truth_id", "iou", "tp"])
+        rows, t = [], t.rename(columns=lambda c: c.removeprefix("t_")).sort_values("id")
         boxes = np.array(t["box"].tolist(), float).reshape(-1, 4)
         free, ids = np.ones(len(t), bool), t["id"].tolist()
         for r in p.sort_values(["score", "id"], ascending=[False, True]).itertuples():
@@ -56,7 +63,8 @@ def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], threshold:
 
     kinds = {f.name: f.dataType.simpleString() for f in pred.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pred_id long, truth_id long, iou double, tp boolean"
-    return pred.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(run, schema)
+    right, right_keys = _apart(truth, keys)
+    return pred.groupBy(*keys).cogroup(right.groupBy(*right_keys)).applyInPandas(run, schema)
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -96,7 +104,7 @@ def optimal_match(pred: DataFrame, truth: DataFrame, keys: list[str], class_weig
         columns = [*keys, "pred_id", "truth_id", "cost"]
         if p.empty or t.empty:
             return pd.DataFrame(columns=columns)
-        p, t = p.sort_values("id"), t.sort_values("id")
+        p, t = p.sort_values("id"), t.rename(columns=lambda c: c.removeprefix("t_")).sort_values("id")
         probs, boxes = np.array(p["probs"].tolist(), float), np.array(p["box"].tolist(), float)
         cost = -class_weight * probs[:, t["label"].to_numpy(int)] + box_weight * np.abs(boxes[:, None] - np.array(t["box"].tolist(), float)[None]).sum(-1)
         ids, truths = p["id"].tolist(), t["id"].tolist()
@@ -104,7 +112,8 @@ def optimal_match(pred: DataFrame, truth: DataFrame, keys: list[str], class_weig
 
     kinds = {f.name: f.dataType.simpleString() for f in pred.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pred_id long, truth_id long, cost double"
-    return pred.groupBy(*keys).cogroup(truth.groupBy(*keys)).applyInPandas(run, schema)
+    right, right_keys = _apart(truth, keys)
+    return pred.groupBy(*keys).cogroup(right.groupBy(*right_keys)).applyInPandas(run, schema)
 
 
 def nms(df: DataFrame, keys: list[str], threshold: float, most: int | None = None) -> DataFrame:
