@@ -1,15 +1,16 @@
 """Quality rules: base rules, then a hashed n-gram log-likelihood ratio against a fixed threshold.
 
-Word uni- and bigrams are hashed into ``buckets``. Counts over the trusted documents and over the whole corpus give two
-smoothed multinomials; a document's score is the mean over its n-grams of ln(p_trusted / p_corpus), so it does not grow
-with length. A document is kept if no base rule fails it and its score reaches ``threshold``: no draw is involved, and
+Word uni- and bigrams are hashed into ``buckets``. How many trusted documents, and how many of the whole corpus, hold a
+bucket's n-grams gives two multinomials, smoothed by the same number a bucket after the corpus is scaled to the trusted
+part's size, so that what is rare in both says little. A document's score is the mean over its n-grams of
+ln(p_trusted / p_corpus), so it does not grow with length. A document is kept if no base rule fails it and its score reaches ``threshold``: no draw is involved, and
 every document gets a verdict. DataFrame expressions only; what leaves the executors is one figure a bucket.
 
 Three-word windows and n-grams are told apart by 64-bit hashes: two different windows of one text of n words meet with a
 probability below n^2 / 2^65.
 
 Defined results: a null, empty or blank text has no words and fails the base rules, with a null score; without trusted
-documents no text is likelier one way or the other by more than the smoothing; repeated rows get equal verdicts, and
+documents all scores are 0; repeated rows get equal verdicts, and
 count as often as they occur; a null id is never trusted; an empty table gives an empty table; other columns pass through.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import WORD, free_name
 
-BUCKETS, THRESHOLD, SMOOTHING = 1 << 16, -0.1, 1.0
+BUCKETS, THRESHOLD, SMOOTHING = 1 << 16, -0.15, 4.0
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = r"[#*$%&|<>]"
 #: Trusted ids up to this number go to every executor; more are joined by a shuffle.
@@ -66,7 +67,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     small = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marks = trusted.select("trusted_id", F.lit(1).alias("t"))
     known = slim.join(F.broadcast(marks) if small else marks, slim["id"] == marks["trusted_id"], "left")
-    hashed = _with_hashes(known, "text", "words", "h").select("t", _grams(F.col("h"), buckets).alias("g"))
+    hashed = _with_hashes(known, "text", "words", "h").select("t", F.array_distinct(_grams(F.col("h"), buckets)).alias("g"))
     counted = (
         hashed.select("t", F.explode_outer("g").alias("bucket"))
         .groupBy("bucket")
@@ -79,13 +80,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     whole = full.agg(
         F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("b"), F.sum("raw").alias("raw"), F.sum("good").alias("good")
     )
-    extra = SMOOTHING * buckets
+    share = F.coalesce(F.col("good") / F.nullif("raw", F.lit(0)), F.lit(0.0))  # the corpus, scaled to the trusted part's size
     return whole.select(
-        F.transform(
-            "b",
-            lambda x: F.log((x["good"] + F.lit(SMOOTHING)) / (F.col("good") + F.lit(extra)))
-            - F.log((x["raw"] + F.lit(SMOOTHING)) / (F.col("raw") + F.lit(extra))),
-        ).alias("ratio")
+        F.transform("b", lambda x: F.log((x["good"] + F.lit(SMOOTHING)) / (x["raw"] * share + F.lit(SMOOTHING)))).alias("ratio")
     )
 
 
