@@ -17,6 +17,7 @@ and lose what any named document holds; an empty table gives an empty table; oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skarn.llm.common import free_name, mix64, pick
+from skarn.llm.common import claim, free_name, mix64, narrow_batches, pick
 
 WIDTH = 50
 #: Documents a deal. Deals grow in number with the table, not in size.
@@ -119,6 +120,7 @@ def _packed(deals: int, width: int):
     """Arrow batches of (id, text) to one row for each deal: hashes, and whose they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings", _words.clear)
         for b in batches:
             ids, done = _ids(b.column(0)), 0
             for _, hashes, windows in window_hashes(b.column(1).to_pylist(), width):
@@ -131,15 +133,15 @@ def _packed(deals: int, width: int):
                 deal = _deal(hashes, deals)
                 by = np.lexsort((doc, deal))
                 deal, doc, hashes, sorted_ids = deal[by], doc[by], hashes[by], mine[order]
-                cuts = np.flatnonzero(np.diff(deal, prepend=np.uint32(deals + 1))).tolist()
+                cuts = [*np.flatnonzero(np.diff(deal.astype(np.int64), prepend=-1)).tolist(), len(deal)]
                 out: dict[str, list] = {"deal": [], "hashes": [], "ids": [], "counts": []}
-                for lo, hi in zip(cuts, [*cuts[1:], len(deal)], strict=True):
+                for lo, hi in pairwise(cuts):
                     runs = np.flatnonzero(np.diff(doc[lo:hi], prepend=-1))
                     out["deal"].append(int(deal[lo]))
                     out["hashes"].append(hashes[lo:hi].tobytes())
                     out["ids"].append(np.diff(sorted_ids[doc[lo:hi][runs]], prepend=0).tobytes())
                     out["counts"].append(_narrow(np.diff(np.append(runs, hi - lo))))
-                if cuts:
+                if out["deal"]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out["deal"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("hashes", "ids", "counts"))], names=list(out)
                     )
@@ -163,9 +165,9 @@ def _answers(doc_deals: int):
         to = np.where(doc == LAST_ID, 0, np.mod(doc, doc_deals))
         order = np.lexsort((doc, to))
         hashes, doc, to = hashes[order], doc[order], to[order]
-        cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+        cuts = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
         rows = []
-        for lo, hi in zip(cuts, [*cuts[1:], len(to)], strict=True):
+        for lo, hi in pairwise(cuts):
             at = np.flatnonzero(np.diff(doc[lo:hi], prepend=np.iinfo(np.int64).min))
             low = hashes[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
             rows.append((int(to[lo]), np.diff(doc[lo:hi][at], prepend=0).tobytes(), _narrow(np.diff(np.append(at, hi - lo))), low))
@@ -197,6 +199,7 @@ def remove_repeats(
     slim = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     deals = max(16, -(-slim.select("id").count() // docs_per_deal))
     deals += 1 - deals % 2  # odd, so that ids in even steps spread
+    narrow_batches(docs.sparkSession)
     packed = slim.mapInArrow(_packed(deals, width), "deal int, hashes binary, ids binary, counts binary")
     answers = packed.groupBy("deal").applyInPandas(_answers(deals), "doc_deal int, ids binary, counts binary, low binary")
     by = free_name(docs, "doc_deal")
@@ -213,6 +216,7 @@ def remove_repeats(
     columns = list(docs.columns)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        claim("substrings", _words.clear)
         lost: dict[int, list[np.ndarray]] = {}
         for deltas, counts, low in zip(*(right.column(c).to_pylist() for c in ("ids", "counts", "low")), strict=True):
             ids, ends = np.cumsum(np.frombuffer(deltas, np.int64)), np.cumsum(_wide(counts))
