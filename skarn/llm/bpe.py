@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skarn.llm.common import pick
+from skarn.llm.common import claim, narrow_batches, pick
 
 #: The published pattern that splits text in front of byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -250,9 +250,11 @@ def read_definition(path: str) -> str:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, ids array<long>, decoded) of every document, or with digests (id, n_tokens, ids_sha256, decoded_sha256)."""
+    narrow_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _coders.clear)
         bpe = coder(shipped.value)
         for b in batches:
             for at in range(0, b.num_rows, TEXTS_AT_ONCE):

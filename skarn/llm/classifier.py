@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import mix64, pick
+from skarn.llm.common import claim, mix64, narrow_batches, pick
 
 BITS, MAX_ROWS, MAX_SLOTS, EPOCHS = 20, 10_000, 2_048, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
-REMEMBERED = 300_000
+REMEMBERED, TEXTS_AT_ONCE = 300_000, 1_000
 
 
 _FOLD = bytes(
@@ -117,11 +117,13 @@ def train(
     marked = pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").select("id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("classifier", _words.clear)
         for b in batches:
             made = [features(t, bits, MAX_SLOTS) for t in b.column(1).to_pylist()]
             blobs = [pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), *blobs], names=["id", "label", "slots", "vals"])
 
+    narrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     got = marked.mapInArrow(run, f"id {kind}, label int, slots binary, vals binary").withColumn("at", F.xxhash64("id")).collect()
     rows = {(r["at"], r["id"], bytes(r["slots"])): r for r in got}  # repeated rows count once
@@ -130,13 +132,17 @@ def train(
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", bits: int = BITS) -> DataFrame:
     """``docs`` with the column ``score_col``: how likely label 1 is."""
+    narrow_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("classifier", _words.clear)
         m = shipped.value
-        for b in batches:
-            scores = pa.array([m.score(*features(t, bits)) for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, score_col])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                b = whole.slice(lo, TEXTS_AT_ONCE)
+                scores = pa.array([m.score(*features(t, bits)) for t in b.column(at).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, score_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

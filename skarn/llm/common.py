@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,29 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_holder: list = [None, None]
+
+
+def claim(name: str, clear: Callable[[], None] | None = None) -> None:
+    """In a worker: what another operator remembers goes before this one starts to remember.
+
+    Workers serve one stage after the other; without this their memories would add up.
+    """
+    if _holder[0] != name:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [name, clear]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def narrow_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Whole texts go to the workers by at most this many at once, which bounds memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijective finaliser on unsigned 64-bit integers (splitmix64's constants)."""
     with np.errstate(over="ignore"):

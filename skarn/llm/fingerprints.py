@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import mix64, pick
+from skarn.llm.common import claim, mix64, narrow_batches, pick
 
 BINS, DIGITS, LEVELS, ROUNDS = 64, 6, 5, 4
 #: Code points parsed at once; ids per share of the order; shares at most, per thousandth of the ids.
@@ -208,6 +208,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             at += len(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("fingerprints")
         share, ids, texts, closed, n = None, [], [], False, 0
         for b in batches:
             for i, text, s, peek in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
@@ -227,6 +228,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 texts.append(text)
                 n += len(text)
 
+    narrow_batches(docs.sparkSession)
     return with_next(docs, id_col, text_col).mapInArrow(
         run, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

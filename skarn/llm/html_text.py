@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skarn.llm.common import pick
+from skarn.llm.common import claim, narrow_batches, pick
 
 #: Elements whose tags do not end a block.
 INLINE = frozenset(
@@ -366,9 +366,11 @@ def extract(page: str | None, model: ChainField) -> str:
 
 def main_text(pages: DataFrame, model: ChainField | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
+    narrow_batches(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("html_text")
         for b in batches:
             texts = pa.array([extract(h, shipped.value) for h in b.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["id", "url", "text"])

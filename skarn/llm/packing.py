@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skarn.llm.bpe import read_definition
-from skarn.llm.common import materialise, pick
+from skarn.llm.common import claim, materialise, narrow_batches, pick
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct white-space-separated strings a worker remembers, and documents it holds at once.
-REMEMBERED, TEXTS_AT_ONCE = 1_000_000, 400
+REMEMBERED, TEXTS_AT_ONCE = 700_000, 400
 #: Marks that stand behind words; a run of them is a pre-token of its own.
 MARKS = ".,;:!?#*$%&"
 #: Pieces that one task ranks, about.
@@ -129,10 +129,12 @@ def pieces(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): every document's tokens and end token, cut where longer than the capacity."""
+    narrow_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(read_definition(path))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _tokenizers.clear)
         tokenizer = _tokenizer(shipped.value)
         for b in batches:
             for at in range(0, b.num_rows, TEXTS_AT_ONCE):

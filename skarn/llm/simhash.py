@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import materialise, pick
+from skarn.llm.common import claim, materialise, narrow_batches, pick
 
 SEED, SHINGLE, RADIUS, TILE_ROWS = 42, 4, 4, 32_768
 
@@ -48,10 +48,12 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, fp): every document's fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
+    narrow_batches(docs.sparkSession)
     slim = pick(docs, id=id_col, text=text_col)
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp long")
 
