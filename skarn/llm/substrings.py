@@ -6,6 +6,10 @@ network and no row per window exists. Each deal finds the hashes that a smaller
 by document, with the hashes to remove; the document's pass hashes its windows anew, marks those, and merges them into
 maximal intervals of words.
 
+Before the exchange each batch settles its own repeats: a window goes to its deal once, for the smallest document of the
+batch that holds it, and the others' losses go as finished answers dealt by document. So a window that a third of all
+documents share costs its deal one entry a batch, not one a document.
+
 Hashes of different windows meet with a probability of N^2 / 2^65 over N windows; answers name a window within its
 document by 40 bits besides the deal, so a document of n windows errs with n^2 / 2^47 at most.
 
@@ -116,6 +120,36 @@ def _wide(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u4" if blob[0] == 255 else np.uint8, offset=1).astype(np.int64)
 
 
+def _settled(hashes: np.ndarray, ids: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of windows and their documents: each hash once with the smallest id, and all windows that a smaller id holds."""
+    order = np.argsort(hashes)
+    hashes, ids = hashes[order], ids[order]
+    new = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(ids, first) if len(first) else ids
+    lost = ids > np.repeat(least, np.diff(np.append(first, len(hashes))))
+    return (hashes[first], least), (hashes[lost], ids[lost])
+
+
+def _rows(hashes: np.ndarray, ids: np.ndarray, deal: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """One row a deal: its hashes by ascending id, the ids' steps, and how many hashes each id has."""
+    by = np.lexsort((ids, deal))
+    hashes, ids, deal = hashes[by], ids[by], deal[by].astype(np.int64)
+    cuts = [*np.flatnonzero(np.diff(deal, prepend=-1)).tolist(), len(deal)]
+    for lo, hi in pairwise(cuts):
+        runs = np.flatnonzero(np.append(True, ids[lo + 1 : hi] != ids[lo : hi - 1]))
+        yield int(deal[lo]), hashes[lo:hi].tobytes(), np.diff(ids[lo:hi][runs], prepend=0).tobytes(), _narrow(np.diff(np.append(runs, hi - lo)))
+
+
+def _doc_deal(ids: np.ndarray, deals: int) -> np.ndarray:
+    return np.where(ids == LAST_ID, 0, np.mod(ids, deals))
+
+
+#: What travels to the deals; done: losses that a batch has settled already.
+PACKED = pa.schema([("done", pa.bool_()), ("deal", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
 def _packed(deals: int, width: int):
     """Arrow batches of (id, text) to one row for each deal: hashes, and whose they are."""
 
@@ -126,25 +160,11 @@ def _packed(deals: int, width: int):
             for _, hashes, windows in window_hashes(b.column(1).to_pylist(), width):
                 mine = ids[done : done + len(windows)]
                 done += len(windows)
-                order = np.argsort(mine, kind="stable")  # ids ascend in a row, so their steps pack well
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                doc = np.repeat(rank, windows)
-                deal = _deal(hashes, deals)
-                by = np.lexsort((doc, deal))
-                deal, doc, hashes, sorted_ids = deal[by], doc[by], hashes[by], mine[order]
-                cuts = [*np.flatnonzero(np.diff(deal.astype(np.int64), prepend=-1)).tolist(), len(deal)]
-                out: dict[str, list] = {"deal": [], "hashes": [], "ids": [], "counts": []}
-                for lo, hi in pairwise(cuts):
-                    runs = np.flatnonzero(np.diff(doc[lo:hi], prepend=-1))
-                    out["deal"].append(int(deal[lo]))
-                    out["hashes"].append(hashes[lo:hi].tobytes())
-                    out["ids"].append(np.diff(sorted_ids[doc[lo:hi][runs]], prepend=0).tobytes())
-                    out["counts"].append(_narrow(np.diff(np.append(runs, hi - lo))))
-                if out["deal"]:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out["deal"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("hashes", "ids", "counts"))], names=list(out)
-                    )
+                if not len(hashes):
+                    continue
+                asked, lost = _settled(hashes, np.repeat(mine, windows))
+                out = [(False, *x) for x in _rows(*asked, _deal(asked[0], deals))] + [(True, *x) for x in _rows(*lost, _doc_deal(lost[1], deals))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PACKED.types, strict=True)], schema=PACKED)
 
     return run
 
@@ -154,23 +174,14 @@ def _answers(doc_deals: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-        runs = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in pdf["ids"]])
-        doc = np.repeat(runs, np.concatenate([_wide(x) for x in pdf["counts"]]))
-        order = np.argsort(hashes, kind="stable")
-        hashes, doc = hashes[order], doc[order]
-        first = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1]))
-        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(hashes))))
-        lost = doc > least
-        hashes, doc = hashes[lost], doc[lost]
-        to = np.where(doc == LAST_ID, 0, np.mod(doc, doc_deals))
-        order = np.lexsort((doc, to))
-        hashes, doc, to = hashes[order], doc[order], to[order]
-        cuts = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
-        rows = []
-        for lo, hi in pairwise(cuts):
-            at = np.flatnonzero(np.diff(doc[lo:hi], prepend=np.iinfo(np.int64).min))
-            low = hashes[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            rows.append((int(to[lo]), np.diff(doc[lo:hi][at], prepend=0).tobytes(), _narrow(np.diff(np.append(at, hi - lo))), low))
+        runs = [np.cumsum(np.frombuffer(x, np.int64)) for x in pdf["ids"]]
+        doc = np.repeat(np.concatenate(runs), np.concatenate([_wide(x) for x in pdf["counts"]]))
+        done = np.repeat(pdf["done"].to_numpy(bool), [len(x) // 8 for x in pdf["hashes"]])
+        _, (new, whose) = _settled(hashes[~done], doc[~done])
+        hashes, doc = np.concatenate([hashes[done], new]), np.concatenate([doc[done], whose])
+        rows = [
+            (to, ids, counts, np.frombuffer(h, np.uint8).reshape(-1, 8)[:, :5].tobytes()) for to, h, ids, counts in _rows(hashes, doc, _doc_deal(doc, doc_deals))
+        ]
         return pd.DataFrame(rows, columns=["doc_deal", "ids", "counts", "low"])
 
     return run
@@ -200,7 +211,7 @@ def remove_repeats(
     deals = max(16, -(-slim.select("id").count() // docs_per_deal))
     deals += 1 - deals % 2  # odd, so that ids in even steps spread
     narrow_batches(docs.sparkSession)
-    packed = slim.mapInArrow(_packed(deals, width), "deal int, hashes binary, ids binary, counts binary")
+    packed = slim.mapInArrow(_packed(deals, width), "done boolean, deal int, hashes binary, ids binary, counts binary")
     answers = packed.groupBy("deal").applyInPandas(_answers(deals), "doc_deal int, ids binary, counts binary, low binary")
     by = free_name(docs, "doc_deal")
     dealt = docs.withColumn(by, F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(deals)), F.lit(0)).cast("int"))
