@@ -174,3 +174,42 @@ def placement(field: Column, table: dict[str, str]) -> Column:
 def depth_method(has_mono: Column, has_lidar: Column, has_plane: Column) -> Column:
     """How a frame's depth is filled, by what there is."""
     return F.when(has_mono & has_lidar, "mono_lidar").when(has_mono, "mono_only").when(has_plane, "ransac").otherwise("none")
+
+
+def grounded_components(components: Column, objects: Column) -> Column:
+    """Struct of components and consistency: what a model named, held against measured objects.
+
+    components, objects: array<struct<object_type: string, relation: string>>. The first component of an object's type
+    takes the (last) object's type and relation and the source "gt"; other components keep neither and stay "model". Each
+    object whose type no component has is added as "gt_injected". consistency: every object's type, and whether the model
+    had it. Null arrays count as empty.
+    """
+    kind = "array<struct<object_type:string,relation:string>>"
+    named, seen = (F.coalesce(a, F.array().cast(kind)) for a in (components, objects))
+    types = F.transform(named, lambda c: c["object_type"])
+    row = lambda source, o: F.struct(source.alias("source"), o["object_type"].alias("object_type"), o["relation"].alias("relation"))
+
+    def own(c: Column, i: Column) -> Column:
+        found = F.coalesce((F.array_position(types, c["object_type"]) == i + 1) & F.exists(seen, lambda o: o["object_type"] == c["object_type"]), F.lit(False))
+        o = F.when(found, F.try_element_at(F.filter(seen, lambda o: o["object_type"] == c["object_type"]), F.lit(-1)))
+        return row(F.when(found, "gt").otherwise("model"), o)
+
+    lacks = lambda o: ~F.coalesce(F.array_contains(types, o["object_type"]), F.lit(False))
+    added = F.transform(F.filter(seen, lacks), lambda o: row(F.lit("gt_injected"), o))
+    consistency = F.transform(seen, lambda o: F.struct(o["object_type"].alias("object_type"), (~lacks(o)).alias("covered_by_model")))
+    return F.struct(F.concat(F.transform(named, own), added).alias("components"), consistency.alias("consistency"))
+
+
+# fixed values: what an experiment card must state, and its changed axis
+CARD_NEEDS = {"가설": r"가설\s*[:：]", "대조 조건": r"대조\s*조건\s*[:：]", "사전 등록 시각": r"등록\s*시각\s*[:：]\s*\d"}
+CARD_AXIS = r"변경\s*축\s*[:：]\s*(.+)"
+CARD_AXIS_NAME = "변경 축"
+
+
+def card_problems(text: Column, needs: dict[str, str] = CARD_NEEDS, axis: str = CARD_AXIS, axis_name: str = CARD_AXIS_NAME) -> Column:
+    """What keeps an experiment's card from being valid, in order: no card (null), missing statements, no or several axes."""
+    axes_named = F.regexp_extract_all(text, F.lit(axis), F.lit(1))
+    several = F.exists(axes_named, lambda a: a.rlike("[,·+]"))
+    found = [F.when(~text.rlike(p), F.lit(f"missing: {k}")) for k, p in needs.items()]
+    found.append(F.when(F.size(axes_named) == 0, F.lit(f"missing: {axis_name}")).when(several, F.lit(f"several: {axis_name}")))
+    return F.when(text.isNull(), F.array(F.lit("no card"))).otherwise(F.array_compact(F.array(*found)))

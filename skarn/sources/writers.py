@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,12 @@ def label_files(df: DataFrame, image: str, line: str, pos: str) -> DataFrame:
     """(image, body): one file's lines in order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(pos, line))), lambda x: x[line])
     return df.groupBy(image).agg(F.array_join(lines, "\n").alias("body"))
+
+
+def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
+    """(pos, line): the rows, which should be few, as a Markdown table in order; pipes are escaped, nulls are empty."""
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    cells = [F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    rows = df.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("pos"), bar(cells).alias("line"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "-|" * len(df.columns))], "pos long, line string")
+    return head.unionByName(rows)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skarn.functions import rules, scalar
-from skarn.operators import aggregates, fusion, geometry, intervals, matching, ranking, series
+from skarn.operators import aggregates, filters, fusion, geometry, intervals, matching, parameters, ranking, series
 from skarn.plans import scenario
 from skarn.sources import readers, writers
 
@@ -261,3 +261,72 @@ def test_stream_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("sessions_out").count() > 0
+
+
+def test_filters_keep_groups_whole(spark):
+    rows = [("a", 0.0, 1.0), ("a", 1.0, 1.0), ("a", 2.0, 9.0), ("b", 0.5, 1.0), ("c", None, None)]
+    df = spark.createDataFrame(rows, "k string, t double, x double")
+    spans = spark.createDataFrame([("a", 0.0, 2.0), ("b", 0.0, 2.0)], "k string, lo double, hi double")
+    assert sorted(r.t for r in filters.time_clip(df, ["k"], "t", spans).collect()) == [0.0, 1.0, 2.0]
+    assert sorted((r.k, r.t) for r in filters.in_ranges(df, ["k"], {"x": (0.0, 5.0)}, 2).collect()) == [("a", 0.0), ("a", 1.0)]
+    clean = filters.clean_frames(spans.select("k"), df, ["k"], F.col("x") > 5, 0.3)
+    assert [r.k for r in clean.collect()] == ["b"]
+    said = spark.createDataFrame([("a", False), ("a", True), ("b", None)], "k string, ok boolean")
+    assert sorted(r.k for r in filters.kept_unless_denied(df.select("k").distinct(), said, ["k"], "ok").collect()) == ["b", "c"]
+
+
+def test_robust_line_ignores_outliers(spark):
+    rows = [(i, float(i % 40), 2.0 * (i % 40) + 1.0 if i % 5 else 500.0 - i) for i in range(200)]
+    df = spark.createDataFrame([("a", *r) for r in rows] + [("b", 1, 3.0, 1.0), ("b", 2, 3.0, 2.0), ("c", 1, None, 1.0)], "k string, id long, x double, y double")
+    (got,) = parameters.robust_line(df, ["k"], "id", "x", "y", 0.5).collect()
+    assert got.k == "a" and abs(got.slope - 2) < 1e-9 and abs(got.intercept - 1) < 1e-9 and got.n_inliers >= 160
+
+
+def test_temporal_queue_and_flat_top_k(spark):
+    df = spark.createDataFrame([("a", i) for i in range(5)], "k string, i int")
+    q = parameters.temporal_queue(df, ["k"], ["i"], "i", 3, F.lit(1)).orderBy("i").collect()
+    assert [r.queue for r in q] == [[0], [0, 1], [0, 1, 2], [0, 2, 3], [1, 3, 4]]
+    hashed = parameters.temporal_queue(df, ["k"], ["i"], "i", 3, seed=7).orderBy("i").collect()
+    assert [len(r.queue) for r in hashed] == [1, 2, 3, 3, 3]
+    s = spark.createDataFrame([("a", 0, 0.5, 0.9), ("a", 1, 0.9, 0.1)], "k string, q int, s0 double, s1 double")
+    assert [(r.q, r.label) for r in parameters.flat_top_k(s, ["k"], "q", ["s0", "s1"], 3).orderBy("rank").collect()] == [(0, 1), (1, 0), (0, 0)]
+
+
+def test_parameter_tables(spark):
+    a = spark.createDataFrame([("w", 0, 1.0), ("w", 1, 2.0)], "k string, i int, v double")
+    b = spark.createDataFrame([("w", 0, 4.0), ("u", 0, 5.0)], "k string, i int, v double")
+    assert {(r.k, r.i): (r.side, r.diff) for r in parameters.difference(a, b, ["k", "i"], "v").collect()} == {("w", 0): ("both", 3.0), ("w", 1): ("only_a", None), ("u", 0): ("only_b", None)}
+    every = a.withColumn("c", F.lit(1)).unionByName(b.withColumn("c", F.lit(2)))
+    assert {(r.k, r.i): (r.v, r.n) for r in parameters.average(every, ["k", "i"], "v", "c").collect()} == {("w", 0): (2.5, 2), ("w", 1): (2.0, 1), ("u", 0): (5.0, 1)}
+
+
+def test_grounded_components(spark):
+    kind = "array<struct<object_type:string,relation:string>>"
+    rows = [([("car", "x"), ("car", None), ("bus", None), (None, None)], [("car", "lead"), ("car", "cut"), ("dog", "cross"), ("dog", None)]), (None, None), ([("car", None)], [])]
+    df = spark.createDataFrame(rows, f"c {kind}, o {kind}")
+    got = [r.r for r in df.select(rules.grounded_components(F.col("c"), F.col("o")).alias("r")).collect()]
+    assert [tuple(x) for x in got[0].components] == [("gt", "car", "cut"), ("model", None, None), ("model", None, None), ("model", None, None), ("gt_injected", "dog", "cross"), ("gt_injected", "dog", None)]
+    assert [x.covered_by_model for x in got[0].consistency] == [True, True, False, False]
+    assert got[1].components == [] and [tuple(x) for x in got[2].components] == [("model", None, None)]
+
+
+def test_card_problems(spark):
+    good = "가설: a\n대조 조건: b\n등록 시각: 2024\n변경 축: lr"
+    df = spark.createDataFrame([(0, good), (1, None), (2, good.replace("lr", "lr, wd")), (3, "가설: a")], "i int, t string")
+    got = [r.p for r in df.orderBy("i").select(rules.card_problems(F.col("t")).alias("p")).collect()]
+    assert got == [[], ["no card"], ["several: 변경 축"], ["missing: 대조 조건", "missing: 사전 등록 시각", "missing: 변경 축"]]
+
+
+def test_optimal_match_is_least(spark):
+    from itertools import permutations
+
+    from skarn.operators.matching import optimal_match
+
+    rng = np.random.default_rng(3)
+    p, t = rng.random((5, 4)), rng.random((4, 4))
+    pd_ = spark.createDataFrame([("a", i, [float(v) for v in b], [0.5]) for i, b in enumerate(p)], "k string, id long, box array<double>, probs array<double>")
+    td = spark.createDataFrame([("a", i, [float(v) for v in b], 0) for i, b in enumerate(t)], "k string, id long, box array<double>, label int")
+    got = optimal_match(pd_, td, ["k"]).collect()
+    cost = np.abs(p[:, None] - t[None]).sum(-1) - 0.5
+    want = min(sum(cost[i, j] for j, i in enumerate(perm)) for perm in permutations(range(5), 4))
+    assert len(got) == 4 and abs(sum(r.cost for r in got) - want) < 1e-9

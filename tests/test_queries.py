@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from skarn import more_queries  # noqa: F401 - adds to both
 from skarn.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
