@@ -330,3 +330,41 @@ def test_optimal_match_is_least(spark):
     cost = np.abs(p[:, None] - t[None]).sum(-1) - 0.5
     want = min(sum(cost[i, j] for j, i in enumerate(perm)) for perm in permutations(range(5), 4))
     assert len(got) == 4 and abs(sum(r.cost for r in got) - want) < 1e-9
+
+
+def test_draws_by_hash(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(50)], "id long, g string")
+    a, b = ([r.id for r in ranking.seeded_sample(df, "id", 20, seed).collect()] for seed in (1, 2))
+    assert len(set(a)) == len(set(b)) == 20 and a != b and a == [r.id for r in ranking.seeded_sample(df.repartition(7), "id", 20, 1).collect()]
+    padded = ranking.group_padded(df, "g", "id", 4, 2, 7).collect()
+    for g, n in (("a", 33), ("b", 17)):
+        mine = [r for r in padded if r.g == g]
+        assert sorted(r.place for r in mine) == list(range(-(-n // 8) * 8)) and len({r.id for r in mine}) == n
+        assert all(r.batch == r.place // 4 and r["rank"] == r.batch % 2 for r in mine)
+    assert ranking.drop_share(df, "id", 0.3, 5).count() == 35
+
+
+def test_select_windows_brute_force(spark):
+    from skarn.config import DEFAULT as th
+
+    rng = random.Random(5)
+    names = ["decelerate", "accelerate", "stop", "turn_left", "lane_change_right"]
+    rows = [(c % 2, f"c{c}", float(w), rng.choices(names, k=rng.randint(0, 6)), rng.uniform(-8, 0), rng.choice([True, False, None]), rng.choice([None, rng.random()])) for c in range(12) for w in range(5)]
+    df = spark.createDataFrame(rows, "cond int, clip_id string, w0 double, kinds array<string>, min_ax double, reactive boolean, vlm_score double")
+    clips = {}
+    for cond, clip, w0, ks, ax, re, v in rows:
+        r = 2.5 * min(max(0, -ax - 3), 4) + min(ks.count("decelerate"), 4) + 0.8 * ("stop" in ks and "accelerate" in ks) + ("stop" in ks) + ("lane_change_right" in ks) + 0.6 * ("turn_left" in ks)
+        clips.setdefault((cond, clip), [])
+        if r >= th.reactivity_floor:
+            clips[cond, clip].append((r, w0, (v or 0.0) * (1 if re else 0.2)))
+    want = {}
+    for key, ws in clips.items():
+        best = sorted(ws, key=lambda w: (-w[0], w[1]))[: th.windows_per_clip]
+        want[key] = max(r * v for r, _, v in best) + th.window_bonus * (len(best) - 1) if best else 0.0
+    out = scenario.select_windows(df, ["cond"]).collect()
+    assert {(r.cond, r.clip_id): pytest.approx(r.clip_score) for r in out} == want
+    for cond in (0, 1):
+        mine = sorted((r for r in out if r.cond == cond), key=lambda r: r["rank"])
+        top = max(want[k] for k in want if k[0] == cond) or 1.0
+        assert [r["rank"] for r in mine] == list(range(1, 7)) and all(abs(r.score_norm - want[cond, r.clip_id] / top) < 1e-9 for r in mine)
+        assert [r.score_norm for r in mine] == sorted((r.score_norm for r in mine), reverse=True)
