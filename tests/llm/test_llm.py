@@ -338,6 +338,24 @@ def test_substrings(docs, odd, empty):
     assert substrings.without_repeats(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_substrings_in_any_batches(spark, odd, batch):
+    """Repeats inside a batch are settled there, those across batches in the deals: the result is the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        out = substrings.remove_repeats(odd.coalesce(2), result="cut", docs_per_deal=9).select("doc_id", "cut.*").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == brute_repeats(corpus())
+
+
+def test_a_shared_window_is_asked_once_a_batch():
+    hashes, ids = np.array([7, 7, 7, 7, 9, 9, 5], np.uint64), np.array([4, 2, 2, 3, 8, 8, 1])
+    (asked, whose), (lost, losers) = substrings._settled(hashes, ids)
+    assert dict(zip(asked.tolist(), whose.tolist(), strict=True)) == {5: 1, 7: 2, 9: 8} and len(asked) == 3
+    assert sorted(zip(lost.tolist(), losers.tolist(), strict=True)) == [(7, 3), (7, 4)]
+
+
 def test_classifier(spark, docs, odd, empty):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = classifier.train(d, labels)
