@@ -7,7 +7,8 @@ only words with a failing pair are merged one merge at a time. Decoding gathers
 
 Defined results: a null or empty text has no tokens and decodes to an empty text; the strings of special tokens in a
 text become those tokens; repeated rows give repeated rows; a null id stays null; an empty table gives an empty table;
-other columns are ignored. Memory: a bounded number of words is remembered by a worker.
+other columns are ignored. Memory: a worker remembers a bounded number of words between batches; a batch with more is
+halved down to single texts, and one text's own words are all held while it is encoded, however many they are.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from skarn.llm.common import claim, narrow_batches, pick
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space besides the blank and the line feed.
 RARE_SPACE = regex.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-REMEMBERED, TEXTS_AT_ONCE = 700_000, 400
+REMEMBERED, TEXTS_AT_ONCE, WORDS_AT_ONCE = 700_000, 400, 200_000
 NEVER = np.int64(1) << 40
 
 
@@ -171,13 +172,15 @@ class ByteBPE:
             out[k] = np.array(self.merged(words[k]), "<u4").tobytes()
         return out
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of all these words; those of others go where that would be too many."""
         new = [w for w in words if w not in self.words]
-        if new:
-            if len(self.words) + len(new) > REMEMBERED:
-                self.words.clear()
-                return self._learn(words)
-            self.words.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = list(words)
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            self.words.update(zip(part, self.encode_words([w.encode() for w in part]), strict=True))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special tokens. Where blanks stand alone, text is cut at them: a blank goes with the word after it."""
@@ -195,6 +198,9 @@ class ByteBPE:
         new.difference_update(self.chunks)
         pieces = {c: self.split.findall(c[1:] if c[:1] == "\0" else " " + c) for c in new}
         words = {w for p in pieces.values() for w in p} | {w for p in odd.values() for w in p}
+        if max(len(pieces), len(words)) > REMEMBERED and len(texts) > 1:
+            half = len(texts) // 2
+            return self._plain(texts[:half]) + self._plain(texts[half:])
         self._learn(words)
         get = self.words.__getitem__
         self.chunks.update((c, b"".join(map(get, p))) for c, p in pieces.items())

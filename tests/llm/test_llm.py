@@ -223,6 +223,20 @@ def test_bpe_on_random_strings():
     assert own.decode(got) == [lib.decode(w.ids, skip_special_tokens=False) for w in want]
 
 
+@pytest.mark.parametrize("remembered", [3, 40, 300])
+def test_bpe_with_more_words_than_it_remembers(monkeypatch, remembered):
+    """One batch and single texts hold more distinct words than a worker remembers."""
+    monkeypatch.setattr(bpe, "REMEMBERED", remembered)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 7, raising=False)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own, rng = Tokenizer.from_file(path), bpe.ByteBPE(open(path, encoding="utf-8").read()), random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeé漢059") for _ in range(rng.randint(1, 9)))
+    texts = [rng.choice([" ", " ", "  ", "\0", "<|endoftext|>"]).join(word() for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    texts += ["", " ".join(word() for _ in range(900)), "  ".join(word() for _ in range(900)), texts[0]]
+    for _ in range(2):  # the second time with what is remembered
+        assert [np.frombuffer(g, "<u4").tolist() for g in own.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing(docs, odd, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
