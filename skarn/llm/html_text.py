@@ -1,7 +1,9 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the page.
 
 A page is read as tags and text, forgiving of unclosed and truncated markup. Text between two block-level tags is a leaf
-block; scripts, styles and other elements that show no running text are no blocks. Each block has features of its open
+block; scripts, styles and other elements that show no running text are no blocks. Those of raw text (``RAW``) reach to
+their end tag or, as in the HTML standard, to the end of the page; the others (``UNSHOWN``) to the end tag of their own
+depth, and without one they hide nothing; a self-closed svg is empty. Each block has features of its open
 ancestors (tag names; words of class, id and role) and of its text. A two-label chain, content or not, is trained on
 labelled pages by stochastic gradient ascent on the log-likelihood and decoded by Viterbi; content blocks are joined in
 page order.
@@ -29,14 +31,20 @@ from skarn.llm.common import claim, narrow_batches, pick
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr picture q ruby rt rp s samp small source span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that show no running text, up to their end tag.
-UNSHOWN = ("script", "style", "noscript", "template", "title", "textarea", "select", "button", "iframe", "object", "svg", "canvas", "audio", "video")
+#: Elements that show no running text: raw up to their end tag, and those with elements inside.
+RAW = ("script", "style", "noscript", "template", "title", "textarea", "iframe")
+UNSHOWN = frozenset("select button object svg canvas audio video".split())
 #: Elements without an end tag.
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind ends an open element of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(UNSHOWN) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z/!?][^<>]*\Z|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z/!?][^<>]*\Z|[^<]+|<",
+    re.DOTALL | re.IGNORECASE,
+)
+#: The tags of unshown elements; those in comments and scripts do not count (group 2 is empty).
+_UNSHOWN_TAG = re.compile(
+    r"<!--.*?-->|<script(?=[\s/>])[^>]*(?<!/)>.*?</script(?=[\s/>])[^>]*>|<(/?)(" + "|".join(sorted(UNSHOWN)) + r")(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -49,6 +57,26 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
+def _unshown(page: str) -> dict[int, int]:
+    """Where each closed element of UNSHOWN starts and ends. A button or select is not inside another: the next one closes it."""
+    opened: dict[str, list[int]] = {name: [] for name in UNSHOWN}
+    out: dict[int, int] = {}
+    for m in _UNSHOWN_TAG.finditer(page):
+        name = (m.group(2) or "").lower()
+        if not name:
+            continue
+        if m.group(1):
+            if opened[name]:
+                out[opened[name].pop()] = m.end()
+        elif name == "svg" and m.group(3).endswith("/"):
+            out[m.start()] = m.end()
+        else:
+            if name in ("button", "select"):
+                opened[name].clear()
+            opened[name].append(m.start())
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with their features."""
     out: list[Block] = []
@@ -63,8 +91,11 @@ def blocks(page: str | None) -> list[Block]:
             out.append(Block(text, _features(text, stack, links[0], links[1])))
         links[0] = links[1] = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        token = m.group()
+    page, at = page or "", 0
+    ends: dict[int, int] | None = None
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        token, at = m.group(), m.end()
         if token[0] != "<" or token == "<":
             parts.append(token)
             if links[2]:
@@ -76,6 +107,12 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
             continue
         closing = m.group(2) == "/"
+        if name in UNSHOWN:
+            flush()
+            if not closing:
+                ends = _unshown(page) if ends is None else ends
+                at = max(at, ends.get(m.start(), at))
+            continue
         if name in INLINE:
             if name == "br":
                 parts.append(" ")

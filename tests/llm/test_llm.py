@@ -318,6 +318,42 @@ def test_html(spark):
     assert wrong / n < 0.02
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<svg-icon name=x></svg-icon>",
+        "<video-player src=x></video-player>",
+        "<button-group></button-group>",
+        "<title-bar></title-bar>",
+        "<select-box></select-box>",
+        '<svg class="x"/>',
+        "<svg viewBox='0 0 1 1' />",
+        "<svg><title/><path d='M0'/></svg>",
+        "<svg><title>hidden</svg>",
+        "<svg><svg>hidden</svg>hidden</svg>",
+        "<svg/><svg>hidden</svg>",
+        "<button>",
+        "<object data=x>",
+        "<video src=x>",
+        "<audio src=x controls>",
+        "<canvas>",
+        "<select>",
+        "<button title='a>b'>hidden</button>",
+        "<SCRIPT>'<svg>hidden'</SCRIPT >",
+        "<script>hidden</script x>",
+        "<!-- <button> -->",
+        "<object><object>hidden</object>hidden</object>",
+        "<video><!-- </video> -->hidden</video>",
+        "<button>hidden</button>",
+        "<style/>hidden</style>",
+    ],
+)
+def test_html_drops_only_what_is_not_shown(inside):
+    found = lambda page: [b.text for b in html_text.blocks(page)]
+    assert found(f"<p>One</p>{inside}<p>Two</p><div>Three</div>") == ["One", "Two", "Three"]
+    assert found(f"<p>One</p>{inside}<p>Two</p><button>hidden</button><svg>hidden</svg><video>hidden</video><p>Three</p>") == ["One", "Two", "Three"]
+
+
 def test_viterbi_is_the_likeliest_path():
     import itertools
 
