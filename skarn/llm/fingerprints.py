@@ -67,7 +67,10 @@ def _low_bit(x: np.ndarray) -> np.ndarray:
 
 
 def _phrases(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Where phrases start: at each document's start and at local maxima of the labels."""
+    """Where phrases start: at each document's start and at local maxima of the labels.
+
+    A document's last symbol has no right neighbour, whatever follows it in the array: exceeding its left one is enough.
+    """
     first = _starts(owner)
     label = symbols
     for _ in range(ROUNDS):
@@ -77,8 +80,8 @@ def _phrases(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
         bit = _low_bit(label ^ before)
         label = (bit << U(1)) | ((label >> bit) & U(1))
     top = np.zeros(len(label), bool)
-    if len(label) > 2:
-        top[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    top[1:] = label[1:] > label[:-1]
+    top[:-1] &= (label[:-1] >= label[1:]) | first[1:]
     inner = top & ~first
     inner[1:] &= ~first[:-1]  # a first phrase of one symbol would be no phrase
     return np.flatnonzero(first | inner)

@@ -125,6 +125,32 @@ def test_phrases_do_not_depend_on_offset():
     assert fingerprints.likeness(a[None], b[None])[0] > 0.8 > 0.2 > fingerprints.likeness(a[None], c[None])[0]
 
 
+@pytest.mark.parametrize("size", [1, 50, 700, 400_000])
+def test_fingerprints_do_not_depend_on_the_batch(spark, monkeypatch, size):
+    """A text at the end of a batch, or with an empty one behind it, is cut like anywhere else."""
+    texts = [t or "" for _, t, *_ in corpus()]
+    alone = [fingerprints.parse([t])[0].tolist() for t in texts]
+    assert fingerprints.parse([*texts, "tail"])[:-1].tolist() == alone
+    assert [row for t in texts for row in fingerprints.parse([t, "", t, "b"])[[0, 2]].tolist()] == [row for row in alone for _ in range(2)]
+    assert [row.tolist() for k in range(0, len(texts), 7) for row in fingerprints.parse(texts[k : k + 7])] == alone
+    monkeypatch.setattr(fingerprints, "FLAT_CHARS", size)
+    assert [row.tolist() for part in fingerprints._portions(texts) for row in fingerprints.parse(part)] == alone
+    order = sorted(((i, t or "") for i, t, *_ in corpus()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in zip(order, order[1:] + order[:1])]
+    one = [fingerprints.fingerprint_text(fingerprints.parse([t])[0]) for t in edited]
+    assert one == [fingerprints.fingerprint_text(x) for x in fingerprints.parse([*edited, "tail"])[:-1]]
+
+
+def test_edits_do_not_depend_on_parts(spark, docs):
+    """Every row's fingerprints are those of its texts parsed alone."""
+    text = {}
+    for i, t, *_ in corpus():
+        text.setdefault(i, set()).add(t or "")
+    mark = lambda t: fingerprints.fingerprint_text(fingerprints.parse([t])[0])
+    for r in fingerprints.edits(docs).collect():
+        assert r.fingerprint in {mark(t) for t in text[r.id]} and r.edited_fingerprint == mark(r.edited)
+
+
 def brute_simhash(t):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     if not w:
