@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import claim, materialise, narrow_batches, pick
+from skarn.llm.common import claim, free_name, materialise, narrow_batches, pick
 
 SEED, SHINGLE, RADIUS, TILE_ROWS = 42, 4, 4, 32_768
 
@@ -44,18 +44,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(majority).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): every document's fingerprint as a signed 64-bit integer."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """(id, fp): every document's fingerprint as a signed 64-bit integer; with hashed also the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            rest = {b.schema.names[k]: b.column(k) for k in range(2, b.num_columns)}
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *rest.values()], names=["id", "fp", *rest])
 
     narrow_batches(docs.sparkSession)
     slim = pick(docs, id=id_col, text=text_col)
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp long")
+    if hashed:
+        slim = slim.withColumn("hash", F.xxhash64("text"))
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp long" + ", hash long" * hashed)
 
 
 def _quarters(x: np.ndarray) -> np.ndarray:
@@ -193,13 +196,20 @@ def near_duplicates(
     return marked.join(found.withColumnRenamed("node", "fp"), "fp").select("id", "fp", F.col("label").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each component, that of its name; of repeated rows one stays. All columns come back.
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """One row of each component: that of the least id, null ids last, and of the least text hash. All columns come back.
 
-    Rows with a null id have no name to be told apart by: those in a component with a named row go, others stay.
+    A row is told by its id and its text's hash, so an id with unlike texts has a row in each component where it is the
+    least, and a component of null ids alone keeps one of its rows. Of repeated rows one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    keep = found.where(F.col("id") == F.col("component")).select(F.col("id").alias("__kept_id")).distinct()
-    kept = docs.join(keep, docs[id_col] == keep["__kept_id"], "left_semi").dropDuplicates([id_col])
-    alone = found.where(F.col("id").isNull() & F.col("component").isNull()).limit(1).count()
-    return kept.unionByName(docs.where(F.col(id_col).isNull())) if alone else kept
+    marked = materialise(with_fingerprints(docs, id_col, text_col, shingle, hashed=True), "simhash")
+    row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash")
+    distinct = materialise(marked.groupBy("fp").agg(F.min(row).alias("label")), "fps")
+    found = components(docs.sparkSession, distinct.select(F.col("fp").alias("node"), "label"), links(distinct.select("fp"), radius, tile_rows))
+    keep = found.select(F.col("label.id").alias("__kept_id"), F.col("label.hash").alias("__kept_hash")).distinct()
+    own = free_name(docs, "__own_hash")
+    rows = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`")))
+    same = rows[f"`{id_col}`"].eqNullSafe(keep["__kept_id"]) & (rows[own] == keep["__kept_hash"])
+    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, own]).drop(own)

@@ -188,6 +188,22 @@ def test_simhash(docs, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in want if c is not None}
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null ids, alone and among others, and ids that occur again with the same, a like or an unlike text."""
+    rng = random.Random(6)
+    base = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(120)) for _ in range(7)]
+    like = lambda t: t.rsplit(" ", 1)[0] + f" w{rng.randint(0, 99)}"
+    rows = [(5, base[0]), (5, base[1]), (3, base[1]), (None, base[0]), (None, base[2]), (None, base[2]), (None, like(base[2])), (None, base[3])]
+    rows += [(8, base[4]), (8, base[4]), (8, like(base[4])), (8, base[5]), (None, base[5]), (9, base[6]), (None, None), (None, ""), (2, like(base[6]))]
+    fps = [brute_simhash(t) for _, t in rows]
+    group = brute_components(list(range(len(rows))), fps)
+    assert len(set(group)) == 8
+    least = {g: min(key(i) for (i, _), h in zip(rows, group) if h == g) for g in group}
+    for parts in (1, 3):
+        kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()]
+        assert sorted((group[rows.index(r)], key(r[0])) for r in kept) == sorted(least.items())
+
+
 def test_dense_groups_and_forests():
     rng = np.random.default_rng(2)
     center = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
