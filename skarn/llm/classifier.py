@@ -3,9 +3,9 @@
 Features are word uni- and bigrams of two kinds, hashed into ``2 ** bits`` slots: the distinct n-grams of the words
 themselves, all of one weight, and the n-grams of the words' shapes (letters and digits folded, runs collapsed, a word
 that repeats the one before it marked as such) by the root of their frequency. Each kind has unit length. Training takes
-at most ``max_rows`` labelled rows, those with the least hash of their id, in that order; their features come to the
-driver (bounded by ``max_rows`` and MAX_SLOTS n-grams a row: a longer text of the sample gives the n-grams of least
-hash), where per-coordinate FTRL-proximal steps make the weights. Scoring is a sparse dot product over whole texts.
+at most ``max_rows`` labelled rows, those with the least hash of their id, in that order, with all their features, as in
+scoring. The features are written, and pass through the driver by about DRIVER_BYTES at once (one row at least), where
+per-coordinate FTRL-proximal steps make the weights. Scoring is a sparse dot product over whole texts.
 
 Defined results: a null or blank text has no features and the score of the bias alone; labels other than 0 and 1 are not
 learned from; without labelled rows every score is 0.5; repeated rows score alike; null ids score like others; an empty
@@ -15,7 +15,7 @@ table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import claim, mix64, narrow_batches, pick
+from skarn.llm.common import claim, materialise, mix64, narrow_batches, pick
 
-BITS, MAX_ROWS, MAX_SLOTS, EPOCHS = 20, 10_000, 2_048, 2
+BITS, MAX_ROWS, DRIVER_BYTES, EPOCHS = 20, 10_000, 32_000_000, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
 REMEMBERED, TEXTS_AT_ONCE = 300_000, 1_000
 
@@ -52,7 +52,7 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
-def features(text: str | None, bits: int = BITS, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text."""
     words = (text or "").encode().split()
     if not words:
@@ -64,8 +64,6 @@ def features(text: str | None, bits: int = BITS, most: int | None = None) -> tup
         two = mix64(one[:-1] * np.uint64(3) + one[1:])
         shapes = mix64(np.concatenate([shape, shape[:-1] * np.uint64(5) + shape[1:]]))
     own = np.unique(np.concatenate([one, two]) >> np.uint64(64 - bits))
-    if most and len(own) > most:
-        own = own[np.argsort(mix64(own))[:most]]
     kinds, times = np.unique(shapes >> np.uint64(64 - bits), return_counts=True)
     values = np.concatenate([np.full(len(own), 1.0 / np.sqrt(len(own))), np.sqrt(times / times.sum())])
     return np.concatenate([own, kinds]).astype(np.int32), values.astype(np.float32)
@@ -81,8 +79,8 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal: each coordinate keeps the sum z of its adjusted gradients and n of their squares."""
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal: each coordinate keeps the sum z of its adjusted gradients and n of their squares. rows are gone through once an epoch."""
     size = (1 << bits) + 1  # the last is the bias
     z, n = np.zeros(size), np.zeros(size)
 
@@ -103,6 +101,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
+class _Rows:
+    """Slots, values and label of each row of a sorted table, a partition at a time; repeated rows count once."""
+
+    def __init__(self, table: DataFrame) -> None:
+        self.table = table
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        last = None
+        for r in self.table.toLocalIterator():
+            slots = bytes(r["slots"])
+            if (r["id"], slots) != last:
+                last = (r["id"], slots)
+                yield np.frombuffer(slots, np.int32), np.frombuffer(bytes(r["vals"]), np.float32), r["label"]
+
+
 def held_out(id_col: Column) -> Column:
     """Rows whose label no model may see: crc32 of the id as text leaves 1 divided by 3."""
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -119,15 +132,17 @@ def train(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("classifier", _words.clear)
         for b in batches:
-            made = [features(t, bits, MAX_SLOTS) for t in b.column(1).to_pylist()]
+            made = [features(t, bits) for t in b.column(1).to_pylist()]
             blobs = [pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), *blobs], names=["id", "label", "slots", "vals"])
 
     narrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    got = marked.mapInArrow(run, f"id {kind}, label int, slots binary, vals binary").withColumn("at", F.xxhash64("id")).collect()
-    rows = {(r["at"], r["id"], bytes(r["slots"])): r for r in got}  # repeated rows count once
-    return fit([(np.frombuffer(bytes(r["slots"]), np.int32), np.frombuffer(bytes(r["vals"]), np.float32), r["label"]) for _, r in sorted(rows.items())], bits)
+    got = marked.mapInArrow(run, f"id {kind}, label int, slots binary, vals binary").withColumn("at", F.xxhash64("id"))
+    made = materialise(got, "features")
+    held = made.agg(F.sum(F.length("slots") + F.length("vals")).alias("n")).first()["n"] or 0
+    parts = 1 + held // DRIVER_BYTES
+    return fit(_Rows(made.repartitionByRange(parts, "at", "id").sortWithinPartitions("at", "id", "slots", "vals")), bits)
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", bits: int = BITS) -> DataFrame:

@@ -461,6 +461,20 @@ def test_classifier(spark, docs, odd, empty):
     assert {r.score for r in classifier.with_scores(docs.drop("score"), nothing).collect()} == {0.5}
 
 
+def test_classifier_learns_from_whole_texts(spark, docs, monkeypatch):
+    """Training sees the features that scoring sees, in the order of the ids' hashes, however few rows pass at once."""
+    labels = spark.createDataFrame([(i, i % 2) for i, *_ in corpus() if i is not None], "doc_id long, quality int").distinct()
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda rows, bits: seen.extend([list(rows), list(rows)]))
+    for held in (32_000_000, 40_000):
+        monkeypatch.setattr(classifier, "DRIVER_BYTES", held, raising=False)
+        classifier.train(docs, labels)
+    want = collections.Counter((*(x.tobytes() for x in classifier.features(t)), i % 2) for i, t in {(i, t) for i, t, *_ in corpus()} if i is not None and zlib.crc32(str(i).encode()) % 3 != 1)
+    got = [[(a.tobytes(), b.tobytes(), y) for a, b, y in x] for x in seen]
+    assert collections.Counter(got[0]) == want and all(x == got[0] for x in got)
+    assert max(len(a) for a, _, _ in seen[0]) > 2 * 2048
+
+
 def test_pipeline_stages_by_brute_force(spark):
     import corpus_pipeline as cp
 
