@@ -202,7 +202,7 @@ def _complement(free: np.ndarray, sums: _Sums, gap: int) -> tuple[int, ...] | No
     if found := _pair(free, gap):
         return found
     first = np.arange(gap - 2, 0, -1)
-    for a in first[(free[first] > 0) & sums.pair_sums()[gap - first]][:64].tolist():
+    for a in first[(free[first] > 0) & sums.pair_sums()[gap - first]].tolist():
         free[a] -= 1
         rest = _pair(free, gap - a)
         free[a] += 1

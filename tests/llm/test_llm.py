@@ -316,6 +316,20 @@ def test_plan_uses_every_length():
         assert (used == counts).all()
 
 
+def test_an_exact_triple_is_found_behind_any_number_of_false_ones():
+    """128 larger first parts leave only twice a length that is there once; no three terms are in progression."""
+    gap, free = 14_000, np.zeros(14_001, np.int64)
+    for k in range(128):
+        b = 2188 + int(f"{k:b}", 3)
+        free[b] = free[gap - 2 * b] = 1
+    sums = packing._Sums(free)
+    assert packing._complement(free, sums, gap) is None
+    free[[4700, 4667, 4633]] = 1
+    sums.changed()
+    found = packing._complement(free, sums, gap)
+    assert found and sum(found) == gap and all(free[x] >= n for x, n in collections.Counter(found).items())
+
+
 def test_word_tokenizer_on_random_strings():
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, own, rng = Tokenizer.from_file(path), packing.WordTokenizer(open(path, encoding="utf-8").read()), random.Random(1)
