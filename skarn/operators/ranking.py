@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.tables import materialise
+
 
 def normalise_max(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """value over the group's maximum; a maximum of 0 counts as 1."""
@@ -32,9 +34,33 @@ def kth_with_ties(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame
     return df.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(F.col(value).desc()))).where(F.col("rank") <= k)
 
 
+def draw(id_col: str, seed: int) -> Column:
+    """A row's place in a draw: a hash of id and seed that every engine has, as hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
+
+
+#: Rows that one task may sort for a sample.
+SORTED_AT_ONCE = 100_000
+
+
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement, those of least hash of id and seed."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """n rows without replacement, those of least draw.
+
+    A large sample is cut by counts of the draws' first four digits: whole cells below the cut stay, and only the cell
+    that the cut runs through is sorted.
+    """
+    order = draw(id_col, seed)
+    if n <= SORTED_AT_ONCE:
+        return df.orderBy(order, id_col).limit(n)
+    cell = F.substring(order, 1, 4)
+    left, cut = n, "g"  # behind all digits
+    for r in sorted(df.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["c"]):  # 65,536 rows at most
+        if left < r["n"]:
+            cut = r["c"]
+            break
+        left -= r["n"]
+    whole = df.where(cell < cut)
+    return whole if cut == "g" else whole.unionByName(df.where(cell == cut).orderBy(order, id_col).limit(left))
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -> DataFrame:
@@ -45,13 +71,20 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -
 def numbered_all(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
     """Positions from 0 over the whole table in order of a unique key.
 
-    A range exchange sorts; each range's count (one row a range) gives its first position. No task sees all rows.
+    A range exchange sorts, and the sorted ranges are written with each row's range and place in it, so that the counts
+    and the rows read the same ranges. Each range's count (one row a range) gives its first position. No task sees all
+    rows, and none is shuffled twice.
     """
-    part = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    held = part.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    return held.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_rn") - 1).drop("_p", "_rn", "_before")
+    at = "_at"
+    while at in df.columns:
+        at = f"_{at}"
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn(at, F.monotonically_increasing_id())
+    held = materialise(ranged, "ranges")
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))  # as monotonically_increasing_id lays them out
+    sizes = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    joined = held.join(F.broadcast(before), part == before["_p"])
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns if c != out), (F.col("_before") + place).alias(out))
 
 
 def interval_split(df: DataFrame, by: list[str], order: list[str], k: int, out: str = "split") -> DataFrame:
@@ -96,7 +129,7 @@ def contiguous_shards(df: DataFrame, key: str, ranks: int) -> DataFrame:
 
 def group_padded(df: DataFrame, group: str, id_col: str, batch: int, ranks: int, seed: int) -> DataFrame:
     """Rows in hash order within each group, padded by repetition to a multiple of batch * ranks, dealt in batches."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
+    w = Window.partitionBy(group).orderBy(draw(id_col, seed), id_col)
     sized = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
     total = F.ceil(F.col("_n") / F.lit(batch * ranks)) * F.lit(batch * ranks)
     copies = F.sequence(F.lit(0), (F.floor((total - 1 - F.col("_i")) / F.col("_n"))).cast("int"))
@@ -106,4 +139,4 @@ def group_padded(df: DataFrame, group: str, id_col: str, batch: int, ranks: int,
 
 def drop_share(df: DataFrame, id_col: str, ratio: float, seed: int) -> DataFrame:
     """int(n (1 - ratio)) rows by hash order."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(int(df.count() * (1 - ratio)))
+    return seeded_sample(df, id_col, int(df.count() * (1 - ratio)), seed)

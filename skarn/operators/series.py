@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators import ranking
+
 
 def _w(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -139,5 +141,5 @@ def head_tail(df: DataFrame, keys: list[str], order: list[str], value: str, k: i
 
 def first_seen_id(df: DataFrame, value: str, order: list[str], out: str = "dense_id") -> DataFrame:
     """(value, dense id from 0) in order of first appearance."""
-    firsts = df.groupBy(value).agg(F.min(F.struct(*order)).alias("_first"))
-    return firsts.select(value, (F.row_number().over(Window.orderBy("_first", value)) - 1).cast("long").alias(out))
+    firsts = df.groupBy(value).agg(F.min(F.struct(*order, F.col(value).alias("_value"))).alias("_first"))
+    return ranking.numbered_all(firsts, "_first", out).select(value, out)

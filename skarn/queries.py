@@ -478,19 +478,21 @@ def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     return ranking.stride(events(spark, d), U, O, 8).select("event_id")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || ':42'), o_orderkey LIMIT 100")
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return ranking.seeded_sample(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100, 42)
 
 
-@query("""WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
- e AS (SELECT *, ceil(n / 7)::BIGINT AS each FROM n)
- SELECT o_orderkey, i AS place, floor(i / each)::INTEGER AS rank FROM e UNION ALL SELECT o_orderkey, i + n, floor((i + n) / each)::INTEGER FROM e WHERE i < each * 7 - n""")
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders),
+ e AS (SELECT *, ceil(n / 7)::BIGINT AS each FROM n), w AS (SELECT *, i AS place FROM e UNION ALL SELECT *, i + n FROM e WHERE i < each * 7 - n)
+ SELECT * EXCLUDE (i, n, each), floor(place / each)::INTEGER AS rank FROM w""")
 def contiguous_shards(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.contiguous_shards(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7)
+    return ranking.contiguous_shards(table(spark, d, "orders"), "o_orderkey", 7)
 
 
-@query()
+@query("""WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':7'), doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+ p AS (SELECT doc_id, lang, i + n * unnest(range(0, floor((ceil(n / 8) * 8 - 1 - i) / n)::BIGINT + 1)) AS place FROM n)
+ SELECT doc_id, lang, place::BIGINT AS place, floor(place / 4)::BIGINT AS batch, (floor(place / 4) % 2)::INTEGER AS rank FROM p""")
 def group_padded_shards(spark: SparkSession, d: str) -> DataFrame:
     return ranking.group_padded(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 4, 2, 7)
 

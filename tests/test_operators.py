@@ -368,3 +368,27 @@ def test_select_windows_brute_force(spark):
         top = max(want[k] for k in want if k[0] == cond) or 1.0
         assert [r["rank"] for r in mine] == list(range(1, 7)) and all(abs(r.score_norm - want[cond, r.clip_id] / top) < 1e-9 for r in mine)
         assert [r.score_norm for r in mine] == sorted((r.score_norm for r in mine), reverse=True)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_of_wide_rows(spark, adaptive):
+    """Every row once, in its place, whatever other columns there are and whoever reads which."""
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 30_000
+        df = spark.range(n).select((n - F.col("id")).alias("k"), F.repeat(F.lit("wide text "), 20).alias("text"), F.lit(1).alias("_at"))
+        got = ranking.contiguous_shards(df.repartition(7), "k", 7)
+        assert got.count() == -(-n // 7) * 7
+        assert got.where((F.col("place") % n) != F.col("k") - 1).count() == 0
+        assert got.select("rank").distinct().count() == 7 and got.select("text", "place").where("place < 30000").distinct().count() == n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_large_samples_are_cut_by_counts(spark, monkeypatch):
+    df = spark.range(5000)
+    whole = [r.id for r in ranking.seeded_sample(df, "id", 5000, 3).collect()]
+    monkeypatch.setattr(ranking, "SORTED_AT_ONCE", 10)
+    for n in (0, 11, 700, 4999, 5000, 6000):
+        assert sorted(r.id for r in ranking.seeded_sample(df, "id", n, 3).collect()) == sorted(whole[:n])
+    assert ranking.drop_share(df, "id", 0.25, 3).count() == 3750
