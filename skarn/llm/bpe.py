@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skarn.llm.common import claim, narrow_batches, pick
+from skarn.llm.common import claim, pick, slices
 
 #: The published pattern that splits text in front of byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -256,26 +256,23 @@ def read_definition(path: str) -> str:
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, ids array<long>, decoded) of every document, or with digests (id, n_tokens, ids_sha256, decoded_sha256)."""
-    narrow_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe", _coders.clear)
         bpe = coder(shipped.value)
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
-                part = b.slice(at, TEXTS_AT_ONCE)
-                ids = bpe.encode(part.column(1).to_pylist())
-                texts = bpe.decode(ids)
-                if digests:
-                    columns = {
-                        "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
-                        "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-                        "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
-                    }
-                else:
-                    columns = {"ids": pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], pa.list_(pa.int64())), "decoded": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], names=["id", *columns])
+        for part in slices(batches, 1, TEXTS_AT_ONCE):
+            ids = bpe.encode(part.column(1).to_pylist())
+            texts = bpe.decode(ids)
+            if digests:
+                columns = {
+                    "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
+                    "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
+                }
+            else:
+                columns = {"ids": pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], pa.list_(pa.int64())), "decoded": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], names=["id", *columns])
 
     slim = pick(docs, id=id_col, text=text_col)
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<long>, decoded string"

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skarn.llm.common import claim, materialise, mix64, narrow_batches, pick
+from skarn.llm.common import claim, materialise, mix64, pick, release, slices
 
 BITS, MAX_ROWS, DRIVER_BYTES, EPOCHS = 20, 10_000, 32_000_000, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.0005, 0.0005
@@ -131,33 +131,31 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("classifier", _words.clear)
-        for b in batches:
+        for b in slices(batches, 1, TEXTS_AT_ONCE):
             made = [features(t, bits) for t in b.column(1).to_pylist()]
             blobs = [pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), *blobs], names=["id", "label", "slots", "vals"])
 
-    narrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     got = marked.mapInArrow(run, f"id {kind}, label int, slots binary, vals binary").withColumn("at", F.xxhash64("id"))
     made = materialise(got, "features")
     held = made.agg(F.sum(F.length("slots") + F.length("vals")).alias("n")).first()["n"] or 0
     parts = 1 + held // DRIVER_BYTES
-    return fit(_Rows(made.repartitionByRange(parts, "at", "id").sortWithinPartitions("at", "id", "slots", "vals")), bits)
+    model = fit(_Rows(made.repartitionByRange(parts, "at", "id").sortWithinPartitions("at", "id", "slots", "vals")), bits)
+    release(made)
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", bits: int = BITS) -> DataFrame:
     """``docs`` with the column ``score_col``: how likely label 1 is."""
-    narrow_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("classifier", _words.clear)
         m = shipped.value
-        for whole in batches:
-            for lo in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                b = whole.slice(lo, TEXTS_AT_ONCE)
-                scores = pa.array([m.score(*features(t, bits)) for t in b.column(at).to_pylist()], pa.float64())
-                yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, score_col])
+        for b in slices(batches, at, TEXTS_AT_ONCE):
+            scores = pa.array([m.score(*features(t, bits)) for t in b.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, score_col])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

@@ -1,17 +1,18 @@
-"""Helpers that the training-data operators share: materialised tables, id keys, 64-bit mixing."""
+"""Helpers that the training-data operators share: materialised tables, slices of batches, joins of skewed keys, 64-bit mixing."""
 
 from __future__ import annotations
 
-import atexit
 import gc
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.tables import materialise, release, shared_dir  # noqa: F401 - for the operators
+
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 _GOLDEN, _MIX_A, _MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -21,36 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or the warehouse where a test names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_skarn_checkpoints"
-    return named.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    except Exception:  # noqa: BLE001 - the session is gone; the folder stays with the cluster's own clean-up
-        pass
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
-
-    Lineage ends there, so a lost executor costs a re-read and not a recomputation. The table goes at the end of the
-    driver's process.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skarn/{tag}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _holder: list = [None, None]
 
 
@@ -67,11 +38,42 @@ def claim(name: str, clear: Callable[[], None] | None = None) -> None:
         pa.default_memory_pool().release_unused()
 
 
-def narrow_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Whole texts go to the workers by at most this many at once, which bounds memory on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+#: Texts, and characters of texts, that a worker holds at once.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 1_000, 8_000_000
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, rows: int = ROWS_AT_ONCE, chars: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows, and so many bytes of the text column; one row at least.
+
+    Spark itself bounds a batch by rows and bytes (spark.sql.execution.arrow.maxRecordsPerBatch, maxBytesPerBatch).
+    """
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, lo = np.cumsum(sizes, dtype=np.int64), 0
+        while lo < b.num_rows:
+            held = int(ends[lo - 1]) if lo else 0
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(ends, held + chars, side="right"))))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+#: A key of a lookup counts as hot from this many rows on, if it also holds a thousandth of them.
+HOT_ROWS = 500
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``left`` with ``right``, whose keys are unique and not null, split by how often a key occurs on the left.
+
+    Keys that hold at least a thousandth of the left rows (a thousand keys at most) are broadcast, so that none of them
+    lands in one task; the others are shuffled. Both sides are read twice: give written tables.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = left.count()
+    hot = [r[key] for r in counts.where(F.col("n") >= max(HOT_ROWS, total // 1000)).where(F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    return left.where(~is_hot).join(right.where(~is_hot), key).unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

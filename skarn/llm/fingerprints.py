@@ -4,30 +4,36 @@ Each level names the phrases of the level below. Runs of one symbol collapse int
 Deterministic coin tossing then turns names into short labels: a symbol's label says at which lowest bit it differs from
 its left neighbour, and which value it has there; repeated, labels fall below 6 and neighbours still differ. A phrase
 starts at each local maximum of the labels. Where it starts depends on a few neighbours only, so equal substrings are
-cut alike besides their ends, whatever their offsets. A phrase's name is a hash of its symbols.
+cut alike besides their ends, whatever their offsets. A phrase's name is a hash of its symbols. Levels follow until one
+symbol, the root, names the whole text.
 
 A fingerprint keeps the least name in each of ``BINS`` bins over all phrases of level two and above (one permutation
 hashing); the likeness of two fingerprints is the share of equal bins among those that either fills.
 
 Defined results: a null text is empty; an empty text has the empty fingerprint, which is like itself (1) and unlike all
-others (0); repeated rows follow each other in the order of ids, equal ids in the order of their texts, null ids last;
-the only document is its own next one; an empty table gives an empty table; other columns are ignored.
+others (0); rows follow each other by descending id, equal ids by descending hash of their texts, null ids last; the
+only document is its own next one; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import claim, mix64, narrow_batches, pick
+from skarn.llm.common import claim, mix64, pick, slices
 
-BINS, DIGITS, LEVELS, ROUNDS = 64, 6, 5, 4
-#: Code points parsed at once; ids per share of the order; shares at most, per thousandth of the ids.
-FLAT_CHARS, ROWS_PER_SHARE, QUANTILES, MOST_PARTS = 400_000, 2_000, 64, 64
+BINS, DIGITS, ROUNDS = 64, 6, 4
+#: Code points parsed at once; quantiles of the ids that come to the driver.
+FLAT_CHARS, QUANTILES = 400_000, 64
+#: Rows of a share of the order, about, and shares at most. From 10^8 rows on shares grow instead of their number: they
+#: are sorted by Spark, which spills, and read as a stream, so their size bounds no memory.
+ROWS_PER_SHARE, MOST_SHARES = 1_000, 100_000
 U = np.uint64
 _SHAPE = U(0xA0761D6478BD642F)
 
@@ -95,14 +101,17 @@ def parse(texts: list[str]) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), lengths)
     if len(symbols):
         symbols = mix64(symbols)
-    for level in range(LEVELS):
-        if not len(symbols):
-            break
+    level = 0
+    while len(symbols):
         symbols, owner = _collapsed(symbols, owner)
         cuts = _phrases(symbols, owner)
         symbols, owner = _named(symbols, cuts), owner[cuts]
         if level:
             np.minimum.at(sketch, owner * BINS + (symbols >> U(58)).astype(np.int64), symbols)
+            first = _starts(owner)
+            more = ~(first & np.append(first[1:], True))  # a text that has come to its root takes no further part
+            symbols, owner = symbols[more], owner[more]
+        level += 1
     bins = sketch.reshape(-1, BINS)
     short = (bins & U((1 << 4 * DIGITS) - 1)) | U(0)
     short = np.where(short == 0, U(1), short)
@@ -125,7 +134,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fingerprint) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [t or "" for t in b.column(1).to_pylist()]
             out = [fingerprint_text(x) for part in _portions(texts) for x in parse(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "fingerprint"])
@@ -146,42 +155,51 @@ def _portions(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def _shares(slim: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """``slim`` with its share of the descending order of ids, and the rows each share is followed by.
+def _shares(slim: DataFrame) -> tuple[DataFrame, int]:
+    """``slim`` (id, text) with its order's columns key and tie, and its share of that order, and the number of shares.
 
-    Shares come from the ids' quantiles, each range of which is parted evenly; they differ in size, and only that, if ids
-    are dense somewhere. The rows of each share's greatest id also go, as a peek, to the share in front of it, the
-    first share's to the last. What comes to the driver is one id a share.
+    Shares come from the ids' quantiles: the range between two of them is parted evenly, and an id that several of them
+    hit (null, or one that very many rows bear) is parted by its texts' hashes. Shares differ in size, and only that, if
+    ids are dense somewhere. What comes to the driver is the quantiles.
     """
-    key = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    keyed = slim.withColumn("key", key)
+    keyed = slim.withColumns({"key": F.coalesce(F.col("id"), F.lit(-(1 << 63))), "tie": F.xxhash64("text")})
     n = keyed.count()
-    parts = min(MOST_PARTS, max(1, n // (QUANTILES * ROWS_PER_SHARE)))
-    marks = sorted(set(keyed.approxQuantile("key", [k / QUANTILES for k in range(QUANTILES + 1)], 0.01))) if n else []
-    marks = [int(m) for m in marks]
-    lows = F.array(*(F.lit(m).cast("long") for m in marks)) if marks else F.array().cast("array<bigint>")
-    q = F.greatest(F.size(F.filter(lows, lambda m: m <= F.col("key"))) - 1, F.lit(0))
-    lo, hi = F.coalesce(F.get(lows, q), F.lit(0)).cast("double"), F.coalesce(F.get(lows, q + 1), F.lit(0)).cast("double")
-    within = F.least(F.greatest(F.floor((F.col("key").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * parts), F.lit(0)), F.lit(parts - 1))
-    shared = keyed.withColumn("share", (-(q * parts + F.when(hi > lo, within).otherwise(0))).cast("long"))
-    heads = sorted((r["share"], r["head"]) for r in shared.groupBy("share").agg(F.max("key").alias("head")).collect())
-    return shared, heads, len(heads)
+    marks = Counter(int(m) for m in keyed.approxQuantile("key", [k / QUANTILES for k in range(QUANTILES + 1)], 0.001)) if n else Counter()
+    marks.setdefault(-(1 << 63), 1)
+    parts = -(-min(MOST_SHARES, -(-n // ROWS_PER_SHARE)) // QUANTILES) or 1
+    # by mark: its least key, shares of that key alone (0: none), and of what lies between it and the next mark
+    lows = sorted(marks)
+    points = [(marks[m] - 1) * parts for m in lows]
+    bases = [sum(points[:i]) + i * parts for i in range(len(lows))]
+    place = lambda values: F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col("_q"))
+    at = F.greatest(F.size(F.filter(F.array(*(F.lit(m).cast("long") for m in lows)), lambda m: m <= F.col("key"))) - 1, F.lit(0))
+    lo, hi, own = (place(v) for v in (lows, [*lows[1:], lows[-1]], points))
+    share_of = lambda x, k: F.least(F.greatest(F.floor(x * k), F.lit(0)), k - 1)
+    linear = (F.col("key").cast("double") - lo.cast("double")) / F.greatest(hi.cast("double") - lo.cast("double"), F.lit(1.0))
+    hashed = F.col("tie").cast("double") / F.lit(2.0**64) + 0.5
+    within = F.when((own > 0) & (F.col("key") == lo), share_of(hashed, own)).otherwise(own + share_of(linear, F.lit(parts)))
+    total = bases[-1] + points[-1] + parts
+    shared = keyed.withColumn("_q", at).withColumn("share", (F.lit(total - 1) - place(bases) - within).cast("int")).drop("_q")
+    return shared, total
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, share, key, peek): every document, and behind each share the rows that follow it, for one sorted pass."""
+    """(id, text, share, peek): every document, and behind each share the row that follows it, for one sorted pass.
+
+    A row that is the first of its share also goes, as a peek, to the share in front of it, and the very first to the last.
+    Those are told by one key and tie a share, MOST_SHARES and QUANTILES times as many at most, which are broadcast.
+    """
     slim = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    shared, heads, _ = _shares(slim)
-    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
-    whose = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map().cast("map<bigint,bigint>")
-    both = F.array_compact(
-        F.array(
-            F.struct(F.col("share").alias("share"), F.lit(False).alias("peek")),
-            F.when(F.element_at(whose, F.col("key")).isNotNull(), F.struct(F.element_at(whose, F.col("key")).cast("long").alias("share"), F.lit(True).alias("peek"))),
-        )
-    )
-    dealt = shared.select("id", "text", "key", F.explode(both).alias("to")).select("id", "text", "key", "to.share", "to.peek")
-    return dealt.repartition(max(1, min(len(heads), 10_000)), "share").sortWithinPartitions("share", "peek", F.col("key").desc(), "text")
+    shared, total = _shares(slim)
+    heads = sorted(tuple(r) for r in shared.groupBy("share").agg(F.max(F.struct("key", "tie")).alias("head")).select("share", "head.key", "head.tie").collect())
+    to = [(key, tie, heads[k - 1][0]) for k, (_, key, tie) in enumerate(heads)]
+    fronts = docs.sparkSession.createDataFrame(pd.DataFrame(to, columns=["_key", "_tie", "to"]), "_key long, _tie long, to int")
+    known = shared.join(F.broadcast(fronts), (shared["key"] == fronts["_key"]) & (shared["tie"] == fronts["_tie"]), "left")
+    own = F.struct(F.col("share"), F.lit(False).alias("peek"))
+    both = F.array_compact(F.array(own, F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("share"), F.lit(True).alias("peek")))))
+    dealt = known.select("id", "text", "key", "tie", F.explode(both).alias("at")).select("id", "text", "key", "tie", "at.share", "at.peek")
+    sent = dealt.repartitionById(total, "share").sortWithinPartitions("share", "peek", F.col("key").desc(), F.col("tie").desc(), "text")
+    return sent.select("id", "text", "share", "peek")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,8 +231,8 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("fingerprints")
         share, ids, texts, closed, n = None, [], [], False, 0
-        for b in batches:
-            for i, text, s, peek in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+        for b in slices(batches, 1):
+            for i, text, s, peek in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if s != share:
                     share, ids, texts, closed, n = s, [], [], False, 0
                 if closed:
@@ -231,7 +249,6 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 texts.append(text)
                 n += len(text)
 
-    narrow_batches(docs.sparkSession)
     return with_next(docs, id_col, text_col).mapInArrow(
         run, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skarn.llm.common import claim, narrow_batches, pick
+from skarn.llm.common import claim, pick, slices
 
 #: Elements whose tags do not end a block.
 INLINE = frozenset(
@@ -38,13 +38,18 @@ UNSHOWN = frozenset("select button object svg canvas audio video".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first kind ends an open element of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: The rest of a tag. A quote opens a value only right after "=", and closes it only in front of white space, "/" or ">";
+#: any other quote is an ordinary character, so a stray one does not hide what follows the tag.
+_ATTRIBUTES = r"""((?>=\s*"[^"]*"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*+)"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[A-Za-z/!?][^<>]*\Z|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)" + _ATTRIBUTES + r">|<[!?/][^>]*>|<[A-Za-z/!?][^<>]*\Z|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
+#: What stands behind the last ">" of a page: no tag ends there.
+_TAIL = re.compile(r"<!--.*\Z|<[A-Za-z/!?][^<>]*\Z|[^<]+|<", re.DOTALL)
 #: The tags of unshown elements; those in comments and scripts do not count (group 2 is empty).
 _UNSHOWN_TAG = re.compile(
-    r"<!--.*?-->|<script(?=[\s/>])[^>]*(?<!/)>.*?</script(?=[\s/>])[^>]*>|<(/?)(" + "|".join(sorted(UNSHOWN)) + r")(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?-->|<script(?=[\s/>])[^>]*(?<!/)>.*?</script(?=[\s/>])[^>]*>|<(/?)(" + "|".join(sorted(UNSHOWN)) + r")(?=[\s/>])" + _ATTRIBUTES + ">",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -61,7 +66,7 @@ def _unshown(page: str) -> dict[int, int]:
     """Where each closed element of UNSHOWN starts and ends. A button or select is not inside another: the next one closes it."""
     opened: dict[str, list[int]] = {name: [] for name in UNSHOWN}
     out: dict[int, int] = {}
-    for m in _UNSHOWN_TAG.finditer(page):
+    for m in _UNSHOWN_TAG.finditer(page, 0, page.rfind(">") + 1):
         name = (m.group(2) or "").lower()
         if not name:
             continue
@@ -93,17 +98,18 @@ def blocks(page: str | None) -> list[Block]:
 
     page, at = page or "", 0
     ends: dict[int, int] | None = None
+    last = page.rfind(">")
     while at < len(page):
-        m = _TOKEN.match(page, at)
+        m = (_TOKEN if at < last else _TAIL).match(page, at)
         token, at = m.group(), m.end()
         if token[0] != "<" or token == "<":
             parts.append(token)
             if links[2]:
                 links[0] += len(token)
             continue
-        name = (m.group(3) or "").lower()
+        name = (m.group(3) or "").lower() if m.re is _TOKEN else ""
         if not name:
-            if m.group(1):
+            if m.re is _TOKEN and m.group(1):
                 flush()
             continue
         closing = m.group(2) == "/"
@@ -403,12 +409,11 @@ def extract(page: str | None, model: ChainField) -> str:
 
 def main_text(pages: DataFrame, model: ChainField | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
-    narrow_batches(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("html_text")
-        for b in batches:
+        for b in slices(batches, 2):
             texts = pa.array([extract(h, shipped.value) for h in b.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], names=["id", "url", "text"])
 

@@ -1,8 +1,8 @@
 """Best-fit packing of token pieces into sequences by exact-complement hashing.
 
 Packing needs the pieces' lengths only, so the plan is made on the histogram of lengths: at most ``capacity`` counts,
-whatever the table's size. For each length, from the largest, the sums of one, two and three available lengths are
-looked up for the gap it leaves; a combination that fills it exactly is used as often as its counts last. What finds no
+whatever the table's size. An index holds the sums of one, two and three available lengths. For each length, from the
+largest, the gap it leaves is looked up there; a combination that fills it exactly is used as often as its counts last. What finds no
 exact complement is packed best fit, largest first, again by counts. The plan is a list of patterns with a number of
 times each; a piece finds its sequence by its rank among the pieces of its length.
 
@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import defaultdict
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skarn.llm.bpe import read_definition
-from skarn.llm.common import claim, materialise, narrow_batches, pick
+from skarn.llm.common import claim, materialise, pick, slices
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct white-space-separated strings a worker remembers, and documents it holds at once.
@@ -129,33 +130,30 @@ def pieces(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): every document's tokens and end token, cut where longer than the capacity."""
-    narrow_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(read_definition(path))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing", _tokenizers.clear)
         tokenizer = _tokenizer(shipped.value)
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
-                part = b.slice(at, TEXTS_AT_ONCE)
-                row, piece, data = [], [], []
-                for k, ids in enumerate(tokenizer.encode(part.column(1).to_pylist())):
-                    ids += end
-                    for n, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                        row.append(k)
-                        piece.append(n)
-                        data.append(ids[lo : lo + 4 * capacity])
-                columns = {
-                    "id": part.column(0).take(pa.array(row, pa.int64())),
-                    "piece": pa.array(piece, pa.int32()),
-                    "start": pa.array([n * capacity for n in piece], pa.int64()),
-                    "length": pa.array([len(d) // 4 for d in data], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(d) for d in data], pa.int64()),
-                }
-                if with_ids:
-                    columns["ids"] = pa.array([np.frombuffer(d, "<u4").astype(np.int64) for d in data], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        for part in slices(batches, 1, TEXTS_AT_ONCE):
+            row, piece, data = [], [], []
+            for k, ids in enumerate(tokenizer.encode(part.column(1).to_pylist())):
+                ids += end
+                for n, lo in enumerate(range(0, len(ids), 4 * capacity)):
+                    row.append(k)
+                    piece.append(n)
+                    data.append(ids[lo : lo + 4 * capacity])
+            columns = {
+                "id": part.column(0).take(pa.array(row, pa.int64())),
+                "piece": pa.array(piece, pa.int32()),
+                "start": pa.array([n * capacity for n in piece], pa.int64()),
+                "length": pa.array([len(d) // 4 for d in data], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(d) for d in data], pa.int64()),
+            }
+            if with_ids:
+                columns["ids"] = pa.array([np.frombuffer(d, "<u4").astype(np.int64) for d in data], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     slim = pick(docs, id=id_col, text=text_col)
     made = f"id {slim.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
@@ -165,83 +163,89 @@ def pieces(
 # --- the plan -------------------------------------------------------------------------------------------------------
 
 
-class _Sums:
-    """Which sums of two available lengths exist, kept until an available length runs out."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts, self.pairs = counts, None
-
-    def changed(self) -> None:
-        self.pairs = None
+class ComplementIndex:
+    """The sums of one, two and three available lengths, for looking up what fills a gap exactly.
 
-    def pair_sums(self) -> np.ndarray:
-        if self.pairs is None:
-            n = len(self.counts)
-            spectrum = np.fft.rfft((self.counts > 0).astype(float), 2 * n)
-            self.pairs = np.fft.irfft(spectrum * spectrum, 2 * n)[:n] > 0.5
-        return self.pairs
+    Single sums are the counts themselves. Pairs are held by their sum, the largest first part in front; a triple's sum
+    is a length and the sum of a pair. Lengths only run out, so what can no longer be had is passed once and for all.
+    """
 
+    def __init__(self, counts: list[int]) -> None:
+        self.free, self.have = counts, np.array(counts) > 0
+        have, n = np.flatnonzero(self.have).astype(np.int32), len(counts)
+        small = [(a, have[(have <= a) & (have <= n - 1 - a)]) for a in have.tolist()]
+        second = np.concatenate([b for _, b in small]) if small else have
+        first = np.repeat(have, [len(b) for _, b in small])
+        order = np.lexsort((-first, first + second))
+        sums = (first + second)[order]
+        self.first = array("i", first[order].astype("i").tobytes())
+        self.at, self.end = (np.searchsorted(sums, np.arange(n), side=side).tolist() for side in ("left", "right"))
+        self.alive = np.array(self.at) < np.array(self.end)  # by sum: whether a pair may still be had
+        self.triple_at: dict[int, int] = {}  # by sum: no larger first part of a triple is left
+
+    def use(self, need: dict[int, int], times: int) -> None:
+        for x, n in need.items():
+            self.free[x] -= n * times
+            self.have[x] = self.free[x] > 0
+
+    def pair(self, total: int, taken: tuple[int, ...] = ()) -> tuple[int, int] | None:
+        """The pair of this sum with the largest first part, besides the lengths already taken."""
+        free, first = self.free, self.first
+        k, end, passing = self.at[total], self.end[total], True
+        while k < end:
+            a = first[k]
+            b = total - a
+            if free[a] > 0 and free[b] > (a == b):
+                passing = False
+                if free[a] - taken.count(a) > 0 and free[b] - taken.count(b) > (a == b):
+                    return a, b
+            elif passing:
+                self.at[total] = k + 1
+            k += 1
+        if self.at[total] >= end:
+            self.alive[total] = False
+        return None
 
-def _pair(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """The available pair that sums to the gap, with the largest first part."""
-    if gap < 2:
+    def complement(self, gap: int, taken: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that fill the gap exactly besides the one taken; the fewest and the largest first."""
+        free = self.free
+        if free[gap] > (gap == taken):
+            return (gap,)
+        if gap < 2:
+            return None
+        if self.alive[gap] and (found := self.pair(gap, (taken,))):
+            return found
+        top = self.triple_at.get(gap, gap - 2)
+        parts = np.arange(top, 0, -1)
+        passing = True
+        for a in parts[self.have[parts] & self.alive[gap - parts]].tolist():
+            if free[a] > (a == taken) and (rest := self.pair(gap - a, (taken, a))):
+                return a, *rest
+            if passing and not self.alive[gap - a]:
+                self.triple_at[gap] = a - 1
+            else:
+                passing = False
         return None
-    big = np.arange(gap - 1, (gap - 1) // 2, -1)
-    at = np.flatnonzero((free[big] > 0) & (free[gap - big] > 0))
-    for k in at[:2].tolist():
-        a, b = int(big[k]), gap - int(big[k])
-        if a != b or free[a] > 1:
-            return a, b
-    return None
-
-
-def _complement(free: np.ndarray, sums: _Sums, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum exactly to the gap; the fewest and the largest first."""
-    if free[gap] > 0:
-        return (gap,)
-    if found := _pair(free, gap):
-        return found
-    first = np.arange(gap - 2, 0, -1)
-    for a in first[(free[first] > 0) & sums.pair_sums()[gap - first]].tolist():
-        free[a] -= 1
-        rest = _pair(free, gap - a)
-        free[a] += 1
-        if rest:
-            return a, *rest
-    return None
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in one sequence, how many sequences) that use every length as often as ``counts`` says."""
-    free = np.zeros(capacity + 1, np.int64)
-    free[: len(counts)] = counts
+    free = [*map(int, counts), *[0] * (capacity + 1 - len(counts))]
     patterns: list[tuple[tuple[int, ...], int]] = []
-    sums = _Sums(free)
-
-    def use(lengths: tuple[int, ...]) -> None:
-        need = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
-        times = min(int(free[x]) // n for x, n in need.items())
-        for x, n in need.items():
-            free[x] -= n * times
-            if not free[x]:
-                sums.changed()
-        patterns.append((lengths, times))
-
+    index = ComplementIndex(free)
     rest = np.zeros(capacity + 1, np.int64)
     for length in range(capacity, 0, -1):
         while free[length] > 0:
-            gap, found = capacity - length, ()
-            if gap:
-                free[length] -= 1
-                found = _complement(free, sums, gap)
-                free[length] += 1
+            gap = capacity - length
+            found = index.complement(gap, length) if gap else ()
             if found is None:  # no exact complement: best fit takes it
-                rest[length], free[length] = free[length], 0
-                sums.changed()
+                rest[length] = free[length]
+                index.use({length: 1}, free[length])
                 break
-            use((length, *found))
+            need = Counter((length, *found))
+            times = min(free[x] // n for x, n in need.items())
+            index.use(need, times)
+            patterns.append(((length, *found), times))
     # best fit, largest first; open sequences of one content count together
     gaps: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     for length in range(capacity, 0, -1):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import claim, free_name, materialise, narrow_batches, pick
+from skarn.llm.common import claim, free_name, lookup_join, materialise, pick, release, slices
 
 SEED, SHINGLE, RADIUS, TILE_ROWS = 42, 4, 4, 32_768
 
@@ -49,12 +49,11 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
-        for b in batches:
+        for b in slices(batches, 1):
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
             rest = {b.schema.names[k]: b.column(k) for k in range(2, b.num_columns)}
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *rest.values()], names=["id", "fp", *rest])
 
-    narrow_batches(docs.sparkSession)
     slim = pick(docs, id=id_col, text=text_col)
     if hashed:
         slim = slim.withColumn("hash", F.xxhash64("text"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skarn.llm.common import claim, free_name, mix64, narrow_batches, pick
+from skarn.llm.common import claim, free_name, mix64, pick, slices
 
 WIDTH = 50
 #: Documents a deal. Deals grow in number with the table, not in size.
@@ -210,7 +210,6 @@ def remove_repeats(
     slim = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     deals = max(16, -(-slim.select("id").count() // docs_per_deal))
     deals += 1 - deals % 2  # odd, so that ids in even steps spread
-    narrow_batches(docs.sparkSession)
     packed = slim.mapInArrow(_packed(deals, width), "done boolean, deal int, hashes binary, ids binary, counts binary")
     answers = packed.groupBy("deal").applyInPandas(_answers(deals), "doc_deal int, ids binary, counts binary, low binary")
     by = free_name(docs, "doc_deal")

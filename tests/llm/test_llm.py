@@ -98,9 +98,15 @@ def test_quality_rules(spark, docs, odd, empty):
     assert quality_rules.keep_good(odd, trusted).columns == odd.columns
 
 
+def in_order(rows):
+    """By descending id, null ids last, equal ids by descending hash of the text."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+
+
 def test_fingerprints(docs, odd, empty):
     out = fingerprints.edits(odd).collect()
-    order = sorted(((i, t or "") for i, t, *_ in corpus()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    order = in_order(corpus())
     want = collections.Counter()
     for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
         want[i, len(t), t[: len(t) - len(t) // 2] + n[: len(t) // 2]] += 1
@@ -135,7 +141,7 @@ def test_fingerprints_do_not_depend_on_the_batch(spark, monkeypatch, size):
     assert [row.tolist() for k in range(0, len(texts), 7) for row in fingerprints.parse(texts[k : k + 7])] == alone
     monkeypatch.setattr(fingerprints, "FLAT_CHARS", size)
     assert [row.tolist() for part in fingerprints._portions(texts) for row in fingerprints.parse(part)] == alone
-    order = sorted(((i, t or "") for i, t, *_ in corpus()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    order = in_order(corpus())
     edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in zip(order, order[1:] + order[:1])]
     one = [fingerprints.fingerprint_text(fingerprints.parse([t])[0]) for t in edited]
     assert one == [fingerprints.fingerprint_text(x) for x in fingerprints.parse([*edited, "tail"])[:-1]]
@@ -151,6 +157,59 @@ def test_edits_do_not_depend_on_parts(spark, docs):
         assert r.fingerprint in {mark(t) for t in text[r.id]} and r.edited_fingerprint == mark(r.edited)
 
 
+@pytest.mark.parametrize("hot", [None, 7, -5])
+def test_shares_part_one_hot_id(spark, monkeypatch, hot):
+    """A third of all rows bear one id, or none: they are parted by their texts, and every row still finds the next one."""
+    monkeypatch.setattr(fingerprints, "ROWS_PER_SHARE", 10)
+    rng = random.Random(9)
+    rows = [(hot if k % 3 == 0 else rng.randint(-100, 4000), f"text {k} " * rng.randint(1, 9)) for k in range(3000)] + [(12, None), (12, ""), (hot, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = [r["count"] for r in fingerprints.with_next(df).where("not peek").groupBy("share").count().collect()]
+    assert max(sizes) < 200 and sum(sizes) == len(rows)
+    order = in_order(rows)
+    want = collections.Counter((i, t[: len(t) - len(t) // 2] + n[: len(t) // 2]) for (i, t), (_, n) in zip(order, order[1:] + order[:1]))
+    assert collections.Counter((r.id, r.edited) for r in fingerprints.edits(df).collect()) == want
+
+
+def brute_parse(text):
+    """The hierarchy written out symbol by symbol."""
+    full, mix = (1 << 64) - 1, lambda x: int(fingerprints.mix64(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    shape = int(fingerprints._SHAPE)
+    symbols, bins, level = [mix(ord(c)) for c in text], {}, 0
+    while symbols and (level < 2 or len(symbols) > 1):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        symbols = [mix(x ^ (n * shape & full)) if n > 1 else x for x, n in runs]
+        label = symbols
+        for _ in range(fingerprints.ROUNDS):
+            made = []
+            for k, x in enumerate(label):
+                before = label[k - 1] if k else x ^ full
+                bit = ((x ^ before) & -(x ^ before)).bit_length() - 1
+                made.append(bit << 1 | x >> bit & 1)
+            label = made
+        cuts = [0, *(k for k in range(2, len(label)) if label[k] > label[k - 1] and (k + 1 == len(label) or label[k] >= label[k + 1])), len(label)]
+        symbols = [mix(sum(mix(x + j * shape) for j, x in enumerate(symbols[a:b])) + b - a) for a, b in zip(cuts, cuts[1:])]
+        for x in symbols if level else []:
+            bins[x >> 58] = min(x, bins.get(x >> 58, full))
+        level += 1
+    return [((bins[k] & (1 << 24) - 1) or 1) if k in bins else 0 for k in range(fingerprints.BINS)]
+
+
+def test_parse_by_brute_force():
+    rng = random.Random(3)
+    texts = ["", "a", "ab", "aaaa", "abab" * 40, "x" * 3000, *("".join(rng.choice("abc \n漢🙂") for _ in range(rng.randint(1, 900))) for _ in range(20))]
+    got = fingerprints.parse(texts)
+    assert got.tolist() == [brute_parse(t) for t in texts]
+    for a, b in zip(got, got[1:]):
+        filled = [(x, y) for x, y in zip(a.tolist(), b.tolist()) if x or y]
+        assert fingerprints.likeness(a[None], b[None])[0] == pytest.approx(sum(x == y for x, y in filled) / len(filled) if filled else 1.0)
+
+
 def brute_simhash(t):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     if not w:
@@ -322,14 +381,63 @@ def test_an_exact_triple_is_found_behind_any_number_of_false_ones():
     for k in range(128):
         b = 2188 + int(f"{k:b}", 3)
         free[b] = free[gap - 2 * b] = 1
-    sums = packing._Sums(free)
-    assert packing._complement(free, sums, gap) is None
+    assert packing.ComplementIndex(free.tolist()).complement(gap, 0) is None
     free[[4700, 4667, 4633]] = 1
-    sums.changed()
-    found = packing._complement(free, sums, gap)
+    found = packing.ComplementIndex(free.tolist()).complement(gap, 0)
     assert found and sum(found) == gap and all(free[x] >= n for x, n in collections.Counter(found).items())
 
 
+def test_the_index_of_sums_finds_every_complement():
+    """Against trying all, while counts run out in any order."""
+    import itertools
+
+    rng = random.Random(8)
+    for _ in range(30):
+        free = [0, *(rng.choice([0, 0, 1, 2, 5]) for _ in range(30))]
+        index = packing.ComplementIndex(free)
+        for length in range(30, 0, -1):
+            while free[length]:
+                gap = 30 - length
+                have = [x for x in range(1, gap + 1) if free[x]]
+                fits = [c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(have, k) if sum(c) == gap and all(free[x] >= n for x, n in collections.Counter((length, *c)).items())]
+                found = index.complement(gap, length)
+                assert (found is None) == (not fits or not gap)
+                if found:
+                    assert tuple(sorted(found)) in fits and len(found) == len(fits[0])
+                index.use(collections.Counter((length, *(found or ()))), 1)
+                if rng.random() < 0.3:  # others run out besides
+                    x = rng.choice([x for x in range(1, 31)])
+                    index.use({x: 1}, free[x])
+
+
+def brute_bins(pieces, capacity):
+    """The fewest bins, by trying every place for every piece."""
+    best = len(pieces)
+
+    def go(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(pieces):
+            best = len(bins)
+            return
+        for j in {b: j for j, b in enumerate(bins)}.values():
+            if bins[j] + pieces[k] <= capacity:
+                go(k + 1, [*bins[:j], bins[j] + pieces[k], *bins[j + 1 :]])
+        go(k + 1, [*bins, pieces[k]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_against_the_fewest_sequences():
+    rng = random.Random(2)
+    for _ in range(40):
+        pieces = sorted((rng.randint(1, 24) for _ in range(rng.randint(1, 9))), reverse=True)
+        used = sum(times for _, times in packing.plan(np.bincount(pieces, minlength=25), 24))
+        assert used <= brute_bins(pieces, 24) + 1
+
+
 def test_word_tokenizer_on_random_strings():
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, own, rng = Tokenizer.from_file(path), packing.WordTokenizer(open(path, encoding="utf-8").read()), random.Random(1)
@@ -410,6 +518,23 @@ def test_html_drops_only_what_is_not_shown(inside):
     assert found(f"<p>One</p>{inside}<p>Two</p><button>hidden</button><svg>hidden</svg><video>hidden</video><p>Three</p>") == ["One", "Two", "Three"]
 
 
+@pytest.mark.parametrize("tag", ["<p class=don't>", "<p class=don't id='x'>", "<p title='don't>", '<p title="abc>', "<p '>", '<p "a">', "<p title=\"a>b\" class='x>y'>", "<p title = 'a>b'/>", "<p a=b'c\"d>"])
+def test_html_stray_quotes_hide_nothing(tag):
+    found = lambda page: [b.text for b in html_text.blocks(page)]
+    assert found(f"{tag}one two three.</p><p>it's \"four\" five.</p><a href=\"x\">link</a><p id='z'>six</p>") == ["one two three.", "it's \"four\" five.", "link", "six"]
+    assert found(f"<p>a</p><button {tag[3:]}hidden</button><p>it's</p>") == ["a", "it's"]
+
+
+def test_html_without_a_closing_bracket():
+    import time
+
+    began = time.time()
+    for page in ('<a b="' * 20_000, "<p =" * 50_000, "<svg " * 20_000 + ">", "<p a='" * 20_000 + ">x"):
+        html_text.blocks(page)
+    assert time.time() - began < 20
+    assert [b.text for b in html_text.blocks("one <b")] == ["one"] and [b.text for b in html_text.blocks("<p>one</p> 3 < 4 <")] == ["one", "3 < 4 <"]
+
+
 def test_viterbi_is_the_likeliest_path():
     import itertools
 
