@@ -581,10 +581,48 @@ def test_substrings_in_any_batches(spark, odd, batch):
 
 
 def test_a_shared_window_is_asked_once_a_batch():
-    hashes, ids = np.array([7, 7, 7, 7, 9, 9, 5], np.uint64), np.array([4, 2, 2, 3, 8, 8, 1])
-    (asked, whose), (lost, losers) = substrings._settled(hashes, ids)
-    assert dict(zip(asked.tolist(), whose.tolist(), strict=True)) == {5: 1, 7: 2, 9: 8} and len(asked) == 3
-    assert sorted(zip(lost.tolist(), losers.tolist(), strict=True)) == [(7, 3), (7, 4)]
+    a, b, ids = np.array([7, 7, 7, 7, 9, 9, 5, 7], np.uint64), np.array([1, 1, 1, 1, 1, 1, 1, 2], np.uint64), np.array([4, 2, 2, 3, 8, 8, 1, 9])
+    asked, lost = substrings._settled(a, b, ids)
+    assert sorted(zip(a[asked].tolist(), b[asked].tolist(), ids[asked].tolist())) == [(5, 1, 1), (7, 1, 2), (7, 2, 9), (9, 1, 8)]
+    assert sorted(zip(a[lost].tolist(), ids[lost].tolist())) == [(7, 3), (7, 4)]
+    asked, _ = substrings._settled(a, b, ids, np.array([0, 0, 0, 0, 31, 32, 0, 0]))  # each owner asks for itself
+    assert sorted(zip(a[asked].tolist(), b[asked].tolist(), ids[asked].tolist())) == [(5, 1, 1), (7, 1, 2), (7, 2, 9), (9, 1, 8), (9, 1, 8)]
+
+
+def test_windows_whose_first_hashes_meet_are_told_apart():
+    own = substrings._packed_windows(np.array([1, 1, 2], np.uint64), np.array([5, 6, 5], np.uint64))
+    assert substrings._found(own, own[[1, 1, 1]]).tolist() == [False, True, False] and substrings._found(own, own[[2, 0]]).tolist() == [True, False, True]
+
+
+def test_ids_travel_whole(spark):
+    rng = np.random.default_rng(1)
+    big = np.unique(np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 50), [-(1 << 63), (1 << 63) - 1, 0]]))
+    for ids in (big, np.arange(900), np.array([5]), np.array([-(1 << 63), (1 << 63) - 1]), np.array([3, 300, 70_000, 1 << 40])):
+        assert substrings._ids_of(substrings._steps(ids)).tolist() == ids.tolist()
+    df = spark.createDataFrame([(int(x),) for x in big], "x long").select("x", F.xxhash64("x").alias("h")).collect()
+    assert substrings.hash_ids(np.array([r.x for r in df])).tolist() == [r.h for r in df]
+
+
+@pytest.mark.parametrize("hot", [None, 6])
+def test_substrings_with_one_id_on_a_third_of_all_rows(spark, hot):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randint(0, 900)}"
+    passages = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    rows = []
+    for k in range(400):
+        body = " ".join(word() for _ in range(rng.randint(0, 80)))
+        rows.append((hot if k % 3 == 0 else rng.choice([k, k, None, 6]), f"{body} {rng.choice(passages)} {body}" if k % 4 else body))
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), result="cut", docs_per_deal=20).select("doc_id", "cut.*").collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == brute_repeats(rows)
+
+
+def test_substrings_of_a_very_long_text(spark):
+    """More words than are hashed at once, half of them again in a second document."""
+    n = 1_300_000
+    first = " ".join(f"v{k}" for k in range(n))
+    second = " ".join(f"v{k}" for k in range(n // 2)) + " end " + " ".join(f"u{k}" for k in range(100))
+    out = substrings.remove_repeats(spark.createDataFrame([(1, first), (2, second), (3, "x " * 200)], "doc_id long, text string"), result="cut").select("doc_id", "cut.n_words", "cut.n_removed", "cut.spans").collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, tuple(map(tuple, r.spans))) for r in out} == {(1, n, 0, ()), (2, n // 2 + 101, n // 2, ((0, n // 2),)), (3, 200, 0, ())}
 
 
 def test_classifier(spark, docs, odd, empty):
