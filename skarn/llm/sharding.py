@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import materialise, pick
+from skarn.llm.common import lookup_join, materialise, pick
 
 SHARDS = 8
 #: Items differenced together, and the bundles that they make.
@@ -124,7 +124,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     slim = materialise(slim, "sizes")
     groups = materialise(slim.groupBy("item").agg(F.sum("size").alias("size")), "groups")
-    placed = slim.join(shard_items(groups, shards), "item").select("id", "size", "text_crc32", "shard", "item")
+    placed = lookup_join(slim, shard_items(groups, shards), "item").select("id", "size", "text_crc32", "shard", "item")
     # slots: each shard's rows in shares by the id's hash, one share after the other
     shares = max(16, slim.count() // RANKED_TOGETHER)
     placed = materialise(placed.withColumn("share", F.pmod(F.xxhash64("id", "item"), F.lit(shares))), "placed")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.common import claim, free_name, lookup_join, materialise, pick, release, slices
 
-SEED, SHINGLE, RADIUS, TILE_ROWS = 42, 4, 4, 32_768
+SEED, SHINGLE, RADIUS, TILE_ROWS = 42, 4, 4, 131_072
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -159,29 +159,31 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
 def components(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the least label that each node's component holds.
 
-    Rounds of minimum propagation over the edges and one pointer jump, each cut by a written table, until a round
-    changes nothing. nodes: (node, label); edges: (src, dst), each once in any direction. A hot node's messages are
-    reduced before the shuffle, and Spark splits its side of the join.
+    A node's name is the pair of least label and node that it has heard of. Rounds of minimum propagation over the edges
+    and one pointer jump, each cut by a written table, until a round changes nothing; the names then hold the labels. A
+    hot node's messages are reduced before the shuffle, and the jump to a name that very many nodes bear is a broadcast.
+    nodes: (node, label), a written table; edges: (src, dst), each once in any direction.
     """
     both = materialise(edges.union(edges.select("dst", "src")).distinct(), "edges")
-    # the name of a node is a node of its component: that is what a jump follows
-    names = materialise(both.select(F.col("src").alias("node")).distinct().withColumn("name", F.col("node")), "names")
+    own = nodes.select("node", F.struct(F.col("label").isNull().alias("unnamed"), "label", "node").alias("name"))
+    names = materialise(own.join(both.select(F.col("src").alias("node")).distinct(), "node", "left_semi"), "names")
     while True:
-        heard = both.join(names, both["dst"] == names["node"]).groupBy("src").agg(F.min("name").alias("heard"))
-        near = names.join(heard, names["node"] == heard["src"], "left").select(
-            "node", F.col("name").alias("old"), F.least("name", F.coalesce("heard", "name")).alias("name")
+        heard = lookup_join(both.select("src", F.col("dst").alias("node")), names, "node").groupBy("src").agg(F.min("name").alias("heard"))
+        near = materialise(
+            names.join(heard, names["node"] == heard["src"], "left").select(
+                "node", F.col("name").alias("old"), F.least("name", F.coalesce("heard", "name")).alias("name"), F.least("name", F.coalesce("heard", "name"))["node"].alias("at")
+            ),
+            "near",
         )
-        to = names.select(F.col("node").alias("at"), F.col("name").alias("jump"))
-        step = materialise(
-            near.join(to, near["name"] == to["at"], "left").select("node", F.least("name", F.coalesce("jump", "name")).alias("name"), "old"), "names"
-        )
-        moved = step.where(F.col("name") != F.col("old")).limit(1).count()
-        names = step.select("node", "name")
-        if not moved:
+        step = lookup_join(near, names.select(F.col("node").alias("at"), F.col("name").alias("jump")), "at")
+        moved = materialise(step.select("node", F.least("name", "jump").alias("name"), "old"), "names")
+        release(names, near)
+        names, changed = moved.select("node", "name"), moved.where(F.col("name") != F.col("old")).limit(1).count()
+        names._skarn_path = moved._skarn_path
+        if not changed:
             break
-    named = nodes.join(names, "node", "left").select("node", "label", F.coalesce("name", "node").alias("name"))
-    least = named.groupBy("name").agg(F.min("label").alias("least"))
-    return named.join(least, "name").select("node", F.col("least").alias("label"))
+    release(both)
+    return nodes.join(names, "node", "left").select("node", F.when(F.col("name").isNull(), F.col("label")).otherwise(F.col("name")["label"]).alias("label"))
 
 
 def near_duplicates(
@@ -192,7 +194,7 @@ def near_duplicates(
     marked = materialise(with_fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = materialise(marked.groupBy("fp").agg(F.min("id").alias("label")), "fps")
     found = components(spark, distinct.select(F.col("fp").alias("node"), "label"), links(distinct.select("fp"), radius, tile_rows))
-    return marked.join(found.withColumnRenamed("node", "fp"), "fp").select("id", "fp", F.col("label").alias("component"))
+    return lookup_join(marked, materialise(found.withColumnRenamed("node", "fp"), "labels"), "fp").select("id", "fp", F.col("label").alias("component"))
 
 
 def drop_near_duplicates(
