@@ -41,7 +41,7 @@ WIDTH = 50
 #: Documents, and bytes of text, a deal. Deals grow in number with the table, not in size.
 DOCS_PER_DEAL, BYTES_PER_DEAL = 2_500, 8_000_000
 #: Words hashed at once, and distinct words remembered by a worker.
-FLAT_WORDS, MEMORY_WORDS = 600_000, 300_000
+FLAT_WORDS, MEMORY_WORDS = 300_000, 300_000
 #: Ids of very many rows up to this number go to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The polynomials' bases, any odd numbers.
