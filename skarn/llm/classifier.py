@@ -9,7 +9,7 @@ per-coordinate FTRL-proximal steps make the weights. Scoring is a sparse dot pro
 
 Defined results: a null or blank text has no features and the score of the bias alone; labels other than 0 and 1 are not
 learned from; without labelled rows every score is 0.5; repeated rows score alike; null ids score like others; an empty
-table gives an empty table; other columns are ignored.
+table gives an empty table; other columns are ignored, and one that bears the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -148,6 +148,7 @@ def train(
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", bits: int = BITS) -> DataFrame:
     """``docs`` with the column ``score_col``: how likely label 1 is."""
+    docs = docs.drop(score_col)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

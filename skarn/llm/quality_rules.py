@@ -1,17 +1,19 @@
 """Quality rules: base rules, then a hashed n-gram log-likelihood ratio against a fixed threshold.
 
-Word uni- and bigrams are hashed into ``buckets``. How many trusted documents, and how many of the whole corpus, hold a
-bucket's n-grams gives two multinomials, smoothed by the same number a bucket after the corpus is scaled to the trusted
-part's size, so that what is rare in both says little. A document's score is the mean over its n-grams of
-ln(p_trusted / p_corpus), so it does not grow with length. A document is kept if no base rule fails it and its score reaches ``threshold``: no draw is involved, and
-every document gets a verdict. DataFrame expressions only; what leaves the executors is one figure a bucket.
+Word uni- and bigrams are hashed into ``buckets``. How often a bucket's n-grams occur in the trusted documents, and how
+often in the whole corpus, gives two multinomials, smoothed by the same number a bucket after the corpus is scaled to the
+trusted part's size, so that what is rare in both says little. A document's score is the mean over its n-grams of
+ln(p_trusted / p_corpus), so it does not grow with length. A document is kept if no base rule fails it and its score
+reaches ``threshold``: no draw is involved, and every document gets a verdict. DataFrame expressions only; what leaves the
+executors is one figure a bucket.
 
 Three-word windows and n-grams are told apart by 64-bit hashes: two different windows of one text of n words meet with a
 probability below n^2 / 2^65.
 
 Defined results: a null, empty or blank text has no words and fails the base rules, with a null score; without trusted
 documents all scores are 0; repeated rows get equal verdicts, and
-count as often as they occur; a null id is never trusted; an empty table gives an empty table; other columns pass through.
+count as often as they occur; a null id is never trusted; an empty table gives an empty table; other columns pass through,
+but for one that bears the result's name, which the result replaces.
 """
 
 from __future__ import annotations
@@ -67,7 +69,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     small = trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marks = trusted.select("trusted_id", F.lit(1).alias("t"))
     known = slim.join(F.broadcast(marks) if small else marks, slim["id"] == marks["trusted_id"], "left")
-    hashed = _with_hashes(known, "text", "words", "h").select("t", F.array_distinct(_grams(F.col("h"), buckets)).alias("g"))
+    hashed = _with_hashes(known, "text", "words", "h").select("t", _grams(F.col("h"), buckets).alias("g"))
     counted = (
         hashed.select("t", F.explode_outer("g").alias("bucket"))
         .groupBy("bucket")
@@ -101,6 +103,7 @@ def judge(
     result: str = "rules",
 ) -> DataFrame:
     """``docs`` with the struct column ``result``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
+    docs = docs.drop(result)
     table = ratios(docs, trusted, id_col, text_col, buckets).collect()[0]["ratio"]  # ``buckets`` figures
     ratio = F.split(F.lit(",".join(f"{x:.9g}" for x in table)), ",").cast("array<double>")  # folded to one literal
     w, h, tri, srt, rep = (free_name(docs, f"__{x}") for x in ("words", "hashes", "windows", "sorted", "repeated"))

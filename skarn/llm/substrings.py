@@ -18,7 +18,8 @@ documents, are spread by their texts too; their windows carry the row's own hash
 
 Defined results: a null or blank text has no words; a document shorter than the window keeps all; windows of one document
 never count against itself, nor do rows with the same id against each other; rows with a null id never remove anything
-and lose what any named document holds; an empty table gives an empty table; other columns are ignored.
+and lose what any named document holds; an empty table gives an empty table; other columns are ignored, and one that
+bears the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -291,6 +292,7 @@ def remove_repeats(
 
     kept: the kept words joined by one space. spans: the maximal removed intervals as [first word, first word after].
     """
+    docs = docs.drop(result)
     owner, by = free_name(docs, "row_hash"), free_name(docs, "doc_deal")
     owned = _with_owners(docs, id_col, text_col, docs_per_deal, owner)
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0)).alias("bytes")).first()
