@@ -689,6 +689,211 @@ def test_pipeline_stages_by_brute_force(spark):
     assert a == b
 
 
+def test_pipeline_stages_on_unusual_rows(spark, docs, odd, empty):
+    """Nulls, empties, repeats, a very long text, clashing columns and an empty table through every stage."""
+    import corpus_pipeline as cp
+
+    tall = docs.limit(0).union(spark.createDataFrame([(2, "very long " * 3 + " ".join(f"w{k}" for k in range(40_000)), "en", "s", 1)], SCHEMA))
+    rows = corpus() + [tuple(r) for r in tall.collect()]
+    for name, stage in cp.STAGES:
+        out = stage(spark, odd.unionByName(tall.withColumns({c: F.lit(1) for c in EXTRA})), DATA)
+        got = out.collect()
+        if name != cp.STAGES[-1][0]:
+            none = stage(spark, empty, DATA)
+            assert out.columns == odd.columns and none.columns == empty.columns and none.count() == 0
+        texts = collections.Counter((r[0], r[1]) for r in rows)
+        if name == "quality_rules":
+            kept = collections.Counter((r.doc_id, r.text) for r in got)
+            assert all(len(words(t)) >= 50 and n == texts[i, t] for (i, t), n in kept.items())
+        if name == "quality_classifier":
+            assert all(n == texts[k] for k, n in collections.Counter((r.doc_id, r.text) for r in got).items())
+        if name == "simhash_near_dedup":
+            fps = [brute_simhash(r[1]) for r in rows]
+            group = brute_components(list(range(len(rows))), fps)
+            least = {g: min(key(r[0]) for r, h in zip(rows, group) if h == g) for g in group}
+            where = {(r[0], r[1]): g for r, g in zip(rows, group)}
+            assert sorted((where[r.doc_id, r.text], key(r.doc_id)) for r in got) == sorted(least.items())
+        if name == "substring_dedup":
+            want = collections.Counter((i, n, tuple(words(k))) for (i, _, n, k), m in brute_repeats(rows).items() for _ in range(m))
+            assert len(got) == len(rows) and collections.Counter((r.doc_id, tuple(words(r.text))) for r in got) == collections.Counter((i, k) for i, _, k in want.elements())
+            assert all((r.n_chars is None) == (r.text is None) and (r.text is None or r.n_chars == len(r.text)) for r in got)
+        if name == "best_fit_packing":
+            lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            need = collections.Counter()
+            for r in rows:
+                n = len(lib.encode(r[1] or "", add_special_tokens=False).ids) + 1
+                need.update((r[0], k, min(4096, n - 4096 * k)) for k in range(-(-n // 4096)))
+            assert collections.Counter((r.doc_id, r.piece, r.length) for r in got) == need and stage(spark, empty, DATA).count() == 0
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return {t: spark.read.parquet(f"{DATA}/{t}.parquet").collect() for t in ("documents", "labels", "pages")}
+
+
+def kinds(df):
+    return {f.name: f.dataType.simpleString() for f in df.schema}
+
+
+def test_query_op1(spark, raw):
+    df = queries.QUERIES["op1_quality_rules"](spark, DATA)
+    assert kinds(df) == {"doc_id": "bigint", **dict.fromkeys(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "bigint"), "base_failed": "boolean", "kept": "boolean", "score": "double"}
+    out = {r.doc_id: r for r in df.collect()}
+    assert len(out) == len(raw["documents"])
+    for d in raw["documents"]:
+        w, r, text = words(d.text), out[d.doc_id], d.text or ""
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {k + j for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if words(x)]
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        assert tuple(r)[1:7] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(cover), failed)
+        assert r.kept == (not failed and r.score >= quality_rules.THRESHOLD)
+
+
+def test_query_op2(spark, raw):
+    df = queries.QUERIES["op2_fingerprints"](spark, DATA)
+    assert kinds(df) == {"doc_id": "bigint", "n_chars": "bigint", **dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), "string"), "near_edited": "double", "near_next": "double"}
+    out = {r.doc_id: r for r in df.collect()}
+    rows = sorted(((d.doc_id, d.text or "") for d in raw["documents"]), reverse=True)
+    mark = {t: fingerprints.parse([t]) for _, t in rows}
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        e, r = fingerprints.parse([edited]), out[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprints.fingerprint_text(mark[t][0]), fingerprints.fingerprint_text(e[0]))
+        assert (r.near_edited, r.near_next) == (fingerprints.likeness(mark[t], e)[0], fingerprints.likeness(mark[t], mark[n])[0])
+    assert np.mean([r.near_edited for r in out.values()]) > np.mean([r.near_next for r in out.values()]) + 0.2
+
+
+def test_query_op3(spark, raw):
+    df = queries.QUERIES["op3_simhash"](spark, DATA)
+    assert kinds(df) == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
+    ids, fps = [d.doc_id for d in raw["documents"]], [brute_simhash(d.text) for d in raw["documents"]]
+    assert {tuple(r) for r in df.collect()} == set(zip(ids, (f"{f:016x}" for f in fps), brute_components(ids, fps)))
+
+
+def test_query_op5(spark, raw):
+    df = queries.QUERIES["op5_bpe"](spark, DATA)
+    assert kinds(df) == {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    lib, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), set()
+    for d in raw["documents"]:
+        ids = lib.encode(d.text or "", add_special_tokens=False).ids
+        decoded = lib.decode(ids, skip_special_tokens=False)
+        want.add((d.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert {tuple(r) for r in df.collect()} == want
+
+
+def test_query_op6(spark, raw):
+    df = queries.QUERIES["op6_packing"](spark, DATA)
+    assert kinds(df) == {"doc_id": "bigint", "piece": "int", **dict.fromkeys(("start", "length", "ids_crc32", "sequence_id", "offset"), "bigint")}
+    lib, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), set()
+    for d in raw["documents"]:
+        ids = [*lib.encode(d.text or "", add_special_tokens=False).ids, 1]
+        want |= {(d.doc_id, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())) for k in range(0, len(ids), 4096)}
+    out, bins = df.collect(), collections.defaultdict(list)
+    assert {tuple(r)[:5] for r in out} == want and len(out) == len(want)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == np.cumsum([0, *(n for _, n in sorted(b)[:-1])]).tolist() and sum(n for _, n in b) <= 4096
+    assert len(bins) <= -(-sum(r.length for r in out) // 4096) + 1
+
+
+def test_query_op7(spark, raw):
+    df = queries.QUERIES["op7_sharding"](spark, DATA)
+    assert kinds(df) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    out, load, slots, same = df.collect(), collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    text = {d.doc_id: d.text or "" for d in raw["documents"]}
+    assert {(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in out} == {(i, len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None) for i, t in text.items()}
+    for r in out:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        same[text[r.doc_id]].add(r.shard)
+    assert set(load) == set(range(8)) and all(len(s) == 1 for s in same.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = collections.Counter()
+    for r in out:
+        sizes[text[r.doc_id]] += r.size
+    ordered = np.array(sorted(sizes.values(), reverse=True))
+    naive = naive_difference(ordered.tolist(), 8)
+    assert sorted(load.values()) == sorted(naive)
+
+
+def naive_difference(sizes, parts):
+    """Largest differencing by sorting the whole list at each step; ties by age."""
+    states = [(s, k, [s] + [0] * (parts - 1)) for k, s in enumerate(sizes)]
+    made = len(states)
+    while len(states) > 1:
+        states.sort(key=lambda x: (-x[0], x[1]))
+        (_, _, a), (_, _, b), *states = states
+        joined = sorted((x + y for x, y in zip(a, reversed(b))), reverse=True)
+        states.append((joined[0] - joined[-1], made, joined))
+        made += 1
+    return states[0][2]
+
+
+def test_differencing_by_brute_force():
+    rng = np.random.default_rng(4)
+    for n, parts in ((1, 3), (5, 3), (40, 8), (300, 5), (60, 2)):
+        x = np.sort(rng.integers(1, 5000, n))[::-1]
+        load = np.bincount(sharding.difference(x, parts), weights=x, minlength=parts)
+        assert sorted(load.tolist()) == sorted(naive_difference(x.tolist(), parts))
+
+
+def test_query_op8(spark, raw):
+    df = queries.QUERIES["op8_html_text"](spark, DATA)
+    assert kinds(df) == {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"}
+    model = html_text.default_model()
+    assert {tuple(r) for r in df.collect()} == {(p.page_id, p.url, t, len(t)) for p in raw["pages"] for t in [html_text.extract(p.html, model)]}
+
+
+def test_query_op10(spark, raw):
+    df = queries.QUERIES["op10_quality_classifier"](spark, DATA)
+    assert kinds(df) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    out, label = df.collect(), {r.doc_id: r.quality for r in raw["labels"]}
+    assert len(out) == len(raw["documents"])
+    for r in out:
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    seen = [r for r in out if label.get(r.doc_id) is not None and r.held_out]
+    assert sum(r.predicted == label[r.doc_id] for r in seen) / len(seen) > 0.9
+
+
+def test_features_and_updates_by_brute_force():
+    rng, bits = random.Random(5), 12
+    fold = lambda w: re.sub(rb"(.)\1+", rb"\1", bytes(65 if 65 <= c < 91 else 48 if 48 <= c < 58 else 97 if c >= 128 or 97 <= c < 123 else c for c in w), flags=re.DOTALL)
+    mix = lambda x: int(classifier.mix64(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    rows = []
+    for k in range(40):
+        text = " ".join(rng.choice(["Aa", "b1", "b1", "çé", "--", "word", "WORD", "aab"]) for _ in range(rng.randint(0, 30)))
+        w = text.encode().split()
+        one = [xxhash.xxh64_intdigest(x) for x in w]
+        shape = [classifier._REPEAT.item() if i and one[i] == one[i - 1] else xxhash.xxh64_intdigest(fold(x), 1) for i, x in enumerate(w)]
+        own = {x >> 64 - bits for x in [*one, *(mix(a * 3 + b) for a, b in zip(one, one[1:]))]}
+        kinds_ = collections.Counter(mix(x) >> 64 - bits for x in [*shape, *(5 * a + b for a, b in zip(shape, shape[1:]))])
+        slots, values = classifier.features(text, bits)
+        got = sorted(zip(slots.tolist(), values.tolist()))
+        want = sorted([(s, len(own) ** -0.5) for s in own] + [(s, (n / sum(kinds_.values())) ** 0.5) for s, n in kinds_.items()])
+        assert [s for s, _ in got] == [s for s, _ in want] and np.allclose(sorted(v for _, v in got), sorted(v for _, v in want))
+        rows.append((slots, values, k % 2))
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= classifier.L1 else -(z[i] - np.sign(z[i]) * classifier.L1) / ((classifier.BETA + n[i] ** 0.5) / classifier.ALPHA + classifier.L2)
+
+    for _ in range(classifier.EPOCHS):
+        for slots, values, label in rows:
+            x = [*zip(slots.tolist(), values.astype(float).tolist()), (-1, 1.0)]
+            w = [weight(i) for i, _ in x]
+            p = 1 / (1 + np.exp(-sum(a * v for a, (_, v) in zip(w, x))))
+            step = [(p - label) * v for _, v in x]
+            sigma = [((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / classifier.ALPHA for (i, _), g in zip(x, step)]
+            once = {i: k for k, (i, _) in enumerate(x)}  # a slot of both kinds keeps its last update
+            for i, k in once.items():
+                z[i] += step[k] - sigma[k] * w[k]
+                n[i] += step[k] ** 2
+    model = classifier.fit(rows, bits)
+    assert model.bias == pytest.approx(weight(-1)) and np.allclose([model.weights[i] for i in z if i >= 0], [weight(i) for i in z if i >= 0], atol=1e-6)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     import duckdb
