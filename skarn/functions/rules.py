@@ -102,11 +102,13 @@ def assembled(r: dict[str, Column], moves: dict[str, dict[str, tuple[str, str]]]
     return out
 
 
-def warnings(enums: dict[str, list[str]], required: list[str] = (), exclusive: list[tuple[str, str]] = ()) -> Column:
+def warnings(enums: dict[str, list[str]], required: list[str] = (), exclusive: list[tuple[str, str]] = (), lengths: dict[str, tuple[int, int]] | None = None) -> Column:
     """What breaks the schema, as an array of texts: a violation warns, it drops nothing."""
     checks = [F.when(F.col(f).isNotNull() & ~F.col(f).isin(*codes), F.concat(F.lit(f"{f}: unknown "), F.col(f))) for f, codes in enums.items()]
     checks += [F.when(F.col(f).isNull(), F.lit(f"{f}: missing")) for f in required]
     checks += [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.lit(f"{a} and {b}: both set")) for a, b in exclusive]
+    sized = [(f, F.length(f), lo, hi) for f, (lo, hi) in (lengths or {}).items()]
+    checks += [F.when(~n.between(lo, hi), F.concat(F.lit(f"{f}: length "), n.cast("string"))) for f, n, lo, hi in sized]
     return F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import rules, scalar
@@ -467,26 +465,80 @@ def markdown_report(spark: SparkSession, d: str) -> DataFrame:
 # --- scenario chains ------------------------------------------------------------------------------------------------
 
 
-def _ego(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a motion log: a user is a clip, the value is the speed and, wrapped, the heading."""
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as a log of one row each half second: a user is a clip, i the row's place."""
     e = events(spark, d)
-    clip, us, half = F.col("user_id").cast("string").alias("clip_id"), (F.col("t") * 1e6).cast("long").alias("timestamp_us"), F.pmod(F.col("value"), F.lit(2 * math.pi)) / 2
-    ego = e.select(clip, us, F.cos(half).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), F.col("value").alias("vx"), F.lit(0.0).alias("vy"), (F.col("value") / 100 - 2).alias("ax"))
-    return scenario.ego_series(ego, e.select(clip, us))
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1
+    return e.select(F.col("user_id").cast("string").alias("clip_id"), "user_id", "value", i.alias("i"), (i * 0.5).alias("t"))
 
 
-@query()
+#: The same in SQL.
+LOG = f"""{EV}, log AS (SELECT user_id::VARCHAR AS clip_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i,
+ (row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1) * 0.5::DOUBLE AS t FROM ev)"""
+
+
+def _ego(spark: SparkSession, d: str) -> DataFrame:
+    """The log as motion: users swing by much, a little or hardly, so that they turn, change lanes or keep on."""
+    log = _log(spark, d)
+    swing = F.when(F.col("user_id") % 3 == 0, 1.5).when(F.col("user_id") % 3 == 1, 0.25).otherwise(0.02)
+    half = swing * F.sin(F.col("i") * 0.35) / 2
+    us = (F.col("i") * 500_000).cast("long").alias("timestamp_us")
+    ego = log.select("clip_id", us, F.cos(half).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), (F.col("value") / 5).alias("vx"), F.lit(0.0).alias("vy"), (F.col("value") % 5 - 2.5).alias("ax"))
+    return scenario.ego_series(ego, log.select("clip_id", us))
+
+
+EGO = f"""{LOG}, y0 AS (SELECT clip_id, t, abs(value / 5) AS speed, value % 5 - 2.5 AS ax, (CASE user_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.25 ELSE 0.02 END)::DOUBLE * sin(i * 0.35::DOUBLE) AS raw,
+ count(*) OVER (PARTITION BY clip_id) AS n, max(t) OVER (PARTITION BY clip_id) AS dur FROM log),
+ y1 AS (SELECT *, raw - first_value(raw) OVER (PARTITION BY clip_id ORDER BY t) AS yaw FROM y0 WHERE n >= 3),
+ ego AS (SELECT clip_id, t, dur, speed, ax, yaw, (coalesce(lead(yaw) OVER w, yaw) - coalesce(lag(yaw) OVER w, yaw)) / (coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t)) AS rate
+ FROM y1 WINDOW w AS (PARTITION BY clip_id ORDER BY t)),
+ masks AS (SELECT clip_id, t, yaw, speed, unnest(['decelerate', 'accelerate', 'stop', 'turn']) AS kind, unnest([ax < -1, ax > 1, speed < 1.5, abs(rate) > 0.15]) AS hit FROM ego),
+ islands AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id, kind ORDER BY t) AS run FROM masks),
+ runs AS (SELECT clip_id, kind, run, min(t) AS t0, max(t) AS t1 FROM islands WHERE hit GROUP BY 1, 2, 3 HAVING max(t) - min(t) >= 0.4),
+ side AS (SELECT r.clip_id, r.t0, r.t1, e.t, e.yaw, e.speed * sin(e.yaw - first_value(e.yaw) OVER (PARTITION BY r.clip_id, r.t0 ORDER BY e.t)) AS s FROM runs r JOIN ego e ON e.clip_id = r.clip_id AND e.t BETWEEN r.t0 AND r.t1 WHERE r.kind = 'turn'),
+ parts AS (SELECT *, coalesce((t - lag(t) OVER w) * (s + lag(s) OVER w) / 2, 0.0) AS part FROM side WINDOW w AS (PARTITION BY clip_id, t0 ORDER BY t)),
+ net AS (SELECT clip_id, t0, t1, degrees(arg_max(yaw, t) - arg_min(yaw, t)) AS net, sum(part) AS lat FROM parts GROUP BY 1, 2, 3),
+ found AS (SELECT clip_id, kind, t0, t1 FROM runs WHERE kind <> 'turn' UNION ALL SELECT * FROM (SELECT clip_id, CASE WHEN net >= 45 THEN 'turn_left' WHEN net <= -45 THEN 'turn_right'
+ WHEN abs(net) <= 22 AND lat BETWEEN 1.8 AND 6 THEN 'lane_change_left' WHEN abs(net) <= 22 AND lat BETWEEN -6 AND -1.8 THEN 'lane_change_right' END AS kind, t0, t1 FROM net) WHERE kind IS NOT NULL),
+ steps AS (SELECT *, CASE WHEN t0 - max(t1) OVER (PARTITION BY clip_id, kind ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0.6 THEN 0 ELSE 1 END AS new FROM found),
+ grouped AS (SELECT *, sum(new) OVER (PARTITION BY clip_id, kind ORDER BY t0, t1) AS g FROM steps),
+ ego_ev AS (SELECT clip_id, kind, min(t0) AS t0, max(t1) AS t1 FROM grouped GROUP BY clip_id, kind, g)"""
+
+
+@query(f"WITH {EGO} SELECT clip_id, kind, round(t0, 2) AS t0, round(t1, 2) AS t1, round((t0 + t1) / 2, 2) AS center FROM ego_ev")
 def ego_event_chain(spark: SparkSession, d: str) -> DataFrame:
     return scenario.ego_events(_ego(spark, d))
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    cls = F.when(F.col("event_type") == "error", "pedestrian::pedestrian").otherwise("vehicle::car")
-    return e.select(F.col("user_id").cast("string").alias("clip_id"), F.col("event_type").alias("track_id"), cls.alias("cls"), "t", (F.col("value") / 10).alias("x"), (F.col("value") % 7 - 3.5).alias("y"), (F.col("value") % 3).alias("yaw"))
+TRACK_CLASSES = ["vehicle::car", "pedestrian::pedestrian", "vehicle::truck", "twowheeler::bicycle", "vehicle::car"]
 
 
-@query()
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """The log as five tracks a clip: some keep their lane, some drift into it or out of it, some come towards it."""
+    log, k, i = _log(spark, d), F.pmod("i", F.lit(5)), F.col("i")
+    lane = F.when(k == 0, 0.4).when(k == 1, 3 - i * 0.04).when(k == 2, F.greatest(3 - i * 0.06, F.lit(0.2))).when(k == 3, F.lit(1.0)).otherwise(F.least(0.3 + i * 0.05, F.lit(4.0)))
+    yaw = F.when((k == 0) & (F.col("user_id") % 4 == 0), 3.0).when((k == 4) & (F.col("user_id") % 2 == 0), 1.5).otherwise(F.col("value") % 1 / 2)
+    cls = F.get(F.array(*(F.lit(c) for c in TRACK_CLASSES)), k.cast("int"))
+    return log.select("clip_id", F.concat(F.lit("track"), k.cast("string")).alias("track_id"), cls.alias("cls"), "t", (F.col("value") % 60).alias("x"), (lane + F.col("value") % 1 / 10).cast("double").alias("y"), yaw.cast("double").alias("yaw"))
+
+
+POINTS = f"""p AS (SELECT clip_id, 'track' || (i % 5) AS track_id, ({TRACK_CLASSES!r})[i % 5 + 1] AS cls, t, value % 60 AS x,
+ ((CASE i % 5 WHEN 0 THEN 0.4 WHEN 1 THEN 3 - i * 0.04 WHEN 2 THEN greatest(3 - i * 0.06, 0.2) WHEN 3 THEN 1.0 ELSE least(0.3 + i * 0.05, 4.0) END)::DOUBLE + value % 1 / 10)::DOUBLE AS y,
+ (CASE WHEN i % 5 = 0 AND user_id % 4 = 0 THEN 3.0 WHEN i % 5 = 4 AND user_id % 2 = 0 THEN 1.5 ELSE value % 1 / 2 END)::DOUBLE AS yaw FROM log),
+ kinds(cls, kind) AS (VALUES ('vehicle::car', 'vehicle'), ('vehicle::truck', 'large_vehicle'), ('pedestrian::pedestrian', 'pedestrian'), ('twowheeler::bicycle', 'bicycle_micromobility'))"""
+
+
+@query(f"""WITH RECURSIVE {LOG}, {POINTS}, c AS (SELECT *, abs(y) < 2.5 AND x > 0 AND x < 45 AS inn FROM p JOIN kinds USING (cls)),
+ g AS (SELECT clip_id, track_id, arg_min(kind, (t, x, y)) AS object_type, arg_min(abs(y), (t, x, y)) AS first_y, min(t) FILTER (inn) AS t0, max(t) FILTER (inn) AS t1, round(min(x) FILTER (inn), 1) AS min_dist,
+ min(abs(y)) FILTER (inn) AS min_y FROM c GROUP BY 1, 2 HAVING count(*) FILTER (inn) >= 3 AND max(t) FILTER (inn) - min(t) FILTER (inn) >= 1),
+ v AS (SELECT *, object_type IN ('pedestrian', 'bicycle_micromobility') AS vru, first_y > 2.8 AND min_y < 1.5 AS cut FROM g),
+ a AS (SELECT *, CASE WHEN vru THEN 'crossing' WHEN cut THEN 'adjust' ELSE 'preceding_vehicle' END AS role, CASE WHEN vru THEN 'cross_ego_path' WHEN cut THEN 'cut_in' END AS relation FROM v),
+ o AS (SELECT *, row_number() OVER (PARTITION BY clip_id, object_type, role ORDER BY min_dist, t0, track_id) AS i FROM a),
+ k AS (SELECT clip_id, object_type, role, i, true AS hit, [{{'a': t0, 'b': t1}}] AS kept FROM o WHERE i = 1
+ UNION ALL SELECT clip_id, object_type, role, i, hit, CASE WHEN hit THEN list_append(kept, {{'a': t0, 'b': t1}}) ELSE kept END FROM (
+ SELECT o.*, k.kept, len(list_filter(k.kept, lambda z: z.b >= o.t0 AND z.a <= o.t1)) = 0 AS hit FROM k JOIN o ON o.clip_id = k.clip_id AND o.object_type = k.object_type AND o.role = k.role AND o.i = k.i + 1))
+ SELECT clip_id, object_type, role, relation, CASE WHEN NOT vru AND NOT cut THEN 'maintain_speed' END AS longitudinal_action, CASE WHEN object_type = 'pedestrian' THEN 'crossing' END AS vru_detail,
+ min_dist, t0, t1, track_id FROM k JOIN o USING (clip_id, object_type, role, i) WHERE hit""")
 def agent_event_chain(spark: SparkSession, d: str) -> DataFrame:
     return scenario.agent_events(_points(spark, d))
 

@@ -74,3 +74,27 @@ def kept_unless_denied(df: DataFrame, verdicts: DataFrame, keys: list[str], verd
     """Rows whose verdict is true or missing."""
     said = verdicts.groupBy(*keys).agg(F.bool_and(verdict).alias("_said"))
     return df.join(said, keys, "left").where(F.coalesce("_said", F.lit(True))).drop("_said")
+
+
+def active(df: DataFrame, t: Column, t0: str = "t0", t1: str = "t1") -> DataFrame:
+    """Intervals that hold the time ``t``, ends included."""
+    return df.where((t >= F.col(t0)) & (t <= F.col(t1)))
+
+
+def classes(df: DataFrame, cls: str, keep: list) -> DataFrame:
+    """Rows of the classes that move."""
+    return df.where(F.col(cls).isin(*keep))
+
+
+def vocabulary_problems(df: DataFrame, code: str, ref: str, prefix: str) -> DataFrame:
+    """(problem, key, n): codes there more than once, references to no code, and prefixes that several codes share."""
+    many = lambda c, name: df.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(name).alias("problem"), "key", "n")
+    known = df.select(F.col(code).alias("key")).distinct()
+    lost = df.where(F.col(ref).isNotNull()).groupBy(F.col(ref).alias("key")).agg(F.count(F.lit(1)).alias("n")).join(known, "key", "left_anti")
+    return many(prefix, "prefix").unionByName(many(code, "duplicate")).unionByName(lost.select(F.lit("dangling").alias("problem"), "key", "n"))
+
+
+def run_summary(df: DataFrame, keys: list[str], ok: str) -> DataFrame:
+    """How many items of a run there were, passed and failed, and the share that passed."""
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("n_ok"), F.count_if(~F.col(ok)).alias("n_failed"))
+    return g.withColumn("share", F.col("n_ok") / F.col("n"))

@@ -164,3 +164,10 @@ def average_precision(df: DataFrame, keys: list[str], score: str, hit: str) -> D
     every = Window.partitionBy(*keys)
     curve = steps.withColumn("precision", F.sum("t").over(w) / F.sum("n").over(w)).withColumn("all", F.sum("t").over(every))
     return curve.groupBy(*keys).agg(F.sum(F.coalesce(F.col("t") / F.nullif("all", F.lit(0)), F.lit(0.0)) * F.col("precision")).alias("ap"))
+
+
+def true_positive_errors(df: DataFrame, cls: str, errors: list[str], undefined: list[tuple[str, str]] = ()) -> DataFrame:
+    """(cls, errors): mean error of the matched boxes of each class; null for pairs of class and error that are not defined."""
+    gone = lambda e: F.col(cls).isin(*(c for c, x in undefined if x == e)) if any(x == e for _, x in undefined) else F.lit(False)
+    g = df.groupBy(cls).agg(*(F.avg(e).alias(e) for e in errors))
+    return g.select(cls, *(F.when(~gone(e), F.col(e)).alias(e) for e in errors))

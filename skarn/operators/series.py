@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.operators import ranking
+from skarn.operators import intervals, ranking
 
 
 def _w(keys: list[str], order: list[str]):
@@ -143,3 +143,27 @@ def first_seen_id(df: DataFrame, value: str, order: list[str], out: str = "dense
     """(value, dense id from 0) in order of first appearance."""
     firsts = df.groupBy(value).agg(F.min(F.struct(*order, F.col(value).alias("_value"))).alias("_first"))
     return ranking.numbered_all(firsts, "_first", out).select(value, out)
+
+
+def entered_from_side(df: DataFrame, keys: list[str], order: list[str], state: str, out: str = "cut_in") -> DataFrame:
+    """(keys, out): tracks whose states (L, R, in, ?) start on one side, stay there until the first "in", and end "in".
+
+    Unknown states are left out first; a track without any other gives no row.
+    """
+    known = df.where(F.col(state) != "?").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, state))), lambda x: x[state]).alias("_s"))
+    first, at = F.get("_s", F.lit(0)), F.array_position("_s", "in").cast("int")
+    before = F.slice("_s", F.lit(1), F.greatest(at - 1, F.lit(0)))
+    came = (at > 1) & first.isin("L", "R") & F.forall(before, lambda x: x == first) & (F.element_at("_s", -1) == "in")
+    return known.select(*keys, came.alias(out))
+
+
+def straight(ranges: DataFrame, turns: DataFrame, log: DataFrame, keys: list[str], t: str, yaw: str, most: float, out: str = "straight") -> DataFrame:
+    """Ranges [t0, t1] that meet no turn and inside which the heading spans less than ``most``; without a heading: false."""
+    s = log.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(t).alias("_t"), F.col(yaw).alias("_yaw"))
+    on = F.col("_t").between(F.col("t0"), F.col("t1"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    spans = ranges.join(s, on, "left").groupBy(*ranges.columns).agg((F.max("_yaw") - F.min("_yaw")).alias("_span"))
+    turned = intervals.overlap_join(ranges, turns, keys, "left_semi").withColumn("_turned", F.lit(True))
+    joined = spans.join(turned, ranges.columns, "left")
+    return joined.select(*ranges.columns, (F.coalesce(F.col("_span") < most, F.lit(False)) & F.col("_turned").isNull()).alias(out))

@@ -266,9 +266,14 @@ def dimension_chain(spark: SparkSession, d: str) -> DataFrame:
     return j.select("r_name", "n_name", "customers", "orders", F.round("s", 2).alias("total"))
 
 
-@query("""SELECT p_partkey, coalesce(CASE p_type WHEN 'none' THEN 'x' END, 'other') AS kind FROM part""")
+CLASSES = ["vehicle::car", "vehicle::truck", "pedestrian::pedestrian", "twowheeler::bicycle", "twowheeler::motorcycle", "object::bollard", "unheard::of"]
+
+
+@query(f"""SELECT p_partkey, CASE ({CLASSES!r})[p_partkey % 7 + 1] WHEN 'vehicle::car' THEN 'vehicle' WHEN 'vehicle::truck' THEN 'large_vehicle' WHEN 'pedestrian::pedestrian' THEN 'pedestrian'
+ WHEN 'twowheeler::bicycle' THEN 'bicycle_micromobility' WHEN 'twowheeler::motorcycle' THEN 'motorcycle' ELSE 'other' END AS kind FROM part""")
 def default_dimension(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey", rules.object_type(F.col("p_type"), rules.DETECTION_TYPES).alias("kind"))
+    cls = F.get(F.array(*(F.lit(c) for c in CLASSES)), F.pmod("p_partkey", F.lit(7)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", rules.object_type(cls, rules.DETECTION_TYPES).alias("kind"))
 
 
 @query("""SELECT a.l_orderkey, a.l_linenumber, b.l_partkey AS next_part FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2) a
@@ -279,12 +284,20 @@ def offset_neighbour(spark: SparkSession, d: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", F.min("p").over(w).alias("next_part"))
 
 
-@query("""SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang, count(*) AS n
- FROM pages WHERE url IS NOT NULL GROUP BY 1, 2""")
+CAMERAS = ["front", "front_left", "rear"]
+
+
+@query("""WITH n AS (SELECT item_id, item_id % 50 AS frame, ['front', 'front_left', 'rear', 'top'][item_id % 4 + 1] AS camera, text FROM benchmark),
+ p AS (SELECT DISTINCT frame, camera, len(text) % 100 AS width FROM n QUALIFY row_number() OVER (PARTITION BY frame, camera ORDER BY item_id) = 1)
+ SELECT o_orderkey, 'f' || (o_orderkey % 60) AS base, camera, width::INTEGER AS width FROM orders JOIN p ON p.frame = o_orderkey % 60 AND p.camera = ['front', 'front_left', 'rear', 'side'][o_custkey % 4 + 1]
+ WHERE camera <> 'top'""")
 def page_key_join(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").where("url is not null")
-    host, lang = F.regexp_extract("url", r"^https?://([^/?#]+)", 1), F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)/", 1)
-    return p.groupBy(host.alias("host"), lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    """Image names, frame and camera in one, against the frames' cameras; names of unknown cameras find none."""
+    of = lambda names, key: F.get(F.array(*(F.lit(c) for c in names)), F.pmod(key, F.lit(4)).cast("int"))
+    names = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("f"), F.pmod("o_orderkey", F.lit(60)).cast("string"), F.lit("_"), of([*CAMERAS, "side"], "o_custkey")).alias("stem"))
+    cams = table(spark, d, "benchmark").select(F.concat(F.lit("f"), F.pmod("item_id", F.lit(50)).cast("string")).alias("base"), of([*CAMERAS, "top"], "item_id").alias("camera"), "item_id", (F.length("text") % 100).alias("width"))
+    poses = cams.groupBy("base", "camera").agg(F.min_by("width", "item_id").alias("width"))
+    return readers.image_join(names, "stem", CAMERAS, poses).select("o_orderkey", "base", "camera", "width")
 
 
 @query("""WITH u AS (SELECT n_regionkey AS owner, 'segment_' || c_mktsegment AS k, count(*) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
@@ -651,29 +664,53 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every box as a truth, and moved a little as a prediction."""
-    b = _boxes(spark, d).select("label", F.col("vec_id").alias("id"), "x", "y", "w", "h")
+    """Every box as a truth, and moved a little as a prediction; fifty boxes or so make an image."""
+    b = _boxes(spark, d).select(F.floor(F.col("vec_id") / 50).alias("image"), "label", F.col("vec_id").alias("id"), "x", "y", "w", "h")
     moved = F.array(F.col("x") + F.col("h") / 8, F.col("y") - F.col("w") / 8, "w", "h")
-    return b.select("label", "id", moved.alias("box"), F.abs("x").alias("score")), b.select("label", "id", F.array("x", "y", "w", "h").alias("box"))
+    truth = b.select("image", "label", "id", F.array("x", "y", "w", "h").alias("box"))
+    return b.select("image", "label", "id", moved.alias("box"), F.abs("x").alias("score")), truth
 
 
-@query()
+#: The same in SQL; an image's boxes of one label are a group.
+PRED = f"""{VEC}, {BOX}, t AS (SELECT floor(vec_id / 50)::BIGINT AS image, label, vec_id AS id, x, y, w, h FROM b),
+ p AS (SELECT image, label, id, x + h / 8 AS x, y - w / 8 AS y, w, h, abs(x) AS score, row_number() OVER (PARTITION BY image, label ORDER BY abs(x) DESC, id) AS i FROM t)"""
+
+
+def _iou_sql(a: str, b: str) -> str:
+    side = lambda c, w: f"greatest(least({a}.{c} + {a}.{w} / 2, {b}.{c} + {b}.{w} / 2) - greatest({a}.{c} - {a}.{w} / 2, {b}.{c} - {b}.{w} / 2), 0)"
+    inter = f"{side('x', 'w')} * {side('y', 'h')}"
+    return f"({inter}) / ({a}.w * {a}.h + {b}.w * {b}.h - {inter} + 1e-8)"
+
+
+IMAGE = ["image", "label"]
+
+
+@query(f"""WITH RECURSIVE {PRED}, g AS (SELECT image, label, list({{'id': id, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY id) AS ts FROM t GROUP BY 1, 2),
+ k AS (SELECT image, label, 0::BIGINT AS i, NULL::BIGINT AS pred_id, NULL::BIGINT AS truth_id, 0.0::DOUBLE AS iou, []::BIGINT[] AS taken FROM g
+ UNION ALL SELECT image, label, i, pred_id, CASE WHEN (best)['neg'] <= -0.1 THEN (best)['id'] END, -(best)['neg'], CASE WHEN (best)['neg'] <= -0.1 THEN list_append(taken, (best)['id']) ELSE taken END FROM (
+ SELECT p.image, p.label, p.i, p.id AS pred_id, k.taken, coalesce(list_sort(list_filter(list_transform(list_filter(g.ts, lambda t: NOT list_contains(k.taken, t.id)),
+ lambda t: {{'neg': -({_iou_sql("p", "t")}), 'id': t.id}}), lambda c: c.neg < 0))[1], {{'neg': 0.0, 'id': NULL}}) AS best
+ FROM k JOIN p ON p.image = k.image AND p.label = k.label AND p.i = k.i + 1 JOIN g ON g.image = k.image AND g.label = k.label))
+ SELECT image, label, pred_id, truth_id, round(iou, 6) AS iou, truth_id IS NOT NULL AS tp FROM k WHERE i > 0""")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     p, t = _predictions(spark, d)
-    return matching.greedy_match(p, t, ["label"], 0.1)
+    return matching.greedy_match(p, t, IMAGE, 0.1).withColumn("iou", F.round("iou", 6) + F.lit(0.0))
 
 
 @query()
 def optimal_match(spark: SparkSession, d: str) -> DataFrame:
     p, t = _predictions(spark, d)
     p = p.withColumn("probs", F.array(*(F.lit(0.1) for _ in range(64))))
-    return matching.optimal_match(p.drop("score"), t, ["label"])
+    return matching.optimal_match(p.drop("score"), t, IMAGE)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PRED}, k AS (SELECT image, label, i, id, score, true AS hit, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM p WHERE i = 1
+ UNION ALL SELECT image, label, i, id, score, hit, CASE WHEN hit THEN list_append(kept, {{'x': x, 'y': y, 'w': w, 'h': h}}) ELSE kept END FROM (
+ SELECT p.*, k.kept, len(list_filter(k.kept, lambda t: {_iou_sql("p", "t")} > 0.05)) = 0 AS hit FROM k JOIN p ON p.image = k.image AND p.label = k.label AND p.i = k.i + 1))
+ SELECT image, label, id, round(score, 6) AS score FROM k WHERE hit""")
 def class_nms(spark: SparkSession, d: str) -> DataFrame:
     p, _ = _predictions(spark, d)
-    return matching.nms(p, ["label"], 0.05).select("label", "id", "score")
+    return matching.nms(p, IMAGE, 0.05).select("image", "label", "id", r6("score"))
 
 
 @query("""SELECT a.vec_id, arg_max(c.label, (s, -c.label)) AS best, round(max(s), 6) AS similarity FROM (
@@ -777,10 +814,13 @@ def prefix_collision(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").groupBy(p.alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first")).where("n > 1")
 
 
-@query("""SELECT o_orderkey, list_filter([CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'o_orderstatus: unknown ' || o_orderstatus END], lambda x: x IS NOT NULL)[1] AS warning FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS p, CASE WHEN o_custkey % 2 = 0 THEN 'x' END AS q FROM orders)
+ SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'o_orderstatus: unknown ' || o_orderstatus END, CASE WHEN p IS NULL THEN 'p: missing' END,
+ CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN 'p and q: both set' END, CASE WHEN len(p) NOT BETWEEN 5 AND 8 THEN 'p: length ' || len(p) END], lambda x: x IS NOT NULL), '; ') AS warnings FROM o""")
 def schema_warnings(spark: SparkSession, d: str) -> DataFrame:
-    w = rules.warnings({"o_orderstatus": ["F", "O"]}, ["o_orderkey"])
-    return table(spark, d, "orders").select("o_orderkey", F.get(w, F.lit(0)).alias("warning"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).alias("p"), F.when(F.col("o_custkey") % 2 == 0, "x").alias("q"))
+    w = rules.warnings({"o_orderstatus": ["F", "O"]}, ["p"], [("p", "q")], {"p": (5, 8)})
+    return o.select("o_orderkey", F.array_join(w, "; ").alias("warnings"))
 
 
 @query("SELECT n_nationkey, sha256('{\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') AS hash FROM nation")
@@ -808,13 +848,25 @@ def resume_pending(spark: SparkSession, d: str) -> DataFrame:
 # --- flagships and streaming forms ----------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT user_id, event_type, value, t0, t1 + 20000 AS t1, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) AS i FROM ev),
+ k AS (SELECT user_id, event_type, i, event_id, true AS hit, [{{'a': t0, 'b': t1}}] AS kept FROM o WHERE i = 1
+ UNION ALL SELECT user_id, event_type, i, event_id, hit, CASE WHEN hit THEN list_append(kept, {{'a': t0, 'b': t1}}) ELSE kept END FROM (
+ SELECT o.*, k.kept, len(list_filter(k.kept, lambda x: x.b >= o.t0 AND x.a <= o.t1)) = 0 AS hit FROM k JOIN o ON o.user_id = k.user_id AND o.event_type = k.event_type AND o.i = k.i + 1))
+ SELECT o.* EXCLUDE (i) FROM k JOIN o USING (user_id, event_type, event_id) WHERE hit""")
 def agent_suppression(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select("user_id", "event_type", "value", "t0", (F.col("t1") + 20000).alias("t1"), "event_id")
     return intervals.suppress(e, ["user_id", "event_type"], ["value", "event_id"])
 
 
-@query()
+@query(f"""WITH {EV}, w AS (SELECT user_id % 4 AS cond, user_id::VARCHAR AS clip_id, floor(t / 86400) * 86400.0::DOUBLE AS w0,
+ 2.5 * least(greatest(max(value) / 100 - 3, 0), 4) + least(count(*) FILTER (event_type = 'click'), 4) + 0.8 * (bool_or(event_type = 'error') AND bool_or(event_type = 'view'))::INT
+ + bool_or(event_type = 'error')::INT + bool_or(event_type = 'signup')::INT + 0.6 * bool_or(event_type = 'purchase')::INT AS react, max(value) > 300 AS reactive, avg(value) / 500 AS v FROM ev GROUP BY 1, 2, 3),
+ t AS (SELECT *, row_number() OVER (PARTITION BY cond, clip_id ORDER BY react DESC, w0) AS rn FROM w WHERE react >= 1.0),
+ s AS (SELECT *, react * CASE WHEN reactive THEN v ELSE 0.2 * v END AS sc FROM t WHERE rn <= 3),
+ b AS (SELECT cond, clip_id, max(sc) + 0.15 * (count(*) - 1) AS cs, count(*) AS n, arg_min(w0, (-sc, w0)) AS best_w0 FROM s GROUP BY 1, 2),
+ c AS (SELECT cond, clip_id, coalesce(cs, 0.0)::DOUBLE AS cs, n, best_w0 FROM (SELECT DISTINCT cond, clip_id FROM w) LEFT JOIN b USING (cond, clip_id)),
+ z AS (SELECT *, cs / coalesce(nullif(max(cs) OVER (PARTITION BY cond), 0), 1) AS norm FROM c)
+ SELECT cond, clip_id, round(cs, 6) AS clip_score, round(norm, 6) AS score_norm, n, best_w0, row_number() OVER (PARTITION BY cond ORDER BY norm DESC, clip_id)::INTEGER AS rank FROM z""")
 def window_selection(spark: SparkSession, d: str) -> DataFrame:
     k = _kinds(spark, d).withColumn("w0", F.floor(F.col("t") / 86400) * 86400.0).withColumn("clip_id", F.col("user_id").cast("string")).withColumn("cond", F.pmod("user_id", F.lit(4)))
     w = k.groupBy("cond", "clip_id", "w0").agg(F.collect_list("kind").alias("kinds"), F.min("ax").alias("min_ax"), (F.max("value") > 300).alias("reactive"), (F.avg("value") / 500).alias("vlm_score"))

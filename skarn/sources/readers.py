@@ -140,8 +140,8 @@ def kitti_labels(lines: DataFrame, image: str = "image", line: str = "value", po
 def kitti_calibration(lines: DataFrame, image: str = "image", line: str = "value") -> DataFrame:
     """(image, name, values array<double>) of "name: v v v" lines."""
     kv = F.split(line, ":", 2)
-    values = F.transform(F.split(F.trim(kv[1]), r"\s+"), lambda x: x.cast("double"))
-    return lines.where(F.col(line).contains(":")).select(image, F.trim(kv[0]).alias("name"), values.alias("values"))
+    values = F.transform(F.split(F.trim(F.get(kv, F.lit(1))), r"\s+"), lambda x: x.cast("double"))
+    return lines.where(F.col(line).contains(":")).select(image, F.trim(F.get(kv, F.lit(0))).alias("name"), values.alias("values"))
 
 
 POSE = (
@@ -151,9 +151,9 @@ POSE = (
 )
 
 
-def pose_frames(spark: SparkSession, path: str) -> DataFrame:
+def pose_frames(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row a frame and camera; a missing velocity is zero, a missing shutter (0.033, 0.0)."""
-    raw = spark.read.schema(POSE).option("multiLine", True).json(path)
+    raw = spark.read.schema(POSE).option("multiLine", multi_line).json(path)
     zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     rows = raw.select("frame_idx", "timestamp", "ego_velocity", F.explode("cameras").alias("camera", "c"))
     return rows.select(
@@ -177,3 +177,9 @@ def image_key(name: Column, cameras: list[str]) -> Column:
     """(base, camera) of a stem that ends in a known camera's name, the longest that fits."""
     pattern = "|".join(sorted(cameras, key=len, reverse=True))
     return F.struct(F.regexp_extract(name, f"^(.*)_({pattern})$", 1).alias("base"), F.regexp_extract(name, f"^(.*)_({pattern})$", 2).alias("camera"))
+
+
+def image_join(names: DataFrame, stem: str, cameras: list[str], poses: DataFrame) -> DataFrame:
+    """Image names with their frame's camera from ``poses`` (base, camera, others); what names no known camera is left out."""
+    keyed = names.withColumn("_k", image_key(F.col(stem), cameras)).where("_k.camera <> ''")
+    return keyed.select("*", F.col("_k.base").alias("base"), F.col("_k.camera").alias("camera")).drop("_k").join(poses, ["base", "camera"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,14 +40,14 @@ def colmap_images(df: DataFrame, image_id: str, camera_id: str, name: str, quate
     return df.select(F.format_string(fmt, F.col(image_id), *(F.col(c) for c in [*quaternion, *shift]), F.col(camera_id), F.col(name)).alias("value"))
 
 
-def kitti_line(df: DataFrame, precision: int = 4) -> DataFrame:
-    """Result lines; missing fields take their defaults."""
+def kitti_line(df: DataFrame, precision: int = 4, keep: tuple[str, ...] = ("image",)) -> DataFrame:
+    """Result lines; missing fields take their defaults. Columns of ``keep`` stay."""
     number = f"%.{precision}f"
     d = lambda c, v: F.format_string(number, F.coalesce(F.col(c).cast("double"), F.lit(v))) if c in df.columns else F.lit(number % v)
     array = lambda c, n, v: [F.format_string(number, F.coalesce(F.get(c, F.lit(i)), F.lit(v))) for i in range(n)]
     length, height, width = array("dimensions", 3, -1.0)
     parts = [F.col("name"), d("truncated", -1.0), F.coalesce(F.col("occluded"), F.lit(-1)).cast("string"), d("alpha", -10.0), *array("bbox", 4, -1.0), height, width, length, *array("location", 3, -1000.0), d("rotation_y", -10.0), d("score", 0.0)]
-    return df.select(*[c for c in df.columns if c == "image"], F.concat_ws(" ", *parts).alias("value"))
+    return df.select(*[c for c in df.columns if c in keep], F.concat_ws(" ", *parts).alias("value"))
 
 
 def label_files(df: DataFrame, image: str, line: str, pos: str) -> DataFrame:
@@ -63,3 +63,8 @@ def markdown_table(df: DataFrame, order: list[str]) -> DataFrame:
     rows = df.select((F.row_number().over(Window.orderBy(*order)) + 1).cast("long").alias("pos"), bar(cells).alias("line"))
     head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(df.columns) + " |"), (1, "|" + "-|" * len(df.columns))], "pos long, line string")
     return head.unionByName(rows)
+
+
+def combine(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The rows of several result files as one table."""
+    return spark.read.schema(schema).json(paths)

@@ -28,6 +28,13 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A folder to write to, that goes at the end of the driver's process."""
+    path = f"{shared_dir(spark)}/skarn/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -35,9 +42,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     at the end of the driver's process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skarn/{tag}-{uuid.uuid4().hex}"
+    path = folder(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._skarn_path = path
     return out
