@@ -483,11 +483,11 @@ def _ego(spark: SparkSession, d: str) -> DataFrame:
     swing = F.when(F.col("user_id") % 3 == 0, 1.5).when(F.col("user_id") % 3 == 1, 0.25).otherwise(0.02)
     half = swing * F.sin(F.col("i") * 0.35) / 2
     us = (F.col("i") * 500_000).cast("long").alias("timestamp_us")
-    ego = log.select("clip_id", us, F.cos(half).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), (F.col("value") / 5).alias("vx"), F.lit(0.0).alias("vy"), (F.col("value") % 5 - 2.5).alias("ax"))
+    ego = log.select("clip_id", us, F.cos(half).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), F.when(F.col("user_id") % 5 == 0, F.col("value") % 1 + 1.5).otherwise(F.col("value") / 5).alias("vx"), F.lit(0.0).alias("vy"), (F.col("value") % 5 - 2.5).alias("ax"))
     return scenario.ego_series(ego, log.select("clip_id", us))
 
 
-EGO = f"""{LOG}, y0 AS (SELECT clip_id, t, abs(value / 5) AS speed, value % 5 - 2.5 AS ax, (CASE user_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.25 ELSE 0.02 END)::DOUBLE * sin(i * 0.35::DOUBLE) AS raw,
+EGO = f"""{LOG}, y0 AS (SELECT clip_id, t, CASE WHEN user_id % 5 = 0 THEN value % 1 + 1.5 ELSE value / 5 END AS speed, value % 5 - 2.5 AS ax, (CASE user_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.25 ELSE 0.02 END)::DOUBLE * sin(i * 0.35::DOUBLE) AS raw,
  count(*) OVER (PARTITION BY clip_id) AS n, max(t) OVER (PARTITION BY clip_id) AS dur FROM log),
  y1 AS (SELECT *, raw - first_value(raw) OVER (PARTITION BY clip_id ORDER BY t) AS yaw FROM y0 WHERE n >= 3),
  ego AS (SELECT clip_id, t, dur, speed, ax, yaw, (coalesce(lead(yaw) OVER w, yaw) - coalesce(lag(yaw) OVER w, yaw)) / (coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t)) AS rate
@@ -516,14 +516,14 @@ TRACK_CLASSES = ["vehicle::car", "pedestrian::pedestrian", "vehicle::truck", "tw
 def _points(spark: SparkSession, d: str) -> DataFrame:
     """The log as five tracks a clip: some keep their lane, some drift into it or out of it, some come towards it."""
     log, k, i = _log(spark, d), F.pmod("i", F.lit(5)), F.col("i")
-    lane = F.when(k == 0, 0.4).when(k == 1, 3 - i * 0.04).when(k == 2, F.greatest(3 - i * 0.06, F.lit(0.2))).when(k == 3, F.lit(1.0)).otherwise(F.least(0.3 + i * 0.05, F.lit(4.0)))
+    lane = F.when(k == 0, 0.4).when((k == 1) & (F.col("user_id") % 4 == 1), 4.0).when(k == 1, 3 - i * 0.04).when(k == 2, F.greatest(3 - i * 0.06, F.lit(0.2))).when(k == 3, F.lit(1.0)).otherwise(F.least(0.3 + i * 0.05, F.lit(4.0)))
     yaw = F.when((k == 0) & (F.col("user_id") % 4 == 0), 3.0).when((k == 4) & (F.col("user_id") % 2 == 0), 1.5).otherwise(F.col("value") % 1 / 2)
     cls = F.get(F.array(*(F.lit(c) for c in TRACK_CLASSES)), k.cast("int"))
-    return log.select("clip_id", F.concat(F.lit("track"), k.cast("string")).alias("track_id"), cls.alias("cls"), "t", (F.col("value") % 60).alias("x"), (lane + F.col("value") % 1 / 10).cast("double").alias("y"), yaw.cast("double").alias("yaw"))
+    return log.select("clip_id", F.concat(F.lit("track"), k.cast("string")).alias("track_id"), cls.alias("cls"), "t", F.when((k == 4) & (F.col("user_id") % 4 == 0), 12.0).otherwise(F.col("value") % 60).alias("x"), (lane + F.col("value") % 1 / 10).cast("double").alias("y"), yaw.cast("double").alias("yaw"))
 
 
-POINTS = f"""p AS (SELECT clip_id, 'track' || (i % 5) AS track_id, ({TRACK_CLASSES!r})[i % 5 + 1] AS cls, t, value % 60 AS x,
- ((CASE i % 5 WHEN 0 THEN 0.4 WHEN 1 THEN 3 - i * 0.04 WHEN 2 THEN greatest(3 - i * 0.06, 0.2) WHEN 3 THEN 1.0 ELSE least(0.3 + i * 0.05, 4.0) END)::DOUBLE + value % 1 / 10)::DOUBLE AS y,
+POINTS = f"""p AS (SELECT clip_id, 'track' || (i % 5) AS track_id, ({TRACK_CLASSES!r})[i % 5 + 1] AS cls, t, CASE WHEN i % 5 = 4 AND user_id % 4 = 0 THEN 12.0 ELSE value % 60 END::DOUBLE AS x,
+ ((CASE i % 5 WHEN 0 THEN 0.4 WHEN 1 THEN CASE WHEN user_id % 4 = 1 THEN 4.0 ELSE 3 - i * 0.04 END WHEN 2 THEN greatest(3 - i * 0.06, 0.2) WHEN 3 THEN 1.0 ELSE least(0.3 + i * 0.05, 4.0) END)::DOUBLE + value % 1 / 10)::DOUBLE AS y,
  (CASE WHEN i % 5 = 0 AND user_id % 4 = 0 THEN 3.0 WHEN i % 5 = 4 AND user_id % 2 = 0 THEN 1.5 ELSE value % 1 / 2 END)::DOUBLE AS yaw FROM log),
  kinds(cls, kind) AS (VALUES ('vehicle::car', 'vehicle'), ('vehicle::truck', 'large_vehicle'), ('pedestrian::pedestrian', 'pedestrian'), ('twowheeler::bicycle', 'bicycle_micromobility'))"""
 
@@ -543,7 +543,35 @@ def agent_event_chain(spark: SparkSession, d: str) -> DataFrame:
     return scenario.agent_events(_points(spark, d))
 
 
-@query()
+@query(f"""WITH {EGO}, {POINTS}, s AS (SELECT clip_id, track_id, kind, t, x, abs(y) AS y, y AS side, yaw, count(*) OVER (PARTITION BY clip_id, track_id) AS n, coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t) AS dt,
+ coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM p JOIN kinds USING (cls) WINDOW w AS (PARTITION BY clip_id, track_id ORDER BY t)),
+ f AS (SELECT *, sqrt((dx / dt) ** 2 + (dy / dt) ** 2) AS v, x > 0 AND x < 25 AND y < 5.5 AS near, y < 2.5 AND x > 0 AND x < 45 AS inc, x > 0 AND x < 25 AS fwd FROM s WHERE n >= 4),
+ r AS (SELECT *, row_number() OVER (PARTITION BY clip_id, track_id, fwd ORDER BY t) AS a, row_number() OVER (PARTITION BY clip_id, track_id, fwd ORDER BY t DESC) AS b FROM f),
+ g AS (SELECT clip_id, track_id, kind, median(abs(atan2(sin(yaw), cos(yaw)))) AS dir, min(t) FILTER (near) AS n0, max(t) FILTER (near) AS n1, count(*) FILTER (near) AS nn, min(y) FILTER (near) AS near_y,
+ max(side) FILTER (near) - min(side) FILTER (near) AS ptp, min(v) FILTER (near) AS near_v, min(t) FILTER (inc) AS c0, max(t) FILTER (inc) AS c1, count(*) FILTER (inc) AS cn, min(x) FILTER (inc) AS c_x, min(y) FILTER (inc) AS c_y,
+ avg((y < 1.5)::INT) FILTER (inc) AS share, max(v) FILTER (inc) - min(v) FILTER (inc) AS v_span, arg_min(v, t) FILTER (inc) > arg_max(v, t) FILTER (inc) AS slower, min(t) FILTER (fwd) AS a0, max(t) FILTER (fwd) AS a1,
+ count(*) FILTER (fwd) AS an, min(y) FILTER (fwd) AS a_y, avg(y) FILTER (fwd AND a <= 3) AS head, avg(y) FILTER (fwd AND b <= 3) AS tail FROM r GROUP BY 1, 2, 3),
+ es AS (SELECT g.clip_id, g.track_id, avg(speed) FILTER (e.t BETWEEN n0 AND n1) AS near_mean, min(speed) FILTER (e.t BETWEEN n0 AND n1) AS near_min, avg(speed) FILTER (e.t BETWEEN c0 AND c1) AS cor_mean,
+ abs(degrees(arg_max(yaw, e.t) FILTER (e.t BETWEEN a0 AND a1) - arg_min(yaw, e.t) FILTER (e.t BETWEEN a0 AND a1))) AS turn FROM g JOIN ego e ON e.clip_id = g.clip_id GROUP BY 1, 2),
+ h AS (SELECT *, kind = 'pedestrian' AS ped, kind IN ('vehicle', 'large_vehicle') AS car FROM g LEFT JOIN es USING (clip_id, track_id)),
+ m AS (SELECT *, car AND dir < 0.7 AND cn > 0 AS same, car AND dir BETWEEN 0.7 AND 2.4 AND nn > 0 AS crossing, (near_y < 2.5 AND ptp > 2 AND nn > 1) OR near_y < 1.5 AS walks FROM h),
+ q AS (SELECT *, same AND an >= 3 AND coalesce(turn, 0) <= 25 AS moving, same AND share > 0.5 AS lead, coalesce(near_v < 1 AND near_mean > 2, false) AS waits FROM m),
+ leads AS (SELECT clip_id, c0 AS t0, c1 AS t1 FROM q WHERE lead),
+ crawl AS (SELECT clip_id, t, speed > 1 AND speed < 3 AS hit FROM ego), cr AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY clip_id ORDER BY t) AS run FROM crawl),
+ creeps AS (SELECT clip_id, min(t) AS t0, max(t) AS t1 FROM cr WHERE hit GROUP BY clip_id, run HAVING max(t) - min(t) >= 3),
+ slow AS (SELECT v.clip_id, v.t0, v.t1, avg(e.speed) AS mean FROM ego_ev v JOIN ego e ON e.clip_id = v.clip_id AND e.t BETWEEN v.t0 AND v.t1 WHERE v.kind = 'decelerate' GROUP BY 1, 2, 3)
+ SELECT clip_id, 'ped_crossing' AS cat, n0 AS t0, n1 AS t1 FROM q WHERE ped AND nn > 0 AND walks UNION ALL SELECT clip_id, 'vru_roadside', n0, n1 FROM q WHERE ped AND nn > 0 AND NOT walks
+ UNION ALL SELECT clip_id, 'cyclist_pm_near', n0, n1 FROM q WHERE kind = 'bicycle_micromobility' AND nn > 0
+ UNION ALL SELECT clip_id, CASE WHEN head >= 2.5 AND tail < 1.2 THEN 'cut_in' WHEN head >= 2.5 THEN 'cut_in_attempt' ELSE 'cut_out' END, a0, a1 FROM q
+ WHERE moving AND ((head >= 2.5 AND (tail < 1.2 OR a_y < 2.2)) OR (head < 1.2 AND tail >= 2.5))
+ UNION ALL SELECT clip_id, 'close_follow', c0, c1 FROM q WHERE lead AND cor_mean > 8 AND c_x / cor_mean < 0.6 UNION ALL SELECT clip_id, 'lead_decel', c0, c1 FROM q WHERE lead AND cn >= 3 AND v_span > 1.5 AND slower
+ UNION ALL SELECT clip_id, 'oncoming_encroach', c0, c1 FROM q WHERE car AND dir > 2.4 AND c_y < 1.5 UNION ALL SELECT clip_id, 'agent_yields_to_ego', n0, n1 FROM q WHERE crossing AND waits
+ UNION ALL SELECT clip_id, 'ego_yields_to_agent', n0, n1 FROM q WHERE crossing AND NOT waits AND near_min < 1
+ UNION ALL SELECT clip_id, 'creep', t0, t1 FROM creeps c WHERE EXISTS (SELECT 1 FROM leads l WHERE l.clip_id = c.clip_id AND l.t1 >= c.t0 AND l.t0 <= c.t1)
+ AND NOT EXISTS (SELECT 1 FROM ego_ev v WHERE v.kind LIKE 'turn_%' AND v.clip_id = c.clip_id AND v.t1 >= c.t0 AND v.t0 <= c.t1)
+ AND coalesce((SELECT sum(greatest(least(v.t1, c.t1) - greatest(v.t0, c.t0), 0)) FROM ego_ev v WHERE v.kind = 'stop' AND v.clip_id = c.clip_id), 0) <= 0.5 * (c.t1 - c.t0)
+ UNION ALL SELECT clip_id, 'decel_at_intersection', t0, t1 FROM (SELECT * FROM slow WHERE mean > 2 QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY t0, t1) = 1)
+ UNION ALL SELECT DISTINCT v.clip_id, v.kind, 0.0, e.dur FROM ego_ev v JOIN ego e USING (clip_id) WHERE v.kind LIKE 'lane_change%'""")
 def taxonomy_chain(spark: SparkSession, d: str) -> DataFrame:
     ego = _ego(spark, d)
     return scenario.taxonomy(_points(spark, d), ego, scenario.ego_events(ego))

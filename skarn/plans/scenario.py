@@ -93,12 +93,13 @@ def taxonomy(tracks: DataFrame, ego: DataFrame, events: DataFrame, th: Threshold
     key = ["clip_id", "track_id"]
     enough = Window.partitionBy(*key)
     p = tracks.withColumn("_n", F.count(F.lit(1)).over(enough)).where(F.col("_n") >= th.min_track_points).drop("_n")
-    order = Window.partitionBy(*key).orderBy("t")
-    speed = F.sqrt(F.pow(F.col("x") - F.lag("x").over(order), 2) + F.pow(F.col("y") - F.lag("y").over(order), 2)) / F.nullif(F.col("t") - F.lag("t").over(order), F.lit(0.0))
+    for c in "xy":
+        p = series.gradient(p, key, ["t"], c, "t", f"_v{c}")
+    p = p.withColumn("v", F.hypot("_vx", "_vy")).drop("_vx", "_vy")
     near = F.col("x").between(0, th.near_ahead) & (F.col("x") > 0) & (F.col("x") < th.near_ahead) & (F.abs("y") < th.near_half)
     corridor = (F.abs("y") < th.corridor_half) & (F.col("x") > 0) & (F.col("x") < th.corridor_ahead)
     ahead = (F.col("x") > 0) & (F.col("x") < th.near_ahead)
-    p = p.withColumns({"v": speed, "near": near, "corridor": corridor, "ahead": ahead})
+    p = p.withColumns({"near": near, "corridor": corridor, "ahead": ahead})
     by = Window.partitionBy(*key, "ahead")
     p = p.withColumn("_a", F.row_number().over(by.orderBy("t"))).withColumn("_b", F.row_number().over(by.orderBy(F.col("t").desc())))
     on = lambda c, v: F.when(F.col(c), v)
@@ -113,7 +114,7 @@ def taxonomy(tracks: DataFrame, ego: DataFrame, events: DataFrame, th: Threshold
         F.min(on("ahead", t)).alias("a0"), F.max(on("ahead", t)).alias("a1"), F.count(on("ahead", t)).alias("an"), F.min(on("ahead", y)).alias("a_y"),
         F.avg(F.when(F.col("ahead") & (F.col("_a") <= th.sustain), y)).alias("head"), F.avg(F.when(F.col("ahead") & (F.col("_b") <= th.sustain), y)).alias("tail"),
         F.max(on("corridor", F.col("v"))).alias("v_max"), F.min(on("corridor", F.col("v"))).alias("v_min"), F.min(on("near", F.col("v"))).alias("near_v"),
-        F.min_by(on("corridor", F.col("v")), t).alias("v_first"), F.max_by(on("corridor", F.col("v")), t).alias("v_last"),
+        F.min_by("v", on("corridor", t)).alias("v_first"), F.max_by("v", on("corridor", t)).alias("v_last"),
     )
 
     def with_ego(df: DataFrame, a: str, b: str, tag: str) -> DataFrame:
@@ -153,7 +154,7 @@ def taxonomy(tracks: DataFrame, ego: DataFrame, events: DataFrame, th: Threshold
     creep = intervals.overlap_join(creep, leads.select("clip_id", "t0", "t1"), K, "left_semi")
     creep = intervals.consume(creep, events.where(F.col("kind").startswith("turn_")).select("clip_id", "t0", "t1"), K)
     stops = intervals.overlap_join(creep, events.where("kind = 'stop'").select("clip_id", "t0", "t1"), K, "left")
-    held = F.coalesce(F.greatest(F.least("t1", "b_t1") - F.greatest("t0", "b_t0"), F.lit(0.0)), F.lit(0.0))
+    held = F.when(F.col("b_t0").isNull(), 0.0).otherwise(F.greatest(F.least("t1", "b_t1") - F.greatest("t0", "b_t0"), F.lit(0.0)))  # least passes over nulls
     creep = stops.groupBy("clip_id", "t0", "t1").agg(F.sum(held).alias("s")).where("s <= 0.5 * (t1 - t0)").select("clip_id", F.lit("creep").alias("cat"), "t0", "t1")
     slow = aggregates.range_stats(events.where("kind = 'decelerate'").select("clip_id", "t0", "t1"), ego, K, "t", "speed").where(F.col("mean_value") > th.moving_speed)
     slow = ranking.top_k(slow, K, [F.col("t0"), F.col("t1")], 1).select("clip_id", F.lit("decel_at_intersection").alias("cat"), "t0", "t1")
