@@ -158,8 +158,15 @@ def rotate2d(x: Column, y: Column, angle: Column) -> Column:
 
 
 def seeded_uniform(id_col: Column, seed: int, lo: float, hi: float) -> Column:
-    """A repeatable draw from [lo, hi) for each id."""
-    return F.lit(lo) + (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)) * F.lit(hi - lo)
+    """A repeatable draw from [lo, hi) for each id, by a hash that every engine has."""
+    digits = F.substring(F.md5(F.concat_ws(":", id_col.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8)
+    return F.lit(float(lo)) + F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 32)) * F.lit(float(hi - lo))
+
+
+def augmented(x: Column, y: Column, z: Column, flip_x: Column, flip_y: Column, angle: Column, scale: Column, shift: tuple[Column, Column, Column]) -> Column:
+    """A point mirrored (flip_x negates x, flip_y negates y), then turned about the vertical, scaled and moved."""
+    turned = rotate2d(F.when(flip_x, -x).otherwise(x), F.when(flip_y, -y).otherwise(y), angle)
+    return F.struct(*((v * scale + s).alias(n) for n, v, s in zip("xyz", (turned["x"], turned["y"], z), shift, strict=True)))
 
 
 def seconds(us: Column, origin: Column) -> Column:

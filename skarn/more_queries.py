@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from skarn.functions import rules, scalar
 from skarn.operators import aggregates, filters, fusion, geometry, matching, parameters, ranking, series
 from skarn.plans import scenario
 from skarn.queries import EV, KIND, U, VEC, _kinds, _vecs, events, query, r6, table
-from skarn.sources import writers
+from skarn.sources import readers, writers
 
 #: The same kinds in SQL.
 KINDS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND.items()) + " END"
@@ -182,6 +184,36 @@ def valid_fraction(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("lang").agg(r6(F.count_if(ok) / F.count(F.lit(1)), "valid"), F.median(F.when(ok, F.col("n_chars"))).alias("width"))
 
 
+@query("""SELECT lang, max(n_chars) - min(n_chars) AS spread, max(n_chars) FILTER (n_chars < 1000) - min(n_chars) FILTER (n_chars < 1000) AS short_spread FROM documents GROUP BY 1""")
+def peak_to_peak(spark: SparkSession, d: str) -> DataFrame:
+    n, short = F.col("n_chars"), F.when(F.col("n_chars") < 1000, F.col("n_chars"))
+    return table(spark, d, "documents").groupBy("lang").agg(aggregates.peak_to_peak(n).alias("spread"), aggregates.peak_to_peak(short).alias("short_spread"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type FROM events), cam AS (SELECT user_id, us FROM e WHERE event_type = 'purchase' AND user_id % 3 > 0),
+ idx AS (SELECT user_id, us FROM e WHERE event_type = 'view' AND user_id % 5 > 0)
+ SELECT user_id, 0 AS source, min(us) AS first, max(us) AS last, count(*) AS n FROM cam GROUP BY 1
+ UNION ALL SELECT user_id, 1, min(us), max(us), count(*) FROM idx WHERE user_id NOT IN (SELECT user_id FROM cam) GROUP BY 1""")
+def fallback_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Times from the camera's table, or else from the frame index, for each user that either knows."""
+    e = table(spark, d, "events").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    cam, idx = e.where("event_type = 'purchase' AND user_id % 3 > 0"), e.where("event_type = 'view' AND user_id % 5 > 0")
+    rows = readers.first_source([cam.drop("event_type"), idx.drop("event_type")], "user_id")
+    return rows.groupBy("user_id", "source").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH r AS (SELECT vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, embedding[3]::DOUBLE AS e2, [('0x' || substr(md5(vec_id::VARCHAR || ':' || s), 1, 8))::BIGINT / 4294967296.0::DOUBLE FOR s IN range(1, 8)] AS u FROM embeddings),
+ p AS (SELECT vec_id, CASE WHEN u[1] > 0.5 THEN -e0 ELSE e0 END AS x, CASE WHEN u[2] > 0.5 THEN -e1 ELSE e1 END AS y, e2 AS z, -pi() + u[3] * 2 * pi() AS a, 0.95 + u[4] * 0.1 AS k, u FROM r)
+ SELECT vec_id, round((x * cos(a) - y * sin(a)) * k - 0.2 + u[5] * 0.4, 6) AS x, round((x * sin(a) + y * cos(a)) * k - 0.2 + u[6] * 0.4, 6) AS y, round(z * k - 0.2 + u[7] * 0.4, 6) AS z FROM p""")
+def augmented_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points mirrored, turned, scaled and moved by draws of their own."""
+    e = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)))
+    draw = lambda seed, lo, hi: scalar.seeded_uniform(F.col("vec_id"), seed, lo, hi)
+    shift = (draw(5, -0.2, 0.2), draw(6, -0.2, 0.2), draw(7, -0.2, 0.2))
+    p = scalar.augmented(F.col("e0"), F.col("e1"), F.col("e2"), draw(1, 0, 1) > 0.5, draw(2, 0, 1) > 0.5, draw(3, -math.pi, math.pi), draw(4, 0.95, 1.05), shift)
+    return e.select("vec_id", p.alias("p")).select("vec_id", *(r6(F.col(f"p.{c}"), c) for c in "xyz"))
+
+
 @query("""SELECT l_returnflag, round(count(*) FILTER (l_discount > 0.05 AND l_quantity < 25) / nullif(count(*) FILTER (l_quantity < 25), 0), 6) AS coverage FROM lineitem GROUP BY 1""")
 def fill_coverage(spark: SparkSession, d: str) -> DataFrame:
     hole = F.col("l_quantity") < 25

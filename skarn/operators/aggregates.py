@@ -82,6 +82,11 @@ def corroboration(df: DataFrame, keys: list[str], state: str) -> DataFrame:
     return df.groupBy(*keys).agg(n.alias("n"), yes.alias("confirmed"), gone.alias("unavailable"), (yes / F.nullif(n - gone, F.lit(0))).alias("rate"))
 
 
+def peak_to_peak(value: Column) -> Column:
+    """An aggregate: the greatest value less the least."""
+    return F.max(value) - F.min(value)
+
+
 def point_stats(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """min, max, mean and population deviation of each column."""
     out = []

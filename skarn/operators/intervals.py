@@ -69,12 +69,19 @@ def frame_at(t: Column, dur: Column, n: Column) -> Column:
 
 
 def suppress(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Greedy: rows of one key in order; a row stays if its closed interval meets no row kept before. Folds one key's rows."""
+    """Greedy: rows of one key in order; a row stays if its closed interval meets no row kept before.
+
+    A key's rows are first cut where no interval reaches across, as rows on either side cannot meet; only the rows of one
+    such stretch are folded together. An interval without an end meets none and stays.
+    """
     fields = [c for c in df.columns if c not in keys]
     rest = [c for c in fields if c not in order]
     row = F.struct(*order, *rest)
-    sorted_rows = F.array_sort(F.collect_list(row))
-    grouped = df.groupBy(*keys).agg(sorted_rows.alias("_rows"))
+    by_start = Window.partitionBy(*keys).orderBy("t0", "t1")
+    reached = F.max("t1").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    apart = df.withColumn("_cut", F.coalesce(F.col("t0") > reached, F.lit(False)).cast("int"))
+    stretches = apart.withColumn("_stretch", F.sum("_cut").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = stretches.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     kind = grouped.schema["_rows"].dataType.simpleString()
     kept = F.aggregate(
         "_rows",

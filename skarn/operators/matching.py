@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.operators import ranking
+
 
 def iou_center(a: list[Column], b: list[Column]) -> Column:
     """Axis-aligned boxes as centre x, y and width, height; yaw and height play no part; 1e-8 in the denominator."""
@@ -25,6 +27,26 @@ def iou_corner(a: list[Column], b: list[Column]) -> Column:
     return F.coalesce(inter / F.nullif(union, F.lit(0.0)), F.lit(0.0))
 
 
+def meeting_boxes(df: DataFrame, keys: list[str], id_col: str, cell: float) -> DataFrame:
+    """(keys, a, b, iou): pairs a < b of one key's boxes (x, y, w, h) that share an area.
+
+    A box goes to every cell of width ``cell`` that it touches, and a pair is told by the cell of the lower left corner of
+    what it shares, so it comes once whatever the boxes' sizes. A box of cells' width or less goes to four at most; a large
+    one costs as many rows as it covers cells, and changes nothing for the others.
+    """
+    at = lambda v: F.floor(v / F.lit(float(cell)))
+    low = {c: F.col(c) - F.col(s) / 2 for c, s in (("x", "w"), ("y", "h"))}
+    high = {c: F.col(c) + F.col(s) / 2 for c, s in (("x", "w"), ("y", "h"))}
+    dealt = df.where((F.col("w") > 0) & (F.col("h") > 0))
+    for c, name in (("x", "i"), ("y", "j")):
+        dealt = dealt.withColumn(name, F.explode(F.sequence(at(low[c]), at(high[c]))))
+    side = lambda tag: dealt.select(*keys, "i", "j", F.col(id_col).alias(tag), *(F.col(c).alias(f"{tag}_{c}") for c in "xywh"))
+    corner = lambda c, s: F.greatest(*(F.col(f"{t}_{c}") - F.col(f"{t}_{s}") / 2 for t in "ab"))
+    pairs = side("a").join(side("b"), [*keys, "i", "j"]).where("a < b").where((at(corner("x", "w")) == F.col("i")) & (at(corner("y", "h")) == F.col("j")))
+    iou = iou_center([F.col(f"a_{c}") for c in "xywh"], [F.col(f"b_{c}") for c in "xywh"])
+    return pairs.select(*keys, "a", "b", iou.alias("iou")).where("iou > 0")
+
+
 def _iou(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
     lo = np.maximum(boxes[:, :2] - boxes[:, 2:] / 2, box[:2] - box[2:] / 2)
     hi = np.minimum(boxes[:, :2] + boxes[:, 2:] / 2, box[:2] + box[2:] / 2)
@@ -116,9 +138,26 @@ def optimal_match(pred: DataFrame, truth: DataFrame, keys: list[str], class_weig
     return pred.groupBy(*keys).cogroup(right.groupBy(*right_keys)).applyInPandas(run, schema)
 
 
-def nms(df: DataFrame, keys: list[str], threshold: float, most: int | None = None) -> DataFrame:
-    """Boxes (id, score, box) of one key by score; a box stays if it overlaps no kept one by more than the threshold."""
+def nms(
+    df: DataFrame,
+    keys: list[str],
+    threshold: float,
+    most: int | None = None,
+    frame: list[str] | None = None,
+    floor: float | None = None,
+    before: int | None = None,
+) -> DataFrame:
+    """Boxes (id, score, box) of one key by score; a box stays if it overlaps no kept one by more than the threshold.
+
+    Boxes of scores up to ``floor`` are left out, only the ``before`` best of a key compete, and of what stays each
+    ``frame`` (the first key by default) keeps its ``most`` best, whatever their classes and cameras.
+    """
     columns = df.columns
+    best = lambda d, by, n: ranking.top_k(d, by, [F.col("score").desc(), F.col("id")], n, "_rn").drop("_rn")
+    if floor is not None:
+        df = df.where(F.col("score") > floor)
+    if before is not None:
+        df = best(df, keys, before)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
@@ -129,10 +168,7 @@ def nms(df: DataFrame, keys: list[str], threshold: float, most: int | None = Non
         return pdf.iloc[kept][columns]
 
     out = df.groupBy(*keys).applyInPandas(run, df.schema)
-    if most is None:
-        return out
-    frame = keys[:1]
-    return out.withColumn("_rn", F.row_number().over(Window.partitionBy(*frame).orderBy(F.col("score").desc(), "id"))).where(F.col("_rn") <= most).drop("_rn")
+    return out if most is None else best(out, frame or keys[:1], most)
 
 
 def relaxed_threshold(top: Column, start: float, factor: float = 0.9, floor: float = 0.01) -> Column:

@@ -652,15 +652,8 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
  a.w * a.h + c.w * c.h AS s FROM b a JOIN b c ON a.label = c.label AND a.vec_id < c.vec_id)
  SELECT a, b, round(i / (s - i + 1e-8), 6) AS iou FROM p WHERE i > 0""")
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of one label that meet: those of neighbouring cells as wide as the widest box are compared."""
-    b = _boxes(spark, d)
-    width = b.agg(F.max(F.greatest("w", "h"))).scalar()
-    cell = lambda c: F.floor(F.col(c) / width)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    left = b.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("label", F.col("vec_id").alias("a"), (cell("x") + F.col("dx")).alias("i"), (cell("y") + F.col("dy")).alias("j"), *(F.col(c).alias(f"a{c}") for c in "xywh"))
-    right = b.select("label", F.col("vec_id").alias("b"), cell("x").alias("i"), cell("y").alias("j"), *(F.col(c).alias(f"b{c}") for c in "xywh"))
-    iou = matching.iou_center([F.col(f"a{c}") for c in "xywh"], [F.col(f"b{c}") for c in "xywh"])
-    return left.join(right, ["label", "i", "j"]).where("a < b").select("a", "b", r6(iou, "iou"), iou.alias("raw")).where("raw > 0").drop("raw")
+    """Boxes of one label that meet."""
+    return matching.meeting_boxes(_boxes(spark, d), ["label"], "vec_id", 0.2).select("a", "b", r6("iou"))
 
 
 def _predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -713,6 +706,23 @@ def class_nms(spark: SparkSession, d: str) -> DataFrame:
     return matching.nms(p, IMAGE, 0.05).select("image", "label", "id", r6("score"))
 
 
+CAMERA = ["image", "camera", "label"]
+
+
+@query(f"""WITH RECURSIVE {PRED}, c AS (SELECT * EXCLUDE (i), id % 6 AS camera, row_number() OVER (PARTITION BY image, label, id % 6 ORDER BY score DESC, id) AS i FROM p WHERE score > 0.01),
+ r AS (SELECT * REPLACE (row_number() OVER (PARTITION BY image, label ORDER BY score DESC, id) AS i) FROM c WHERE i <= 2),
+ k AS (SELECT image, label, i, id, score, true AS hit, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM r WHERE i = 1
+ UNION ALL SELECT image, label, i, id, score, hit, CASE WHEN hit THEN list_append(kept, {{'x': x, 'y': y, 'w': w, 'h': h}}) ELSE kept END FROM (
+ SELECT r.*, k.kept, len(list_filter(k.kept, lambda t: {_iou_sql("r", "t")} > 0.05)) = 0 AS hit FROM k JOIN r ON r.image = k.image AND r.label = k.label AND r.i = k.i + 1))
+ SELECT image, label, id, round(score, 6) AS score FROM k WHERE hit QUALIFY row_number() OVER (PARTITION BY image ORDER BY score DESC, id) <= 20""")
+def camera_nms(spark: SparkSession, d: str) -> DataFrame:
+    """The two best boxes of each of six cameras and class compete over all cameras of their image, which keeps its twenty best."""
+    p, _ = _predictions(spark, d)
+    seen = p.withColumn("camera", F.pmod("id", F.lit(6)))
+    best = ranking.top_k(seen.where("score > 0.01"), CAMERA, [F.col("score").desc(), F.col("id")], 2).drop("rank", "camera")
+    return matching.nms(best, IMAGE, 0.05, most=20, frame=["image"], floor=0.01, before=4096).select("image", "label", "id", r6("score"))
+
+
 @query("""SELECT a.vec_id, arg_max(c.label, (s, -c.label)) AS best, round(max(s), 6) AS similarity FROM (
  SELECT e.vec_id, m.label, list_cosine_similarity(e.embedding::DOUBLE[], m.v) AS s FROM embeddings e, (
  SELECT label, list(x ORDER BY i) AS v FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 1000) t(i) WHERE i <= len(embedding) GROUP BY 1, 2) GROUP BY 1) m) a

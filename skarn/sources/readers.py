@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,14 @@ def layout(ids: DataFrame, index: DataFrame, key: str = "clip_id") -> DataFrame:
     return ids.join(index.select(key).distinct().withColumn("_g", F.lit("gallery")), key, "left").withColumn("layout", F.coalesce("_g", F.lit("video"))).drop("_g")
 
 
+def first_source(sources: list[DataFrame], key: str, out: str = "source") -> DataFrame:
+    """Each key's rows from the first of the sources, all of one schema, that has any; ``out`` is that source's place."""
+    tagged = [s.withColumn(out, F.lit(i)) for i, s in enumerate(sources)]
+    every = reduce(DataFrame.unionByName, tagged)
+    first = reduce(DataFrame.unionByName, (t.select(key, out) for t in tagged)).groupBy(key).agg(F.min(out).alias("_first"))
+    return every.join(first, key).where(F.col(out) == F.col("_first")).drop("_first")
+
+
 def folder_groups(paths: DataFrame, path: str = "path") -> DataFrame:
     """(condition, clip_id) from paths .../condition/clip.ext."""
     parts = F.split(F.col(path), "/")
@@ -76,20 +85,36 @@ def clip_path(root: str, clip_id: Column, leaf: str) -> Column:
     return F.concat_ws("/", F.lit(root.rstrip("/")), clip_id, F.lit(leaf))
 
 
+#: Bytes of framed records that leave a worker at once.
+RECORD_BYTES = 1 << 25
+
+
 def framed_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, record binary): length-prefixed records (u64 length, u32 check, bytes, u32 check); a cut tail is dropped."""
+    """(path, n, record binary): length-prefixed records (u64 length, u32 check, bytes, u32 check); a cut tail is dropped.
+
+    A file is one row of Spark's binary reader, of 2 GB at most; its records leave the worker in batches of some 32 MB.
+    """
+
+    def batch(name: str, first: int, out: list) -> pa.RecordBatch:
+        numbers = pa.array(range(first, first + len(out)), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), numbers, pa.array(out, pa.binary())], names=["path", "n", "record"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, n, out = 0, 0, []
+            for row in range(b.num_rows):
+                name, data = b.column(0)[row].as_py(), memoryview(b.column(1)[row].as_buffer())
+                at, first, held, out = 0, 0, 0, []
                 while at + 12 <= len(data):
                     (size,) = struct.unpack_from("<Q", data, at)
                     if at + 16 + size > len(data):
                         break
-                    out.append(data[at + 12 : at + 12 + size])
-                    at, n = at + 16 + size, n + 1
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(out, pa.binary())], names=["path", "n", "record"])
+                    out.append(bytes(data[at + 12 : at + 12 + size]))
+                    at, held = at + 16 + size, held + size + 16
+                    if held >= RECORD_BYTES:
+                        yield batch(name, first, out)
+                        first, held, out = first + len(out), 0, []
+                if out:
+                    yield batch(name, first, out)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n long, record binary")
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -71,6 +72,12 @@ def test_suppression_brute_force(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted(kept)
 
 
+def test_suppression_over_stretches_and_open_intervals(spark):
+    data = [("a", 1.0, 0.0, 1.0), ("a", 2.0, 1.0, 2.0), ("a", 3.0, 5.0, 6.0), ("a", 4.0, None, None), ("a", 5.0, 3.0, None), ("a", 6.0, 5.5, 9.0), ("b", 1.0, 0.5, 0.7)]
+    out = intervals.suppress(spark.createDataFrame(data, "k string, d double, t0 double, t1 double"), ["k"], ["d"])
+    assert sorted((r.k, r.d) for r in out.collect()) == [("a", 1.0), ("a", 3.0), ("a", 4.0), ("a", 5.0), ("b", 1.0)]
+
+
 def test_best_overlap_takes_first_of_equals_and_null(spark):
     gold = spark.createDataFrame([("c", 0, 0.0, 4.0), ("c", 1, 9.0, 10.0), ("c", 2, 4.0, 5.0)], "k string, g int, t0 double, t1 double")
     pred = spark.createDataFrame([("c", "A", 0, 0.0, 2.0), ("c", "B", 1, 2.0, 4.0)], "k string, n string, pos int, t0 double, t1 double")
@@ -149,6 +156,32 @@ def test_nms_brute_force(spark):
     assert {r.id for r in matching.nms(pd, ["k"], 0.2).collect()} == {r[1] for r in kept}
 
 
+def test_nms_keeps_the_best_of_a_frame(spark):
+    rng = random.Random(8)
+    data = [(f, c, i, rng.randint(0, 20) / 20, [rng.uniform(0, 8), rng.uniform(0, 8), rng.uniform(1, 4), rng.uniform(1, 4)]) for i, (f, c) in enumerate((f, c) for f in "ab" for c in range(2) for _ in range(25))]
+    kept = []
+    for f in "ab":
+        for c in range(2):
+            left, one = sorted((r for r in data if r[0] == f and r[1] == c and r[3] > 0.2), key=lambda r: (-r[3], r[2]))[:15], []
+            for r in left:
+                if all(iou(k[4], r[4]) <= 0.1 for k in one):
+                    one.append(r)
+            kept += one
+    want = {r[2] for f in "ab" for r in sorted((k for k in kept if k[0] == f), key=lambda r: (-r[3], r[2]))[:5]}
+    df = spark.createDataFrame(data, "frame string, cls int, id long, score double, box array<double>")
+    assert {r.id for r in matching.nms(df, ["frame", "cls"], 0.1, most=5, frame=["frame"], floor=0.2, before=15).collect()} == want
+
+
+@pytest.mark.parametrize("cell", [0.5, 3.0, 100.0])
+def test_meeting_boxes_brute_force(spark, cell):
+    rng = random.Random(9)
+    data = [(rng.choice("ab"), i, float(rng.randint(-9, 9)), rng.uniform(-9, 9), float(rng.choice([1, 2, 3, 30])), rng.uniform(0.1, 3)) for i in range(60)]
+    data += [("a", 60, 0.0, 0.0, 0.0, 1.0), ("a", 61, None, 0.0, 1.0, 1.0)]
+    want = {(a[0], a[1], b[1]) for a in data for b in data if a[0] == b[0] and a[1] < b[1] < 60 and iou(a[2:], b[2:]) > 0}
+    got = matching.meeting_boxes(spark.createDataFrame(data, "k string, id long, x double, y double, w double, h double"), ["k"], "id", cell).collect()
+    assert len(got) == len(want) and {(r.k, r.a, r.b) for r in got} == want
+
+
 @pytest.mark.parametrize("n,m", [(1, 1), (3, 5), (5, 3), (4, 4)])
 def test_assignment_is_optimal(n, m):
     rng = np.random.default_rng(n * 10 + m)
@@ -244,6 +277,20 @@ def test_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":null,"b":1}']
 
 
+def test_records_leave_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "RECORD_BYTES", 40)
+    data = [bytes([65 + i]) * (7 * i) for i in range(12)]
+    (tmp_path / "many.rec").write_bytes(b"".join(struct.pack("<Q", len(x)) + b"0000" + x + b"0000" for x in data) + struct.pack("<Q", 99) + b"cut")
+    (tmp_path / "none.rec").write_bytes(b"")
+    rows = readers.framed_records(spark, f"{tmp_path}/*.rec").orderBy("n").collect()
+    assert [(r.n, bytes(r.record)) for r in rows] == list(enumerate(data))
+
+
+def test_first_source(spark):
+    a, b = spark.createDataFrame([("x", 1), ("x", 2)], "k string, v int"), spark.createDataFrame([("x", 3), ("y", 4), (None, 5)], "k string, v int")
+    assert sorted(tuple(r) for r in readers.first_source([a, b], "k").select("k", "v", "source").collect()) == [("x", 1, 0), ("x", 2, 0), ("y", 4, 1)]
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], "k string, t0 double, t1 double, d double")
     assert intervals.suppress(e, ["k"], ["d"]).count() == 0 and series.merge(e, ["k"], 1.0).count() == 0
