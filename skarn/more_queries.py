@@ -12,6 +12,7 @@ from skarn.operators import aggregates, filters, fusion, geometry, matching, par
 from skarn.plans import scenario
 from skarn.queries import EV, KIND, U, VEC, _kinds, _vecs, events, query, r6, table
 from skarn.sources import readers, writers
+from skarn.tables import materialise
 
 #: The same kinds in SQL.
 KINDS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KIND.items()) + " END"
@@ -537,7 +538,7 @@ EGO = f"""{LOG}, y0 AS (SELECT clip_id, t, CASE WHEN user_id % 5 = 0 THEN value
  ego_ev AS (SELECT clip_id, kind, min(t0) AS t0, max(t1) AS t1 FROM grouped GROUP BY clip_id, kind, g)"""
 
 
-@query(f"WITH {EGO} SELECT clip_id, kind, round(t0, 2) AS t0, round(t1, 2) AS t1, round((t0 + t1) / 2, 2) AS center FROM ego_ev")
+@query(f"WITH {EGO} SELECT clip_id, kind, round_even(t0, 2) AS t0, round_even(t1, 2) AS t1, round_even((t0 + t1) / 2, 2) AS center FROM ego_ev")
 def ego_event_chain(spark: SparkSession, d: str) -> DataFrame:
     return scenario.ego_events(_ego(spark, d))
 
@@ -561,7 +562,7 @@ POINTS = f"""p AS (SELECT clip_id, 'track' || (i % 5) AS track_id, ({TRACK_CLASS
 
 
 @query(f"""WITH RECURSIVE {LOG}, {POINTS}, c AS (SELECT *, abs(y) < 2.5 AND x > 0 AND x < 45 AS inn FROM p JOIN kinds USING (cls)),
- g AS (SELECT clip_id, track_id, arg_min(kind, (t, x, y)) AS object_type, arg_min(abs(y), (t, x, y)) AS first_y, min(t) FILTER (inn) AS t0, max(t) FILTER (inn) AS t1, round(min(x) FILTER (inn), 1) AS min_dist,
+ g AS (SELECT clip_id, track_id, arg_min(kind, (t, x, y)) AS object_type, arg_min(abs(y), (t, x, y)) AS first_y, min(t) FILTER (inn) AS t0, max(t) FILTER (inn) AS t1, round_even(min(x) FILTER (inn), 1) AS min_dist,
  min(abs(y)) FILTER (inn) AS min_y FROM c GROUP BY 1, 2 HAVING count(*) FILTER (inn) >= 3 AND max(t) FILTER (inn) - min(t) FILTER (inn) >= 1),
  v AS (SELECT *, object_type IN ('pedestrian', 'bicycle_micromobility') AS vru, first_y > 2.8 AND min_y < 1.5 AS cut FROM g),
  a AS (SELECT *, CASE WHEN vru THEN 'crossing' WHEN cut THEN 'adjust' ELSE 'preceding_vehicle' END AS role, CASE WHEN vru THEN 'cross_ego_path' WHEN cut THEN 'cut_in' END AS relation FROM v),
@@ -605,5 +606,5 @@ def agent_event_chain(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT clip_id, 'decel_at_intersection', t0, t1 FROM (SELECT * FROM slow WHERE mean > 2 QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY t0, t1) = 1)
  UNION ALL SELECT DISTINCT v.clip_id, v.kind, 0.0, e.dur FROM ego_ev v JOIN ego e USING (clip_id) WHERE v.kind LIKE 'lane_change%'""")
 def taxonomy_chain(spark: SparkSession, d: str) -> DataFrame:
-    ego = _ego(spark, d)
-    return scenario.taxonomy(_points(spark, d), ego, scenario.ego_events(ego))
+    ego = materialise(_ego(spark, d), "ego")
+    return scenario.taxonomy(_points(spark, d), ego, materialise(scenario.ego_events(ego), "ego_events"))

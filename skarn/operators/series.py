@@ -22,6 +22,22 @@ def runs(df: DataFrame, keys: list[str], order: list[str], mask: Column, t: str,
     return found.where((F.col("t1") - F.col("t0") >= min_sec) & (F.col("n") >= min_rows)).drop("_run")
 
 
+def hits(df: DataFrame, keys: list[str], order: list[str], masks: dict[str, Column], carry: list[str]) -> DataFrame:
+    """(keys, carry, kind, run): each row once for each mask that is true of it; rows of one kind and run are a maximal run.
+
+    The masks share one sort, and only true rows are multiplied.
+    """
+    flags = {k: F.coalesce(m, F.lit(False)) for k, m in masks.items()}
+    marked = df.select(
+        *keys,
+        *carry,
+        *(f.alias(f"_hit_{k}") for k, f in flags.items()),
+        *(F.sum(F.when(f, 0).otherwise(1)).over(_w(keys, order)).alias(f"_run_{k}") for k, f in flags.items()),
+    )
+    each = F.array(*(F.when(F.col(f"_hit_{k}"), F.struct(F.lit(k).alias("kind"), F.col(f"_run_{k}").alias("run"))) for k in masks))
+    return marked.select(*keys, *carry, F.inline(F.array_compact(each)))
+
+
 def merge(df: DataFrame, keys: list[str], gap: float, t0: str = "t0", t1: str = "t1", carry: list[str] = (), order: list[str] = ()) -> DataFrame:
     """Intervals of one key merged while the next starts at most ``gap`` after all before ended; the first's other fields stay."""
     by = [t0, *(order or [t1])]

@@ -37,26 +37,24 @@ def ego_events(s: DataFrame, th: Thresholds = DEFAULT, road: DataFrame | None =
 
     road: optional (clip_id, t0, t1, road_deg), the part of a run's heading change that the road makes.
     """
-    masks = {"decelerate": F.col("ax") < th.decel_ax, "accelerate": F.col("ax") > th.accel_ax, "stop": F.col("speed") < th.stop_speed}
-    found = [series.runs(s, K, ["t"], m, "t", th.min_event_sec).withColumn("kind", F.lit(k)) for k, m in masks.items()]
-    turn = series.runs(s, K, ["t"], F.abs("yaw_rate") > th.turn_yaw_rate, "t", th.min_event_sec)
-    at = s.select(F.col("clip_id").alias("_c"), "t", "yaw", "speed")
-    rows = turn.join(at, (turn["clip_id"] == at["_c"]) & at["t"].between(turn["t0"], turn["t1"]))
-    w = Window.partitionBy("clip_id", "t0", "t1").orderBy("t")
-    side = F.col("speed") * F.sin(F.col("yaw") - F.first("yaw").over(w))
-    rows = rows.withColumn("side", side).withColumn("part", F.coalesce((F.col("t") - F.lag("t").over(w)) * (F.col("side") + F.lag("side").over(w)) / 2, F.lit(0.0)))
-    net = rows.groupBy("clip_id", "t0", "t1").agg(F.degrees(F.max_by("yaw", "t") - F.min_by("yaw", "t")).alias("net"), F.sum("part").alias("lat"), F.count(F.lit(1)).alias("n"))
+    masks = {"decelerate": F.col("ax") < th.decel_ax, "accelerate": F.col("ax") > th.accel_ax, "stop": F.col("speed") < th.stop_speed, "turn": F.abs("yaw_rate") > th.turn_yaw_rate}
+    run = ["clip_id", "kind", "run"]
+    w = Window.partitionBy(*run).orderBy("t")
+    rows = series.hits(s, K, ["t"], masks, ["t", "yaw", "speed"])
+    rows = rows.withColumn("side", F.col("speed") * F.sin(F.col("yaw") - F.first("yaw").over(w)))
+    rows = rows.withColumn("part", F.coalesce((F.col("t") - F.lag("t").over(w)) * (F.col("side") + F.lag("side").over(w)) / 2, F.lit(0.0)))
+    spells = rows.groupBy(*run).agg(
+        F.min("t").alias("t0"), F.max("t").alias("t1"), F.degrees(F.max_by("yaw", "t") - F.min_by("yaw", "t")).alias("net"), F.sum("part").alias("lat")
+    )
+    spells = spells.where(F.col("t1") - F.col("t0") >= th.min_event_sec)
     if road is not None:
-        net = net.join(road, ["clip_id", "t0", "t1"], "left").withColumn("net", F.col("net") - F.coalesce("road_deg", F.lit(0.0))).drop("road_deg")
+        spells = spells.join(road, ["clip_id", "t0", "t1"], "left").withColumn("net", F.col("net") - F.coalesce("road_deg", F.lit(0.0))).drop("road_deg")
     big = F.abs("net") >= th.turn_heading_deg
     small = (F.abs("net") <= th.lane_change_heading_max_deg) & F.abs("lat").between(th.lane_change_lateral_min, th.lane_change_lateral_max)
-    kind = F.when(big, F.when(F.col("net") > 0, "turn_left").otherwise("turn_right")).when(small, F.when(F.col("lat") > 0, "lane_change_left").otherwise("lane_change_right"))
-    found.append(net.withColumn("kind", kind).where("kind is not null"))
-    every = found[0].select("clip_id", "kind", "t0", "t1")
-    for f in found[1:]:
-        every = every.unionByName(f.select("clip_id", "kind", "t0", "t1"))
+    turned = F.when(big, F.when(F.col("net") > 0, "turn_left").otherwise("turn_right")).when(small, F.when(F.col("lat") > 0, "lane_change_left").otherwise("lane_change_right"))
+    every = spells.select("clip_id", F.when(F.col("kind") == "turn", turned).otherwise(F.col("kind")).alias("kind"), "t0", "t1").where("kind is not null")
     merged = series.merge(every, ["clip_id", "kind"], th.merge_gap_sec)
-    return merged.select("clip_id", "kind", F.round("t0", 2).alias("t0"), F.round("t1", 2).alias("t1"), F.round((F.col("t0") + F.col("t1")) / 2, 2).alias("center"))
+    return merged.select("clip_id", "kind", F.bround("t0", 2).alias("t0"), F.bround("t1", 2).alias("t1"), F.bround((F.col("t0") + F.col("t1")) / 2, 2).alias("center"))
 
 
 def agent_events(points: DataFrame, classes: dict[str, str] = rules.DETECTION_TYPES, th: Thresholds = DEFAULT) -> DataFrame:
@@ -69,7 +67,7 @@ def agent_events(points: DataFrame, classes: dict[str, str] = rules.DETECTION_TY
         F.count(c(F.lit(1))).alias("n"),
         F.min(c(F.col("t"))).alias("t0"),
         F.max(c(F.col("t"))).alias("t1"),
-        F.round(F.min(c(F.col("x"))), 1).alias("min_dist"),
+        F.bround(F.min(c(F.col("x"))), 1).alias("min_dist"),
         F.min(c(F.abs("y"))).alias("min_y"),
     )
     g = g.where((F.col("n") >= th.corridor_min_points) & (F.col("t1") - F.col("t0") >= th.corridor_min_sec))
@@ -88,8 +86,25 @@ def agent_events(points: DataFrame, classes: dict[str, str] = rules.DETECTION_TY
     return intervals.suppress(out, ["clip_id", "object_type", "role"], ["min_dist", "t0", "track_id"])
 
 
+def _with_ego(df: DataFrame, ego: DataFrame, key: list[str], spans: dict[str, tuple[str, str]]) -> DataFrame:
+    """Each row of df, one a key, with the least and mean speed and the heading change of the ego series in each span; one join for all."""
+    e = ego.select(F.col("clip_id").alias("_c"), F.col("t").alias("_t"), F.col("speed").alias("_s"), F.col("yaw").alias("_y"))
+    ends = [F.col(c) for c, _ in spans.values()], [F.col(c) for _, c in spans.values()]
+    joined = df.join(e, (F.col("clip_id") == F.col("_c")) & F.col("_t").between(F.least(*ends[0]), F.greatest(*ends[1])), "left")
+    aggs = []
+    for tag, (a, b) in spans.items():
+        inside = lambda c, a=a, b=b: F.when(F.col("_t").between(F.col(a), F.col(b)), F.col(c))
+        turn = F.abs(F.degrees(F.max_by("_y", inside("_t")) - F.min_by("_y", inside("_t"))))
+        aggs += [F.min(inside("_s")).alias(f"{tag}_min"), F.avg(inside("_s")).alias(f"{tag}_mean"), turn.alias(f"{tag}_turn")]
+    names = [*key, *(c for c, kind in df.dtypes if kind == "string" and c not in key)]  # one value a key; hash aggregation holds no strings
+    return joined.groupBy(*names).agg(*(F.first(c).alias(c) for c in df.columns if c not in names), *aggs)
+
+
 def taxonomy(tracks: DataFrame, ego: DataFrame, events: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
-    """(clip_id, cat, t0, t1): interaction categories from tracks (…, t, x, y, yaw, cls), the ego series and ego events."""
+    """(clip_id, cat, t0, t1): interaction categories from tracks (…, t, x, y, yaw, cls), the ego series and ego events.
+
+    The series and the events are read several times: give written tables.
+    """
     key = ["clip_id", "track_id"]
     enough = Window.partitionBy(*key)
     p = tracks.withColumn("_n", F.count(F.lit(1)).over(enough)).where(F.col("_n") >= th.min_track_points).drop("_n")
@@ -117,14 +132,9 @@ def taxonomy(tracks: DataFrame, ego: DataFrame, events: DataFrame, th: Threshold
         F.min_by("v", on("corridor", t)).alias("v_first"), F.max_by("v", on("corridor", t)).alias("v_last"),
     )
 
-    def with_ego(df: DataFrame, a: str, b: str, tag: str) -> DataFrame:
-        r = df.select("clip_id", "track_id", F.col(a).alias("t0"), F.col(b).alias("t1")).where("t0 is not null")
-        speeds = aggregates.range_stats(r, ego, K, "t", "speed").select("clip_id", "track_id", F.col("min_value").alias(f"{tag}_min"), F.col("mean_value").alias(f"{tag}_mean"))
-        turn = aggregates.range_stats(r, ego, K, "t", "yaw").select("clip_id", "track_id", F.abs(F.degrees("net_value")).alias(f"{tag}_turn"))
-        return df.join(speeds, key, "left").join(turn, key, "left")
-
-    g = with_ego(with_ego(with_ego(g, "n0", "n1", "near_ego"), "c0", "c1", "cor_ego"), "a0", "a1", "ahead_ego")
-    kind = rules.object_type(F.col("cls"), rules.DETECTION_TYPES)
+    g = _with_ego(g, ego, key, {"near_ego": ("n0", "n1"), "cor_ego": ("c0", "c1"), "ahead_ego": ("a0", "a1")})
+    g = g.withColumn("kind", rules.object_type(F.col("cls"), rules.DETECTION_TYPES))
+    kind = F.col("kind")
     ped, cyc = kind == "pedestrian", kind.isin("bicycle_micromobility", "motorcycle")
     is_near, vehicle = F.col("nn") > 0, ~kind.isin("pedestrian", "bicycle_micromobility", "motorcycle", "other")
     crossing = ((F.col("near_y") < th.corridor_half) & (F.col("near_ptp") > 2.0) & (F.col("nn") > 1)) | (F.col("near_y") < th.cut_in_to)

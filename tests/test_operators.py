@@ -244,6 +244,13 @@ def test_ego_events_from_a_drive(spark):
     assert "ped_crossing" in cats and "decel_at_intersection" in cats
 
 
+def test_hits_are_the_rows_of_all_runs(spark):
+    df = spark.createDataFrame([("a", 0, 1, 9), ("a", 1, 1, 0), ("a", 2, None, 9), ("a", 3, 1, 9), ("b", 0, 0, 0)], "k string, t int, x int, y int")
+    found = series.hits(df, ["k"], ["t"], {"one": F.col("x") == 1, "nine": F.col("y") == 9}, ["t"])
+    runs = found.groupBy("k", "kind", "run").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"))
+    assert sorted((r.k, r.kind, r.t0, r.t1, r.n) for r in runs.collect()) == [("a", "nine", 0, 0, 1), ("a", "nine", 2, 3, 2), ("a", "one", 0, 1, 2), ("a", "one", 3, 3, 1)]
+
+
 def test_window_selection(spark):
     w = spark.createDataFrame(
         [("x", "c1", 0.0, ["stop", "decelerate"], -5.0, True, 0.5), ("x", "c1", 5.0, ["turn_left", "stop"], 0.0, False, 0.5), ("x", "c2", 0.0, [], 0.0, False, None)],
