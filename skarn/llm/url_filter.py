@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import materialise
+from skarn.llm.common import materialise, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of all levels of a cascade together, 32 MB.
@@ -67,11 +67,8 @@ class Level:
     def has(self, key: Column) -> Column:
         n = -(-self.bits // 64)
         table = F.split(F.lit(",".join(str(self.words.get(i, 0)) for i in range(n))), ",").cast("array<bigint>")  # folded to a literal
-        out = F.lit(True)
-        for p in self._places(key):
-            word = F.get(table, F.shiftright(p, 6).cast("int"))
-            out = out & (word.bitwiseAND(_single(F.pmod(p, F.lit(64)).cast("int"))) != 0)
-        return out
+        hit = lambda p: F.get(table, F.shiftright(p, 6).cast("int")).bitwiseAND(_single(F.pmod(p, F.lit(64)).cast("int"))) != 0
+        return F.forall(F.array(*self._places(key)), hit)  # the table stands in the plan once, not once a hash
 
 
 def _single(bit: Column) -> Column:
@@ -106,16 +103,22 @@ class Cascade:
         return out
 
 
-def build(universe: DataFrame, listed: DataFrame, seed: int = 0) -> Cascade:
-    """universe: (key) distinct; listed: (key). Keys that are listed but not of the universe are never asked for."""
-    marked = universe.select("key", F.lit(0).alias("is_listed")).unionByName(listed.select("key", F.lit(2).alias("is_listed")))
-    marked = marked.groupBy("key").agg(F.max("is_listed").alias("m"), F.min("is_listed").alias("u")).where(F.col("u") == 0)
-    marked = materialise(marked.select("key", (F.col("m") == 2).alias("is_listed")), "keys")
-    sizes = {r["is_listed"]: r["count"] for r in marked.groupBy("is_listed").count().collect()}
-    n_in, n_out = sizes.get(True, 0), sizes.get(False, 0)
-    if not n_in:
-        return Cascade([])
-    inside, outside = marked.where("is_listed"), marked.where(~F.col("is_listed"))
+def marked(keys: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """(key, one boolean a list): the different keys that are asked for, and which lists hold each. keys, lists: (key); one shuffle for all."""
+    every = keys.select("key", F.lit(True).alias("asked"), *(F.lit(False).alias(n) for n in lists))
+    for name, listed in lists.items():
+        every = every.unionByName(listed.select("key", F.lit(False).alias("asked"), *(F.lit(n == name).alias(n) for n in lists)))
+    held = every.groupBy("key").agg(F.bool_or("asked").alias("asked"), *(F.bool_or(n).alias(n) for n in lists))
+    return held.where("asked").drop("asked")
+
+
+def cascades(universe: DataFrame, seeds: dict[str, int]) -> dict[str, Cascade]:
+    """A cascade for each list, with the seed of its hashes. universe: as ``marked`` makes it, in a written table, as every level reads it."""
+    sizes = universe.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(name)).alias(f"n_{name}") for name in seeds)).collect()[0]
+    return {name: _cascade(universe.where(name), universe.where(~F.col(name)), sizes[f"n_{name}"], sizes["n"] - sizes[f"n_{name}"], seed) for name, seed in seeds.items()}
+
+
+def _cascade(inside: DataFrame, outside: DataFrame, n_in: int, n_out: int, seed: int) -> Cascade:
     levels: list[Level] = []
     while n_in:
         miss = 0.5 if levels else min(0.5, max(1e-9, math.sqrt(0.5) * n_in / max(1, n_out)))
@@ -126,6 +129,14 @@ def build(universe: DataFrame, listed: DataFrame, seed: int = 0) -> Cascade:
     return Cascade(levels)
 
 
+def build(universe: DataFrame, listed: DataFrame, seed: int = 0) -> Cascade:
+    """universe, listed: (key), repeats allowed. Keys that are listed but not of the universe are never asked for."""
+    held = materialise(marked(universe, {"listed": listed}), "keys")
+    made = cascades(held, {"listed": seed})["listed"]
+    release(held)
+    return made
+
+
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict) of every row. rules: (key, verdict), with "allow" or "block"."""
     host, path = host_and_path(F.col(f"`{url_col}`"))
@@ -133,10 +144,12 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     spans = rules.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().orderBy("n").collect()  # lengths of rules' paths
     lengths = [r["n"] for r in spans]
     keys = keys_of(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
-    universe = materialise(parted.select(F.explode(keys).alias("key")).distinct(), "universe")
-    block = build(universe, rules.where(F.col("verdict") == "block").select("key"), 1)
-    allow = build(universe, rules.where(F.col("verdict") == "allow").select("key"), 500_001)
+    lists = {v: rules.where(F.col("verdict") == v).select("key") for v in ("block", "allow")}
+    universe = materialise(marked(parted.select(F.explode(keys).alias("key")), lists), "universe")
+    found = cascades(universe, {"block": 1, "allow": 500_001})
+    release(universe)
+    block, allow = found["block"], found["allow"]
     fit = F.filter(keys, lambda k: block.has(k) | allow.has(k))
-    found = parted.select("id", "host", "path", F.explode_outer(F.array(F.get(fit, F.lit(0)))).alias("rule"))
+    ruled = parted.select("id", "host", "path", F.explode_outer(F.array(F.get(fit, F.lit(0)))).alias("rule"))
     verdict = F.when(F.col("rule").isNull(), "allow").when(block.has(F.col("rule")), "block").otherwise("allow")
-    return found.withColumn("verdict", verdict)
+    return ruled.withColumn("verdict", verdict)
