@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import bpe, classifier, fingerprints, html_text, packing, quality_rules, sharding, simhash, substrings, url_filter
+from skarn.llm import ball_tree, bpe, classifier, fill_middle, fingerprints, html_text, packing, quality_rules, sharding, simhash, substrings, url_filter
 from skarn.llm.common import table
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -83,6 +83,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_tree.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.drop("centroid").withColumnRenamed("id", "vec_id")
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,9 +105,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_substring_dedup,
         op10_quality_classifier,
+        op12_ball_tree,
+        op13_fill_middle,
     )
 }
 
+
+
+def _rounds_sql(rounds: int = ball_tree.ROUNDS, k: int = ball_tree.CENTROIDS) -> str:
+    """The clustering with each round written out: all distances to all centroids."""
+    near = """
+        a{r} AS (
+            SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d
+            FROM (SELECT row, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x, m{r})
+            GROUP BY row
+        )"""
+    move = """
+        s{n} AS (
+            SELECT c, i, floor(sum(v[i])::HUGEINT / count(*))::BIGINT AS e
+            FROM (SELECT c, v, unnest(range(1, 65)) AS i FROM a{r} JOIN x USING (row)) GROUP BY c, i
+        ), m{n} AS (
+            SELECT m{r}.c, coalesce(got.m, m{r}.m) AS m FROM m{r} LEFT JOIN (SELECT c, list(e ORDER BY i) AS m FROM s{n} GROUP BY c) got ON got.c = m{r}.c
+        )"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [move.format(r=r, n=r + 1), near.format(r=r + 1)]
+    return f"""
+        WITH x AS (
+            SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id) AS row
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+        ), m0 AS (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v AS m FROM x ORDER BY c LIMIT {k}
+        ), {", ".join(steps)}
+        SELECT vec_id, a.c::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+               (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN x USING (row) JOIN m{rounds} USING (c)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op4_url_filter": r"""
         WITH a AS (
@@ -136,4 +180,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
     """,
+    "op12_ball_tree": _rounds_sql(),
+    "op13_fill_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents
+        ), n AS (
+            SELECT *, len(u) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d
+        ), f AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n
+        ), p AS (
+            SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle,
+                   coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM f
+        )
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
