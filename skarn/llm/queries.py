@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import ball_tree, bpe, classifier, fill_middle, fingerprints, html_text, packing, quality_rules, sharding, simhash, substrings, url_filter
+from skarn.llm import ball_tree, bpe, classifier, fill_middle, fingerprints, html_text, packing, quality_rules, sharding, simhash, substrings, token_files, url_filter
 from skarn.llm.common import table
+from skarn.tables import folder
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -83,6 +84,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = folder(spark, "planes")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), where)
+    read = token_files.read_tokens(spark, where)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ball_tree.cluster_vectors(table(spark, sf_dir, "embeddings"))
     return found.drop("centroid").withColumnRenamed("id", "vec_id")
@@ -105,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_substring_dedup,
         op10_quality_classifier,
+        op11_token_planes,
         op12_ball_tree,
         op13_fill_middle,
     )
