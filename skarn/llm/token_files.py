@@ -14,16 +14,16 @@ task leaves nothing that a reader sees. It also holds where each file's tokens s
 record a file is what comes to the driver.
 
 Defined results: a null or empty text is the end id alone; documents stand in ascending id, null ids first, those of one id
-by a hash of their tokens, so rows alike in both have no order that shows; repeated rows are written each; an empty table
+by a hash of their text, so rows alike in both have no order that shows; repeated rows are written each; an empty table
 gives a folder without files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import os
-import re
 import uuid
 import zlib
 from array import array
@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -42,19 +43,19 @@ from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from skarn.llm.bpe import read_definition
-from skarn.llm.common import claim, materialise, pick, release, slices
+from skarn.llm.common import claim, pick, slices
 from skarn.llm.packing import MARKS
 
 MAGIC, MANIFEST, END_ID = b"BPLANES1", "_manifest.json", 0
-#: Ids of a block, documents of a group, tokens of a file (about), and of what a reader gives out at once.
-BLOCK, GROUP, FILE_TOKENS, TOKENS_AT_ONCE = 65_536, 16_384, 64_000_000, 1_000_000
+#: Ids of a block, documents of a group, bytes of text in a file (about), and tokens that a reader gives out at once.
+BLOCK, GROUP, FILE_BYTES, TOKENS_AT_ONCE = 65_536, 16_384, 128_000_000, 1_000_000
 LEVEL = 3
 
 
 # --- planes ---------------------------------------------------------------------------------------------------------
 
 
-def planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
+def planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
     """The planes of a block's ids, lowest first; none above the largest id's highest bit or byte."""
     most = int(ids.max(initial=0))
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
@@ -63,7 +64,7 @@ def planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
     return [np.packbits(raw[:, k // 8] >> (k % 8) & 1, bitorder="little").tobytes() for k in range(most.bit_length())]
 
 
-def ids_of(parts: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
+def ids_of(parts: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
     """The ids whose planes these are."""
     raw = np.zeros((n, 4), np.uint8)
     for k, p in enumerate(parts):
@@ -77,7 +78,7 @@ def ids_of(parts: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
 class FileWriter:
     """Writes documents one after the other to a binary stream."""
 
-    def __init__(self, out, id_type: pa.DataType, kind: str = "bit", block: int = BLOCK, group: int = GROUP) -> None:
+    def __init__(self, out, id_type: pa.DataType, kind: str = "byte", block: int = BLOCK, group: int = GROUP) -> None:
         self.out, self.kind, self.block, self.group = out, kind, block, group
         self.schema = pa.schema([("id", id_type), ("n", pa.int64())])
         self.press = zstandard.ZstdCompressor(level=LEVEL)
@@ -233,18 +234,26 @@ class PlaneWriter(DataSourceArrowWriter):
     options: dict[str, str] = field(default_factory=dict)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        claim("token_files", _coders.clear)
         part = TaskContext.get().partitionId()
         name, writer, out = f"part-{part:08d}-{uuid.uuid4().hex}.planes", None, None
-        unit = self.options.get("unit", "<u4")
+        unit, coder, end = self.options.get("unit", "<u4"), None, b""
+        if "tokenizer" in self.options:
+            coder = _coder(self.options["tokenizer"])
+            unit = coder.unit
+            end = np.array([int(self.options.get("endid", END_ID))], unit).tobytes()
         where, folder = _place(self.path)
         for b in iterator:
-            for some in slices([b], 1, 1 << 30):
+            for some in slices([b], 1, TEXTS_AT_ONCE):
                 if writer is None:
                     where.create_dir(folder, recursive=True)
                     out = where.open_output_stream(f"{folder}/{name}")
-                    writer = FileWriter(out, some.schema.field(0).type, self.options.get("planes", "bit"))
-                texts = some.column(1).to_pylist()
-                writer.add(some.column(0), np.array([len(t) // np.dtype(unit).itemsize for t in texts], np.int64), np.frombuffer(b"".join(texts), unit))
+                    writer = FileWriter(out, some.schema.field(0).type, self.options.get("planes", "byte"))
+                ids = some.column(1).to_pylist()
+                if coder:
+                    ids = coder.encode(ids)
+                lengths = np.array([len(i) + len(end) for i in ids], np.int64) // np.dtype(unit).itemsize
+                writer.add(some.column(0), lengths, np.frombuffer(b"".join(i + end for i in ids), unit))
         if writer is None:
             return Written(part, "", 0, 0)
         writer.close()
@@ -294,7 +303,8 @@ class PlaneReader(DataSourceReader):
 class TokenPlanes(DataSource):
     """``spark.read.format("token_planes").load(folder)``: id, start, n_tokens, ids (little-endian, 4 bytes each).
 
-    Written are (id, ids binary) in the order of partitions; options unit (<u2 or <u4, how ``ids`` are given) and planes (bit, byte).
+    Written are, in the order of partitions, (id, ids binary), with the option unit (<u2 or <u4, how ``ids`` are given), or (id, text),
+    with the option tokenizer (its JSON definition) and endid, an id behind each text. planes is bit or byte.
     """
 
     @classmethod
@@ -312,7 +322,7 @@ class TokenPlanes(DataSource):
         where, folder = _place(path)
         if not overwrite and where.get_file_info(f"{folder}/{MANIFEST}").type != fs.FileType.NotFound:
             raise ValueError(f"{path} holds token files already")
-        return PlaneWriter(path, schema, {k: self.options[k] for k in ("unit", "planes") if k in self.options})
+        return PlaneWriter(path, schema, {k: self.options[k] for k in ("unit", "planes", "tokenizer", "endid") if k in self.options})
 
 
 def tokens_between(path: str, start: int, stop: int) -> np.ndarray:
@@ -329,11 +339,20 @@ def tokens_between(path: str, start: int, stop: int) -> np.ndarray:
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 #: Strings between blanks that a worker remembers, and documents it holds at once.
-REMEMBERED, TEXTS_AT_ONCE = 900_000, 400
+REMEMBERED, TEXTS_AT_ONCE = 700_000, 1_000
 #: Up to here what counts as a letter does not depend on the version of Unicode.
 LATIN_GREEK_CYRILLIC = "\u052f"
-#: Other white space than the blank and the line end, and runs of blanks: texts with them go to the library whole.
-_WHOLE = re.compile(r"^ | (?=[ \n])|[^\S \n]|[\x1c-\x1f\x85\u180e]")
+#: Stands before a text's first word, which no blank precedes.
+FIRST = "\0"
+#: White space other than the blank and the line end, and what a blank may not stand before: texts with any of it go to the library whole.
+_RARE = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_RARE_WIDE = "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _cuttable(text: str) -> bool:
+    if "  " in text or " \n" in text or text[:1] == " " or any(c in text for c in _RARE):
+        return False
+    return text.isascii() or not any(c in text for c in _RARE_WIDE)
 
 
 def _byte_letters() -> list[str]:
@@ -376,8 +395,8 @@ class Coder:
         written = pre_token.replace(" ", "Ġ") if pre_token.isascii() else pre_token.encode().decode("latin-1").translate(self.letters)
         return array(self.array, [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Remember words (without their blank in front) and what they are made of; marks stand under a leading tab."""
+    def _learn(self, new: list[str]) -> None:
+        """Remember words and what they are made of. A word stands for itself with a blank in front; marks stand under a leading tab."""
         known, left, pack = self.known, [], self._model
         for c in new:
             stem = c.rstrip(MARKS)
@@ -391,77 +410,70 @@ class Coder:
                 if (more := known.get(marks)) is None:
                     more = known[marks] = self.whole([marks[1:]])[0]
                 known[c] = ids + more
-        known.update(zip(left, self.whole([" " + c for c in left]), strict=True))
+        known.update(zip(left, self.whole([c[1:] if c[:1] == FIRST else " " + c for c in left]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, in ``unit``."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut, rest = [], []
-        for k, t in enumerate(texts):
-            t = t or ""
-            if self.by_word and not _WHOLE.search(t) and not any(s in t for s in self.special):
-                cut.append((k, t.split(" ")))
-            else:
-                rest.append(k)
-        for k, ids in zip(rest, self.whole([texts[k] or "" for k in rest]), strict=True):
-            out[k] = ids
-        self._cut(cut, out)
-        return out
-
-    def _cut(self, cut: list[tuple[int, list[str]]], out: list[bytes | None]) -> None:
-        new = set().union(*(c[1:] for _, c in cut)).difference(self.known)
+        texts = [t or "" for t in texts]
+        fine = [self.by_word and _cuttable(t) and not any(s in t for s in self.special) for t in texts]
+        cut, rest = iter(self._cut([t for t, f in zip(texts, fine, strict=True) if f])), iter(self.whole([t for t, f in zip(texts, fine, strict=True) if not f]))
+        return [next(cut) if f else next(rest) for f in fine]
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Arrow cuts the texts and finds their different words; these are looked up once, and numpy puts the ids in place."""
+        if not texts:
+            return []
+        words = pc.split_pattern(pa.array([FIRST + t for t in texts]), " ")
+        coded = words.flatten().dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        new = [w for w in different if w not in self.known]
         if len(self.known) + 2 * len(new) > REMEMBERED:
-            if len(cut) > 1 and 2 * len(new) > REMEMBERED:  # too many words of their own for one go
-                half = len(cut) // 2
-                self._cut(cut[:half], out)
-                self._cut(cut[half:], out)
-                return
+            if len(texts) > 1 and 2 * len(different) > REMEMBERED:  # too many words of their own for one go
+                half = len(texts) // 2
+                return self._cut(texts[:half]) + self._cut(texts[half:])
             self.known.clear()
-            new = set().union(*(c[1:] for _, c in cut))
+            new = different
         self._learn(new)
-        first = self.whole([c[0] for _, c in cut])  # nothing stands before it
-        get = self.known.__getitem__
-        for (k, c), begin in zip(cut, first, strict=True):
-            out[k] = begin + b"".join(map(get, c[1:]))
+        ids = [self.known[w] for w in different]
+        size = np.dtype(self.unit).itemsize
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        flat, starts = np.frombuffer(b"".join(ids), self.unit), np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        own = lengths[at]
+        ends = np.cumsum(own)
+        total = int(ends[-1])
+        data = flat[np.arange(total) + np.repeat(starts[at] - (ends - own), own)].tobytes()
+        bounds = (size * np.concatenate([[0], ends])[words.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _coders: dict[str, Coder] = {}
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> tuple[DataFrame, str]:
-    """(id, n, ids binary) of every document, its end id included, and the unit of ``ids``."""
-    definition = read_definition(path)
-    shipped = docs.sparkSession.sparkContext.broadcast(definition)
-    unit = Coder(definition).unit
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("token_files", _coders.clear)
-        coder = _coders.get("") or _coders.setdefault("", Coder(shipped.value))
-        end = coder._pack([end_id])
-        for part in slices(batches, 1, TEXTS_AT_ONCE):
-            ids = [i + end for i in coder.encode(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n", "ids"])
-
-    slim = pick(docs, id=id_col, text=text_col)
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, n long, ids binary"), unit
+def _coder(definition: str) -> Coder:
+    """The worker's coder of this vocabulary; one is kept."""
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = Coder(definition)
+    return _coders[key]
 
 
-def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, kind: str = "bit") -> None:
+def write_tokens(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, kind: str = "byte") -> None:
     """Write the documents' ids to ``folder``, in ascending order of their id.
 
-    Encoded rows are written once and dealt by ranges of (id, hash of tokens, place), so that rows of one id, or alike, are
-    dealt to several tasks where they are many.
+    Texts are dealt by ranges of (id, hash of text, place), so that rows of one id, or alike, are dealt to several tasks where
+    they are many; a task sorts its range, encodes it and writes it as it goes. Nothing is written in between.
     """
     spark = docs.sparkSession
     spark.dataSource.register(TokenPlanes)
-    rows, unit = encoded(docs, path, id_col, text_col, end_id)
-    rows = materialise(rows, "tokens")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // FILE_TOKENS))
-    keys = [F.col("id"), F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row")]
-    dealt = rows.select(*keys, "ids").repartitionByRange(parts, "id", "hash", "row").sortWithinPartitions("id", "hash", "row")
-    dealt.select("id", "ids").write.format("token_planes").option("unit", unit).option("planes", kind).mode("overwrite").save(folder)
-    release(rows)
+    slim = pick(docs, id=id_col, text=text_col)
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    placed = slim.select("id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), "text")
+    dealt = placed.repartitionByRange(parts, "id", "hash", "row").sortWithinPartitions("id", "hash", "row").select("id", "text")
+    told = {"tokenizer": read_definition(path), "endid": end_id, "planes": kind}  # executors need not see the vocabulary's file
+    dealt.write.format("token_planes").options(**told).mode("overwrite").save(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
