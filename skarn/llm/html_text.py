@@ -4,19 +4,23 @@ A page is read as tags and text, forgiving of unclosed and truncated markup. Tex
 block; scripts, styles and other elements that show no running text are no blocks. Those of raw text (``RAW``) reach to
 their end tag or, as in the HTML standard, to the end of the page; the others (``UNSHOWN``) to the end tag of their own
 depth, and without one they hide nothing; a self-closed svg is empty. Each block has features of its open
-ancestors (tag names; words of class, id and role) and of its text. A two-label chain, content or not, is trained on
-labelled pages by stochastic gradient ascent on the log-likelihood and decoded by Viterbi; content blocks are joined in
-page order.
+ancestors (tag names; words of class, id and role) and of its text. Ancestors differ by what they hold: one around most
+of the page's prose and its first heading is page-wide, and tells less by its name than one around a part, so its
+features are of a kind of their own, and those of html and body do not count; of the others the nearest three count
+apart from the rest; a header or footer inside an article is told from the page's. A two-label chain, content or not, is
+trained on labelled pages by stochastic gradient ascent on the log-likelihood and decoded by Viterbi; content blocks are
+joined in page order.
 
 Labelled pages are a table of one's own, or those of ``labelled_pages``: layouts written here, with invented words.
 
 Defined results: a null or empty page has the empty text; a page without content blocks too; text outside any element is
-a block; repeated rows give repeated rows; null ids stay; an empty table gives an empty table; other columns are ignored.
+a block; a wrapper around the whole page, of whatever tag or class, hides nothing; repeated rows give repeated rows; null ids stay; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,10 +60,27 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORDS = re.compile(r"[A-Za-z]+")
 
 
+#: Elements that make a header or footer inside them one of a part.
+PARTS = frozenset(("article", "main", "section"))
+#: The least length of a block of prose (where a page has any), and the share of all prose that makes an element around the first heading page-wide; without a heading.
+PROSE, WIDE, WIDE_ALONE = 60, 0.5, 0.9
+
+
+@dataclass
+class Element:
+    tag: str
+    names: tuple[str, ...]
+    prose: int = 0
+    blocks: int = 0
+
+
 @dataclass
 class Block:
     text: str
     features: list[str] = field(default_factory=list)
+    within: tuple[Element, ...] = ()
+    in_links: int = 0
+    n_links: int = 0
 
 
 def _unshown(page: str) -> dict[int, int]:
@@ -85,7 +106,7 @@ def _unshown(page: str) -> dict[int, int]:
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with their features."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
     parts: list[str] = []
     links = [0, 0, False]  # characters in links, links, whether inside one
 
@@ -93,7 +114,7 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(Block(text, _features(text, stack, links[0], links[1])))
+            out.append(Block(text, [], tuple(stack), links[0], links[1]))
         links[0] = links[1] = 0
 
     page, at = page or "", 0
@@ -129,40 +150,82 @@ def blocks(page: str | None) -> list[Block]:
         flush()
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].tag == name:
                     del stack[k:]
                     break
             continue
-        while stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(name, ())):
+        while stack and (stack[-1].tag == "p" or stack[-1].tag in CLOSES.get(name, ())):
             stack.pop()
         if name not in EMPTY:
             words: list[str] = []
             if m.group(4):
                 for found in _NAMES.findall(m.group(4)):
                     words += (w.lower() for w in _WORDS.findall(" ".join(found)))
-            stack.append((name, tuple(words)))
+            stack.append(Element(name, tuple(words)))
     flush()
+    _describe(out)
     return out
 
 
-def _features(text: str, stack: list[tuple[str, tuple[str, ...]]], in_links: int, n_links: int) -> list[str]:
-    got = {"bias"}
-    for depth, (tag, names) in enumerate(reversed(stack)):
+def _prose(b: Block) -> int:
+    """The length of a block that reads like running text, else 0."""
+    return len(b.text) if len(b.text) >= PROSE and b.in_links <= 0.3 * len(b.text) and b.text[-1] in ENDS else 0
+
+
+def _describe(page: list[Block]) -> None:
+    """Give every block its features, once all of the page is known."""
+    sizes = [_prose(b) for b in page]
+    if not any(sizes):  # a page of short lines: all that is not links
+        sizes = [len(b.text) if b.in_links <= 0.3 * len(b.text) else 0 for b in page]
+    total = sum(sizes)
+    for b, n in zip(page, sizes, strict=True):
+        for e in b.within:
+            e.prose += n
+            e.blocks += 1
+    headed = next((b for b in page if any(e.tag == "h1" for e in b.within)), None)
+    around = {id(e) for e in headed.within} if headed else set()
+    share = WIDE if headed else WIDE_ALONE
+    wide = {id(e) for b in page for e in b.within if total and e.blocks > 1 and e.prose >= share * total and (not headed or id(e) in around)}
+    for b in page:
+        b.features = _features(b, wide)
+        b.within = ()
+
+
+#: What ends a sentence, or a quotation of one.
+ENDS = ".!?…”\"»)"
+
+
+def _features(b: Block, wide: set[int]) -> list[str]:
+    got, text, depth, inside = {"bias"}, b.text, 0, False
+    tags = []
+    for e in b.within:  # from the outermost
+        tag = f"inner-{e.tag}" if inside and e.tag in ("header", "footer") else e.tag
+        inside |= e.tag in PARTS
+        tags.append((tag, e))
+    for tag, e in reversed(tags):
+        if e.tag in ("html", "body"):
+            continue
+        if id(e) in wide:
+            got.add(f"wide:{tag}")
+            got.update(f"wide-name:{n}" for n in e.names)
+            continue
         got.add(f"in:{tag}")
-        got.update(f"name:{n}" for n in names)
-        if depth < 2:
-            got.add(f"tag{depth}:{tag}")
-    if not stack:
+        got.update(f"name:{n}" for n in e.names)
+        if depth < 3:
+            got.add(f"tag{depth}:{tag}" if depth < 2 else f"near:{tag}")
+            got.update(f"near-name:{n}" for n in e.names)
+        depth += 1
+    if not depth:
         got.add("in:nothing")
     n = len(text)
     words = text.split(" ")
     got.add(f"length:{min(6, n.bit_length() // 2)}")
     got.add(f"words:{min(5, len(words).bit_length())}")
-    share = in_links / n
-    got.add("links:all" if share > 0.8 else "links:some" if share > 0.3 else "links:few" if n_links else "links:none")
-    if text[0] in "©" or "©" in text[:60]:
+    share = b.in_links / n
+    got.add("links:all" if share > 0.8 else "links:some" if share > 0.3 else "links:few" if b.n_links else "links:none")
+    if "©" in text[:60]:
         got.add("copyright")
-    if text[-1] in ".!?…”\"»)":
+    if text[-1] in ENDS:
         got.add("ends")
     if len(words) < 4:
         got.add("short")
@@ -206,7 +269,49 @@ class ChainField:
         return labels[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 25, rate: float = 0.3, penalty: float = 1e-4, seed: int = 7) -> ChainField:
+def _sum(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a))
+
+
+def gradient(model: ChainField, feats: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A page's log-likelihood and its gradient: features and that of their weights, that of the steps, that of the first block's labels.
+
+    ``feats`` are the places of each block's features among the weights.
+    """
+    n, flat = len(feats), np.concatenate(feats)
+    owner = np.repeat(np.arange(n), [len(at) for at in feats])
+    e = np.zeros((n, 2))
+    np.add.at(e, owner, model.weights[flat])
+    (s00, s01), (s10, s11) = model.steps.tolist()
+    rows = e.tolist()
+    ahead = [(model.first[0] + rows[0][0], model.first[1] + rows[0][1])]
+    for x, y in rows[1:]:
+        a, b = ahead[-1]
+        ahead.append((_sum(a + s00, b + s10) + x, _sum(a + s01, b + s11) + y))
+    behind = [(0.0, 0.0)]
+    for x, y in reversed(rows[1:]):
+        a, b = behind[-1]
+        behind.append((_sum(s00 + x + a, s01 + y + b), _sum(s10 + x + a, s11 + y + b)))
+    forward, backward = np.array(ahead), np.array(behind[::-1])
+    total = _sum(*ahead[-1])
+    own = float(model.first[labels[0]] + e[np.arange(n), labels].sum() + model.steps[labels[:-1], labels[1:]].sum() - total)
+    expected = -np.exp(forward + backward - total)
+    expected[np.arange(n), labels] += 1.0
+    pairs = np.zeros((2, 2))
+    if n > 1:
+        both = forward[:-1, :, None] + model.steps[None] + (e[1:] + backward[1:])[:, None, :] - total
+        pairs = -np.exp(both).sum(axis=0)
+        np.add.at(pairs, (labels[:-1], labels[1:]), 1.0)
+    which, at = np.unique(flat, return_inverse=True)
+    up = np.zeros((len(which), 2))
+    np.add.at(up, at, expected[owner])
+    return own, which, up, pairs, expected[0]
+
+
+def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 12, rate: float = 0.3, penalty: float = 1e-4, seed: int = 7) -> ChainField:
     """Stochastic gradient ascent on the chains' log-likelihood, step sizes by AdaGrad; deterministic."""
     names = sorted({f for page, _ in pages for b in page for f in b.features})
     model = ChainField({f: i for i, f in enumerate(names)}, np.zeros((len(names), 2)), np.zeros((2, 2)), np.zeros(2))
@@ -214,38 +319,17 @@ def train(pages: list[tuple[list[Block], list[int]]], epochs: int = 25, rate: fl
     squares = [np.full_like(x, 1e-8) for x in (model.weights, model.steps, model.first)]
     rng = np.random.default_rng(seed)
 
-    def climb(which: int, target: np.ndarray, at, gradient: np.ndarray) -> None:
-        gradient = gradient - penalty * target[at]
-        squares[which][at] += gradient**2
-        target[at] += rate * gradient / np.sqrt(squares[which][at])
+    def climb(which: int, target: np.ndarray, at, up: np.ndarray) -> None:
+        up = up - penalty * target[at]
+        squares[which][at] += up**2
+        target[at] += rate * up / np.sqrt(squares[which][at])
 
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
-            feats, labels = rows[k]
-            n = len(feats)
-            e = np.array([model.weights[at].sum(axis=0) for at in feats])
-            forward, backward = np.empty((n, 2)), np.zeros((n, 2))
-            forward[0] = model.first + e[0]
-            for i in range(1, n):
-                forward[i] = np.logaddexp(*(forward[i - 1][:, None] + model.steps)) + e[i]
-            for i in range(n - 2, -1, -1):
-                backward[i] = np.logaddexp(*(model.steps + e[i + 1] + backward[i + 1]).T)
-            total = np.logaddexp(*forward[-1])
-            expected = -np.exp(forward + backward - total)
-            expected[np.arange(n), labels] += 1.0
-            pairs = np.zeros((2, 2))
-            if n > 1:
-                both = forward[:-1, :, None] + model.steps[None] + (e[1:] + backward[1:])[:, None, :] - total
-                pairs = -np.exp(both).sum(axis=0)
-                np.add.at(pairs, (labels[:-1], labels[1:]), 1.0)
-            grads: dict[int, np.ndarray] = {}
-            for at, g in zip(feats, expected, strict=True):
-                for f in at.tolist():
-                    grads[f] = grads.get(f, 0.0) + g
-            which = np.fromiter(grads, np.int64, len(grads))
-            climb(0, model.weights, which, np.array(list(grads.values())))
+            _, which, up, pairs, first = gradient(model, *rows[k])
+            climb(0, model.weights, which, up)
             climb(1, model.steps, slice(None), pairs)
-            climb(2, model.first, slice(None), expected[0])
+            climb(2, model.first, slice(None), first)
     return model
 
 
@@ -296,19 +380,34 @@ _COMMENTS = [
 _END = [("<footer>", "</footer>"), ('<div class="footer bottom copyright">', "</div>"), ('<div role="contentinfo" id="footer">', "</div>")]
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """Pages of varied layouts with the label of each leaf block, from a seed."""
+_LAYOUT = "col row grid block box item left right inner wrap first last clearfix".split()
+#: Wrappers around a whole page or its middle: tags, and class words that say how the page looks, not what the wrapper holds.
+_WRAP_TAGS = ["div", "div", "div", "section", "form", "center", "main"]
+_WRAP_WORDS = (
+    "wrapper container page site layout grid row col sidebar-right sidebar has-sidebar with-sidebar no-sidebar left-sidebar comments-open comments-closed has-comments nav-fixed fixed-nav"
+    " menu-open navbar-top header-sticky footer-fixed sticky-footer ad-free has-ads cookie-ok promo-page related-on share-enabled modal-open popup-ready widget-area banner-top social-on"
+    " newsletter-page notice-seen search-page login-page post hentry single post-template content body"
+).split()
+
+
+def labelled_pages(n: int = 800, seed: int = 11) -> list[tuple[str, list[int]]]:
+    """Pages of varied layouts with the label of each leaf block, from a seed. Half have wrappers around all, or around the article and what follows."""
     rng = np.random.default_rng(seed)
 
     def word() -> str:
-        return "".join(rng.choice(_SYLLABLES, rng.integers(1, 4)))
+        return "".join(_SYLLABLES[i] for i in rng.integers(0, len(_SYLLABLES), rng.integers(1, 4)).tolist())
 
     def phrase(lo: int, hi: int, end: str = "") -> str:
-        words = [word() for _ in range(rng.integers(lo, hi))]
-        return " ".join(words).capitalize() + end
+        sizes = rng.integers(1, 4, rng.integers(lo, hi)).tolist()
+        parts = iter(rng.integers(0, len(_SYLLABLES), sum(sizes)).tolist())
+        return " ".join("".join(_SYLLABLES[next(parts)] for _ in range(k)) for k in sizes).capitalize() + end
 
     def one(options: list) -> tuple[str, str]:
-        return options[rng.integers(len(options))]
+        """One of the containers, now and then with a word of layout among its classes."""
+        a, b = options[rng.integers(len(options))]
+        if a.count(' class="') == 1 and rng.random() < 0.3:
+            a = a.replace(' class="', f' class="{_LAYOUT[rng.integers(len(_LAYOUT))]} ')
+        return a, b
 
     out = []
     for k in range(n):
@@ -319,7 +418,8 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
             labels.append(label)
 
         def surrounding(pair: tuple[str, str]) -> None:
-            page.append(pair[0])
+            deep = int(rng.integers(0, 3)) if rng.random() < 0.4 else 0
+            page.append(pair[0] + "<div class='inner'>" * deep)
             kind = rng.integers(4)
             if kind == 0:  # bare text
                 add(phrase(2, 40, "." if rng.random() < 0.7 else ""), 0)
@@ -327,7 +427,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
                 tag = ("p", "div", "li", "h3", "h4")[rng.integers(5)]
                 body = phrase(1, 40, "." if rng.random() < 0.6 else "")
                 add(f"<{tag}>{f'<a href=/x>{body}</a>' if kind == 1 else body}</{tag}>", 0)
-            page.append(pair[1])
+            page.append("</div>" * deep + pair[1])
 
         def menu() -> None:
             pair = one(_MENU)
@@ -336,6 +436,13 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
                 add(f"<li><a href='/{word()}'>{phrase(1, 3)}</a></li>", 0)
             page.append("</ul>" * (k % 2) + pair[1])
 
+        def wrapper() -> tuple[str, str]:
+            tag, words = _WRAP_TAGS[rng.integers(len(_WRAP_TAGS))], rng.choice(_WRAP_WORDS, rng.integers(0, 4))
+            kind = "id" if rng.random() < 0.2 else "class"
+            return f"<{tag}{f' {kind}="{' '.join(words)}"' if len(words) else ''}>", f"</{tag}>"
+
+        around = [wrapper() for _ in range(rng.integers(1, 3))] if rng.random() < 0.5 else []
+        page.extend(w for w, _ in around)
         if rng.random() < 0.3:
             page.append("<header class=masthead>")
             add(f"<{'h1' if k % 3 else 'div'}>{phrase(1, 5)}</{'h1' if k % 3 else 'div'}>", 0)
@@ -344,10 +451,16 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
             menu()
         for _ in range(rng.integers(0, 3)):
             surrounding(one(_AROUND))
-        pair = one(_MAIN) if rng.random() < 0.92 else ("", "")
-        page.append(pair[0])
+        middle = wrapper() if rng.random() < 0.3 else ("", "")
+        pair = one(_MAIN) if rng.random() < (0.7 if middle[0] else 0.92) else ("", "")
+        page.append(middle[0] + pair[0])
         if rng.random() < 0.85:
+            headed = rng.random() < 0.3
+            page.append("<header>" * headed)
             add(f"<h1>{phrase(1, 10, '.' if rng.random() < 0.3 else '')}</h1>", 1)
+            if headed and rng.random() < 0.5:
+                add(f"<p>{phrase(2, 12, '.' if rng.random() < 0.5 else '')}</p>", 1)
+            page.append("</header>" * headed)
         for i in range(rng.integers(1, 16)):
             kind = rng.random()
             if kind < 0.72:
@@ -371,17 +484,32 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
         if rng.random() < 0.4:
             comments = one(_COMMENTS)
             page.append(comments[0])
+            if rng.random() < 0.4:
+                add(f"<h3>{phrase(1, 4)}</h3>", 0)
             for _ in range(rng.integers(1, 5)):
                 tag = ("p", "div", "li")[rng.integers(3)]
+                own = rng.random() < 0.4
+                page.append("<div class='comment-body'>" * own)
+                if own:
+                    add(f"<div>{phrase(1, 3)}</div>", 0)
                 add(f"<{tag}>{phrase(1, 50, '.')}</{tag}>", 0)
+                page.append("</div>" * own)
             page.append(comments[1])
         for _ in range(rng.integers(0, 3)):
             surrounding(one(_AROUND))
         if inside:
             page.append(pair[1])
+        page.append(middle[1])
         if rng.random() < 0.85:
             end = one(_END)
-            add(f"{end[0]}{'&copy; ' if rng.random() < 0.7 else ''}{phrase(1, 12, '.' if rng.random() < 0.5 else '')}{end[1]}", 0)
+            page.append(end[0])
+            for i in range(rng.integers(1, 4)):
+                tag = ("", "", "p", "div", "li")[rng.integers(5)] if i == 0 else ("p", "div", "li")[rng.integers(3)]
+                line = ("&copy; " if i == 0 and rng.random() < 0.7 else "") + phrase(1, 12, "." if rng.random() < 0.5 else "")
+                line = f"<a href=/z>{line}</a>" if rng.random() < 0.3 else line
+                add(f"<{tag}>{line}</{tag}>" if tag else line, 0)
+            page.append(end[1])
+        page.extend(w for _, w in reversed(around))
         out.append(("".join(page) + "</body></html>", labels))
     return out
 
@@ -389,7 +517,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
 _fitted: dict[tuple[int, int], ChainField] = {}
 
 
-def default_model(n: int = 240, seed: int = 11) -> ChainField:
+def default_model(n: int = 800, seed: int = 11) -> ChainField:
     """The chain trained on ``labelled_pages``; the driver trains it once."""
     if (n, seed) not in _fitted:
         rows = []
