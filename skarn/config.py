@@ -54,10 +54,25 @@ class Thresholds:
     # fixed values: causes, gate, lanes, selection
     cause_after_onset: float = 1.0
     cause_before_onset: float = 1.5
+    cause_crossing_m: float = 15.0
+    cause_preceding_m: float = 30.0
     gate_proximity_m: float = 45.0
     lane_width_min: float = 2.5
     lane_width_max: float = 4.5
     lane_valid_share: float = 0.5
+    lane_ref_ahead: float = 8.0
+    lane_reach: float = 6.0
+    tangent_near: float = 5.0
+    tangent_far: float = 30.0
+    cut_in_ahead: float = 45.0
+    crossed_margin: float = 0.4
+    path_half: float = 1.6
+    straight_deg: float = 8.0
+    corridor_cut_ahead: float = 40.0
+    corridor_adjacent: float = 3.0
+    corridor_entered: float = 1.5
+    corridor_approach: float = 1.5
+    offset_ahead: float = 35.0
     reactivity_floor: float = 1.0
     windows_per_clip: int = 3
     window_bonus: float = 0.15

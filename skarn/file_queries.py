@@ -214,24 +214,6 @@ def with_manual_rows(spark: SparkSession, d: str) -> DataFrame:
     return x.unionByName(manual)
 
 
-@query(f"""WITH {EV}, o AS (SELECT user_id, event_type, t, event_id, CASE WHEN value < 15 THEN 'L' WHEN value < 30 THEN 'R' WHEN value < 80 THEN 'in' ELSE '?' END AS state FROM ev),
- q AS (SELECT user_id, event_type, list_filter(list(state ORDER BY t, event_id), lambda x: x <> '?') AS s FROM o GROUP BY 1, 2)
- SELECT user_id, event_type, list_position(s, 'in') > 1 AND s[1] IN ('L', 'R') AND s[len(s)] = 'in' AND len(list_filter(s[1:list_position(s, 'in') - 1], lambda x: x <> s[1])) = 0 AS cut_in FROM q WHERE len(s) > 0""")
-def state_sequence(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    e = events(spark, d).withColumn("state", F.when(v < 15, "L").when(v < 30, "R").when(v < 80, "in").otherwise("?"))
-    return series.entered_from_side(e, ["user_id", "event_type"], ["t", "event_id"], "state").select("user_id", "event_type", "cut_in")
-
-
-@query(f"""WITH {EV}, r AS (SELECT user_id, event_id, t0, t1 + 86400 AS t1 FROM ev WHERE event_type = 'signup'), turn AS (SELECT user_id, t0, t1 FROM ev WHERE event_type = 'error')
- SELECT event_id, coalesce((SELECT max(e.value) - min(e.value) FROM ev e WHERE e.user_id = r.user_id AND e.t BETWEEN r.t0 AND r.t1) < 60, false)
- AND NOT EXISTS (SELECT 1 FROM turn WHERE turn.user_id = r.user_id AND turn.t1 >= r.t0 AND turn.t0 <= r.t1) AS straight FROM r""")
-def straight_driving(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    ranges = e.where("event_type = 'signup'").select("user_id", "event_id", "t0", (F.col("t1") + 86400).alias("t1"))
-    return series.straight(ranges, e.where("event_type = 'error'").select("user_id", "t0", "t1"), e, U, "t", "value", 60.0).select("event_id", "straight")
-
-
 @query("""WITH b AS (SELECT lower(substr(text, 1, 3)) AS prefix, item_id, item_id % 40 AS code, (item_id * 7) % 60 AS ref FROM benchmark)
  SELECT 'prefix' AS problem, prefix AS key, count(*) AS n FROM b GROUP BY prefix HAVING count(*) > 1
  UNION ALL SELECT 'duplicate', code::VARCHAR, count(*) FROM b GROUP BY code HAVING count(*) > 1

@@ -20,6 +20,12 @@ DETECTION_TYPES = {
     "twowheeler::twowheeler": "bicycle_micromobility", "twowheeler::motorcycle": "motorcycle", "object::traffic_cone": "other", "object::bollard": "other",
 }
 LEFT_ACTIONS = ["ego_turn_left", "ego_unprotected_left", "ego_u_turn"]
+#: What search_tags reads of a record's components.
+COMPONENTS = "array<struct<ref:struct<object_type:string,relation:string,vru_state:string>,tags:array<string>,source:string>>"
+# fixed values: how a hint words the kinds of ego events
+ARC_WORDS = {
+    "stop": "stop", "decelerate": "decelerate", "accelerate": "accelerate", "turn_left": "turn left", "turn_right": "turn right", "evade": "evasive maneuver"
+}
 LONGITUDINAL = ["decelerate", "accelerate", "stop"]
 LATERAL = ["turn_left", "turn_right", "lane_change_left", "lane_change_right"]
 
@@ -74,30 +80,34 @@ def role_of(relation: Column, longitudinal: Column, table: dict[str, str]) -> Co
     return F.coalesce(lookup(relation, table, none), lookup(longitudinal, table, none))
 
 
-def assembled(r: dict[str, Column], moves: dict[str, dict[str, tuple[str, str]]], lon_codes: list[str], rel_codes: list[str], roles: dict[str, str]) -> dict[str, Column]:
+def assembled(r: dict[str, Column], moves: dict[str, dict[str, str]], lon_codes: list[str], rel_codes: list[str], roles: dict[str, str]) -> dict[str, Column]:
     """A record's fields after all rules, in their order.
 
-    moves: field to {value: (field, value)}, applied to object_type, longitudinal_action and relation in turn; a move to
-    another field empties the first. Of an action and a relation one stays: the action only if it alone is legal. A
-    signal state stands for no agent; all seven descriptive fields stand for agents alone; roles are for agents.
+    moves: value to {field: new value}, looked up once for each of object_type, longitudinal_action and relation in turn; what
+    moves to another field empties the first. Of an action and a relation one stays: the action only if it alone is legal.
+    The descriptive fields and the role stand for agents alone; a signal's state is never kept.
     """
+    none = F.lit(None).cast("string")
     out = dict(r)
-    for field in ("object_type", "longitudinal_action", "relation"):
-        for value, (to, new) in moves.get(field, {}).items():
-            hit = F.coalesce(out[field] == value, F.lit(False))
-            own = out[field]
-            out[to] = F.when(hit, F.lit(new)).otherwise(out[to])
-            if to != field:
-                out[field] = F.when(hit, F.lit(None)).otherwise(own)
+    targets = sorted({f for to in moves.values() for f in to})
+    kind = "struct<" + ",".join(f"{f}:string" for f in targets) + ">"
+    table = F.create_map(*(x for value, to in moves.items() for x in (F.lit(value), F.struct(*(F.lit(to.get(f)).alias(f) for f in targets)).cast(kind)))) if moves else None
+    for field in ("object_type", "longitudinal_action", "relation") if moves else ():
+        seen = out[field]
+        to = F.element_at(table, seen)
+        for other in targets:
+            if other != field:
+                out[other] = F.coalesce(to[other], out[other])
+        out[field] = F.when(to.isNull(), seen).otherwise(to[field] if field in targets else none)
     lon, rel = out["longitudinal_action"], out["relation"]
     both = lon.isNotNull() & rel.isNotNull()
     keep_lon = lon.isin(*lon_codes) & ~rel.isin(*rel_codes)
-    out["longitudinal_action"] = F.when(both & ~keep_lon, F.lit(None)).otherwise(lon)
-    out["relation"] = F.when(both & keep_lon, F.lit(None)).otherwise(rel)
+    out["longitudinal_action"] = F.when(both & ~keep_lon, none).otherwise(lon)
+    out["relation"] = F.when(both & keep_lon, none).otherwise(rel)
     agent = F.coalesce(out["cause"] == "agent", F.lit(False))
-    out["signal_state"] = F.when(~agent, out["signal_state"])
     for field in ("object_type", "vru_attr", "occlusion", "longitudinal_action", "relation", "vru_state"):
         out[field] = F.when(agent, out[field])
+    out["signal_state"] = none
     out["role"] = F.when(agent, role_of(out["relation"], out["longitudinal_action"], roles))
     return out
 
@@ -115,16 +125,17 @@ def warnings(enums: dict[str, list[str]], required: list[str] = (), exclusive: l
 def search_tags(action: Column, arc: Column, cause: Column, components: Column) -> Column:
     """Flat sorted tags. components: array<struct<ref: struct<object_type, relation, vru_state>, tags: array<string>, source>>.
 
-    One relation only, the measured one first.
+    One relation only, the first measured one before the first that the model names. A missing action or cause reads None.
     """
-    after = lambda p: F.flatten(F.transform(components, lambda c: F.transform(F.filter(c["tags"], lambda t: t.startswith(p)), lambda t: F.substring(t, len(p) + 1, 1000))))
-    refs = lambda f: F.array_compact(F.transform(components, lambda c: c["ref"][f]))
+    parts = F.coalesce(components, F.array().cast(COMPONENTS))
+    after = lambda p: F.flatten(F.transform(parts, lambda c: F.transform(F.filter(F.coalesce(c["tags"], F.array().cast("array<string>")), lambda t: t.startswith(p)), lambda t: F.substr(t, F.lit(len(p) + 1)))))
+    refs = lambda f: F.array_compact(F.transform(parts, lambda c: F.nullif(c["ref"][f], F.lit(""))))
     named = lambda p, xs: F.transform(xs, lambda x: F.concat(F.lit(p), x))
     relation = F.coalesce(F.get(refs("relation"), F.lit(0)), F.get(after("relation:"), F.lit(0)))
-    injected = F.exists(components, lambda c: c["source"] == "gt_injected")
+    injected = F.exists(parts, lambda c: F.coalesce(c["source"] == "gt_injected", F.lit(False)))
     every = F.concat(
-        F.array(F.concat(F.lit("ego_action:"), action), F.concat(F.lit("cause:"), cause)),
-        named("arc:", arc),
+        F.array(F.concat(F.lit("ego_action:"), F.coalesce(action, F.lit("None"))), F.concat(F.lit("cause:"), F.coalesce(cause, F.lit("None")))),
+        named("arc:", F.coalesce(arc, F.array().cast("array<string>"))),
         named("object_type:", F.concat(refs("object_type"), after("object_type:"))),
         named("vru:", refs("vru_state")),
         F.array_compact(F.array(F.concat(F.lit("relation:"), relation), F.when(injected, F.lit("flag:model_missed_gt")))),
@@ -132,6 +143,15 @@ def search_tags(action: Column, arc: Column, cause: Column, components: Column)
     return F.array_sort(F.array_distinct(every))
 
 
+def hint(kinds: Column, agents: Column) -> Column:
+    """What is known of an episode, in words: its arc, then its agents (array<struct<object_type, role, relation, min_dist>>), numbered."""
+    arc = F.array_join(F.transform(kinds, lambda k: lookup(k, ARC_WORDS, k)), " → ")
+    word = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    line = lambda a, i: F.concat((i + 1).cast("string"), F.lit(") "), word(a["object_type"]), F.lit(" ("), word(a["role"]), F.lit(", "), F.coalesce(a["relation"], F.lit("")), F.lit(" "), word(a["min_dist"]), F.lit("m ahead)"))
+    listed = F.concat(F.lit(" GT-detected in-path objects (you MUST address each; do not omit): "), F.array_join(F.transform(agents, line), "; "), F.lit("."))
+    return F.concat(F.lit("GT: ego maneuver arc = ["), arc, F.lit("]."), F.when(F.coalesce(F.size(agents), F.lit(0)) > 0, listed).otherwise(" No GT in-path objects."))
+
+
 def environment(lighting: Column, weather: Column, surface: Column, flags: dict[str, Column]) -> Column:
     """Static environment categories; unknown values give none."""
     none = F.lit(None).cast("string")
@@ -142,16 +162,17 @@ def environment(lighting: Column, weather: Column, surface: Column, flags: dict[
 
 
 def cleaned(subject: Column, role: Column, f: dict[str, Column], ego_codes: list[str], synonyms: dict[str, str]) -> dict[str, Column]:
-    """Fields that a subject or role may not have become null; unknown object types are mapped by synonym."""
-    ego, agent = subject == "ego", subject == "agent"
+    """Fields that a subject or role may not have become null; unknown object types are mapped by synonym. Another subject's, or a missing one's, stay."""
+    is_ = lambda c, *values: F.coalesce(c.isin(*values), F.lit(False))
+    ego, agent = is_(subject, "ego"), is_(subject, "agent")
     kind = F.when(agent, lookup(f["object_type"], synonyms)).when(~ego, f["object_type"])
     return {
         "ego_action": F.when(ego, F.when(f["ego_action"].isin(*ego_codes), f["ego_action"]).otherwise("ego_lane_keep")).when(~agent, f["ego_action"]),
         "object_type": kind,
         "role": F.when(~ego, role),
-        "longitudinal_action": F.when(~ego & ~F.coalesce(agent & role.isin("adjust", "crossing"), F.lit(False)), f["longitudinal_action"]),
-        "relation": F.when(~ego & ~F.coalesce(agent & (role == "preceding_vehicle"), F.lit(False)), f["relation"]),
-        "vru_detail": F.when(~ego & ~F.coalesce(agent & (kind != "pedestrian"), F.lit(False)), f["vru_detail"]),
+        "longitudinal_action": F.when(~ego & ~(agent & is_(role, "adjust", "crossing")), f["longitudinal_action"]),
+        "relation": F.when(~ego & ~(agent & is_(role, "preceding_vehicle")), f["relation"]),
+        "vru_detail": F.when(~ego & ~(agent & ~is_(kind, "pedestrian")), f["vru_detail"]),
     }
 
 

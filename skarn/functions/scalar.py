@@ -43,16 +43,17 @@ def matrix_to_quaternion(m: Column) -> Column:
     return F.struct(w.alias("w"), x.alias("x"), y.alias("y"), z.alias("z"))
 
 
-def interpolated_y(points: Column, x: float, reach: float = 6.0, slack: float = 1.5) -> Column:
+def interpolated_y(points: Column, x: Column | float, reach: float = 6.0, slack: float = 1.5) -> Column:
     """y of a polyline (array of x, y structs) at x, linear, from points within ``reach``, held at its ends within ``slack``."""
-    near = F.array_sort(F.filter(points, lambda p: F.abs(p["x"] - x) < reach))
-    lo = F.element_at(F.filter(near, lambda p: p["x"] <= x), -1)
-    hi = F.get(F.filter(near, lambda p: p["x"] > x), F.lit(0))
-    ends = (F.size(near) >= 2) & (F.array_min(F.transform(near, lambda p: p["x"])) - slack <= x) & (F.array_max(F.transform(near, lambda p: p["x"])) + slack >= x)
-    has_lo = F.exists(near, lambda p: p["x"] <= x)
-    has_hi = F.exists(near, lambda p: p["x"] > x)
-    inside = lo["y"] + (hi["y"] - lo["y"]) * (x - lo["x"]) / (hi["x"] - lo["x"])
-    return F.when(ends, F.when(has_lo & has_hi, inside).when(has_lo, lo["y"]).otherwise(hi["y"]))
+    x = x if isinstance(x, Column) else F.lit(float(x))
+
+    def at(near: Column) -> Column:
+        lo, hi = F.array_max(F.filter(near, lambda p: p["x"] <= x)), F.array_min(F.filter(near, lambda p: p["x"] > x))
+        inside = lo["y"] + (hi["y"] - lo["y"]) * (x - lo["x"]) / (hi["x"] - lo["x"])
+        reached = (F.size(near) >= 2) & (F.array_min(near)["x"] - slack <= x) & (F.array_max(near)["x"] + slack >= x)
+        return F.when(reached, F.when(lo.isNotNull() & hi.isNotNull(), inside).otherwise(F.coalesce(lo["y"], hi["y"])))
+
+    return F.get(F.transform(F.array(F.filter(points, lambda p: F.abs(p["x"] - x) < reach)), at), F.lit(0))
 
 
 def lane_width(ys: Column, reach: float = 6.0) -> Column:
@@ -143,14 +144,9 @@ def ambiguous(detail: Column, marks: tuple[float, ...] = (45.0, 22.0), margin: f
     return F.coalesce(near, F.lit(False))
 
 
-def hint(agents: Column) -> Column:
-    """Numbered lines "i) type (role, relation d m ahead)" of an array of agents."""
-    line = lambda a, i: F.format_string("%d) %s (%s, %s %.1fm ahead)", i + 1, a["object_type"], a["role"], F.coalesce(a["relation"], F.lit("")), a["min_dist"])
-    return F.array_join(F.transform(agents, line), "\n")
-
-
 def scaled_intrinsics(k: Column, scale: float) -> Column:
-    return F.transform(k, lambda x: x * F.lit(scale))
+    """Focal lengths and centre (fx, fy, cx, cy) of a scaled image; the distortion that follows them stays."""
+    return F.transform(k, lambda x, i: F.when(i < 4, x * F.lit(scale)).otherwise(x))
 
 
 def rotate2d(x: Column, y: Column, angle: Column) -> Column:

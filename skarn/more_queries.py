@@ -520,7 +520,7 @@ def _ego(spark: SparkSession, d: str) -> DataFrame:
     return scenario.ego_series(ego, log.select("clip_id", us))
 
 
-EGO = f"""{LOG}, y0 AS (SELECT clip_id, t, CASE WHEN user_id % 5 = 0 THEN value % 1 + 1.5 ELSE value / 5 END AS speed, value % 5 - 2.5 AS ax, (CASE user_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.25 ELSE 0.02 END)::DOUBLE * sin(i * 0.35::DOUBLE) AS raw,
+EGO_NET = f"""{LOG}, y0 AS (SELECT clip_id, t, CASE WHEN user_id % 5 = 0 THEN value % 1 + 1.5 ELSE value / 5 END AS speed, value % 5 - 2.5 AS ax, (CASE user_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.25 ELSE 0.02 END)::DOUBLE * sin(i * 0.35::DOUBLE) AS raw,
  count(*) OVER (PARTITION BY clip_id) AS n, max(t) OVER (PARTITION BY clip_id) AS dur FROM log),
  y1 AS (SELECT *, raw - first_value(raw) OVER (PARTITION BY clip_id ORDER BY t) AS yaw FROM y0 WHERE n >= 3),
  ego AS (SELECT clip_id, t, dur, speed, ax, yaw, (coalesce(lead(yaw) OVER w, yaw) - coalesce(lag(yaw) OVER w, yaw)) / (coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t)) AS rate
@@ -530,7 +530,9 @@ EGO = f"""{LOG}, y0 AS (SELECT clip_id, t, CASE WHEN user_id % 5 = 0 THEN value
  runs AS (SELECT clip_id, kind, run, min(t) AS t0, max(t) AS t1 FROM islands WHERE hit GROUP BY 1, 2, 3 HAVING max(t) - min(t) >= 0.4),
  side AS (SELECT r.clip_id, r.t0, r.t1, e.t, e.yaw, e.speed * sin(e.yaw - first_value(e.yaw) OVER (PARTITION BY r.clip_id, r.t0 ORDER BY e.t)) AS s FROM runs r JOIN ego e ON e.clip_id = r.clip_id AND e.t BETWEEN r.t0 AND r.t1 WHERE r.kind = 'turn'),
  parts AS (SELECT *, coalesce((t - lag(t) OVER w) * (s + lag(s) OVER w) / 2, 0.0) AS part FROM side WINDOW w AS (PARTITION BY clip_id, t0 ORDER BY t)),
- net AS (SELECT clip_id, t0, t1, degrees(arg_max(yaw, t) - arg_min(yaw, t)) AS net, sum(part) AS lat FROM parts GROUP BY 1, 2, 3),
+ net AS (SELECT clip_id, t0, t1, degrees(arg_max(yaw, t) - arg_min(yaw, t)) AS net, sum(part) AS lat FROM parts GROUP BY 1, 2, 3)"""
+
+EGO = f"""{EGO_NET},
  found AS (SELECT clip_id, kind, t0, t1 FROM runs WHERE kind <> 'turn' UNION ALL SELECT * FROM (SELECT clip_id, CASE WHEN net >= 45 THEN 'turn_left' WHEN net <= -45 THEN 'turn_right'
  WHEN abs(net) <= 22 AND lat BETWEEN 1.8 AND 6 THEN 'lane_change_left' WHEN abs(net) <= 22 AND lat BETWEEN -6 AND -1.8 THEN 'lane_change_right' END AS kind, t0, t1 FROM net) WHERE kind IS NOT NULL),
  steps AS (SELECT *, CASE WHEN t0 - max(t1) OVER (PARTITION BY clip_id, kind ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0.6 THEN 0 ELSE 1 END AS new FROM found),

@@ -89,27 +89,6 @@ def voxel_mean(df: DataFrame, keys: list[str], columns: list[str], size: float)
     return df.withColumns(cells).groupBy(*keys, *cells).agg(*(F.avg(c).alias(c) for c in columns), F.count(F.lit(1)).alias("n"))
 
 
-def outliers_removed(df: DataFrame, keys: list[str], id_col: str, columns: list[str], cell: float, k: int = 20, sigma: float = 2.0) -> DataFrame:
-    """Points whose mean distance to the nearest k in their and the adjoining cells is within ``sigma`` deviations of the mean.
-
-    Candidates come from an equi-join on cells, so a cell width below the spacing of k neighbours makes it approximate.
-    """
-    at = [F.floor(F.col(c) / F.lit(cell)) for c in columns]
-    step = F.sequence(F.lit(-1), F.lit(1))
-    base = df.select(*keys, F.col(id_col).alias("_a"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(columns)), *(a.alias(f"_c{i}") for i, a in enumerate(at)))
-    spread = base
-    for i in range(len(columns)):
-        spread = spread.withColumn("_d", F.explode(step)).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_d")).drop("_d")
-    near = base.withColumnsRenamed({"_a": "_b", **{f"_a{i}": f"_b{i}" for i in range(len(columns))}})
-    pairs = spread.join(near, [*keys, *(f"_c{i}" for i in range(len(columns)))]).where("_a <> _b")
-    d = F.sqrt(sum((F.pow(F.col(f"_a{i}") - F.col(f"_b{i}"), 2) for i in range(1, len(columns))), F.pow(F.col("_a0") - F.col("_b0"), 2)))
-    nearest = pairs.withColumn("_d", d).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_a").orderBy("_d", "_b"))).where(F.col("_rn") <= k)
-    means = nearest.groupBy(*keys, "_a").agg(F.avg("_d").alias("_m"))
-    limits = means.groupBy(*keys).agg((F.avg("_m") + sigma * F.stddev_pop("_m")).alias("_limit"))
-    fine = means.join(limits, keys).where("_m <= _limit").select(*keys, F.col("_a").alias(id_col))
-    return df.join(fine, [*keys, id_col], "left_semi")
-
-
 def merged_depth(lidar: Column, zbuf: Column, zbuf_lidar: Column, guide: Column, method: Column, hole: Column) -> Column:
     """Depth by priority: lidar, a z-buffer that comes from lidar, a guide of a known method outside holes; clipped to 16 bits."""
     guided = F.when(method.isin("mono_lidar", "mono_only", "ransac") & (F.coalesce(hole, F.lit(0)) == 0), guide)

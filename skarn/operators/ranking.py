@@ -9,9 +9,14 @@ from skarn.tables import materialise
 
 
 def normalise_max(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """value over the group's maximum; a maximum of 0 counts as 1."""
-    top = F.max(value).over(Window.partitionBy(*by))
-    return df.withColumn(out, F.col(value) / F.coalesce(F.nullif(top, F.lit(0.0)), F.lit(1.0)))
+    """value over the group's maximum; a maximum of 0 counts as 1. The maxima are aggregated and joined back, so no task holds a group."""
+    named = {c: f"_by{i}" for i, c in enumerate(by)}
+    top = df.groupBy(*by).agg(F.max(value).alias("_top")).withColumnsRenamed(named) if by else df.agg(F.max(value).alias("_top"))
+    same = F.lit(True)
+    for c, n in named.items():
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(n))
+    scaled = F.col(value) / F.coalesce(F.nullif("_top", F.lit(0.0)), F.lit(1.0))
+    return df.join(top, same, "left").withColumn(out, scaled).drop("_top", *named.values())
 
 
 def fuse(a: Column, b: Column) -> Column:
@@ -68,8 +73,8 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
 
 
-def numbered_all(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
-    """Positions from 0 over the whole table in order of a unique key.
+def numbered_all(df: DataFrame, key: str | list[str | Column], out: str = "pos") -> DataFrame:
+    """Positions from 0 over the whole table in order of a key, or of several columns; rows alike in them have no order that shows.
 
     A range exchange sorts, and the sorted ranges are written with each row's range and place in it, so that the counts
     and the rows read the same ranges. Each range's count (one row a range) gives its first position. No task sees all
@@ -78,7 +83,8 @@ def numbered_all(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
     at = "_at"
     while at in df.columns:
         at = f"_{at}"
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn(at, F.monotonically_increasing_id())
+    order = [key] if isinstance(key, str) else key
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
     held = materialise(ranged, "ranges")
     part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))  # as monotonically_increasing_id lays them out
     sizes = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
@@ -112,10 +118,14 @@ def stride(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     return numbered(df, by, order, "_i").where(F.pmod("_i", F.lit(k)) == 0).drop("_i")
 
 
-def slice_rows(df: DataFrame, order: list[str], start: int, limit: int = 0) -> DataFrame:
-    """Rows from ``start``; a limit of 0 means all."""
-    out = df.orderBy(*order).offset(start)
-    return out.limit(limit) if limit else out
+def slice_rows(df: DataFrame, order: list[str | Column], start: int, limit: int = 0) -> DataFrame:
+    """Rows from ``start`` in order; a limit of 0 means all. Places come from sorted ranges, so neither a task nor the driver sees all rows before them."""
+    at = "_place"
+    while at in df.columns:
+        at = f"_{at}"
+    placed = numbered_all(df, order, at)
+    inside = (F.col(at) >= start) & (F.col(at) < start + limit) if limit else F.col(at) >= start
+    return placed.where(inside).drop(at)
 
 
 def contiguous_shards(df: DataFrame, key: str, ranks: int) -> DataFrame:
@@ -127,10 +137,28 @@ def contiguous_shards(df: DataFrame, key: str, ranks: int) -> DataFrame:
     return placed.unionByName(wrapped).withColumn("rank", F.floor(F.col("place") / F.lit(max(each, 1))).cast("int"))
 
 
+#: Cells that a group's draws are counted in: the first so many hexadecimal digits.
+CELL_DIGITS = 3
+
+
+def drawn_places(df: DataFrame, group: str, id_col: str, seed: int) -> DataFrame:
+    """df with _i, a row's place from 0 in its group by hash order (then id), and _n, the group's rows.
+
+    The draws' first digits deal a group into thousands of cells; a cell's first place is the sum of the counts before it, and
+    only a cell's rows are sorted. So a group of any size is many tasks, and what is summed in order has one row a cell.
+    """
+    at = df.withColumn("_draw", draw(id_col, seed)).withColumn("_cell", F.coalesce(F.substring("_draw", 1, CELL_DIGITS), F.lit("")))
+    counts = at.groupBy(F.col(group).alias("_group"), F.col("_cell").alias("_of")).agg(F.count(F.lit(1)).alias("_k"))
+    every = Window.partitionBy("_group")
+    before = counts.select("_group", "_of", (F.sum("_k").over(every.orderBy("_of")) - F.col("_k")).alias("_before"), F.sum("_k").over(every).alias("_n"))
+    ranked = at.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_cell").orderBy("_draw", id_col)) - 1)
+    joined = ranked.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_cell") == F.col("_of")))
+    return joined.withColumn("_i", F.col("_before") + F.col("_r")).drop("_draw", "_cell", "_group", "_of", "_before", "_r")
+
+
 def group_padded(df: DataFrame, group: str, id_col: str, batch: int, ranks: int, seed: int) -> DataFrame:
     """Rows in hash order within each group, padded by repetition to a multiple of batch * ranks, dealt in batches."""
-    w = Window.partitionBy(group).orderBy(draw(id_col, seed), id_col)
-    sized = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    sized = drawn_places(df, group, id_col, seed)
     total = F.ceil(F.col("_n") / F.lit(batch * ranks)) * F.lit(batch * ranks)
     copies = F.sequence(F.lit(0), (F.floor((total - 1 - F.col("_i")) / F.col("_n"))).cast("int"))
     out = sized.withColumn("_c", F.explode(copies)).withColumn("place", F.col("_i") + F.col("_c") * F.col("_n"))

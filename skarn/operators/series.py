@@ -161,25 +161,37 @@ def first_seen_id(df: DataFrame, value: str, order: list[str], out: str = "dense
     return ranking.numbered_all(firsts, "_first", out).select(value, out)
 
 
-def entered_from_side(df: DataFrame, keys: list[str], order: list[str], state: str, out: str = "cut_in") -> DataFrame:
-    """(keys, out): tracks whose states (L, R, in, ?) start on one side, stay there until the first "in", and end "in".
+def entered_from_side(df: DataFrame, keys: list[str], order: list[str], state: str, sustain: int = 3, out: str = "side") -> DataFrame:
+    """(keys, out): from which side, L or R, a track came in to stay, by its states in order (L, R, in, ?); null if it did not.
 
-    Unknown states are left out first; a track without any other gives no row.
+    The ``sustain`` states right before the first "in" are one side, at least so many are "in", the other side is not seen
+    after, and the last is "in". An unknown state counts as any other and so breaks a row of equal ones.
     """
-    known = df.where(F.col(state) != "?").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, state))), lambda x: x[state]).alias("_s"))
-    first, at = F.get("_s", F.lit(0)), F.array_position("_s", "in").cast("int")
-    before = F.slice("_s", F.lit(1), F.greatest(at - 1, F.lit(0)))
-    came = (at > 1) & first.isin("L", "R") & F.forall(before, lambda x: x == first) & (F.element_at("_s", -1) == "in")
-    return known.select(*keys, came.alias(out))
-
-
-def straight(ranges: DataFrame, turns: DataFrame, log: DataFrame, keys: list[str], t: str, yaw: str, most: float, out: str = "straight") -> DataFrame:
-    """Ranges [t0, t1] that meet no turn and inside which the heading spans less than ``most``; without a heading: false."""
-    s = log.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(t).alias("_t"), F.col(yaw).alias("_yaw"))
-    on = F.col("_t").between(F.col("t0"), F.col("t1"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_k_{k}"))
-    spans = ranges.join(s, on, "left").groupBy(*ranges.columns).agg((F.max("_yaw") - F.min("_yaw")).alias("_span"))
-    turned = intervals.overlap_join(ranges, turns, keys, "left_semi").withColumn("_turned", F.lit(True))
-    joined = spans.join(turned, ranges.columns, "left")
-    return joined.select(*ranges.columns, (F.coalesce(F.col("_span") < most, F.lit(False)) & F.col("_turned").isNull()).alias(out))
+    seen = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(state).alias("_state")))), lambda x: x["_state"]).alias("_s"))
+    first = F.array_position("_s", "in").cast("int")
+    head = F.slice("_s", F.greatest(first - sustain, F.lit(1)), F.least(F.greatest(first - 1, F.lit(0)), F.lit(sustain)))
+    after = F.slice("_s", F.greatest(first, F.lit(1)), F.size("_s"))
+    side = F.get(head, F.lit(0))
+    came = (
+        (F.size(F.filter("_s", lambda x: x == "in")) >= sustain) & (F.size(head) == sustain) & F.forall(head, lambda x: x == side) & side.isin("L", "R")
+        & ~F.array_contains(after, F.when(side == "L", "R").otherwise("L")) & (F.element_at("_s", -1) == "in")
+    )
+    return seen.select(*keys, F.when(came, side).alias(out))
+
+
+def straight(ranges: DataFrame, turns: DataFrame, log: DataFrame, keys: list[str], t: str, yaw: str, most: float, out: str = "straight", width: float | None = None) -> DataFrame:
+    """Ranges [t0, t1] that meet none of ``turns`` and inside which the heading spans less than ``most``; fewer than two samples span nothing.
+
+    Only (keys, t0, t1) decide, so ranges with null attributes and repeated ones keep their rows.
+    """
+    spans = ranges.select(*keys, "t0", "t1").distinct()
+    w = intervals.mean_length(spans) if width is None else width
+    samples = log.select(*keys, F.col(t).alias("t0"), F.col(t).alias("t1"), F.col(yaw).alias("yaw"))
+    inside = intervals.overlap_join(spans, samples, keys, width=w).groupBy(*keys, "t0", "t1")
+    moved = inside.agg(F.count(F.lit(1)).alias("_n"), (F.max("b_yaw") - F.min("b_yaw")).alias("_span")).where((F.col("_n") >= 2) & (F.coalesce("_span", F.lit(0.0)) >= most))
+    turned = intervals.overlap_join(spans, turns.select(*keys, "t0", "t1"), keys, "left_semi", width=w)
+    bent = moved.select(*keys, "t0", "t1").unionByName(turned).distinct()
+    by = {c: f"_b{i}" for i, c in enumerate([*keys, "t0", "t1"])}
+    bent = bent.select(*(F.col(c).alias(n) for c, n in by.items()), F.lit(True).alias("_bent"))
+    on = [ranges[c].eqNullSafe(bent[n]) for c, n in by.items()]
+    return ranges.join(bent, on, "left").select(*(ranges[c] for c in ranges.columns), F.col("_bent").isNull().alias(out))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skarn.config import DEFAULT, Thresholds
 from skarn.functions import rules, scalar
 from skarn.operators import aggregates, intervals, ranking, series
+from skarn.plans import lanes
+from skarn.tables import materialise
 
 K = ["clip_id"]
 
@@ -32,29 +34,41 @@ def ego_series(ego: DataFrame, cam: DataFrame) -> DataFrame:
     return s.withColumn("yaw", F.col("yaw") - F.first("yaw").over(Window.partitionBy(*K).orderBy("t"))).drop("raw_yaw")
 
 
-def ego_events(s: DataFrame, th: Thresholds = DEFAULT, road: DataFrame | None = None) -> DataFrame:
-    """(clip_id, kind, t0, t1, center): decelerate, accelerate, stop, turns and lane changes, merged by kind.
-
-    road: optional (clip_id, t0, t1, road_deg), the part of a run's heading change that the road makes.
-    """
+def _spells(s: DataFrame, th: Thresholds) -> DataFrame:
+    """(clip_id, kind, run, t0, t1, net, lat, dur): long enough runs of slowing, speeding up, standing and turning."""
     masks = {"decelerate": F.col("ax") < th.decel_ax, "accelerate": F.col("ax") > th.accel_ax, "stop": F.col("speed") < th.stop_speed, "turn": F.abs("yaw_rate") > th.turn_yaw_rate}
     run = ["clip_id", "kind", "run"]
     w = Window.partitionBy(*run).orderBy("t")
-    rows = series.hits(s, K, ["t"], masks, ["t", "yaw", "speed"])
+    rows = series.hits(s, K, ["t"], masks, ["t", "yaw", "speed", "dur"])
     rows = rows.withColumn("side", F.col("speed") * F.sin(F.col("yaw") - F.first("yaw").over(w)))
     rows = rows.withColumn("part", F.coalesce((F.col("t") - F.lag("t").over(w)) * (F.col("side") + F.lag("side").over(w)) / 2, F.lit(0.0)))
     spells = rows.groupBy(*run).agg(
-        F.min("t").alias("t0"), F.max("t").alias("t1"), F.degrees(F.max_by("yaw", "t") - F.min_by("yaw", "t")).alias("net"), F.sum("part").alias("lat")
+        F.min("t").alias("t0"), F.max("t").alias("t1"), F.degrees(F.max_by("yaw", "t") - F.min_by("yaw", "t")).alias("net"), F.sum("part").alias("lat"), F.max("dur").alias("dur")
     )
-    spells = spells.where(F.col("t1") - F.col("t0") >= th.min_event_sec)
-    if road is not None:
-        spells = spells.join(road, ["clip_id", "t0", "t1"], "left").withColumn("net", F.col("net") - F.coalesce("road_deg", F.lit(0.0))).drop("road_deg")
+    return spells.where(F.col("t1") - F.col("t0") >= th.min_event_sec)
+
+
+def ego_events(s: DataFrame, th: Thresholds = DEFAULT, frames: DataFrame | None = None) -> DataFrame:
+    """(clip_id, kind, t0, t1, center): decelerate, accelerate, stop, turns and lane changes, merged by kind.
+
+    frames: optional map frames of ``lanes.frames``. What the road turns in a run is then taken off its heading change, and
+    turns and lane changes also have curvature_correction_source (map or none) and lane_crossings, those of the first of merged runs.
+    """
+    spells, told = _spells(s, th), []
+    if frames is not None:
+        told = ["curvature_correction_source", "lane_crossings"]
+        held = materialise(spells, "spells")
+        road = lanes.road(held.where("kind = 'turn'"), frames, th)
+        turning = F.col("kind") == "turn"
+        spells = held.join(road, ["clip_id", "kind", "run"], "left").withColumns(
+            {"net": F.col("net") - F.coalesce("road_deg", F.lit(0.0)), told[0]: F.when(turning, F.when(F.col("road_deg").isNotNull(), "map").otherwise("none"))}
+        )
     big = F.abs("net") >= th.turn_heading_deg
     small = (F.abs("net") <= th.lane_change_heading_max_deg) & F.abs("lat").between(th.lane_change_lateral_min, th.lane_change_lateral_max)
     turned = F.when(big, F.when(F.col("net") > 0, "turn_left").otherwise("turn_right")).when(small, F.when(F.col("lat") > 0, "lane_change_left").otherwise("lane_change_right"))
-    every = spells.select("clip_id", F.when(F.col("kind") == "turn", turned).otherwise(F.col("kind")).alias("kind"), "t0", "t1").where("kind is not null")
-    merged = series.merge(every, ["clip_id", "kind"], th.merge_gap_sec)
-    return merged.select("clip_id", "kind", F.bround("t0", 2).alias("t0"), F.bround("t1", 2).alias("t1"), F.bround((F.col("t0") + F.col("t1")) / 2, 2).alias("center"))
+    every = spells.select("clip_id", F.when(F.col("kind") == "turn", turned).otherwise(F.col("kind")).alias("kind"), "t0", "t1", *told).where("kind is not null")
+    merged = series.merge(every, ["clip_id", "kind"], th.merge_gap_sec, carry=told)
+    return merged.select("clip_id", "kind", F.bround("t0", 2).alias("t0"), F.bround("t1", 2).alias("t1"), F.bround((F.col("t0") + F.col("t1")) / 2, 2).alias("center"), *told)
 
 
 def agent_events(points: DataFrame, classes: dict[str, str] = rules.DETECTION_TYPES, th: Thresholds = DEFAULT) -> DataFrame:
@@ -161,9 +175,9 @@ def taxonomy(tracks: DataFrame, ego: DataFrame, events: DataFrame, th: Threshold
     found = g.select("clip_id", F.inline(hits))
     leads = found.where("cat = '_lead'")
     creep = series.runs(ego, K, ["t"], (F.col("speed") > th.creep_low) & (F.col("speed") < th.creep_high), "t", th.creep_min_sec).select("clip_id", "t0", "t1")
-    creep = intervals.overlap_join(creep, leads.select("clip_id", "t0", "t1"), K, "left_semi")
-    creep = intervals.consume(creep, events.where(F.col("kind").startswith("turn_")).select("clip_id", "t0", "t1"), K)
-    stops = intervals.overlap_join(creep, events.where("kind = 'stop'").select("clip_id", "t0", "t1"), K, "left")
+    creep = intervals.overlap_join(creep, leads.select("clip_id", "t0", "t1"), K, "left_semi", width=th.window_sec)
+    creep = intervals.consume(creep, events.where(F.col("kind").startswith("turn_")).select("clip_id", "t0", "t1"), K, width=th.window_sec)
+    stops = intervals.overlap_join(creep, events.where("kind = 'stop'").select("clip_id", "t0", "t1"), K, "left", width=th.window_sec)
     held = F.when(F.col("b_t0").isNull(), 0.0).otherwise(F.greatest(F.least("t1", "b_t1") - F.greatest("t0", "b_t0"), F.lit(0.0)))  # least passes over nulls
     creep = stops.groupBy("clip_id", "t0", "t1").agg(F.sum(held).alias("s")).where("s <= 0.5 * (t1 - t0)").select("clip_id", F.lit("creep").alias("cat"), "t0", "t1")
     slow = aggregates.range_stats(events.where("kind = 'decelerate'").select("clip_id", "t0", "t1"), ego, K, "t", "speed").where(F.col("mean_value") > th.moving_speed)
@@ -173,11 +187,20 @@ def taxonomy(tracks: DataFrame, ego: DataFrame, events: DataFrame, th: Threshold
 
 
 def causal_agent(episodes: DataFrame, agents: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
-    """Each episode (clip_id, ep, t0, t1, onset) with the agent that overlaps it and may have caused it, by role, then distance."""
-    a = agents.select("clip_id", *(F.col(c).alias(f"a_{c}") for c in ("object_type", "role", "min_dist", "t0", "t1")))
-    rank = F.when(F.col("a_role") == "adjust", 0).when(F.col("a_role") == "crossing", 1).otherwise(2)
-    on = (F.col("a_t1") >= F.col("t0") - 1e-6) & (F.col("a_t0") <= F.col("t1") + 1e-6) & (F.col("a_t0") <= F.col("onset") + th.cause_after_onset) & (F.col("a_t1") >= F.col("onset") - th.cause_before_onset)
-    return intervals.argmin_join(episodes, a, K, ["ep"], on, [rank, F.col("a_min_dist"), F.col("a_t0")])
+    """Each episode (clip_id, ep, t0, t1, onset) with the agent (a_...) that overlaps it and may have caused it, null without one.
+
+    An agent that crosses nearer than ``cause_crossing_m`` comes before one ahead nearer than ``cause_preceding_m``, the nearer
+    before the farther, the earlier of equals first; others, those that cut in among them, are no causes. Agents meet episodes in bins.
+    """
+    a = agents.select("clip_id", *(F.col(c).alias(c) for c in ("object_type", "role", "min_dist", "t0", "t1")))
+    rank = F.when((F.col("role") == "crossing") & (F.col("min_dist") < th.cause_crossing_m), 0).when((F.col("role") == "preceding_vehicle") & (F.col("min_dist") < th.cause_preceding_m), 1)
+    near = a.withColumn("rank", rank).where("rank is not null")
+    met = intervals.overlap_join(episodes, near, K, "inner", slack=1e-6, width=th.window_sec)
+    early = (F.col("b_t0") <= F.col("onset") + th.cause_after_onset) & (F.col("b_t1") >= F.col("onset") - th.cause_before_onset)
+    fields = [F.col(f"b_{c}").alias(f"a_{c}") for c in ("rank", "min_dist", "t0", "t1", "object_type", "role")]
+    best = met.where(early).groupBy("clip_id", "ep").agg(F.min(F.struct(*fields)).alias("_a"))
+    kept = best.select("clip_id", "ep", *(F.col(f"_a.a_{c}") for c in ("object_type", "role", "min_dist", "t0", "t1")))
+    return episodes.join(kept, ["clip_id", "ep"], "left")
 
 
 def select_windows(windows: DataFrame, by: list[str], th: Thresholds = DEFAULT) -> DataFrame:
@@ -193,20 +216,3 @@ def select_windows(windows: DataFrame, by: list[str], th: Thresholds = DEFAULT)
     best = aggregates.best_with_bonus(w, [*by, "clip_id"], "wscore", [F.col("w0")], th.window_bonus).select(*by, "clip_id", "clip_score", "n", F.col("w0").alias("best_w0"))
     every = windows.select(*by, "clip_id").distinct().join(best, [*by, "clip_id"], "left").withColumn("clip_score", F.coalesce("clip_score", F.lit(0.0)))
     return ranking.top_k(ranking.normalise_max(every, by, "clip_score", "score_norm"), by, [F.col("score_norm").desc(), F.col("clip_id")])
-
-
-def lane_changes(points: DataFrame, keys: list[str], lines: str = "lines") -> DataFrame:
-    """Tracks (keys, t, y, lines array<double>) whose lane offset goes to 0 and stays (cut_in) or leaves it (cut_out)."""
-    p = points.withColumn("o", scalar.lane_offset(F.col("y"), F.col(lines)))
-    g = p.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "o"))), lambda x: x["o"]).alias("os"))
-    last = F.slice("os", F.greatest(F.size("os") - 1, F.lit(1)), F.least(F.size("os"), F.lit(2)))
-    first, all_in, all_out = F.get("os", F.lit(0)), F.forall(last, lambda v: v == 0), F.forall(last, lambda v: v != 0)
-    return g.withColumn("change", F.when((first != 0) & all_in, "cut_in").when((first == 0) & all_out, "cut_out")).drop("os")
-
-
-def curvature(lines: Column, near: float = 5.0, far: float = 30.0) -> Column:
-    """Tangent angle of the road in degrees from an array of polylines, by the line nearest the middle at each distance."""
-    at = lambda x: F.get(F.transform(F.array_sort(F.transform(F.filter(F.transform(lines, lambda p: scalar.interpolated_y(p, x)), lambda y: y.isNotNull()), lambda y: F.struct(F.abs(y).alias("a"), y.alias("y")))), lambda s: s["y"]), F.lit(0))
-    return F.degrees(F.atan2(at(far) - at(near), F.lit(far - near)))
-
-

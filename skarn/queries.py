@@ -187,7 +187,7 @@ def _day(c: str):
 def overlap_join(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", _day("l_shipdate").alias("t0"), (_day("l_shipdate") + F.col("l_quantity")).alias("t1"))
     b = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), _day("o_orderdate").alias("t0"), (_day("o_orderdate") + 60).alias("t1"))
-    return intervals.overlap_join(a, b, ["k"]).groupBy(F.col("k").alias("l_orderkey"), "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    return intervals.overlap_join(a, b, ["k"], width=60.0).groupBy(F.col("k").alias("l_orderkey"), "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EV}, a AS (SELECT * FROM ev WHERE event_type = 'purchase'), b AS (SELECT * FROM ev WHERE event_type = 'error'),
@@ -197,7 +197,7 @@ def overlap_join(spark: SparkSession, d: str) -> DataFrame:
 def best_overlap(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     a, b = (e.where(F.col("event_type") == k).select("user_id", "event_id", "t0", "t1") for k in ("purchase", "error"))
-    best = intervals.best_overlap(a, b.withColumn("t1", F.col("t1") + 20000), U, ["event_id"], "event_id")
+    best = intervals.best_overlap(a, b.withColumn("t1", F.col("t1") + 20000), U, ["event_id"], "event_id", width=20_000.0)
     return best.select("event_id", F.col("b_event_id").alias("b_id"), F.round("overlap", 3).alias("overlap"))
 
 
@@ -241,7 +241,7 @@ def time_to_frame(spark: SparkSession, d: str) -> DataFrame:
 def interval_consumption(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select("user_id", "event_id", "event_type", "t0", "t1")
     taken = e.where("event_type = 'click'").withColumn("t1", F.col("t1") + 36000)
-    return intervals.consume(e.where("event_type = 'view'"), taken, U).select("event_id")
+    return intervals.consume(e.where("event_type = 'view'"), taken, U, width=36_000.0).select("event_id")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")

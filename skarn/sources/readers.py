@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skarn.operators import ranking
+from skarn.sources.binary import framed_records, ply_points, points  # noqa: F401 - part of the readers
+
 
 def id_lines(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a split file: trimmed lines, blank ones dropped."""
@@ -85,62 +84,6 @@ def clip_path(root: str, clip_id: Column, leaf: str) -> Column:
     return F.concat_ws("/", F.lit(root.rstrip("/")), clip_id, F.lit(leaf))
 
 
-#: Bytes of framed records that leave a worker at once.
-RECORD_BYTES = 1 << 25
-
-
-def framed_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, record binary): length-prefixed records (u64 length, u32 check, bytes, u32 check); a cut tail is dropped.
-
-    A file is one row of Spark's binary reader, of 2 GB at most; its records leave the worker in batches of some 32 MB.
-    """
-
-    def batch(name: str, first: int, out: list) -> pa.RecordBatch:
-        numbers = pa.array(range(first, first + len(out)), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.string()), numbers, pa.array(out, pa.binary())], names=["path", "n", "record"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                name, data = b.column(0)[row].as_py(), memoryview(b.column(1)[row].as_buffer())
-                at, first, held, out = 0, 0, 0, []
-                while at + 12 <= len(data):
-                    (size,) = struct.unpack_from("<Q", data, at)
-                    if at + 16 + size > len(data):
-                        break
-                    out.append(bytes(data[at + 12 : at + 12 + size]))
-                    at, held = at + 16 + size, held + size + 16
-                    if held >= RECORD_BYTES:
-                        yield batch(name, first, out)
-                        first, held, out = first + len(out), 0, []
-                if out:
-                    yield batch(name, first, out)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, n long, record binary")
-
-
-def points(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """(path, columns float): flat little-endian 32-bit records."""
-    k = len(columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(data[: len(data) // (4 * k) * 4 * k], "<f4").reshape(-1, k)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(m), pa.string()), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(k))], names=["path", *columns])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, " + ", ".join(f"{c} float" for c in columns))
-
-
-def ply_points(spark: SparkSession, path: str, grey: int = 128) -> DataFrame:
-    """(path, x, y, z, r, g, b) of ASCII files; colour is grey where a file has none."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "end_header\r?\n").alias("p"))
-    rows = lines.select("path", F.explode(F.split(F.trim(F.element_at("p", 2)), "\r?\n")).alias("l")).select("path", F.split(F.trim("l"), r"\s+").alias("f"))
-    at = lambda i, kind: F.get("f", F.lit(i)).cast(kind)
-    colour = [F.coalesce(at(3 + i, "int"), F.lit(grey)).alias(c) for i, c in enumerate("rgb")]
-    return rows.where("size(f) >= 3").select("path", *(at(i, "double").alias(c) for i, c in enumerate("xyz")), *colour)
-
-
 def kitti_labels(lines: DataFrame, image: str = "image", line: str = "value", pos: str = "pos") -> DataFrame:
     """Labels of 15 or 16 fields; sizes h w l become l, h, w; the index counts what is cared for, -1 for the rest."""
     f = F.split(F.trim(line), r"\s+")
@@ -208,3 +151,41 @@ def image_join(names: DataFrame, stem: str, cameras: list[str], poses: DataFrame
     """Image names with their frame's camera from ``poses`` (base, camera, others); what names no known camera is left out."""
     keyed = names.withColumn("_k", image_key(F.col(stem), cameras)).where("_k.camera <> ''")
     return keyed.select("*", F.col("_k.base").alias("base"), F.col("_k.camera").alias("camera")).drop("_k").join(poses, ["base", "camera"])
+
+
+def scene_items(scenes: DataFrame, samples: DataFrame, images: DataFrame, cameras: list[str], every: int = 1) -> DataFrame:
+    """(item, scene, sample_idx, sample, camera, image, missing): the samples of the scenes in order, times the wanted cameras.
+
+    scenes (pos, scene, n_samples), in the split's order; samples (scene, sample_idx, sample), idx from 0; images (sample, camera,
+    image). Only idx below n_samples and divisible by ``every`` count. An item numbers what is there, from 0, by (pos, idx, place of
+    the camera in ``cameras``); a camera that a sample lacks gives a row without a number, marked missing. A scene named twice counts twice.
+    """
+    wanted = samples.join(scenes, "scene").where((F.col("sample_idx") < F.col("n_samples")) & (F.pmod("sample_idx", F.lit(every)) == 0))
+    grid = wanted.select("*", F.posexplode(F.array(*(F.lit(c) for c in cameras))).alias("_camera", "camera"))
+    found = grid.join(images, ["sample", "camera"], "left").withColumn("missing", F.col("image").isNull())
+    there = ranking.numbered_all(found.where("not missing").withColumn("_key", F.struct("pos", "sample_idx", "_camera", "image")), "_key", "item")
+    fields = ["item", "scene", "sample_idx", "sample", "camera", "image", "missing"]
+    return there.select(*fields).unionByName(found.where("missing").withColumn("item", F.lit(None).cast("long")).select(*fields))
+
+
+def frame_infos(frames: DataFrame, parts: dict[str, DataFrame], key: str = "idx", cloud: str = "cloud", most: int = 5) -> DataFrame:
+    """One row a frame: its own columns, those of each part as a struct named like the part, and sweeps, the clouds right before it.
+
+    frames (key long, cloud: struct of what a sweep tells, null where a frame has none, others); parts (key, others), one row a
+    frame at most; a part that a frame lacks is null and named in ``absent``. sweeps has up to ``most`` clouds of the keys before,
+    nearest first, ended by the first key that has none. Each cloud is sent to the keys behind it: no order of all frames is needed.
+    """
+    sent = frames.where(F.col(cloud).isNotNull()).select(F.col(key).alias("_k"), F.col(cloud).alias("_c"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("_j"))
+    got = sent.select((F.col("_k") + F.col("_j")).alias(key), "_j", "_c").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_j", "_c"))).alias("_s"))
+    unbroken = F.filter("_s", lambda x, i: x["_j"] == i + 1)
+    out = frames.join(got.select(key, F.transform(unbroken, lambda x: x["_c"]).alias("sweeps")), key, "left")
+    out = out.withColumn("sweeps", F.coalesce("sweeps", F.array().cast(out.schema["sweeps"].dataType)))
+    for name, part in parts.items():
+        packed = part.select(key, F.struct(*(c for c in part.columns if c != key)).alias(name))
+        out = out.join(packed, key, "left")
+    return out.withColumn("absent", F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in parts))))
+
+
+def repeated(df: DataFrame, times: int, out: str = "epoch_part") -> DataFrame:
+    """Every row ``times`` times, with the number of the repetition: a data set that is gone through several times an epoch."""
+    return df.withColumn(out, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))

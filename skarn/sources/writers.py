@@ -40,6 +40,13 @@ def colmap_images(df: DataFrame, image_id: str, camera_id: str, name: str, quate
     return df.select(F.format_string(fmt, F.col(image_id), *(F.col(c) for c in [*quaternion, *shift]), F.col(camera_id), F.col(name)).alias("value"))
 
 
+def colmap_cameras(df: DataFrame, camera_id: str, width: str, height: str, intrinsics: str) -> DataFrame:
+    """Lines "id FULL_OPENCV width height" and twelve parameters: fx fy cx cy k1 k2 p1 p2 k3 and three zeros; missing ones are zero."""
+    given = [F.coalesce(F.get(intrinsics, F.lit(i)), F.lit(0.0)) for i in range(9)]
+    fmt = "%d FULL_OPENCV %d %d " + " ".join(["%.9f"] * 12)
+    return df.select(F.format_string(fmt, F.col(camera_id), F.col(width), F.col(height), *given, *(F.lit(0.0) for _ in range(3))).alias("value"))
+
+
 def kitti_line(df: DataFrame, precision: int = 4, keep: tuple[str, ...] = ("image",)) -> DataFrame:
     """Result lines; missing fields take their defaults. Columns of ``keep`` stay."""
     number = f"%.{precision}f"

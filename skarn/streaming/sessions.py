@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, ts: str = "ts", delay: str = "10 minutes", files: int = 1) -> DataFrame:
@@ -25,3 +31,79 @@ def windowed_counts(events: DataFrame, ts: str, size: str, slide: str, kind: str
 def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
     """Rows not seen within the watermark."""
     return events.dropDuplicatesWithinWatermark(keys)
+
+
+# --- intervals with length, merged as they come ---------------------------------------------------------------------
+
+EPISODE = "t0 timestamp, t1 timestamp, n long, kinds array<string>"
+_OPEN = StructType([StructField("t0", LongType()), StructField("t1", LongType()), StructField("n", LongType()), StructField("kinds", StringType())])
+_MARK = "\x1f"
+
+
+class _Merging(StatefulProcessor):
+    """A key's open episodes, as disjoint spans with their count and kinds; one closes when the watermark has passed its end and the gap."""
+
+    def __init__(self, gap_us: int) -> None:
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", _OPEN)
+
+    def _settle(self, spans: list[tuple[int, int, int, set[str]]], key: tuple, timers: TimerValues) -> Iterator[pd.DataFrame]:
+        """Merge what is near enough, give out what is closed, keep the rest and wake up when the first of it may close."""
+        merged: list[tuple[int, int, int, set[str]]] = []
+        for t0, t1, n, kinds in sorted(spans, key=lambda s: s[:2]):
+            if merged and t0 <= merged[-1][1] + self.gap:
+                a, b, m, some = merged[-1]
+                merged[-1] = (a, max(b, t1), m + n, some | kinds)
+            else:
+                merged.append((t0, t1, n, kinds))
+        now = timers.getCurrentWatermarkInMs()
+        closed = [s for s in merged if (s[1] + self.gap) // 1000 < now]
+        left = merged[len(closed) :]  # disjoint and in order, so the closed ones are the first
+        self.open.clear()
+        if left:
+            self.open.put([(a, b, n, _MARK.join(sorted(kinds))) for a, b, n, kinds in left])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if left:
+            self.handle.registerTimer(max((left[0][1] + self.gap) // 1000 + 1, now + 1))
+        if closed:
+            yield pd.DataFrame(
+                {
+                    "key": [str(key[0])] * len(closed),
+                    "t0": pd.to_datetime([s[0] for s in closed], unit="us"),
+                    "t1": pd.to_datetime([s[1] for s in closed], unit="us"),
+                    "n": [s[2] for s in closed],
+                    "kinds": [sorted(s[3]) for s in closed],
+                }
+            )
+
+    def _held(self) -> list[tuple[int, int, int, set[str]]]:
+        return [(a, b, n, set(kinds.split(_MARK))) for a, b, n, kinds in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        spans = self._held()
+        for part in rows:
+            spans += [(int(a), int(b), 1, {k}) for a, b, k in zip(part["lo"], part["hi"], part["label"], strict=True)]
+        yield from self._settle(spans, key, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(self._held(), key, timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def merged_episodes(intervals: DataFrame, key: str, kind: str, t0: str, t1: str, gap_seconds: float) -> DataFrame:
+    """(key string, t0, t1, n, kinds): intervals of a key joined while the next starts at most the gap after all before ended.
+
+    ``t0`` (timestamp) carries the watermark: rows that start before it are dropped, so once it has passed an episode's end and
+    the gap nothing can join it, and a timer gives it out. The state of a key is its open episodes. On a stream this is what
+    ``series.episodes`` is on a table; the state store must be RocksDB (spark.sql.streaming.stateStore.providerClass).
+    """
+    us = lambda c: F.unix_micros(F.col(c))
+    rows = intervals.select(F.col(key).cast("string").alias("key"), t0, us(t0).alias("lo"), us(t1).alias("hi"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("label"))
+    out = StructType.fromDDL(f"key string, {EPISODE}")
+    return rows.groupBy("key").transformWithStateInPandas(_Merging(round(gap_seconds * 1e6)), out, "Append", "EventTime").withColumnRenamed("key", key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skarn.functions import rules, scalar
 from skarn.operators import aggregates, filters, fusion, geometry, intervals, matching, parameters, ranking, series
 from skarn.plans import scenario
-from skarn.sources import readers, writers
+from skarn.sources import binary, readers, writers
 
 
 def got(df, *order):
@@ -285,7 +285,7 @@ def test_files(spark, tmp_path):
 
 
 def test_records_leave_in_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(readers, "RECORD_BYTES", 40)
+    monkeypatch.setattr(binary, "BATCH_BYTES", 40)
     data = [bytes([65 + i]) * (7 * i) for i in range(12)]
     (tmp_path / "many.rec").write_bytes(b"".join(struct.pack("<Q", len(x)) + b"0000" + x + b"0000" for x in data) + struct.pack("<Q", 99) + b"cut")
     (tmp_path / "none.rec").write_bytes(b"")

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skarn import file_queries, more_queries  # noqa: F401 - add to both
+from skarn import file_queries, item_queries, lane_queries, more_queries  # noqa: F401 - add to both
 from skarn.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
