@@ -3,7 +3,7 @@
 Features are word uni- and bigrams of two kinds, hashed into ``2 ** bits`` slots: the distinct n-grams of the words
 themselves, all of one weight, and the n-grams of the words' shapes (letters and digits folded, runs collapsed, a word
 that repeats the one before it marked as such) by the root of their frequency. Each kind has unit length. Training takes
-at most ``max_rows`` labelled rows, those with the least hash of their id, in that order, with all their features, as in
+at most ``max_rows`` labelled rows, those with the least hash of their id (then of their text), in that order, with all their features, as in
 scoring. The features are written, and pass through the driver by about DRIVER_BYTES at once (one row at least), where
 per-coordinate FTRL-proximal steps make the weights. Scoring is a sparse dot product over whole texts.
 
@@ -90,7 +90,8 @@ def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, ep
 
     for _ in range(epochs):
         for slots, values, label in rows:
-            at, x = np.append(slots, size - 1), np.append(values, np.float32(1.0)).astype(np.float64)
+            at, back = np.unique(np.append(slots, size - 1), return_inverse=True)  # a slot of both kinds is one coordinate
+            x = np.bincount(back, np.append(values, np.float32(1.0)).astype(np.float64))
             w = weights(at)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35.0, 35.0)))
             g = (p - label) * x
@@ -102,18 +103,14 @@ def fit(rows: Iterable[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, ep
 
 
 class _Rows:
-    """Slots, values and label of each row of a sorted table, a partition at a time; repeated rows count once."""
+    """Slots, values and label of each row of a sorted table, a partition at a time."""
 
     def __init__(self, table: DataFrame) -> None:
         self.table = table
 
     def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        last = None
         for r in self.table.toLocalIterator():
-            slots = bytes(r["slots"])
-            if (r["id"], slots) != last:
-                last = (r["id"], slots)
-                yield np.frombuffer(slots, np.int32), np.frombuffer(bytes(r["vals"]), np.float32), r["label"]
+            yield np.frombuffer(bytes(r["slots"]), np.int32), np.frombuffer(bytes(r["vals"]), np.float32), r["label"]
 
 
 def held_out(id_col: Column) -> Column:
@@ -124,24 +121,27 @@ def held_out(id_col: Column) -> Column:
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS
 ) -> Model:
-    """A model from the labelled rows that are not held out, ``max_rows`` of them at most."""
+    """A model from the labelled rows that are not held out, ``max_rows`` of them at most; rows alike in id and text count once."""
     known = pick(labels, id=id_col, label=label_col).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     sample = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    marked = pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").select("id", "text", "label")
+    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(sample), "id").withColumn("hash", F.xxhash64("text"))
+    rows = texts.select("id", "hash").distinct().orderBy(F.xxhash64("id"), "id", "hash").limit(max_rows)  # an id may have many texts
+    once = texts.join(F.broadcast(rows), ["id", "hash"]).groupBy("id", "hash").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    marked = once.select("id", "text", "label", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("classifier", _words.clear)
         for b in slices(batches, 1, TEXTS_AT_ONCE):
             made = [features(t, bits) for t in b.column(1).to_pylist()]
             blobs = [pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), *blobs], names=["id", "label", "slots", "vals"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), b.column(3), *blobs], names=["id", "label", "hash", "slots", "vals"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = marked.mapInArrow(run, f"id {kind}, label int, slots binary, vals binary").withColumn("at", F.xxhash64("id"))
+    got = marked.mapInArrow(run, f"id {kind}, label int, hash long, slots binary, vals binary").withColumn("at", F.xxhash64("id"))
     made = materialise(got, "features")
     held = made.agg(F.sum(F.length("slots") + F.length("vals")).alias("n")).first()["n"] or 0
     parts = 1 + held // DRIVER_BYTES
-    model = fit(_Rows(made.repartitionByRange(parts, "at", "id").sortWithinPartitions("at", "id", "slots", "vals")), bits)
+    model = fit(_Rows(made.repartitionByRange(parts, "at", "id", "hash").sortWithinPartitions("at", "id", "hash")), bits)
     release(made)
     return model
 
