@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarn.operators import filters, matching, series
+from skarn.operators import filters, matching
 from skarn.queries import EV, U, events, query, table
 from skarn.sources import readers, writers
 from skarn.tables import folder
@@ -62,15 +62,15 @@ def flat_polylines(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("vec_id", "line").agg(*(F.round(F.sum(f"p.{c}"), 4).alias(c) for c in "xyz"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'gallery' ELSE 'video' END AS layout FROM customer")
+@query("SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0) THEN 'gallery' ELSE 'video' END AS layout FROM customer")
 def clip_layout(spark: SparkSession, d: str) -> DataFrame:
-    return readers.layout(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return readers.layout(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("""SELECT lower(o_orderstatus) AS condition, 'clip.' || o_orderkey AS clip_id, 's3://bucket/clips/clip.' || o_orderkey || '/camera.mp4' AS path FROM orders""")
+@query("""SELECT lower(o_orderstatus) AS condition, 'clip.' || o_orderkey AS clip_id, 'archive/clips/clip.' || o_orderkey || '/camera.mp4' AS path FROM orders""")
 def clip_folders(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "orders").select(F.concat(F.lit("root/"), F.lower("o_orderstatus"), F.lit("/clip."), "o_orderkey", F.lit(".mp4")).alias("path"))
-    return readers.folder_groups(names).withColumn("path", readers.clip_path("s3://bucket/clips/", F.col("clip_id"), "camera.mp4"))
+    return readers.folder_groups(names).withColumn("path", readers.clip_path("archive/clips/", F.col("clip_id"), "camera.mp4"))
 
 
 @query("SELECT user_id AS clip_id, count(*) AS n, min(event_id) AS first_frame, max(event_id) AS last_frame FROM events GROUP BY 1")
@@ -93,29 +93,26 @@ def ply_file(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.regexp_extract("path", r"part=v(\d+)", 1).cast("long").alias("vec_id"), *(F.col(c).cast("float").alias(c) for c in "xyz"), "r", "g", "b")
 
 
-@query("""WITH l AS (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)
- SELECT l_orderkey AS image, l_linenumber AS pos, l_returnflag AS name, round(l_tax, 4) AS truncated, (l_linenumber % 4)::INTEGER AS occluded, round(l_discount, 4) AS alpha,
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity, l_shipdate) - 1 AS pos FROM lineitem)
+ SELECT l_orderkey AS image, pos, l_returnflag AS name, round(l_tax, 4) AS truncated, (l_linenumber % 4)::INTEGER AS occluded, round(l_discount, 4) AS alpha,
  round(l_quantity + 2, 4) AS x2, round(l_quantity, 4) AS length, round(l_discount, 4) AS height, round(l_tax, 4) AS width, round(l_extendedprice, 4) AS z, -10.0::DOUBLE AS rotation_y,
- round(l_discount, 4) AS score, (CASE WHEN l_returnflag = 'N' THEN -1 ELSE count(*) FILTER (l_returnflag <> 'N') OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 END)::INTEGER AS index
+ round(l_discount, 4) AS score, (CASE WHEN l_returnflag = 'N' THEN -1 ELSE count(*) FILTER (l_returnflag <> 'N') OVER (PARTITION BY l_orderkey ORDER BY pos) - 1 END)::INTEGER AS index
  FROM l""")
 def label_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Result lines written by image, one file's lines in order, and read back."""
-    path, one = folder(spark, "labels"), table(spark, d, "lineitem")
-    one = one.join(one.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n = 1"), ["l_orderkey", "l_linenumber"])
+    path, li = folder(spark, "labels"), table(spark, d, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     f = {c: F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")}
-    rows = one.select(
-        F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("pos"), F.when(F.col("l_returnflag") == "N", "DontCare").otherwise(F.col("l_returnflag")).alias("name"),
+    rows = li.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).select(
+        F.col("l_orderkey").alias("image"), "pos", F.when(F.col("l_returnflag") == "N", "DontCare").otherwise(F.col("l_returnflag")).alias("name"),
         f["l_tax"].alias("truncated"), F.pmod("l_linenumber", F.lit(4)).cast("int").alias("occluded"), f["l_discount"].alias("alpha"),
         F.array(F.lit(0.0), F.lit(1.0), f["l_quantity"] + 2, F.lit(3.0)).alias("bbox"), F.array(f["l_quantity"], f["l_discount"], f["l_tax"]).alias("dimensions"),
         F.array(F.lit(0.0), F.lit(0.0), f["l_extendedprice"]).alias("location"), f["l_discount"].alias("score"),
     )
-    made = writers.kitti_line(rows, keep=("image", "pos"))
-    writers.label_files(made, "image", "value", "pos").write.parquet(path)
-    back = spark.read.parquet(path).select("image", F.posexplode(F.split("body", "\n")).alias("at", "value"))
-    order = made.withColumn("at", F.row_number().over(series._w(["image"], ["pos"])) - 1).select("image", "at", "pos")
-    read = readers.kitti_labels(back.join(order, ["image", "at"]))
+    writers.label_files(writers.kitti_line(rows, keep=("image", "pos")), "image", "value", "pos").write.parquet(path)
+    read = readers.kitti_labels(spark.read.parquet(path).select("image", F.posexplode(F.split("body", "\n")).alias("pos", "value")))
     return read.select(
-        "image", "pos", F.when(F.col("name") == "DontCare", "N").otherwise(F.col("name")).alias("name"), "truncated", "occluded", "alpha", F.col("bbox")[2].alias("x2"), F.col("dimensions")[0].alias("length"),
+        "image", F.col("pos").cast("long").alias("pos"), F.when(F.col("name") == "DontCare", "N").otherwise(F.col("name")).alias("name"), "truncated", "occluded", "alpha", F.col("bbox")[2].alias("x2"), F.col("dimensions")[0].alias("length"),
         F.col("dimensions")[1].alias("height"), F.col("dimensions")[2].alias("width"), F.col("location")[2].alias("z"), "rotation_y", "score", "index",
     )
 
@@ -162,11 +159,14 @@ def partitioned_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(path).select("o_orderstatus", F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), "value")
 
 
-@query("SELECT c_custkey, c_name FROM customer")
+@query("SELECT c_custkey, c_name, lag(c_name) OVER (ORDER BY c_nationkey, c_custkey) AS before FROM customer")
 def sorted_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each row with the one written before it: the files in order of their names, and the lines within a file as they stand."""
     path = folder(spark, "sorted")
-    writers.write_sorted(table(spark, d, "customer").select("c_custkey", "c_name"), path, ["c_custkey"])
-    return spark.read.schema("c_custkey long, c_name string").json(path)
+    writers.write_sorted(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name").repartition(5, "c_custkey"), path, ["c_nationkey", "c_custkey"])
+    lines = spark.read.schema("c_custkey long, c_name string").json(path).select("c_custkey", "c_name", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    w = Window.orderBy("file", "block", "row")
+    return lines.select("c_custkey", "c_name", F.lag("c_name").over(w).alias("before"))
 
 
 @query("""SELECT n_regionkey::VARCHAR AS split, '{"frames":[' || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || '],"meta":{"version":"1"}}' AS doc

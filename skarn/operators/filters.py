@@ -98,3 +98,8 @@ def run_summary(df: DataFrame, keys: list[str], ok: str) -> DataFrame:
     """How many items of a run there were, passed and failed, and the share that passed."""
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ok)).alias("n_ok"), F.count_if(~F.col(ok)).alias("n_failed"))
     return g.withColumn("share", F.col("n_ok") / F.col("n"))
+
+
+def outside_pool(df: DataFrame, pool: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the pool does not hold; a null key is in no pool. Only the pool's different keys are shuffled."""
+    return df.join(pool.select(key).distinct(), key, "left_anti")

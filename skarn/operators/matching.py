@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from skarn.operators import ranking
 
@@ -54,9 +60,67 @@ def _iou(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
     return inter / (boxes[:, 2:].prod(axis=1) + box[2:].prod() - inter + 1e-8)
 
 
-def _apart(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """Columns under names of their own: two sides of one lineage must not share attributes in a cogroup."""
-    return df.select(*(F.col(c).alias(f"t_{c}") for c in df.columns)), [f"t_{k}" for k in keys]
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of their first ``n_keys`` columns as (rows, first row of each group and the number of rows), groups whole.
+
+    Many groups come at once; a group is held until its last row has come.
+    """
+    held: pa.Table | None = None
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(t.num_rows - 1, 0), bool)
+        for c in t.columns[:n_keys]:
+            a, b = c.slice(1), c.slice(0, max(t.num_rows - 1, 0))
+            differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy()
+            new |= differ | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+        at = starts(t)
+        if len(at) > 1:
+            yield t.slice(0, at[-1]), at
+        held = t.slice(at[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _boxes(column: pa.ChunkedArray, n: int = 4) -> np.ndarray:
+    return np.array([v if v is not None else [np.nan] * n for v in column.to_pylist()], float).reshape(-1, n)
+
+
+def _streamed(rows: DataFrame, keys: list[str], order: list[str | Column], run: Callable[[pa.Table, int, int], Iterator[tuple]], names: list[str], schema: str) -> DataFrame:
+    """What ``run`` makes of each group of ``keys``, as the keys and the named columns.
+
+    Rows are dealt and sorted by key, and a task goes through its groups in order, many in an Arrow batch: small groups cost
+    no call each. run(table, lo, hi) gives rows of the group from lo to hi of the table.
+    """
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    made = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + schema
+    dealt = rows.select(*keys, *(c for c in rows.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _groups(batches, len(keys)):
+            out, owner = [], []
+            for lo, hi in pairwise(at.tolist()):
+                found = list(run(t, lo, hi))
+                out += found
+                owner += [lo] * len(found)
+            if out:
+                first = pa.array(owner, pa.int64())
+                given = [t.column(i).take(first).combine_chunks() for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*given, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[*keys, *names])
+
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
+    return dealt.mapInArrow(go, made)
+
+
+def _sides(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Both as one table: side 0 predictions, 1 truths."""
+    return pred.withColumn("side", F.lit(0)).unionByName(truth.select(*keys, *(c for c in truth.columns if c not in keys), F.lit(1).alias("side")), allowMissingColumns=True)
 
 
 def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -65,28 +129,27 @@ def greedy_match(pred: DataFrame, truth: DataFrame, keys: list[str], threshold:
     pred: keys, id, score, box (cx, cy, w, h); truth: keys, id, box. One image and class is a group.
     """
 
-    def run(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if p.empty:
-            return pd.DataFrame(columns=[*keys, "pred_id", "truth_id", "iou", "tp"])
-        rows, t = [], t.rename(columns=lambda c: c.removeprefix("t_")).sort_values("id")
-        boxes = np.array(t["box"].tolist(), float).reshape(-1, 4)
-        free, ids = np.ones(len(t), bool), t["id"].tolist()
-        for r in p.sort_values(["score", "id"], ascending=[False, True]).itertuples():
+    def run(t: pa.Table, lo: int, hi: int) -> Iterator[tuple]:
+        side = t.column("side").slice(lo, hi - lo).to_numpy()
+        n = int((side == 0).sum())
+        if not n:
+            return
+        ids, boxes = t.column("id").slice(lo, hi - lo).to_pylist(), _boxes(t.column("box").slice(lo, hi - lo))
+        truths, free = boxes[n:], np.ones(hi - lo - n, bool)
+        for k in range(n):
             best, at = 0.0, -1
             if free.any():
-                v = np.where(free, _iou(boxes, np.asarray(r.box, float)), -1.0)
+                v = np.where(free, _iou(truths, boxes[k]), -1.0)
                 if v.max() > 0:
                     at, best = int(v.argmax()), float(v.max())
             hit = at >= 0 and best >= threshold
             if hit:
                 free[at] = False
-            rows.append((*key, r.id, ids[at] if hit else None, best, hit))
-        return pd.DataFrame(rows, columns=[*keys, "pred_id", "truth_id", "iou", "tp"]).astype({"truth_id": "Int64"})
+            yield ids[k], ids[n + at] if hit else None, best, hit
 
-    kinds = {f.name: f.dataType.simpleString() for f in pred.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pred_id long, truth_id long, iou double, tp boolean"
-    right, right_keys = _apart(truth, keys)
-    return pred.groupBy(*keys).cogroup(right.groupBy(*right_keys)).applyInPandas(run, schema)
+    both = _sides(pred.select(*keys, "id", "score", "box"), truth.select(*keys, "id", "box"), keys)
+    order = ["side", F.col("score").desc(), F.col("id")]
+    return _streamed(both, keys, order, run, ["pred_id", "truth_id", "iou", "tp"], "pred_id long, truth_id long, iou double, tp boolean")
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -122,20 +185,20 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 def optimal_match(pred: DataFrame, truth: DataFrame, keys: list[str], class_weight: float = 1.0, box_weight: float = 1.0) -> DataFrame:
     """(keys, pred_id, truth_id, cost): one-to-one of least class and L1 box cost. pred has probs array, truth label int."""
 
-    def run(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        columns = [*keys, "pred_id", "truth_id", "cost"]
-        if p.empty or t.empty:
-            return pd.DataFrame(columns=columns)
-        p, t = p.sort_values("id"), t.rename(columns=lambda c: c.removeprefix("t_")).sort_values("id")
-        probs, boxes = np.array(p["probs"].tolist(), float), np.array(p["box"].tolist(), float)
-        cost = -class_weight * probs[:, t["label"].to_numpy(int)] + box_weight * np.abs(boxes[:, None] - np.array(t["box"].tolist(), float)[None]).sum(-1)
-        ids, truths = p["id"].tolist(), t["id"].tolist()
-        return pd.DataFrame([(*key, ids[i], truths[j], float(cost[i, j])) for i, j in assignment(cost)], columns=columns)
+    def run(t: pa.Table, lo: int, hi: int) -> Iterator[tuple]:
+        part = t.slice(lo, hi - lo)
+        n = int((part.column("side").to_numpy() == 0).sum())
+        if n in (0, hi - lo):
+            return
+        probs, box = np.array(part.column("probs").slice(0, n).to_pylist(), float), np.array(part.column("box").to_pylist(), float)
+        labels = np.array(part.column("label").slice(n).to_pylist(), int)
+        cost = -class_weight * probs[:, labels] + box_weight * np.abs(box[:n, None] - box[None, n:]).sum(-1)
+        ids = part.column("id").to_pylist()
+        for i, j in assignment(cost):
+            yield ids[i], ids[n + j], float(cost[i, j])
 
-    kinds = {f.name: f.dataType.simpleString() for f in pred.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pred_id long, truth_id long, cost double"
-    right, right_keys = _apart(truth, keys)
-    return pred.groupBy(*keys).cogroup(right.groupBy(*right_keys)).applyInPandas(run, schema)
+    both = _sides(pred.select(*keys, "id", "probs", "box"), truth.select(*keys, *(c for c in ("id", "label", "box") if c not in keys)), keys)
+    return _streamed(both, keys, ["side", "id"], run, ["pred_id", "truth_id", "cost"], "pred_id long, truth_id long, cost double")
 
 
 def nms(
@@ -159,15 +222,19 @@ def nms(
     if before is not None:
         df = best(df, keys, before)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        boxes, kept = np.array(pdf["box"].tolist(), float).reshape(-1, 4), []
-        for i in range(len(pdf)):
-            if not kept or _iou(boxes[kept], boxes[i]).max() <= threshold:
-                kept.append(i)
-        return pdf.iloc[kept][columns]
-
-    out = df.groupBy(*keys).applyInPandas(run, df.schema)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _groups(batches, len(keys)):
+            every, stay = _boxes(t.column("box")), []
+            for lo, hi in pairwise(at.tolist()):
+                boxes, kept = every[lo:hi], []
+                for i in range(hi - lo):
+                    if not kept or _iou(boxes[kept], boxes[i]).max() <= threshold:
+                        kept.append(i)
+                stay += [lo + i for i in kept]
+            yield from t.take(pa.array(stay, pa.int64())).combine_chunks().to_batches()
+
+    dealt = df.select(*keys, *(c for c in columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys, F.col("score").desc(), F.col("id"))
+    out = dealt.mapInArrow(go, dealt.schema).select(*columns)
     return out if most is None else best(out, frame or keys[:1], most)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions import rules, scalar
-from skarn.operators import aggregates, fusion, geometry, intervals, matching, ranking, series
+from skarn.operators import aggregates, filters, fusion, geometry, intervals, matching, ranking, series
 from skarn.plans import scenario
 from skarn.sources import readers, writers
 from skarn.streaming import sessions
@@ -244,10 +244,10 @@ def interval_consumption(spark: SparkSession, d: str) -> DataFrame:
     return intervals.consume(e.where("event_type = 'view'"), taken, U, width=36_000.0).select("event_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
 def pool_anti(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_anti")
+    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return filters.outside_pool(c, o, "c_custkey")
 
 
 @query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = 5")
@@ -371,12 +371,12 @@ def field_coverage(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.coverage(j, ["lang"], ["quality", "toxic"]).select("lang", r6("cov_quality"), r6("cov_toxic"))
 
 
-@query("""WITH s AS (SELECT d.source, CASE WHEN l.doc_id IS NULL THEN 'unavailable' WHEN quality = 1 AND toxic = 0 THEN 'confirmed' ELSE 'contradicted' END AS st
+@query("""WITH s AS (SELECT d.lang AS source, CASE WHEN l.doc_id IS NULL THEN 'unavailable' WHEN quality = 1 AND toxic = 0 THEN 'confirmed' ELSE 'contradicted' END AS st
  FROM documents d LEFT JOIN labels l USING (doc_id))
  SELECT source, count(*) AS n, count(*) FILTER (st = 'confirmed') AS confirmed, count(*) FILTER (st = 'unavailable') AS unavailable,
  round(count(*) FILTER (st = 'confirmed') / nullif(count(*) - count(*) FILTER (st = 'unavailable'), 0), 6) AS rate FROM s GROUP BY source""")
 def corroboration(spark: SparkSession, d: str) -> DataFrame:
-    j = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left")
+    j = table(spark, d, "documents").select("doc_id", F.col("lang").alias("source")).join(table(spark, d, "labels"), "doc_id", "left")
     st = F.when(F.col("quality").isNull(), "unavailable").when((F.col("quality") == 1) & (F.col("toxic") == 0), "confirmed").otherwise("contradicted")
     return aggregates.corroboration(j.withColumn("st", st), ["source"], "st").withColumn("rate", F.round("rate", 6))
 
@@ -564,11 +564,22 @@ def confidence_index(spark: SparkSession, d: str) -> DataFrame:
     return i.select("doc_id", F.array_join(F.transform("tags", lambda t: t["tag"]), ",").alias("tags"), F.array_max(F.transform("tags", lambda t: t["confidence"])).alias("top"))
 
 
-@query(f"""WITH {CHANNELS} SELECT doc_id, 'other' AS cause, count(*) AS n FROM cand GROUP BY 1""")
+#: Categories of either cause, some of them, and one of none.
+CAUSED = [c for cs in fusion.CAUSES.values() for c in cs[:2]] + ["free_drive"]
+
+
+@query(f"""WITH c AS (SELECT event_id // 3 AS id, ({CAUSED!r})[(event_id // 3 * 5 + CASE WHEN event_id // 3 % 2 = 0 THEN event_id % 3 ELSE 0 END) % {len(CAUSED)} + 1] AS cat, CASE event_id % 3 WHEN 0 THEN ['ego'] WHEN 1 THEN ['gt', 'vlm'] ELSE ['vlm'] END AS ch, round(value % 1, 2) AS v FROM events),
+ k AS (SELECT *, {" ".join(["CASE", *(f"WHEN cat IN ({', '.join(map(repr, cs))}) THEN '{k}'" for k, cs in fusion.CAUSES.items()), "END"])} AS cause FROM c),
+ r AS (SELECT id, cause, max(v) AS v, array_to_string(list_sort(list_distinct(flatten(list(ch)))), ',') AS channels, array_to_string(list_sort(list_distinct(list(cat))), ',') AS cats FROM k WHERE cause IS NOT NULL GROUP BY 1, 2)
+ SELECT * FROM r UNION ALL SELECT DISTINCT id, 'other', 0.0::DOUBLE, '', '' FROM k WHERE id NOT IN (SELECT id FROM r)""")
 def cause_rollup(spark: SparkSession, d: str) -> DataFrame:
-    c = _candidates(spark, d).withColumn("vote_fraction", F.lit(0.0))
-    n = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return fusion.causes(c, ["doc_id"]).select("doc_id", "cause").join(n, "doc_id")
+    k = F.col("event_id")
+    channels = F.when(k % 3 == 0, F.array(F.lit("ego"))).when(k % 3 == 1, F.array(F.lit("gt"), F.lit("vlm"))).otherwise(F.array(F.lit("vlm")))
+    at = F.floor(k / 3) * 5 + F.when(F.floor(k / 3) % 2 == 0, k % 3).otherwise(0)
+    cat = F.get(F.array(*(F.lit(c) for c in CAUSED)), (at % len(CAUSED)).cast("int"))
+    c = table(spark, d, "events").select(F.floor(k / 3).alias("id"), cat.alias("cat"), channels.alias("channels"), F.round(F.col("value") % 1, 2).alias("vote_fraction"))
+    joined = [F.array_join(x, ",").alias(x) for x in ("channels", "cats")]
+    return fusion.causes(c, ["id"]).select("id", "cause", F.col("vote_fraction").alias("v"), *joined)
 
 
 GOLD = """g AS (SELECT l.doc_id, list_filter(['low', 'toxic'], lambda x: (x = 'low' AND l.quality = 0) OR (x = 'toxic' AND l.toxic = 1)) AS human,
@@ -788,9 +799,9 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT lang, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(sum(tp) / (sum(tp) + sum(fp) + 1e-8), 6) AS precision, round(sum(tp) / (sum(tp) + sum(fn) + 1e-8), 6) AS recall
- FROM (SELECT lang, (quality = 0 AND contains(text, '|'))::INT AS tp, (quality = 1 AND contains(text, '|'))::INT AS fp, (quality = 0 AND NOT contains(text, '|'))::INT AS fn FROM documents JOIN labels USING (doc_id)) GROUP BY 1""")
+ FROM (SELECT lang, (quality = 0 AND p)::INT AS tp, (quality = 1 AND p)::INT AS fp, (quality = 0 AND NOT p)::INT AS fn FROM (SELECT *, contains(text, '|') OR doc_id % 5 = 0 AS p FROM documents) JOIN labels USING (doc_id)) GROUP BY 1""")
 def class_prf(spark: SparkSession, d: str) -> DataFrame:
-    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", F.col("text").contains("|").alias("p")), "doc_id")
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", (F.col("text").contains("|") | (F.col("doc_id") % 5 == 0)).alias("p")), "doc_id")
     bad = F.col("quality") == 0
     x = j.select("lang", (bad & F.col("p")).cast("int").alias("a"), (~bad & F.col("p")).cast("int").alias("b"), (bad & ~F.col("p")).cast("int").alias("c"))
     return matching.precision_recall(x, ["lang"], "a", "b", "c").select("lang", "tp", "fp", "fn", r6("precision"), r6("recall"))
@@ -801,10 +812,14 @@ def class_prf(spark: SparkSession, d: str) -> DataFrame:
 WORDS = {"insult": ["idiot", "moron"], "table": [r"\|"], "shout": ["!!"]}
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'idiot|moron') THEN 'kind:insult' WHEN regexp_matches(lower(text), '\\|') THEN 'kind:table'
- WHEN regexp_matches(lower(text), '!!') THEN 'kind:shout' END AS tag, regexp_matches(coalesce(text, ''), '[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}]') AS cjk FROM documents""")
+@query("""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' 漢字' WHEN doc_id % 5 = 1 THEN text || ' カナ' ELSE text END AS text FROM documents)
+ SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'idiot|moron') THEN 'kind:insult' WHEN regexp_matches(lower(text), '\\|') THEN 'kind:table'
+ WHEN regexp_matches(lower(text), '!!') THEN 'kind:shout' END AS tag, regexp_matches(coalesce(text, ''), '[\\x{3040}-\\x{30ff}\\x{4e00}-\\x{9fff}]') AS cjk FROM d""")
 def text_tags(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", scalar.first_keyword(F.col("text"), WORDS, "kind").alias("tag"), scalar.has_cjk(F.col("text")).alias("cjk"))
+    """Tags of texts, two fifths of which end in another script."""
+    k = F.col("doc_id") % 5
+    text = F.concat("text", F.when(k == 0, " 漢字").when(k == 1, " カナ").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", scalar.first_keyword(text, WORDS, "kind").alias("tag"), scalar.has_cjk(text).alias("cjk"))
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::INTEGER AS k FROM events")

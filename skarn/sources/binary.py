@@ -55,8 +55,8 @@ def _ranges(files: DataFrame, of: Callable[[pa.NativeFile, int, int], Iterator[t
     return files.repartition(spread, "path").mapInArrow(run, RANGE)
 
 
-def _read(ranges: DataFrame, of: Callable[[pa.NativeFile, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``of`` makes of each range, the ranges dealt to as many tasks as there are."""
+def _read(ranges: DataFrame, of: Callable[[pa.NativeFile, dict], Iterator[pa.RecordBatch]], schema: str, range_bytes: int) -> DataFrame:
+    """What ``of`` makes of each range, the ranges dealt to tasks of ``range_bytes`` about; small files share a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,7 +67,9 @@ def _read(ranges: DataFrame, of: Callable[[pa.NativeFile, dict], Iterator[pa.Rec
                     yield from of(f, r)
 
     held = materialise(ranges, "ranges")
-    return held.repartition(max(1, held.count()), "path", "start").mapInArrow(run, schema)
+    n, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    tasks = max(1, min(n, 4 * held.sparkSession.sparkContext.defaultParallelism), -(-size // range_bytes))
+    return held.repartition(tasks, "path", "start").mapInArrow(run, schema)
 
 
 # --- framed records -------------------------------------------------------------------------------------------------
@@ -117,7 +119,7 @@ def framed_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
         if out:
             yield batch()
 
-    return _read(_ranges(listed(spark, path), _frames, range_bytes), of, "path string, n long, record binary")
+    return _read(_ranges(listed(spark, path), _frames, range_bytes), of, "path string, n long, record binary", range_bytes)
 
 
 # --- points ---------------------------------------------------------------------------------------------------------
@@ -138,7 +140,7 @@ def points(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y",
             yield _rows(r["path"], n, {c: np.ascontiguousarray(m[:, i]) for i, c in enumerate(columns)})
             n, left = n + len(m), left - m.nbytes
 
-    return _read(ranges, of, "path string, n long, " + ", ".join(f"{c} float" for c in columns))
+    return _read(ranges, of, "path string, n long, " + ", ".join(f"{c} float" for c in columns), range_bytes)
 
 
 def _rows(path: str, first: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -267,7 +269,7 @@ def ply_points(spark: SparkSession, path: str, grey: int = 128, range_bytes: int
                 n, rows = n + len(rows), []
 
     ranges = _ranges(listed(spark, path), _clouds, range_bytes)
-    return _read(ranges, of, "path string, n long, x double, y double, z double, r int, g int, b int")
+    return _read(ranges, of, "path string, n long, x double, y double, z double, r int, g int, b int", range_bytes)
 
 
 # --- writers --------------------------------------------------------------------------------------------------------
