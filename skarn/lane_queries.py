@@ -179,7 +179,7 @@ def straight_driving(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LOG}, eps AS (SELECT clip_id, i // 7 AS ep, t AS t0, t + 3 AS t1, t AS onset FROM log WHERE i % 7 = 0),
  ag AS (SELECT clip_id, CASE i % 4 WHEN 0 THEN 'crossing' WHEN 1 THEN 'preceding_vehicle' WHEN 2 THEN 'adjust' ELSE 'crossing' END AS role, 'o' || (i % 3) AS object_type, value % 45 AS min_dist,
- t - value % 2 AS t0, t + value % 3 - 0.5 AS t1 FROM log), able AS (SELECT *, CASE WHEN role = 'crossing' AND min_dist < 15 THEN 0 WHEN role = 'preceding_vehicle' AND min_dist < 30 THEN 1 END AS r FROM ag),
+ t - value % 2 AS t0, t + value % 3 AS t1 FROM log), able AS (SELECT *, CASE WHEN role = 'crossing' AND min_dist < 15 THEN 0 WHEN role = 'preceding_vehicle' AND min_dist < 30 THEN 1 END AS r FROM ag),
  c AS (SELECT e.clip_id, ep, arg_min(struct_pack(k := able.object_type, ro := role, d := min_dist), (r, min_dist, able.t0, able.t1, able.object_type, role)) AS a FROM eps e JOIN able ON able.clip_id = e.clip_id
  WHERE r IS NOT NULL AND NOT (able.t1 < onset - 1e-6 OR able.t0 > e.t1 + 1e-6) AND able.t0 <= onset + 1.0 AND able.t1 >= onset - 1.5 GROUP BY 1, 2)
  SELECT clip_id, ep, a.k AS object_type, a.ro AS role, a.d AS min_dist FROM eps LEFT JOIN c USING (clip_id, ep)""")
@@ -190,6 +190,6 @@ def causal_gate(spark: SparkSession, d: str) -> DataFrame:
     role = F.when(i % 4 == 1, "preceding_vehicle").when(i % 4 == 2, "adjust").otherwise("crossing")
     agents = log.select(
         "clip_id", role.alias("role"), F.concat(F.lit("o"), (i % 3).cast("string")).alias("object_type"), (F.col("value") % 45).alias("min_dist"),
-        (F.col("t") - F.col("value") % 2).alias("t0"), (F.col("t") + F.col("value") % 3 - 0.5).alias("t1"),
+        (F.col("t") - F.col("value") % 2).alias("t0"), (F.col("t") + F.col("value") % 3).alias("t1"),
     )
     return scenario.causal_agent(eps, agents, Thresholds()).select("clip_id", "ep", F.col("a_object_type").alias("object_type"), F.col("a_role").alias("role"), F.col("a_min_dist").alias("min_dist"))
