@@ -10,6 +10,11 @@ Before the exchange each batch settles its own repeats by all 128 bits: a window
 document of the batch that holds it, and the others' losses go as finished answers dealt by document. So a window that a
 third of all documents share costs its deal one entry a batch, not one a document.
 
+Deals grow in number with the table, and a batch's windows for one deal would shrink to single rows. So from FAN deals on,
+windows first go to FAN coarse deals, as runs of deals; there a task goes through its rows in order, settles and packs again
+what REDEALT_WINDOWS windows hold for each deal, and sends that on. What a task holds does not grow with the table, a window
+costs some fifteen bytes in either exchange, and the results are the same.
+
 A deal and an answer tell windows apart by 80 bits besides the deal's own: two of N different windows meet in D deals with
 a probability of N^2 / (D 2^81) at most, below 10^-5 for the 10^13 windows and 10^7 deals of 100 TB.
 
@@ -41,6 +46,8 @@ from skarn.llm.common import claim, free_name, mix64, slices
 WIDTH = 50
 #: Documents, and bytes of text, a deal. Deals grow in number with the table, not in size.
 DOCS_PER_DEAL, BYTES_PER_DEAL = 2_500, 8_000_000
+#: Deals that batches are packed for directly; beyond, coarse deals come first, whose windows are packed again so many at once.
+FAN, REDEALT_WINDOWS = 1_024, 1_000_000
 #: Words hashed at once, and distinct words remembered by a worker.
 FLAT_WORDS, MEMORY_WORDS = 300_000, 300_000
 #: Ids of very many rows up to this number go to every executor; more are joined by a shuffle.
@@ -51,6 +58,8 @@ BASES = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 LAST_ID = np.iinfo(np.int64).max
 #: What travels of a window: the first hash and two bytes of the second.
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u2")])
+#: What travels of a window to a coarse deal: also which of its deals it is for.
+COARSE = np.dtype([("a", "<u8"), ("b", "<u2"), ("sub", "<u2")])
 
 
 class _WordHash(dict):
@@ -193,12 +202,12 @@ def _rows(windows: np.ndarray, ids: np.ndarray, owners: np.ndarray, deal: np.nda
         yield int(deal[lo]), windows[lo:hi].tobytes(), _steps(i[runs]), whose.tobytes() if whose.any() else b"", _small(np.diff(np.append(runs, hi - lo)))
 
 
-def _unpacked(windows: list[bytes], ids: list[bytes], owners: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(windows: list[bytes], ids: list[bytes], owners: list[bytes], counts: list[bytes], kind: np.dtype = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows of several rows, and the id and owner of each."""
     sizes, whose = [_wide(c) for c in counts], [_ids_of(i) for i in ids]
     held = [np.frombuffer(o, np.int64) if o else np.zeros(len(i), np.int64) for o, i in zip(owners, whose, strict=True)]
     times = np.concatenate(sizes)
-    return np.frombuffer(b"".join(windows), WINDOW), np.repeat(np.concatenate(whose), times), np.repeat(np.concatenate(held), times)
+    return np.frombuffer(b"".join(windows), kind), np.repeat(np.concatenate(whose), times), np.repeat(np.concatenate(held), times)
 
 
 def _doc_deal(ids: np.ndarray, owners: np.ndarray, deals: int) -> np.ndarray:
@@ -210,8 +219,18 @@ def _doc_deal(ids: np.ndarray, owners: np.ndarray, deals: int) -> np.ndarray:
 PACKED = pa.schema([("done", pa.bool_()), ("deal", pa.int32()), ("windows", pa.binary()), ("ids", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary())])
 
 
-def _packed(deals: int, width: int):
-    """Arrow batches of (id, text, owner) to one row for each deal: windows, and whose they are."""
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PACKED.types, strict=True)], schema=PACKED)
+
+
+def _run(deals: int, fan: int) -> int:
+    """How many deals a coarse deal stands for; 1 where windows go to their deals directly."""
+    return 1 if deals <= fan else -(-deals // fan)
+
+
+def _packed(deals: int, width: int, fan: int = FAN):
+    """Arrow batches of (id, text, owner) to one row for each deal, or coarse deal: windows, and whose they are."""
+    run_of = _run(deals, fan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substrings", _words.clear)
@@ -223,14 +242,60 @@ def _packed(deals: int, width: int):
                 if not len(a):
                     continue
                 asked, lost = _settled(a, b, doc, own)
-                slim, out = _packed_windows(a, b), []
-                for settled, at, deal in ((False, asked, _deal(b[asked], deals)), (True, lost, _doc_deal(doc[lost], own[lost], deals))):
-                    out += [(settled, *x) for x in _rows(slim[at], doc[at], own[at], deal)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PACKED.types, strict=True)], schema=PACKED)
+                fine = _deal(b[asked], deals)
+                wanted = _packed_windows(a[asked], b[asked])
+                if run_of > 1:
+                    marked = np.empty(len(asked), COARSE)
+                    marked["a"], marked["b"], marked["sub"] = wanted["a"], wanted["b"], fine % run_of
+                    wanted = marked
+                out = [(False, *x) for x in _rows(wanted, doc[asked], own[asked], fine // run_of)]
+                out += [(True, *x) for x in _rows(_packed_windows(a[lost], b[lost]), doc[lost], own[lost], _doc_deal(doc[lost], own[lost], deals) // run_of)]
+                yield _batch(out)
 
     return run
 
 
+def _redealt(deals: int, fan: int = FAN):
+    """Rows of coarse deals, in order of these, to rows of deals: what some million windows hold is settled and packed together."""
+    run_of = _run(deals, fan)
+
+    def packed(settled: bool, coarse: int, rows: list[tuple]) -> Iterator[tuple]:
+        columns = [list(c) for c in zip(*rows, strict=True)]
+        if settled:
+            w, doc, own = _unpacked(*columns)
+            lost = w, doc, own
+        else:
+            w, doc, own = _unpacked(*columns, kind=COARSE)
+            second = w["b"].astype(np.uint32) | w["sub"].astype(np.uint32) << np.uint32(16)
+            asked, gone = _settled(w["a"], second, doc, own)
+            yield from ((False, *x) for x in _rows(_packed_windows(w["a"][asked], w["b"][asked]), doc[asked], own[asked], coarse * run_of + w["sub"][asked].astype(np.int64)))
+            lost = _packed_windows(w["a"][gone], w["b"][gone]), doc[gone], own[gone]
+        if len(lost[0]):
+            yield from ((True, *x) for x in _rows(*lost, _doc_deal(lost[1], lost[2], deals)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
+        at, held, n = None, [], 0
+        for b in batches:
+            for settled, coarse, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (at != (settled, coarse) or n >= REDEALT_WINDOWS):
+                    yield from _batches(packed(*at, held))
+                    held, n = [], 0
+                at = settled, coarse
+                held.append(row)
+                n += len(row[0]) // (WINDOW if settled else COARSE).itemsize
+        if held:
+            yield from _batches(packed(*at, held))
+
+    return run
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    out = list(rows)
+    if out:
+        yield _batch(out)
+
+
 def _answers(doc_deals: int):
     """One deal's packed rows to (doc_deal, windows, ids, owners, counts): what each document must lose."""
 
@@ -298,7 +363,10 @@ def remove_repeats(
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0)).alias("bytes")).first()
     deals = max(16, -(-size["n"] // docs_per_deal), size["bytes"] // BYTES_PER_DEAL)
     slim = owned.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(owner).alias("owner"))
-    packed = slim.mapInArrow(_packed(deals, width), "done boolean, deal int, windows binary, ids binary, owners binary, counts binary")
+    kinds = "done boolean, deal int, windows binary, ids binary, owners binary, counts binary"
+    packed = slim.mapInArrow(_packed(deals, width, FAN), kinds)
+    if _run(deals, FAN) > 1:
+        packed = packed.repartition(FAN, "deal").sortWithinPartitions("deal", "done").mapInArrow(_redealt(deals, FAN), kinds)
     answers = packed.groupBy("deal").applyInPandas(_answers(deals), "doc_deal int, windows binary, ids binary, owners binary, counts binary")
     key = F.when(F.col(owner) != 0, F.col(owner)).otherwise(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))))
     dealt = owned.withColumn(by, F.pmod(key, F.lit(deals)).cast("int"))
