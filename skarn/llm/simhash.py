@@ -13,6 +13,7 @@ null ids alone is named null); an empty table gives an empty table; other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import claim, free_name, lookup_join, materialise, pick, release, slices
+from skarn.llm.common import HOT_ROWS, claim, free_name, lookup_join, materialise, pick, release, slices
 
 SEED, SHINGLE, RADIUS, TILE_ROWS = 42, 4, 4, 131_072
+#: Words of either side compared at once: 64 MB of exclusive-ors.
+BLOCK_ROWS, BLOCK_WORDS = 128, 65_536
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -87,15 +90,15 @@ def _touched(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarra
             continue
         members = np.flatnonzero(np.repeat(near, sizes_b))
         others = b[members]
-        for lo in range(at_a[k], at_a[k + 1], 1024):
-            rows = a[lo : min(lo + 1024, at_a[k + 1])]
-            for c in range(0, len(others), 65_536):
-                close = np.bitwise_count(rows[:, None] ^ others[None, c : c + 65_536]) <= radius
+        for lo in range(at_a[k], at_a[k + 1], BLOCK_ROWS):
+            rows = a[lo : min(lo + BLOCK_ROWS, at_a[k + 1])]
+            for c in range(0, len(others), BLOCK_WORDS):
+                close = np.bitwise_count(rows[:, None] ^ others[None, c : c + BLOCK_WORDS]) <= radius
                 if same:  # a word meets itself once
-                    close &= members[None, c : c + 65_536] != np.arange(lo, lo + len(rows))[:, None]
+                    close &= members[None, c : c + BLOCK_WORDS] != np.arange(lo, lo + len(rows))[:, None]
                 if close.any():
                     hit_a[lo : lo + len(rows)] |= close.any(axis=1)
-                    hit_b[members[c : c + 65_536][close.any(axis=0)]] = True
+                    hit_b[members[c : c + BLOCK_WORDS][close.any(axis=0)]] = True
     if same:
         return a[hit_a | hit_b]
     return np.unique(np.concatenate([a[hit_a], b[hit_b]]))
@@ -203,14 +206,30 @@ def drop_near_duplicates(
     """One row of each component: that of the least id, null ids last, and of the least text hash. All columns come back.
 
     A row is told by its id and its text's hash, so an id with unlike texts has a row in each component where it is the
-    least, and a component of null ids alone keeps one of its rows. Of repeated rows one stays.
+    least, and a component of null ids alone keeps one of its rows. Of repeated rows one stays, of those that differ in other
+    columns the one of least hash of all columns (maps apart).
     """
     marked = materialise(with_fingerprints(docs, id_col, text_col, shingle, hashed=True), "simhash")
     row = F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash")
     distinct = materialise(marked.groupBy("fp").agg(F.min(row).alias("label")), "fps")
     found = components(docs.sparkSession, distinct.select(F.col("fp").alias("node"), "label"), links(distinct.select("fp"), radius, tile_rows))
-    keep = found.select(F.col("label.id").alias("__kept_id"), F.col("label.hash").alias("__kept_hash")).distinct()
+    keep = materialise(found.select(F.col("label.id").alias("__kept_id"), F.col("label.hash").alias("__kept_hash")).distinct(), "kept")
     own = free_name(docs, "__own_hash")
     rows = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`")))
-    same = rows[f"`{id_col}`"].eqNullSafe(keep["__kept_id"]) & (rows[own] == keep["__kept_hash"])
-    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, own]).drop(own)
+
+    def held_by(keys: DataFrame):
+        return rows[f"`{id_col}`"].eqNullSafe(keys["__kept_id"]) & (rows[own] == keys["__kept_hash"])
+
+    # keys of very many rows go to all tasks, the others are shuffled; either way equal rows meet after one was kept of each task
+    counts = marked.groupBy(F.col("id").alias("__kept_id"), F.col("hash").alias("__kept_hash")).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.where(F.col("n") >= max(HOT_ROWS, marked.count() // 1000)).drop("n")  # a thousand at most
+    hot = materialise(hot, "hot")
+    on = keep["__kept_id"].eqNullSafe(hot["__kept_id"]) & (keep["__kept_hash"] == hot["__kept_hash"])
+    often, seldom = keep.join(F.broadcast(hot), on, "left_semi"), keep.join(F.broadcast(hot), on, "left_anti")
+    cold = rows.join(F.broadcast(hot), held_by(hot), "left_anti")
+    same = cold[f"`{id_col}`"].eqNullSafe(seldom["__kept_id"]) & (cold[own] == seldom["__kept_hash"])
+    parts = [rows.join(F.broadcast(often), held_by(often), "left_semi"), cold.join(seldom, same, "left_semi")] if not hot.isEmpty() else [rows.join(keep, held_by(keep), "left_semi")]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    told = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    one = [p.groupBy(F.col(f"`{id_col}`").alias("__i"), F.col(own).alias("__h")).agg(F.min_by(F.struct(*columns), told).alias("__row")).select("__row.*") for p in parts]
+    return reduce(DataFrame.unionByName, one)

@@ -857,6 +857,22 @@ def test_query_op10(spark, raw):
     assert sum(r.predicted == label[r.doc_id] for r in seen) / len(seen) > 0.9
 
 
+def test_hot_rows_are_split_when_near_duplicates_go(spark, monkeypatch):
+    """A third of all rows alike: one of them stays, the one of least hash where other columns differ, also without hot keys."""
+    rows = [(7, "the same words over and over again and more of them", k % 3) for k in range(400)] + [(100 + k, f"text {k} of its own {k * k} and {k * 31} more", k) for k in range(200)] + [(None, None, 1), (None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(4)
+    want = None
+    for hot in (10, 10_000):
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+        df = simhash.drop_near_duplicates(docs)
+        got = sorted((tuple(r) for r in df.collect()), key=str)
+        assert df.columns == docs.columns and len([r for r in got if r[0] == 7]) == 1 and len([r for r in got if r[0] is None]) == 1
+        assert want is None or got == want
+        want = got
+    least = docs.where("doc_id = 7").select("extra", F.xxhash64("doc_id", "text", "extra").alias("h")).orderBy("h").first().extra
+    assert [r for r in want if r[0] == 7][0][2] == least
+
+
 def test_coarse_deals_change_nothing(spark, odd, monkeypatch):
     """Few coarse deals and small packs against the direct way, and the SQL's rows on the driver's table."""
     rows = lambda df: sorted((str(r.doc_id), r.repeats.n_words, r.repeats.n_removed, r.repeats.kept, str(r.repeats.spans)) for r in df.collect())
