@@ -187,7 +187,7 @@ def _day(c: str):
 def overlap_join(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", _day("l_shipdate").alias("t0"), (_day("l_shipdate") + F.col("l_quantity")).alias("t1"))
     b = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), _day("o_orderdate").alias("t0"), (_day("o_orderdate") + 60).alias("t1"))
-    return intervals.overlap_join(a, b, ["k"], width=60.0).groupBy(F.col("k").alias("l_orderkey"), "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    return intervals.overlap_join(a, b, ["k"], width=3_650.0).groupBy(F.col("k").alias("l_orderkey"), "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EV}, a AS (SELECT * FROM ev WHERE event_type = 'purchase'), b AS (SELECT * FROM ev WHERE event_type = 'error'),
