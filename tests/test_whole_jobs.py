@@ -15,3 +15,11 @@ def given(name):
 def test_pool_anti_looks_at_all_orders(spark):
     want = set(given("customer").c_custkey) - set(given("orders").o_custkey)
     assert {r.c_custkey for r in QUERIES["pool_anti"](spark, DATA).collect()} == want
+
+
+def test_action_axes_see_all_events_of_a_user(spark):
+    e = given("events").sort_values(["ts", "event_id"])
+    kinds = e.assign(kind=e.event_type.map(KIND)).groupby("user_id").kind.apply(list)
+    lon = {u: [k for k in ks if k in ("decelerate", "accelerate", "stop")] for u, ks in kinds.items()}
+    got = {r.user_id: (r.first_lon, r.last_lon) for r in QUERIES["action_axes"](spark, DATA).collect()}
+    assert got == {u: (ks[0], ks[-1]) if ks else (None, None) for u, ks in lon.items()}
