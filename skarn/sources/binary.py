@@ -8,6 +8,7 @@ hdfs, s3, gs, abfs).
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +25,8 @@ from skarn.tables import materialise
 
 #: Bytes of a range, of what leaves a worker at once, and of what is read at once while looking for lengths.
 RANGE_BYTES, BATCH_BYTES, LOOK_BYTES = 1 << 27, 1 << 25, 1 << 20
+#: Bytes of small ranges, and their number, that leave a worker together.
+JOINED_BYTES, JOINED = 1 << 22, 1 << 10
 RANGE = "path string, start long, stop long, first long, layout string"
 
 
@@ -56,20 +59,35 @@ def _ranges(files: DataFrame, of: Callable[[pa.NativeFile, int, int], Iterator[t
 
 
 def _read(ranges: DataFrame, of: Callable[[pa.NativeFile, dict], Iterator[pa.RecordBatch]], schema: str, range_bytes: int) -> DataFrame:
-    """What ``of`` makes of each range, the ranges dealt to tasks of ``range_bytes`` about; small files share a task."""
+    """What ``of`` makes of each range, the ranges dealt to tasks of ``RANGE_BYTES`` about; small ranges and small files share a task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                where, at = opened(r["path"])
-                with where.open_input_file(at) as f:
+    A task goes through a file's ranges in order with one opening, and what small ranges give leaves it together.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in b.to_pylist())
+        for name, own in itertools.groupby(every, key=lambda r: r["path"]):
+            where, at = opened(name)
+            with where.open_input_file(at) as f:
+                for r in own:
                     f.seek(r["start"])
                     yield from of(f, r)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in parts(batches):
+            held.append(part)
+            size += part.nbytes
+            if size >= JOINED_BYTES or len(held) >= JOINED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     held = materialise(ranges, "ranges")
     n, size = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
-    tasks = max(1, min(n, 4 * held.sparkSession.sparkContext.defaultParallelism), -(-size // range_bytes))
-    return held.repartition(tasks, "path", "start").mapInArrow(run, schema)
+    tasks = max(1, min(n, 4 * held.sparkSession.sparkContext.defaultParallelism), -(-size // max(range_bytes, RANGE_BYTES)))
+    return held.repartition(tasks, "path", "start").sortWithinPartitions("path", "start").mapInArrow(run, schema)
 
 
 # --- framed records -------------------------------------------------------------------------------------------------
@@ -105,8 +123,8 @@ def framed_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
         at, n, held, out = r["start"], r["first"], 0, []
 
         def batch() -> pa.RecordBatch:
-            numbers = pa.array(range(n - len(out), n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(out), pa.string()), numbers, pa.array(out, pa.binary())], names=["path", "n", "record"])
+            numbers = pa.array(np.arange(n - len(out), n))
+            return pa.RecordBatch.from_arrays([pa.repeat(r["path"], len(out)), numbers, pa.array(out, pa.binary())], names=["path", "n", "record"])
 
         while at < r["stop"]:
             (size,) = struct.unpack("<Q", f.read(12)[:8])
@@ -145,7 +163,7 @@ def points(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x", "y",
 
 def _rows(path: str, first: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.arange(first, first + n)), *(pa.array(v) for v in columns.values())], names=["path", "n", *columns])
+    return pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.array(np.arange(first, first + n)), *(pa.array(v) for v in columns.values())], names=["path", "n", *columns])
 
 
 # --- PLY clouds -----------------------------------------------------------------------------------------------------

@@ -1,9 +1,11 @@
 """Queries against their whole input, and steps whose cost must follow the rows."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from skarn import item_queries, lane_queries, more_queries  # noqa: F401 - add to QUERIES
 from skarn.queries import KIND, QUERIES
+from skarn.sources import binary, readers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -23,3 +25,10 @@ def test_action_axes_see_all_events_of_a_user(spark):
     lon = {u: [k for k in ks if k in ("decelerate", "accelerate", "stop")] for u, ks in kinds.items()}
     got = {r.user_id: (r.first_lon, r.last_lon) for r in QUERIES["action_axes"](spark, DATA).collect()}
     assert got == {u: (ks[0], ks[-1]) if ks else (None, None) for u, ks in lon.items()}
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    binary.write_points(spark.range(20_000).select(*(F.col("id").cast("float").alias(c) for c in "xyz")).repartition(2), str(tmp_path))
+    got = readers.points(spark, str(tmp_path), range_bytes=120)  # some 2,000 ranges
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.x for r in got.collect()) == [float(i) for i in range(20_000)] and got.groupBy("path", "n").count().where("count > 1").isEmpty()
