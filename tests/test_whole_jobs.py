@@ -32,3 +32,10 @@ def test_small_ranges_share_a_task(spark, tmp_path):
     got = readers.points(spark, str(tmp_path), range_bytes=120)  # some 2,000 ranges
     assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(r.x for r in got.collect()) == [float(i) for i in range(20_000)] and got.groupBy("path", "n").count().where("count > 1").isEmpty()
+
+
+def test_small_ranges_of_framed_records_share_a_task(spark, tmp_path):
+    binary.write_framed(spark.range(2_000).select(F.col("id").cast("string").cast("binary").alias("r")).repartition(2), str(tmp_path), "r")
+    got = readers.framed_records(spark, str(tmp_path), 40)  # some 1,000 ranges
+    assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(int(r.record) for r in got.collect()) == list(range(2_000))
