@@ -7,8 +7,14 @@ look it up by the number of their frame, with equi-joins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skarn.config import DEFAULT, Thresholds
 from skarn.functions import scalar
@@ -26,9 +32,78 @@ def frames(df: DataFrame, column: str = "divider_polylines") -> DataFrame:
     return df.select("clip_id", "frame_idx", lines.alias("lines"))
 
 
-def boundaries(lines: Column, x: Column | float) -> Column:
-    """The lateral places of the lines at a distance, in the lines' order; lines that do not reach it are left out."""
-    return F.filter(F.transform(lines, lambda p: scalar.interpolated_y(p, x)), lambda y: y.isNotNull())
+#: Pairs of a place ahead and a line that are gone through at once.
+PAIRS = 1 << 19
+
+
+def _counts(lists: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _sorted_points(lines: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, whether y is known, first point of each line and the number of points): a line's points by x, then y; those without x are no points."""
+    counts, points = _counts(lines), lines.flatten()
+    fields = {points.type.field(i).name: c for i, c in enumerate(points.flatten())}
+    x, y = (fields[c].to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+    known, line = pc.is_valid(fields["y"]).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts)
+    some = ~np.isnan(x)
+    if not some.all():
+        x, y, known, line = x[some], y[some], known[some], line[some]
+        counts = np.bincount(line, minlength=len(counts))
+    if ((line[1:] == line[:-1]) & ~(x[1:] > x[:-1])).any():
+        order = np.lexsort((y, known, x, line))
+        x, y, known = x[order], y[order], known[order]
+    return x, y, known, _starts(counts)
+
+
+def _interpolated(px: np.ndarray, py: np.ndarray, known: np.ndarray, start: np.ndarray, stop: np.ndarray, x: np.ndarray, reach: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(y, whether the line reaches x) for each x and the line of points [start, stop), as ``scalar.interpolated_y`` has it; by bisection."""
+    lo, hi, last = start.copy(), stop.copy(), max(len(px) - 1, 0)
+    if not len(px):
+        return np.zeros(len(x)), np.zeros(len(x), bool)
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        up = (lo < hi) & (px[np.minimum(mid, last)] <= x)
+        lo, hi = np.where(up, mid + 1, lo), np.where(up, hi, np.minimum(hi, mid))
+    at = lambda i: np.clip(i, 0, last)
+    a, b = at(lo - 1), at(lo)
+    below, above = (lo > start) & (x - px[a] < reach), (lo < stop) & (px[b] - x < reach)
+    more = ((lo - 1 > start) & (x - px[at(lo - 2)] < reach)) | ((lo + 1 < stop) & (px[at(lo + 1)] - x < reach))
+    held = (below | (above & (px[b] - slack <= x))) & (above | (below & (px[a] + slack >= x))) & ((below & above) | more)
+    between = py[a] + (py[b] - py[a]) * (x - px[a]) / (px[b] - px[a])
+    y = np.where(below & above, between, np.where(below, py[a], py[b]))
+    return y, held & (~below | known[a]) & (~above | known[b])
+
+
+def _places(lines: pa.ListArray, xs: pa.ListArray, reach: float = 6.0, slack: float = 1.5) -> pa.ListArray:
+    """Of each row and each of its x the places of the row's lines that reach it, in the lines' order."""
+    n_lines, n_x = _counts(lines), _counts(xs)
+    px, py, known, first = _sorted_points(lines.flatten())
+    x = xs.flatten().to_numpy(zero_copy_only=False).astype(float)
+    row = np.repeat(np.arange(len(n_x)), n_x)
+    each, line0 = n_lines[row], _starts(n_lines)[row]
+    upto, at, ys, found = _starts(each), 0, [np.zeros(0)], np.zeros(len(x), np.int64)
+    with np.errstate(all="ignore"):
+        while at < len(x):
+            end = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+            q = np.repeat(np.arange(at, end), each[at:end])
+            of = line0[q] + np.arange(len(q)) - (upto[q] - upto[at])
+            y, fine = _interpolated(px, py, known, first[of], first[of + 1], x[q], reach, slack)
+            ys.append(y[fine])
+            found[at:end] = np.bincount(q[fine] - at, minlength=end - at)
+            at = end
+    inner = pa.ListArray.from_arrays(pa.array(_starts(found), pa.int32()), pa.array(np.concatenate(ys)))
+    return pa.ListArray.from_arrays(pa.array(_starts(n_x), pa.int32()), inner)
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def places(lines: pa.Array, xs: pa.Array) -> pa.Array:
+    """For each of the distances xs the lateral places of the lines there, in the lines' order; lines that do not reach it are left out."""
+    return _places(lines, xs)
 
 
 def _nearest(ys: Column) -> Column:
@@ -36,16 +111,20 @@ def _nearest(ys: Column) -> Column:
     return F.array_min(F.transform(ys, lambda y, i: F.struct(F.abs(y).alias("away"), i.alias("i"), y.alias("y"))))["y"]
 
 
-def tangent(lines: Column, th: Thresholds = DEFAULT) -> Column:
-    """The road's angle in degrees, from its line nearest the middle at either distance; null where none reaches one of them."""
-    near, far = _nearest(boundaries(lines, th.tangent_near)), _nearest(boundaries(lines, th.tangent_far))
-    return F.degrees(F.atan2(far - near, F.lit(th.tangent_far - th.tangent_near)))
-
-
 def described(fr: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """(clip_id, frame_idx, width, tangent, right): the ego lane's width, the road's angle, and how many lines lie to the right (null without any line)."""
-    ys = F.col("_ys")
-    held = fr.select("clip_id", "frame_idx", boundaries(F.col("lines"), th.lane_ref_ahead).alias("_ys"), tangent(F.col("lines"), th).alias("tangent"))
+    at = [float(x) for x in (th.lane_ref_ahead, th.tangent_near, th.tangent_far)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(at), pa.int32()), pa.array(at * b.num_rows))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _places(b.column(2), xs)], names=["clip_id", "frame_idx", "_at"])
+
+    slim = fr.select("clip_id", "frame_idx", "lines")
+    there = slim.mapInArrow(run, T.StructType([*slim.schema.fields[:2], T.StructField("_at", T.ArrayType(T.ArrayType(T.DoubleType())))]))
+    near, far = _nearest(F.get("_at", F.lit(1))), _nearest(F.get("_at", F.lit(2)))
+    angle = F.degrees(F.atan2(far - near, F.lit(th.tangent_far - th.tangent_near)))  # of the line nearest the middle at either distance
+    held, ys = there.select("clip_id", "frame_idx", F.get("_at", F.lit(0)).alias("_ys"), angle.alias("tangent")), F.col("_ys")
     right = F.when(F.size(ys) > 0, F.size(F.filter(ys, lambda y: y <= 0)))
     return held.select("clip_id", "frame_idx", scalar.lane_width(ys, th.lane_reach).alias("width"), "tangent", right.alias("right"))
 
@@ -88,19 +167,24 @@ def road(spans: DataFrame, fr: DataFrame, th: Thresholds = DEFAULT) -> DataFrame
     return both.select("clip_id", "kind", "run", (F.col("a1") - F.col("a0")).alias("road_deg"), crossed.cast("long").alias("lane_crossings"))
 
 
-def _on_frames(points: DataFrame, fr: DataFrame, durations: DataFrame) -> DataFrame:
-    """Points with the lines of the frame at their time; null lines where the clip has no such frame."""
+def _on_frames(points: DataFrame, fr: DataFrame, durations: DataFrame, th: Thresholds) -> DataFrame:
+    """Points with the lines' places _ys at their distance in the frame at their time; none where the clip has no such frame.
+
+    A frame's points of some seconds meet its lines as one row, and lines are shuffled, never broadcast: their size on disk says little.
+    """
     n = fr.groupBy("clip_id").agg(F.count(F.lit(1)).alias("_n"))
     placed = points.join(durations.select("clip_id", F.col("dur").alias("_dur")), K, "left").join(n, K, "left")
     placed = placed.withColumn("_frame", frame_of(F.col("t"), F.col("_dur"), F.col("_n")))
-    at = fr.select("clip_id", F.col("frame_idx").alias("_frame"), "lines")
-    return placed.join(at, ["clip_id", "_frame"], "left").select(*points.columns, "lines")
+    own = placed.groupBy("clip_id", "_frame", F.floor(F.col("t") / th.window_sec).alias("_span")).agg(F.collect_list(F.struct(*points.columns)).alias("_p"))
+    at = fr.select("clip_id", F.col("frame_idx").alias("_frame"), "lines").hint("merge")
+    met = own.join(at, ["clip_id", "_frame"], "left").select("_p", places(F.col("lines"), F.transform("_p", lambda p: p["x"])).alias("_ys"))
+    return met.select(F.explode(F.arrays_zip("_p", "_ys")).alias("_z")).select("_z._p.*", "_z._ys")
 
 
 def side_states(points: DataFrame, fr: DataFrame, durations: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """points (clip_id, track_id, t, x, y) with state: L or R beyond the ego lane's lines by a margin, in on the ego path, else ?."""
     ys, y = F.col("_ys"), F.col("y")
-    held = _on_frames(points, fr, durations).withColumn("_ys", boundaries(F.coalesce("lines", F.array()), F.col("x")))
+    held = _on_frames(points, fr, durations, th)
     left = F.array_min(F.filter(ys, lambda v: (v > 0) & (v < th.lane_reach)))
     right = F.array_max(F.filter(ys, lambda v: (v < 0) & (v > -th.lane_reach)))
     state = (
@@ -149,11 +233,12 @@ def lane_changes(points: DataFrame, fr: DataFrame, refs: DataFrame, th: Threshol
     """
     last = fr.groupBy("clip_id").agg((F.count(F.lit(1)) - 1).alias("_last"))
     chosen = refs.join(last, K).select("clip_id", F.least(F.col("ref_frame").cast("long"), F.col("_last")).cast("int").alias("frame_idx"))
-    lines = chosen.join(fr, ["clip_id", "frame_idx"]).select("clip_id", "lines")
-    ahead = points.where((F.col("x") > 0) & (F.col("x") <= th.offset_ahead)).join(lines, K)
-    held = ahead.withColumn("_ys", boundaries(F.col("lines"), F.col("x"))).where(F.size("_ys") > 0)
-    o = held.select(*TRACK, "t", "x", "y", scalar.lane_offset(F.col("y"), F.col("_ys")).alias("o"))
-    g = o.groupBy(*TRACK).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x", "y", "o"))), lambda p: p["o"]).alias("os"))
+    lines = chosen.join(fr.hint("merge"), ["clip_id", "frame_idx"]).select("clip_id", "lines")
+    ahead = points.where((F.col("x") > 0) & (F.col("x") <= th.offset_ahead))
+    tracks = ahead.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("_p"))
+    met = tracks.join(lines.hint("merge"), K).select(*TRACK, "_p", places(F.col("lines"), F.transform("_p", lambda p: p["x"])).alias("_ys"))
+    seen = F.filter(F.arrays_zip("_p", "_ys"), lambda z: F.size(z["_ys"]) > 0)
+    g = met.select(*TRACK, F.transform(seen, lambda z: scalar.lane_offset(z["_p"]["y"], z["_ys"])).alias("os"))
     g = g.where(F.size("os") >= 2 * th.sustain).select(*TRACK, F.slice("os", 1, th.sustain).alias("head"), F.slice("os", -th.sustain, th.sustain).alias("tail"), F.array_max(F.transform("os", lambda v: F.abs(v))).alias("span"))
     steady = lambda c: F.forall(c, lambda v: v == F.get(c, F.lit(0))) & (F.abs(F.get(c, F.lit(0))) == 1)
     inside = lambda c: F.forall(c, lambda v: v == 0)

@@ -1,9 +1,14 @@
 """Queries against their whole input, and steps whose cost must follow the rows."""
 
+import random
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from skarn import item_queries, lane_queries, more_queries  # noqa: F401 - add to QUERIES
+from skarn.functions import scalar
+from skarn.plans import lanes
 from skarn.queries import KIND, QUERIES
 from skarn.sources import binary, readers
 
@@ -39,3 +44,20 @@ def test_small_ranges_of_framed_records_share_a_task(spark, tmp_path):
     got = readers.framed_records(spark, str(tmp_path), 40)  # some 1,000 ranges
     assert got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(int(r.record) for r in got.collect()) == list(range(2_000))
+
+
+def test_places_as_the_expression_has_them(spark):
+    rng = random.Random(5)
+    some = lambda lo, hi: None if rng.random() < 0.05 else round(rng.uniform(lo, hi) * 2) / 2  # noqa: E731 - ties in x
+    line = lambda: None if rng.random() < 0.05 else [(some(-3, 40), some(-5, 5), 0.0) if rng.random() > 0.03 else None for _ in range(rng.randint(0, 9))]
+    rows = [(i, None if i == 3 else [line() for _ in range(rng.randint(0, 4))], [some(-5, 45) for _ in range(rng.randint(0, 5))]) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, lines array<array<struct<x:double,y:double,z:double>>>, xs array<double>")
+    by_hand = F.transform("xs", lambda x: F.filter(F.transform(F.coalesce("lines", F.array()), lambda p: scalar.interpolated_y(p, x)), lambda y: y.isNotNull()))
+    got = df.select("i", lanes.places("lines", "xs").alias("a"), by_hand.alias("b")).collect()
+    assert len(got) == 400 and all(r.a == r.b for r in got)
+
+
+def test_lines_are_not_broadcast(spark):
+    found = QUERIES["map_cut_in"](spark, DATA)._jdf.queryExecution()
+    assert all("lines" not in side for side in re.findall(r"BroadcastExchange.*?\n.*\n", found.executedPlan().toString()))
+    assert "rightHint=(strategy=merge)" in found.analyzed().toString() or "strategy=merge" in found.optimizedPlan().toString()
