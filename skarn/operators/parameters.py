@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skarn.tables import materialise
+
 
 def average(df: DataFrame, at: list[str], value: str, checkpoint: str) -> DataFrame:
     """(at, value, n): each parameter's mean over the checkpoints that have it."""
@@ -30,23 +32,25 @@ def robust_line(df: DataFrame, keys: list[str], id_col: str, x: str, y: str, tol
     """(keys, slope, intercept, n_inliers): the line through a random pair that most points lie near, refitted on those.
 
     Pairs are the rows of least hash of id, seed and trial, so the draw is repeatable. Drawing, counting and fitting are
-    aggregates that combine before each shuffle. Keys whose pairs all have one x give no row.
+    hash aggregates of plain numbers, so no task sorts or holds its rows. Lines and counts, a row a key, are written, so that
+    their joins go by their true size. Keys whose pairs all have one x give no row.
     """
-    end = lambda j: F.min_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.xxhash64(F.col(id_col), F.lit(seed), F.lit(j)))
     have = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    drawn = have.groupBy(*keys).agg(*(end(j).alias(f"_p{j}") for j in range(2 * trials)))
+    draw = lambda j: F.xxhash64(F.col(id_col), F.lit(seed), F.lit(j))
+    ends = [F.min_by(F.col(c).cast("double"), draw(j)).alias(f"_{n}{j}") for j in range(2 * trials) for n, c in (("x", x), ("y", y))]  # both of one row
+    drawn = have.groupBy(*keys).agg(*ends)
 
     def line(j: int) -> Column:
-        p, q = F.col(f"_p{2 * j}"), F.col(f"_p{2 * j + 1}")
-        slope = (q["y"] - p["y"]) / F.nullif(q["x"] - p["x"], F.lit(0.0))
-        return F.struct(slope.alias("s"), (p["y"] - slope * p["x"]).alias("b"))
+        p, q = 2 * j, 2 * j + 1
+        slope = (F.col(f"_y{q}") - F.col(f"_y{p}")) / F.nullif(F.col(f"_x{q}") - F.col(f"_x{p}"), F.lit(0.0))
+        return F.struct(slope.alias("s"), (F.col(f"_y{p}") - slope * F.col(f"_x{p}")).alias("b"))
 
-    lines = drawn.select(*keys, F.filter(F.array(*(line(j) for j in range(trials))), lambda v: v["s"].isNotNull()).alias("_lines"))
+    lines = materialise(drawn.select(*keys, F.filter(F.array(*(line(j) for j in range(trials))), lambda v: v["s"].isNotNull()).alias("_lines")), "lines")
     near = lambda v: F.abs(F.col(y) - (v["s"] * F.col(x) + v["b"])) <= tolerance
-    at = have.join(lines, keys)
-    counted = at.groupBy(*keys).agg(*(F.count_if(near(F.get("_lines", F.lit(j)))).alias(f"_n{j}") for j in range(trials)), F.first("_lines").alias("_lines"))
+    counted = have.join(lines, keys).groupBy(*keys).agg(*(F.count_if(near(F.get("_lines", F.lit(j)))).alias(f"_n{j}") for j in range(trials)))
     score = F.array(*(F.struct(F.col(f"_n{j}").alias("n"), F.lit(-j).alias("j")) for j in range(trials)))
-    best = counted.select(*keys, F.get("_lines", -F.array_max(score)["j"]).alias("_best")).where("_best is not null")
+    best = counted.join(lines, keys).select(*keys, F.get("_lines", -F.array_max(score)["j"]).alias("_best")).where("_best is not null")
+    best = materialise(best, "best")
     inliers = have.join(best, keys).where(near(F.col("_best")))
     return inliers.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n_inliers"))
 

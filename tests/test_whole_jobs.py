@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skarn import item_queries, lane_queries, more_queries  # noqa: F401 - add to QUERIES
 from skarn.functions import scalar
+from skarn.operators import parameters, series
 from skarn.plans import lanes
 from skarn.queries import KIND, QUERIES
 from skarn.sources import binary, readers
@@ -61,3 +62,12 @@ def test_lines_are_not_broadcast(spark):
     found = QUERIES["map_cut_in"](spark, DATA)._jdf.queryExecution()
     assert all("lines" not in side for side in re.findall(r"BroadcastExchange.*?\n.*\n", found.executedPlan().toString()))
     assert "rightHint=(strategy=merge)" in found.analyzed().toString() or "strategy=merge" in found.optimizedPlan().toString()
+
+
+def test_robust_line_sorts_no_rows(spark, monkeypatch):
+    plans, held = [], parameters.materialise
+    monkeypatch.setattr(parameters, "materialise", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or held(df, tag))
+    df = spark.range(500).select((F.col("id") % 2).alias("k"), "id", F.col("id").cast("double").alias("x"), (F.col("id") * 3 + 1.0).alias("y"))
+    got = {r.k: (round(r.slope, 6), round(r.intercept, 6), r.n_inliers) for r in parameters.robust_line(df, ["k"], "id", "x", "y", 0.5).collect()}
+    assert got == {0: (3.0, 1.0, 250), 1: (3.0, 1.0, 250)}
+    assert len(plans) == 2 and not any("SortAggregate" in p or "ObjectHashAggregate" in p for p in plans)
