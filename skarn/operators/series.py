@@ -149,8 +149,8 @@ def rising(df: DataFrame, keys: list[str], order: list[str], value: str, margin:
 
 def head_tail(df: DataFrame, keys: list[str], order: list[str], value: str, k: int) -> DataFrame:
     """Means over the first and the last k rows."""
-    desc = [F.col(c).desc() for c in order]
-    a, b = F.row_number().over(_w(keys, order)), F.row_number().over(Window.partitionBy(*keys).orderBy(*desc))
+    a = F.row_number().over(_w(keys, order))
+    b = F.count(F.lit(1)).over(Window.partitionBy(*keys)) - a + 1  # from the end, by the same sort
     m = df.select(*keys, value, a.alias("_a"), b.alias("_b"))
     return m.groupBy(*keys).agg(F.avg(F.when(F.col("_a") <= k, F.col(value))).alias("head"), F.avg(F.when(F.col("_b") <= k, F.col(value))).alias("tail"))
 
