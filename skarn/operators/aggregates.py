@@ -38,14 +38,27 @@ def reactivity(kinds: Column, min_ax: Column) -> Column:
     return 2.5 * harsh + decel + 0.8 * (has("stop") * has("accelerate")) + has("stop") + lane + 0.6 * turn
 
 
+def with_running_sums(df: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column]) -> DataFrame:
+    """df with the values' sums so far in order, and each row's place _nth: a sum in order does not follow the way rows come in."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select("*", *(F.sum(v).over(upto).alias(n) for n, v in values.items()), F.row_number().over(w).alias("_nth"))
+
+
+def last_mean(total: str, value: Column) -> Column:
+    """The mean of a group from its running sums; null where there are no values."""
+    return F.max_by(total, "_nth") / F.nullif(F.count(value), F.lit(0))
+
+
 def range_stats(ranges: DataFrame, series: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
-    """For each range [t0, t1]: min, mean and net change (last less first) of a series of the same key."""
+    """For each range [t0, t1]: min, mean and net change (last less first) of a series of the same key; the mean is summed in order of time."""
     s = series.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col(t).alias("_t"), F.col(value).alias("_v"))
     on = (F.col("_t") >= F.col("t0")) & (F.col("_t") <= F.col("t1"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_k_{k}"))
-    return ranges.join(s, on, "left").groupBy(*ranges.columns).agg(
-        F.min("_v").alias("min_value"), F.avg("_v").alias("mean_value"), (F.max_by("_v", "_t") - F.min_by("_v", "_t")).alias("net_value")
+    met = with_running_sums(ranges.join(s, on, "left"), ranges.columns, ["_t", "_v"], {"_sum": F.col("_v")})
+    return met.groupBy(*ranges.columns).agg(
+        F.min("_v").alias("min_value"), last_mean("_sum", F.col("_v")).alias("mean_value"), (F.max_by("_v", "_t") - F.min_by("_v", "_t")).alias("net_value")
     )
 
 

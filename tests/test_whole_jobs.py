@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from skarn import file_queries, item_queries, lane_queries, more_queries  # noqa: F401 - add to QUERIES
 from skarn.functions import scalar
-from skarn.operators import parameters, series
-from skarn.plans import lanes
+from skarn.operators import aggregates, parameters, series
+from skarn.plans import lanes, scenario
 from skarn.queries import KIND, QUERIES
 from skarn.sources import binary, readers
 
@@ -95,3 +95,18 @@ def test_equal_clips_rank_by_id(spark, tmp_path):
     df.select("event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
     got = QUERIES["window_selection"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [r.clip_id for r in got] == sorted(str(u) for u in range(0, 160, 4))
+
+
+def test_means_are_summed_in_order_of_time(spark):
+    rng, values = random.Random(7), [1.7, 0.1, 450.7, 0.3, 77.77, 1e-3, 2.9, 3.3]
+    up, down = 0.0, 0.0
+    for v, w in zip(values, values[::-1], strict=True):
+        up, down = up + v, down + w
+    rows = [(str(k), float(i), v) for k in range(40) for i, v in enumerate(values)]
+    rng.shuffle(rows)
+    series_ = spark.createDataFrame(rows, "clip_id string, t double, speed double").withColumn("yaw", F.lit(0.0)).repartition(3)
+    spans = spark.createDataFrame([(str(k), "a", 0.0, 7.0) for k in range(41)], "clip_id string, track_id string, t0 double, t1 double")
+    means = {r.clip_id: r.mean_value for r in aggregates.range_stats(spans, series_, ["clip_id"], "t", "speed").collect()}
+    assert up != down and means == {**{str(k): up / 8 for k in range(40)}, "40": None}
+    met = scenario._with_ego(spans, series_, ["clip_id", "track_id"], {"e": ("t0", "t1"), "f": ("t0", "t0")})
+    assert {r.clip_id: r.e_mean for r in met.collect()} == {**{str(k): down / 8 for k in range(40)}, "40": None}  # from the last to the first
