@@ -22,7 +22,7 @@ def _map_frames(spark: SparkSession, d: str) -> DataFrame:
     shift = F.when(u % 5 == 1, (i % 12) * F.lit(0.4)).otherwise(0.0)
     bend = F.when(u % 2 == 0, (i % 9 - 4) * F.lit(0.002)).otherwise(0.0)
     apart = F.when(u % 4 == 3, 2.0).otherwise(1.0)
-    line = lambda base, at: F.flatten(F.array(*(F.array(F.lit(x), F.lit(base) * apart - shift + bend * F.lit(x * x), F.lit(0.0)) for x in at)))
+    line = lambda base, at: F.array(*(v for x in at for v in (F.lit(x), F.lit(base) * apart - shift + bend * F.lit(x * x), F.lit(0.0))))
     lines = F.array(*(line(b, AHEAD) for b in BASES), line(0.4, [3.0, 6.0]), F.array(*(F.lit(float(v)) for v in (1, 2, 3, 4))))
     shown = log.where(u % 11 > 0).select("clip_id", i.alias("frame_idx"), F.when(i % 10 == 7, F.array().cast("array<array<double>>")).otherwise(lines).alias("divider_polylines"))
     return lanes.frames(shown)

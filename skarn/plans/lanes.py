@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarn.config import DEFAULT, Thresholds
-from skarn.functions import scalar
 from skarn.operators import series
 
 K = ["clip_id"]
@@ -25,11 +24,8 @@ TRACK = ["clip_id", "track_id"]
 
 
 def frames(df: DataFrame, column: str = "divider_polylines") -> DataFrame:
-    """(clip_id, frame_idx, lines array<array<struct<x,y,z>>>) from flat lists; a list whose length is no positive multiple of three is no line."""
-    whole = F.filter(F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)), lambda v: (F.size(v) > 0) & (F.size(v) % 3 == 0))
-    point = lambda v, i: F.struct(F.get(v, i).alias("x"), F.get(v, i + 1).alias("y"), F.get(v, i + 2).alias("z"))
-    lines = F.transform(whole, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(3)), lambda i: point(v, i)))
-    return df.select("clip_id", "frame_idx", lines.alias("lines"))
+    """(clip_id, frame_idx, lines array<array<double>>): flat lists x, y, z, ...; a list whose length is no positive multiple of three is no line."""
+    return df.select("clip_id", "frame_idx", F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)).alias("lines"))
 
 
 #: Pairs of a place ahead and a line that are gone through at once.
@@ -47,9 +43,19 @@ def _starts(counts: np.ndarray) -> np.ndarray:
 def _sorted_points(lines: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, whether y is known, first point of each line and the number of points): a line's points by x, then y; those without x are no points."""
     counts, points = _counts(lines), lines.flatten()
-    fields = {points.type.field(i).name: c for i, c in enumerate(points.flatten())}
-    x, y = (fields[c].to_numpy(zero_copy_only=False).astype(float) for c in "xy")
-    known, line = pc.is_valid(fields["y"]).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts)
+    if pa.types.is_struct(points.type):
+        fields = {points.type.field(i).name: c for i, c in enumerate(points.flatten())}
+        x, y = (fields[c].to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+        known = pc.is_valid(fields["y"]).to_numpy(zero_copy_only=False)
+    else:  # flat lists
+        whole = counts % 3 == 0
+        v, valid = points.to_numpy(zero_copy_only=False).astype(float), pc.is_valid(points).to_numpy(zero_copy_only=False)
+        if not whole.all():
+            kept = np.repeat(whole, counts)
+            v, valid = v[kept], valid[kept]
+        counts = np.where(whole, counts // 3, 0)
+        x, y, known = v[0::3], v[1::3], valid[1::3]
+    line = np.repeat(np.arange(len(counts)), counts)
     some = ~np.isnan(x)
     if not some.all():
         x, y, known, line = x[some], y[some], known[some], line[some]
@@ -79,23 +85,36 @@ def _interpolated(px: np.ndarray, py: np.ndarray, known: np.ndarray, start: np.n
     return y, held & (~below | known[a]) & (~above | known[b])
 
 
-def _places(lines: pa.ListArray, xs: pa.ListArray, reach: float = 6.0, slack: float = 1.5) -> pa.ListArray:
-    """Of each row and each of its x the places of the row's lines that reach it, in the lines' order."""
-    n_lines, n_x = _counts(lines), _counts(xs)
+def _met(lines: pa.ListArray, x: np.ndarray, n_x: np.ndarray, reach: float = 6.0, slack: float = 1.5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the x, place) of the lines that reach the places ahead x, of which row i has n_x[i]; by x, a row's lines in order; some at a time."""
+    n_lines = _counts(lines)
     px, py, known, first = _sorted_points(lines.flatten())
-    x = xs.flatten().to_numpy(zero_copy_only=False).astype(float)
     row = np.repeat(np.arange(len(n_x)), n_x)
     each, line0 = n_lines[row], _starts(n_lines)[row]
-    upto, at, ys, found = _starts(each), 0, [np.zeros(0)], np.zeros(len(x), np.int64)
+    upto, at = _starts(each), 0
     with np.errstate(all="ignore"):
         while at < len(x):
             end = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
             q = np.repeat(np.arange(at, end), each[at:end])
             of = line0[q] + np.arange(len(q)) - (upto[q] - upto[at])
             y, fine = _interpolated(px, py, known, first[of], first[of + 1], x[q], reach, slack)
-            ys.append(y[fine])
-            found[at:end] = np.bincount(q[fine] - at, minlength=end - at)
+            yield q[fine], y[fine]
             at = end
+
+
+def _add(counts: np.ndarray, q: np.ndarray, flags: np.ndarray | None = None) -> None:
+    """Count the rising numbers q, or those with a flag, where they stand."""
+    if len(q):
+        counts[q[0] : q[-1] + 1] += np.bincount(q - q[0], flags).astype(np.int64)
+
+
+def _places(lines: pa.ListArray, xs: pa.ListArray) -> pa.ListArray:
+    """Of each row and each of its x the places of the row's lines that reach it, in the lines' order."""
+    n_x, x = _counts(xs), xs.flatten().to_numpy(zero_copy_only=False).astype(float)
+    ys, found = [np.zeros(0)], np.zeros(len(x), np.int64)
+    for q, y in _met(lines, x, n_x):
+        ys.append(y)
+        _add(found, q)
     inner = pa.ListArray.from_arrays(pa.array(_starts(found), pa.int32()), pa.array(np.concatenate(ys)))
     return pa.ListArray.from_arrays(pa.array(_starts(n_x), pa.int32()), inner)
 
@@ -106,27 +125,58 @@ def places(lines: pa.Array, xs: pa.Array) -> pa.Array:
     return _places(lines, xs)
 
 
-def _nearest(ys: Column) -> Column:
-    """The place nearest the middle, the first line's of equals."""
-    return F.array_min(F.transform(ys, lambda y, i: F.struct(F.abs(y).alias("away"), i.alias("i"), y.alias("y"))))["y"]
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def offsets(lines: pa.Array, points: pa.Array) -> pa.Array:
+    """Of a row's points (x, y) that meet lines, in order, the lane offset by the lines' places there, as ``scalar.lane_offset`` has it."""
+    n_x, p = _counts(points), points.flatten()
+    fields = {p.type.field(i).name: c for i, c in enumerate(p.flatten())}
+    x, y = (fields[c].to_numpy(zero_copy_only=False).astype(float) for c in "xy")
+    y = np.where(np.isnan(y) & pc.is_valid(fields["y"]).to_numpy(zero_copy_only=False), np.inf, y)
+    found, left, right = (np.zeros(len(x), np.int64) for _ in range(3))
+    for q, v in _met(lines, x, n_x):
+        _add(found, q)
+        _add(left, q, (v > 0) & (v < y[q]))
+        _add(right, q, (v < 0) & (v > y[q]))
+    met = found > 0
+    n = np.bincount(np.repeat(np.arange(len(n_x)), n_x)[met], minlength=len(n_x))
+    return pa.ListArray.from_arrays(pa.array(_starts(n), pa.int32()), pa.array(np.where(y >= 0, left, -right)[met], pa.int32()))
+
+
+def _facts(lines: pa.ListArray, at: list[float], reach: float) -> list[pa.Array]:
+    """Of each row, at the first distance the nearest line within reach to the left and to the right and the number of lines not to the left, then the lines nearest the middle at the two others."""
+    n, k = len(lines), len(at)
+    left, right, count, some = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
+    mid, seen = np.zeros((n, k)), np.zeros((n, k), bool)
+    for q, y in _met(lines, np.tile(np.array(at), n), np.full(n, k)):
+        row, of = q // k, q % k
+        here, r, v = of == 0, row[of == 0], y[of == 0]
+        some[r] = True
+        np.add.at(count, r, v <= 0)
+        for side, fine, pick in ((left, (v > 0) & (v < reach), np.minimum), (right, (v < 0) & (v > -reach), np.maximum)):
+            pick.at(side, r[fine], v[fine])
+        q, y = q[~here], y[~here]
+        order = np.lexsort((np.where(np.isnan(y), np.inf, np.abs(y)), q))  # the first line of equals
+        q, y = q[order], y[order]
+        best = np.concatenate([[True], q[1:] != q[:-1]])[: len(q)]
+        mid[q[best] // k, q[best] % k], seen[q[best] // k, q[best] % k] = y[best], True
+    known = [(left, np.isfinite(left)), (right, np.isfinite(right)), (count, some), *((mid[:, i], seen[:, i]) for i in range(1, k))]
+    return [pa.array(v, mask=~fine) for v, fine in known]
 
 
 def described(fr: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """(clip_id, frame_idx, width, tangent, right): the ego lane's width, the road's angle, and how many lines lie to the right (null without any line)."""
     at = [float(x) for x in (th.lane_ref_ahead, th.tangent_near, th.tangent_far)]
+    names = ["_left", "_right", "right", "_near", "_far"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(at), pa.int32()), pa.array(at * b.num_rows))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _places(b.column(2), xs)], names=["clip_id", "frame_idx", "_at"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_facts(b.column(2), at, th.lane_reach)], names=["clip_id", "frame_idx", *names])
 
     slim = fr.select("clip_id", "frame_idx", "lines")
-    there = slim.mapInArrow(run, T.StructType([*slim.schema.fields[:2], T.StructField("_at", T.ArrayType(T.ArrayType(T.DoubleType())))]))
-    near, far = _nearest(F.get("_at", F.lit(1))), _nearest(F.get("_at", F.lit(2)))
-    angle = F.degrees(F.atan2(far - near, F.lit(th.tangent_far - th.tangent_near)))  # of the line nearest the middle at either distance
-    held, ys = there.select("clip_id", "frame_idx", F.get("_at", F.lit(0)).alias("_ys"), angle.alias("tangent")), F.col("_ys")
-    right = F.when(F.size(ys) > 0, F.size(F.filter(ys, lambda y: y <= 0)))
-    return held.select("clip_id", "frame_idx", scalar.lane_width(ys, th.lane_reach).alias("width"), "tangent", right.alias("right"))
+    made = [T.StructField(c, T.LongType() if c == "right" else T.DoubleType()) for c in names]
+    there = slim.mapInArrow(run, T.StructType([*slim.schema.fields[:2], *made]))
+    angle = F.degrees(F.atan2(F.col("_far") - F.col("_near"), F.lit(th.tangent_far - th.tangent_near)))  # of the line nearest the middle at either distance
+    return there.select("clip_id", "frame_idx", (F.col("_left") - F.col("_right")).alias("width"), angle.alias("tangent"), F.col("right").cast("int").alias("right"))
 
 
 def clips(seen: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
@@ -233,12 +283,10 @@ def lane_changes(points: DataFrame, fr: DataFrame, refs: DataFrame, th: Threshol
     """
     last = fr.groupBy("clip_id").agg((F.count(F.lit(1)) - 1).alias("_last"))
     chosen = refs.join(last, K).select("clip_id", F.least(F.col("ref_frame").cast("long"), F.col("_last")).cast("int").alias("frame_idx"))
-    lines = chosen.join(fr.hint("merge"), ["clip_id", "frame_idx"]).select("clip_id", "lines")
+    lines = fr.join(chosen, ["clip_id", "frame_idx"], "left_semi").select("clip_id", "lines")  # so frames are chosen before lines are made
     ahead = points.where((F.col("x") > 0) & (F.col("x") <= th.offset_ahead))
     tracks = ahead.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("t", "x", "y"))).alias("_p"))
-    met = tracks.join(lines.hint("merge"), K).select(*TRACK, "_p", places(F.col("lines"), F.transform("_p", lambda p: p["x"])).alias("_ys"))
-    seen = F.filter(F.arrays_zip("_p", "_ys"), lambda z: F.size(z["_ys"]) > 0)
-    g = met.select(*TRACK, F.transform(seen, lambda z: scalar.lane_offset(z["_p"]["y"], z["_ys"])).alias("os"))
+    g = tracks.join(lines.hint("merge"), K).select(*TRACK, offsets("lines", "_p").alias("os"))
     g = g.where(F.size("os") >= 2 * th.sustain).select(*TRACK, F.slice("os", 1, th.sustain).alias("head"), F.slice("os", -th.sustain, th.sustain).alias("tail"), F.array_max(F.transform("os", lambda v: F.abs(v))).alias("span"))
     steady = lambda c: F.forall(c, lambda v: v == F.get(c, F.lit(0))) & (F.abs(F.get(c, F.lit(0))) == 1)
     inside = lambda c: F.forall(c, lambda v: v == 0)

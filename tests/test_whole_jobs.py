@@ -110,3 +110,18 @@ def test_means_are_summed_in_order_of_time(spark):
     assert up != down and means == {**{str(k): up / 8 for k in range(40)}, "40": None}
     met = scenario._with_ego(spans, series_, ["clip_id", "track_id"], {"e": ("t0", "t1"), "f": ("t0", "t0")})
     assert {r.clip_id: r.e_mean for r in met.collect()} == {**{str(k): down / 8 for k in range(40)}, "40": None}  # from the last to the first
+
+
+def test_offsets_of_flat_lines(spark):
+    rng = random.Random(6)
+    some = lambda lo, hi: None if rng.random() < 0.05 else round(rng.uniform(lo, hi) * 2) / 2
+    line = lambda: [v for _ in range(rng.randint(0, 7)) for v in (some(-3, 40), some(-5, 5), 0.0)] + [1.0] * (rng.random() < 0.1)
+    rows = [(i, [line() for _ in range(rng.randint(0, 4))], [(float(j), round(rng.uniform(-5, 45), 1), some(-6, 6)) for j in range(rng.randint(0, 6))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, lines array<array<double>>, p array<struct<t:double,x:double,y:double>>")
+    point = lambda v, i: F.struct(F.get(v, i).alias("x"), F.get(v, i + 1).alias("y"), F.get(v, i + 2).alias("z"))
+    whole = F.filter("lines", lambda v: (F.size(v) > 0) & (F.size(v) % 3 == 0))
+    apart = F.transform(whole, lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(3)), lambda i: point(v, i)))
+    at = F.transform("p", lambda p: F.struct(p["y"].alias("y"), F.filter(F.transform(apart, lambda q: scalar.interpolated_y(q, p["x"])), lambda y: y.isNotNull()).alias("ys")))
+    by_hand = F.transform(F.filter(at, lambda z: F.size(z["ys"]) > 0), lambda z: scalar.lane_offset(z["y"], z["ys"]))
+    got = df.select(lanes.offsets("lines", "p").alias("a"), by_hand.alias("b")).collect()
+    assert len(got) == 300 and all(r.a == r.b for r in got)
