@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from skarn.config import DEFAULT, Thresholds
 from skarn.operators import series
+from skarn.tables import materialise
 
 K = ["clip_id"]
 TRACK = ["clip_id", "track_id"]
@@ -200,7 +201,7 @@ def road(spans: DataFrame, fr: DataFrame, th: Thresholds = DEFAULT) -> DataFrame
     are the changes, from frame to frame that shows lines, in how many lie to the right; null without a good map. Changes
     are summed up along a clip once, so a span reads its two end frames, however long it is.
     """
-    seen = described(fr, th)
+    seen = materialise(described(fr, th), "frames")  # read for the clips and for the spans
     w = Window.partitionBy("clip_id").orderBy("frame_idx")
     before = F.last("right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     change = F.coalesce((F.col("right") != before).cast("long"), F.lit(0))

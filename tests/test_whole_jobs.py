@@ -125,3 +125,10 @@ def test_offsets_of_flat_lines(spark):
     by_hand = F.transform(F.filter(at, lambda z: F.size(z["ys"]) > 0), lambda z: scalar.lane_offset(z["y"], z["ys"]))
     got = df.select(lanes.offsets("lines", "p").alias("a"), by_hand.alias("b")).collect()
     assert len(got) == 300 and all(r.a == r.b for r in got)
+
+
+def test_frames_are_described_once(spark, monkeypatch):
+    held, tags = lanes.materialise, []
+    monkeypatch.setattr(lanes, "materialise", lambda df, tag: tags.append(tag) or held(df, tag))
+    found = QUERIES["ego_map_chain"](spark, DATA)
+    assert tags == ["frames"] and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
