@@ -10,7 +10,7 @@ from skarn.operators import geometry, neighbours, ranking
 from skarn.queries import EV, events, query, r6, table
 from skarn.sources import binary, readers, writers
 from skarn.streaming import sessions
-from skarn.tables import folder
+from skarn.tables import folder, materialise
 
 # --- neighbours -----------------------------------------------------------------------------------------------------
 
@@ -147,24 +147,23 @@ def slice_to_end(spark: SparkSession, d: str) -> DataFrame:
  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t0, t1, event_type) AS ep FROM n)
  SELECT user_id::VARCHAR AS user_id, epoch_us(make_timestamp((min(t0) * 1000000)::BIGINT)) AS t0, (max(t1) * 1000000)::BIGINT AS t1, count(*) AS n, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM g GROUP BY user_id, ep""")
 def stream_episodes(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals with length that come as a stream of files in order of start, merged in state and given out by timers.
+    """Intervals with length that come as a stream in order of start, merged in state and given out by timers.
 
-    A row far in the future, of a key of its own, moves the watermark past all others in the end.
+    Each part of the days is written by many tasks, and the stream goes on from its checkpoint with the files that are new. A row far in the future, of a key of its own, moves the watermark past all others in the end.
     """
     path = folder(spark, "stream")
     ts = lambda c: F.timestamp_micros((c * 1_000_000).cast("long"))
     e = events(spark, d).select("user_id", "event_type", ts(F.col("t0")).alias("t0"), ts(F.col("t0") + 600 + F.col("event_id") % 5 * 1800).alias("t1"))
     last = e.agg((F.max("t0") + F.expr("INTERVAL 400 DAYS")).alias("t0")).select(F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), "t0", F.col("t0").alias("t1"))
     part = F.ntile(4).over(Window.orderBy(F.col("day")))  # of a few days
-    days = e.select(F.to_date("t0").alias("day")).distinct().withColumn("part", part)
-    rows = e.withColumn("day", F.to_date("t0")).join(days, "day").drop("day").unionByName(last.withColumn("part", F.lit(9)))
-    for k in (1, 2, 3, 4, 9):  # files in order of time
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    days = materialise(e.select(F.to_date("t0").alias("day")).distinct().withColumn("part", part), "days")
     own = spark.newSession()  # so that the caller's settings stay as they are
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = own.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withWatermark("t0", "1 hour")
-    merged = sessions.merged_episodes(stream, "user_id", "event_type", "t0", "t1", 3600.0)
-    merged.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    for rows in (*(e.join(days.where(F.col("part") == k), F.to_date("t0") == F.col("day")).select(*e.columns) for k in (1, 2, 3, 4)), last):
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = own.readStream.schema(e.schema).parquet(f"{path}/in").withWatermark("t0", "1 hour")
+        merged = sessions.merged_episodes(stream, "user_id", "event_type", "t0", "t1", 3600.0)
+        merged.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     got = spark.read.schema(f"user_id string, {sessions.EPISODE}").parquet(f"{path}/out").where("user_id <> '-1'")
     return got.select("user_id", F.unix_micros("t0").alias("t0"), F.unix_micros("t1").alias("t1"), "n", F.array_join("kinds", ",").alias("kinds"))
 

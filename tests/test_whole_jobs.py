@@ -12,6 +12,7 @@ from skarn.operators import aggregates, parameters, series
 from skarn.plans import lanes, scenario
 from skarn.queries import KIND, QUERIES
 from skarn.sources import binary, readers
+from skarn.streaming import sessions
 
 DATA = "/root/testdata/sf0.001"
 
@@ -132,3 +133,31 @@ def test_frames_are_described_once(spark, monkeypatch):
     monkeypatch.setattr(lanes, "materialise", lambda df, tag: tags.append(tag) or held(df, tag))
     found = QUERIES["ego_map_chain"](spark, DATA)
     assert tags == ["frames"] and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stream_settles_many_keys_in_one_call(spark, tmp_path):
+    """Keys of one bucket, a null key among them, do not touch each other; several rows of state a bucket."""
+    rng = random.Random(2)
+    rows = [(f"one {i}", "x", 0, 1) for i in range(3 * sessions.CHUNK)]
+    rows += [(rng.choice(["a", "b", "c", None, *map(str, range(20))]), rng.choice("xyz"), m, m + rng.randint(0, 30)) for m in sorted(rng.randint(0, 600) for _ in range(300))]
+    want, by_key = set(), {}
+    for r in rows:
+        by_key.setdefault(r[0], []).append(r)
+    for key, its in by_key.items():
+        spans = []
+        for _, kind, a, b in its:
+            if spans and a <= spans[-1][1] + 5:
+                spans[-1] = (spans[-1][0], max(b, spans[-1][1]), spans[-1][2] + 1, spans[-1][3] | {kind})
+            else:
+                spans.append((a, b, 1, {kind}))
+        want |= {(key, a, b, n, "".join(sorted(kinds))) for a, b, n, kinds in spans}
+    ts = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + F.col(c) * 60)
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for part in (rows[:-150], rows[-150:], [("end", "end", 90_000, 90_000)]):  # the stream goes on from its checkpoint
+        spark.createDataFrame(part, "k string, kind string, a long, b long").select("k", "kind", ts("a").alias("t0"), ts("b").alias("t1")).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = own.readStream.schema("k string, kind string, t0 timestamp, t1 timestamp").parquet(f"{tmp_path}/in").withWatermark("t0", "1 minute")
+        merged = sessions.merged_episodes(stream, "k", "kind", "t0", "t1", 300.0, buckets=2)
+        merged.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = [(r.k, round((r.t0.timestamp() - 1_700_000_000) / 60), round((r.t1.timestamp() - 1_700_000_000) / 60), r.n, "".join(r.kinds)) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(want) and set(got) == want
