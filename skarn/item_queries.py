@@ -53,7 +53,7 @@ def framed_file(spark: SparkSession, d: str) -> DataFrame:
     path = folder(spark, "framed")
     body = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.coalesce("text", F.lit(""))).cast("binary")
     binary.write_framed(table(spark, d, "documents").select(body.alias("record")), path, "record")
-    text = F.decode("record", "utf-8")
+    text = F.col("record").cast("string")
     at = F.locate("\t", text)
     back = readers.framed_records(spark, path, 1 << 16).select(F.substr(text, F.lit(1), at - 1).cast("long").alias("doc_id"), F.substr(text, at + 1).alias("text"))
     return back.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("digest"))

@@ -112,32 +112,40 @@ def _frames(f: pa.NativeFile, length: int, size: int) -> Iterator[tuple[int, int
         yield start, at, first, ""
 
 
+def _records(f: pa.NativeFile, r: dict) -> Iterator[pa.RecordBatch]:
+    """The records of a range, which is read by blocks and not by record."""
+    n, left, data, at, held, out = r["first"], r["stop"] - r["start"], b"", 0, 0, []
+
+    def batch() -> pa.RecordBatch:
+        numbers = pa.array(np.arange(n - len(out), n))
+        return pa.RecordBatch.from_arrays([pa.repeat(r["path"], len(out)), numbers, pa.array(out, pa.binary())], names=["path", "n", "record"])
+
+    def ahead(size: int) -> None:
+        nonlocal data, at, left
+        if at + size > len(data):
+            more = f.read(min(max(size - len(data) + at, LOOK_BYTES), left))
+            data, at, left = data[at:] + more, 0, left - len(more)
+
+    while left or at < len(data):
+        ahead(12)
+        (size,) = struct.unpack_from("<Q", data, at)
+        ahead(16 + size)
+        out.append(data[at + 12 : at + 12 + size])
+        at, n, held = at + 16 + size, n + 1, held + size + 16
+        if held >= BATCH_BYTES:
+            yield batch()
+            held, out = 0, []
+    if out:
+        yield batch()
+
+
 def framed_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, n, record binary): length-prefixed records (u64 length, u32 check, bytes, u32 check), numbered within their file.
 
     Checks are not looked at; a record cut short at a file's end is dropped. A file is read by ranges of ``range_bytes``, or of
     one record where that is longer.
     """
-
-    def of(f: pa.NativeFile, r: dict) -> Iterator[pa.RecordBatch]:
-        at, n, held, out = r["start"], r["first"], 0, []
-
-        def batch() -> pa.RecordBatch:
-            numbers = pa.array(np.arange(n - len(out), n))
-            return pa.RecordBatch.from_arrays([pa.repeat(r["path"], len(out)), numbers, pa.array(out, pa.binary())], names=["path", "n", "record"])
-
-        while at < r["stop"]:
-            (size,) = struct.unpack("<Q", f.read(12)[:8])
-            out.append(f.read(size))
-            f.read(4)
-            at, n, held = at + 16 + size, n + 1, held + size + 16
-            if held >= BATCH_BYTES:
-                yield batch()
-                held, out = 0, []
-        if out:
-            yield batch()
-
-    return _read(_ranges(listed(spark, path), _frames, range_bytes), of, "path string, n long, record binary", range_bytes)
+    return _read(_ranges(listed(spark, path), _frames, range_bytes), _records, "path string, n long, record binary", range_bytes)
 
 
 # --- points ---------------------------------------------------------------------------------------------------------

@@ -1,7 +1,9 @@
 """Queries against their whole input, and steps whose cost must follow the rows."""
 
+import io
 import random
 import re
+import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -48,6 +50,24 @@ def test_small_ranges_of_framed_records_share_a_task(spark, tmp_path):
     assert sorted(int(r.record) for r in got.collect()) == list(range(2_000))
 
 
+def test_framed_records_are_read_by_blocks(monkeypatch):
+    class Counted(io.BytesIO):
+        reads = 0
+
+        def read(self, n=-1):
+            self.reads += 1
+            return super().read(n)
+
+    monkeypatch.setattr(binary, "LOOK_BYTES", 1000)
+    rng = random.Random(3)
+    data = [rng.randbytes(rng.choice([0, 1, 9, 20, 3000])) for _ in range(400)]
+    body = b"".join(struct.pack("<QI", len(r), 7) + r + b"abcd" for r in data)
+    f = Counted(body + b"of the next range")
+    got = [r for b in binary._records(f, {"path": "p", "start": 0, "stop": len(body), "first": 5}) for r in b.to_pylist()]
+    assert [r["record"] for r in got] == data and [r["n"] for r in got] == list(range(5, 405))
+    assert f.reads <= 2 * len(body) / 1000 + 1
+
+
 def test_places_as_the_expression_has_them(spark):
     rng = random.Random(5)
     some = lambda lo, hi: None if rng.random() < 0.05 else round(rng.uniform(lo, hi) * 2) / 2  # noqa: E731 - ties in x
