@@ -33,22 +33,33 @@ def iou_corner(a: list[Column], b: list[Column]) -> Column:
     return F.coalesce(inter / F.nullif(union, F.lit(0.0)), F.lit(0.0))
 
 
-def meeting_boxes(df: DataFrame, keys: list[str], id_col: str, cell: float) -> DataFrame:
+#: Boxes of a cell that meet in one group of a join; a fuller cell is split.
+CROWD = 8192
+
+
+def meeting_boxes(df: DataFrame, keys: list[str], id_col: str, cell: float, crowd: int = CROWD) -> DataFrame:
     """(keys, a, b, iou): pairs a < b of one key's boxes (x, y, w, h) that share an area.
 
     A box goes to every cell of width ``cell`` that it touches, and a pair is told by the cell of the lower left corner of
     what it shares, so it comes once whatever the boxes' sizes. A box of cells' width or less goes to four at most; a large
     one costs as many rows as it covers cells, and changes nothing for the others.
+
+    The pairs of a cell may be as many as the square of its boxes, so one that holds more than ``crowd`` is split by the hash of
+    the id, and its parts meet two by two, each two in a group of their own. The split cells are broadcast, one row for ``crowd``
+    rows or more.
     """
     at = lambda v: F.floor(v / F.lit(float(cell)))
     low = {c: F.col(c) - F.col(s) / 2 for c, s in (("x", "w"), ("y", "h"))}
     high = {c: F.col(c) + F.col(s) / 2 for c, s in (("x", "w"), ("y", "h"))}
-    dealt = df.where((F.col("w") > 0) & (F.col("h") > 0))
+    dealt = df.where((F.col("w") > 0) & (F.col("h") > 0)).select(*keys, id_col, *"xywh")
     for c, name in (("x", "i"), ("y", "j")):
         dealt = dealt.withColumn(name, F.explode(F.sequence(at(low[c]), at(high[c]))))
-    side = lambda tag: dealt.select(*keys, "i", "j", F.col(id_col).alias(tag), *(F.col(c).alias(f"{tag}_{c}") for c in "xywh"))
+    split = dealt.groupBy(*keys, "i", "j").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("parts")).where("parts > 1")
+    dealt = dealt.join(F.broadcast(split), [*keys, "i", "j"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own, every = F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    side = lambda tag, p, q: dealt.select(*keys, "i", "j", p.alias("p"), q.alias("q"), F.col(id_col).alias(tag), *(F.col(c).alias(f"{tag}_{c}") for c in "xywh"))
     corner = lambda c, s: F.greatest(*(F.col(f"{t}_{c}") - F.col(f"{t}_{s}") / 2 for t in "ab"))
-    pairs = side("a").join(side("b"), [*keys, "i", "j"]).where("a < b").where((at(corner("x", "w")) == F.col("i")) & (at(corner("y", "h")) == F.col("j")))
+    pairs = side("a", own, every).join(side("b", every, own), [*keys, *"ijpq"]).where("a < b").where((at(corner("x", "w")) == F.col("i")) & (at(corner("y", "h")) == F.col("j")))
     iou = iou_center([F.col(f"a_{c}") for c in "xywh"], [F.col(f"b_{c}") for c in "xywh"])
     return pairs.select(*keys, "a", "b", iou.alias("iou")).where("iou > 0")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skarn import file_queries, item_queries, lane_queries, more_queries  # noqa: F401 - add to QUERIES
 from skarn.functions import scalar
-from skarn.operators import aggregates, parameters, series
+from skarn.operators import aggregates, matching, parameters, series
 from skarn.plans import lanes, scenario
 from skarn.queries import KIND, QUERIES
 from skarn.sources import binary, readers
@@ -68,6 +68,17 @@ def test_framed_records_are_read_by_blocks(monkeypatch):
     assert f.reads <= 2 * len(body) / 1000 + 1
 
 
+def test_boxes_of_a_full_cell_meet_in_many_groups(spark):
+    rng = random.Random(4)
+    boxes = [(k, i, rng.uniform(0, 2), rng.uniform(0, 2), rng.uniform(0.1, 1), rng.uniform(0.1, 1)) for i, k in enumerate(rng.choices("aab", k=300))]
+    df = spark.createDataFrame([*boxes, ("a", None, 1.0, 1.0, 1.0, 1.0)], "k string, id long, x double, y double, w double, h double")
+    whole, split = (matching.meeting_boxes(df, ["k"], "id", 1.0, n) for n in (1000, 20))
+    near = lambda a, b, c: abs(a[c] - b[c]) < (a[c + 2] + b[c + 2]) / 2
+    want = sorted((a[0], a[1], b[1]) for a in boxes for b in boxes if a[0] == b[0] and a[1] < b[1] and near(a, b, 2) and near(a, b, 3))
+    rows = sorted(map(tuple, split.collect()))
+    assert [r[:3] for r in rows] == want and rows == sorted(map(tuple, whole.collect()))
+
+
 def test_places_as_the_expression_has_them(spark):
     rng = random.Random(5)
     some = lambda lo, hi: None if rng.random() < 0.05 else round(rng.uniform(lo, hi) * 2) / 2  # noqa: E731 - ties in x
