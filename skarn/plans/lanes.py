@@ -199,7 +199,8 @@ def road(spans: DataFrame, fr: DataFrame, th: Thresholds = DEFAULT) -> DataFrame
 
     road_deg is the road's angle at the last frame less that at the first; null without a good map or an angle. Crossings
     are the changes, from frame to frame that shows lines, in how many lie to the right; null without a good map. Changes
-    are summed up along a clip once, so a span reads its two end frames, however long it is.
+    are summed up along a clip once, so a span reads its two end frames, however long it is. Frames, clips and spans are
+    shuffled, never broadcast: written frames are a few bytes each on disk and some hundred in a driver's table.
     """
     seen = materialise(described(fr, th), "frames")  # read for the clips and for the spans
     w = Window.partitionBy("clip_id").orderBy("frame_idx")
@@ -207,8 +208,8 @@ def road(spans: DataFrame, fr: DataFrame, th: Thresholds = DEFAULT) -> DataFrame
     change = F.coalesce((F.col("right") != before).cast("long"), F.lit(0))
     upto = seen.withColumn("_change", change).withColumn("upto", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     after = F.first(F.when(F.col("right").isNotNull(), F.col("upto")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    facts = upto.select("clip_id", "frame_idx", "tangent", "upto", after.alias("since"))
-    known = spans.join(clips(seen, th).where("map_valid"), K)  # others have neither
+    facts = upto.select("clip_id", "frame_idx", "tangent", "upto", after.alias("since")).hint("merge")
+    known = spans.join(clips(seen, th).where("map_valid").hint("merge"), K)  # others have neither
     n = F.col("n_frames")
     placed = known.select("clip_id", "kind", "run", frame_of(F.col("t0"), F.col("dur"), n).alias("f0"), frame_of(F.col("t1"), F.col("dur"), n).alias("f1"))
     start = facts.select("clip_id", F.col("frame_idx").alias("f0"), F.col("tangent").alias("a0"), "since")

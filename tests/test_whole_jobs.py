@@ -166,6 +166,17 @@ def test_frames_are_described_once(spark, monkeypatch):
     assert tags == ["frames"] and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_frames_clips_and_spans_are_shuffled(spark):
+    """Written frames are so small on disk that Spark would gather them all in the driver."""
+    line = lambda y: [v for x in (4.0, 6.0, 9.0, 29.0, 31.0) for v in (x, y, 0.0)]
+    fr = spark.createDataFrame([(str(c), i, [line(1.75 + c / 8), line(-1.75 + c / 8)]) for c in range(3) for i in range(4)], "clip_id string, frame_idx int, lines array<array<double>>")
+    spans = spark.createDataFrame([(str(c), "turn", 0, 0.0, 1.5, 1.5) for c in range(4)], "clip_id string, kind string, run long, t0 double, t1 double, dur double")
+    found = lanes.road(spans, fr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == [(str(c), "turn", 0, 0.0, 0) for c in range(3)]
+
+
 def test_a_stream_settles_many_keys_in_one_call(spark, tmp_path):
     """Keys of one bucket, a null key among them, do not touch each other; several rows of state a bucket."""
     rng = random.Random(2)
