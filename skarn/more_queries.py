@@ -517,7 +517,7 @@ def _ego(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d)
     swing = F.when(F.col("user_id") % 3 == 0, 1.5).when(F.col("user_id") % 3 == 1, 0.25).otherwise(0.02)
     half = swing * F.sin(F.col("i") * 0.35) / 2
-    us = (F.col("i") * 500_000).cast("long").alias("timestamp_us")
+    us = (F.col("i").cast("long") * 500_000).alias("timestamp_us")
     ego = log.select("clip_id", us, F.cos(half).alias("qw"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(half).alias("qz"), F.when(F.col("user_id") % 5 == 0, F.col("value") % 1 + 1.5).otherwise(F.col("value") / 5).alias("vx"), F.lit(0.0).alias("vy"), (F.col("value") % 5 - 2.5).alias("ax"))
     return scenario.ego_series(ego, log.select("clip_id", us))
 
@@ -610,5 +610,5 @@ def agent_event_chain(spark: SparkSession, d: str) -> DataFrame:
  UNION ALL SELECT clip_id, 'decel_at_intersection', t0, t1 FROM (SELECT * FROM slow WHERE mean > 2 QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY t0, t1) = 1)
  UNION ALL SELECT DISTINCT v.clip_id, v.kind, 0.0, e.dur FROM ego_ev v JOIN ego e USING (clip_id) WHERE v.kind LIKE 'lane_change%'""")
 def taxonomy_chain(spark: SparkSession, d: str) -> DataFrame:
-    ego = materialise(_ego(spark, d), "ego")
-    return scenario.taxonomy(_points(spark, d), ego, materialise(scenario.ego_events(ego), "ego_events"))
+    ego = materialise(_ego(spark, d), "ego").hint("merge")  # here and below: small on disk, many rows in a driver's table
+    return scenario.taxonomy(_points(spark, d), ego, materialise(scenario.ego_events(ego), "ego_events").hint("merge"))

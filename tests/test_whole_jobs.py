@@ -177,6 +177,19 @@ def test_frames_clips_and_spans_are_shuffled(spark):
     assert sorted(map(tuple, found.collect())) == [(str(c), "turn", 0, 0.0, 0) for c in range(3)]
 
 
+def test_motion_and_its_events_are_shuffled(spark):
+    found = QUERIES["taxonomy_chain"](spark, DATA)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_clip_of_many_rows_has_its_motion(spark, tmp_path):
+    """At half a second a row, microseconds of more than 4,294 rows are no 32-bit integers."""
+    df = spark.range(4_400).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), F.lit(3).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 500).cast("double").alias("value"))
+    df.write.parquet(str(tmp_path / "events.parquet"))
+    got = more_queries._ego(spark, str(tmp_path)).agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"), F.max("dur").alias("dur")).first()
+    assert tuple(got) == (4_400, 2199.5, 2199.5)
+
+
 def test_a_stream_settles_many_keys_in_one_call(spark, tmp_path):
     """Keys of one bucket, a null key among them, do not touch each other; several rows of state a bucket."""
     rng = random.Random(2)
